@@ -1,0 +1,10 @@
+"""Registered queries over the driver's tables and their DuckDB oracles."""
+
+from __future__ import annotations
+
+QUERIES = {}
+ORACLES = {}
+
+
+def flagship(spark, sf_dir):
+    return QUERIES["q_phase_flow"](spark, sf_dir)
