@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import packing, sharding, sstable, substring
+from tracewright.llm import nearjoin, packing, sharding, sstable, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_sstable(spark, sf_dir):
     return sstable.read_tables(sstable.write_tables(table(spark, sf_dir, "documents"), vocab, end_id=2))
 
 
+def op4_ngram_jaccard(spark, sf_dir):
+    return nearjoin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark, sf_dir):
     out = substring.deduplicated(table(spark, sf_dir, "documents"), window=50)
     kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
@@ -34,5 +38,5 @@ def op10_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), vocab, capacity=4096, end_id=1, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_sstable, op5_substring_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_sstable, op4_ngram_jaccard, op5_substring_dedup, op10_packing)}
 ORACLES: dict[str, str] = {}
