@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import nearjoin, packing, sharding, sstable, substring
+from tracewright.llm import decontamination, licenses, nearjoin, packing, quality, sharding, sstable, substring, tokencounts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_sharding(spark, sf_dir):
     return shards.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op2_decontamination(spark, sf_dir):
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_sstable(spark, sf_dir):
     vocab = public_tokenizers.path("byte_bpe_50k.json")
     return sstable.read_tables(sstable.write_tables(table(spark, sf_dir, "documents"), vocab, end_id=2))
@@ -33,10 +37,31 @@ def op5_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_license_scan(spark, sf_dir):
+    return licenses.scanned(table(spark, sf_dir, "documents")).select("doc_id", *licenses.ADDED)
+
+
+def op7_quality(spark, sf_dir):
+    out = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", *quality.COUNTS[:5], "base_failed", "kept", "score")
+
+
+def op8_token_counts(spark, sf_dir):
+    return tokencounts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op9_toxicity(spark, sf_dir):
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark, sf_dir):
     vocab = public_tokenizers.path("word_bpe_49k.json")
     return packing.packed(table(spark, sf_dir, "documents"), vocab, capacity=4096, end_id=1, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_sstable, op4_ngram_jaccard, op5_substring_dedup, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sharding, op2_decontamination, op3_sstable, op4_ngram_jaccard, op5_substring_dedup, op6_license_scan, op7_quality, op8_token_counts, op9_toxicity, op10_packing)
+}
+#: None here: hashing, tokenizers, learned models and links between texts are tested against brute force instead.
 ORACLES: dict[str, str] = {}
