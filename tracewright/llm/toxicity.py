@@ -1,9 +1,9 @@
 """Toxicity: the nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index.
 
-Terms are words in lower case and their beginnings of four and five letters. The vocabulary is the terms that toxic
-training rows have more often, with a log-likelihood ratio of `evidence` or more, over every labelled training row; document
-frequencies are counted over all documents. At most `max_examples` training rows, those with the least hash of
-doc_id, are the examples. The index keeps, for each term and block of examples, the largest weight; a query visits
+At most `max_rows` labelled rows, those with the least hash of doc_id, train and are the examples; of near copies one
+counts. Terms are words in lower case and their beginnings of four and five letters. The vocabulary is the terms that toxic
+examples have more often, with a log-likelihood ratio of `evidence` or more; document frequencies are counted over all
+documents. The index keeps, for each term and block of examples, the largest weight; a query visits
 blocks from the highest bound down and stops when no bound reaches its k-th best, so the k nearest are exact (ties: the
 smaller doc_id). Votes weighted by closeness give a raw score, which an isotonic fit on the examples (each scored without itself) makes
 a probability. Each row carries its nearest examples as evidence.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import words, written
+from tracewright.llm.common import rolling, word_hashes, words, written
 
 EDGE = ".,;:!?\"'()[]{}*#|<>-_/\\&%$"
 MEMO = 400_000
@@ -48,8 +48,8 @@ class Terms:
     def __init__(self, vocabulary: list[str]):
         self.number, self.memo = {t: k for k, t in enumerate(vocabulary)}, {}
 
-    def numbers(self, text: str | None) -> list[int]:
-        memo, own = self.memo, words(text)
+    def _found(self, own: list[bytes]) -> list[tuple[int, ...]]:
+        memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
         found = list(map(memo.get, own))
@@ -57,8 +57,16 @@ class Terms:
             for k, f in enumerate(found):
                 if f is None:
                     w = own[k]
-                    memo[w] = found[k] = tuple(self.number[t] for t in terms_of(w) if t in self.number)
-        return list(chain.from_iterable(found))
+                    memo[w] = found[k] = tuple([self.number[t] for t in terms_of(w) if t in self.number])
+        return found
+
+    def numbers(self, text: str | None) -> list[int]:
+        return list(chain.from_iterable(self._found(words(text))))
+
+    def only(self, text: str | None) -> str:
+        """The words that hold a term."""
+        own = words(text)
+        return b" ".join([w for w, f in zip(own, self._found(own), strict=True) if f]).decode("utf-8", "replace")
 
     def vector(self, text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Vocabulary numbers and weights of length one; both empty where no term occurs."""
@@ -73,34 +81,40 @@ class BlockMax:
     def __init__(self, vectors, ids, toxic, size: int, block: int = 32):
         order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), ids[i]))
         self.ids, self.toxic = np.asarray([ids[i] for i in order], np.int64), np.asarray([toxic[i] for i in order], np.int64)
-        self.blocks = max(1, math.ceil(len(order) / block))
-        self.most = np.zeros((size, self.blocks))
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for place, i in enumerate(order):
-            for t, w in zip(*vectors[i], strict=True):
-                self.most[t, place // block] = max(self.most[t, place // block], w)
-                lists.setdefault((int(t), place // block), []).append((place, w))
-        self.lists = {k: (np.asarray([p for p, _ in v]), np.asarray([w for _, w in v])) for k, v in lists.items()}
-        self.block = block
+        self.block, self.blocks = block, max(1, math.ceil(len(order) / block))
+        #: For each term and block: the largest weight, and the row of the block's postings (-1: none).
+        self.most, self.row = np.zeros((size, self.blocks)), np.full((size, self.blocks), -1, np.int32)
+        self.postings = []
+        for b in range(self.blocks):
+            own = order[b * block : (b + 1) * block]
+            terms = np.unique(np.concatenate([vectors[i][0] for i in own])) if own else np.empty(0, np.int64)
+            self.row[terms, b] = np.arange(len(terms))
+            weights = np.zeros((len(terms), len(own)))
+            for place, i in enumerate(own):
+                weights[self.row[vectors[i][0], b], place] = vectors[i][1]
+            self.most[terms, b] = weights.max(1) if len(terms) else 0
+            self.postings.append(weights)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines, from the nearest; only examples that share a term."""
-        bound = w @ self.most[t]
-        order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int, int]] = []
-        for b in order.tolist():
-            if bound[b] <= 0 or len(best) >= k and bound[b] < -best[k - 1][0] - 1e-12:
+        bound, rows = w @ self.most[t], self.row[t]
+        places, cosines, least = np.empty(0, np.int64), np.empty(0), 0.0
+        for b in np.argsort(-bound, kind="stable").tolist():
+            if bound[b] <= 0 or len(places) >= k and bound[b] < least - 1e-12:
                 break
-            sums = np.zeros(self.block)
-            for term, weight in zip(t.tolist(), w.tolist(), strict=True):
-                own = self.lists.get((term, b))
-                if own is not None:
-                    sums[own[0] - b * self.block] += weight * own[1]
-            at = np.flatnonzero(sums)
-            best += [(-float(sums[p]), int(self.ids[b * self.block + p]), b * self.block + int(p)) for p in at.tolist() if b * self.block + p != without]
-            best.sort()
-            del best[k:]
-        return np.asarray([p for _, _, p in best], np.int64), np.asarray([-s for s, _, _ in best])
+            own = rows[:, b]
+            has = own >= 0
+            sums = w[has] @ self.postings[b][own[has]]
+            at = np.flatnonzero(sums > max(0.0, least - 1e-12) if len(places) >= k else sums > 0)
+            if not len(at):
+                continue
+            places, cosines = np.concatenate([places, at + b * self.block]), np.concatenate([cosines, sums[at]])
+            if without is not None:
+                cosines, places = cosines[places != without], places[places != without]
+            order = np.lexsort((self.ids[places], -np.round(cosines, 12)))[:k]
+            places, cosines = places[order], cosines[order]
+            least = float(cosines[-1]) if len(places) >= k else 0.0
+        return places, cosines
 
 
 class Model:
@@ -142,17 +156,47 @@ class Model:
         return score, [{"doc_id": int(self.index.ids[p]), "toxic": int(self.index.toxic[p]), "similarity": float(c)} for p, c in zip(at[:3], cosine[:3], strict=True)]
 
 
-def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, evidence: float, max_examples: int, k: int) -> Model:
+def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, evidence: float, max_rows: int, k: int) -> Model:
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(fold("doc_id", folds) != 0)
-    training = written(docs.select("doc_id", "text").join(known, "doc_id"))
+    known = known.orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id").limit(max_rows)
+
+    def keyed(batches):
+        for batch in batches:
+            keys = []
+            for text in batch.column("text").to_pylist():
+                h = word_hashes(words(text))
+                keys.append(int(rolling(h, min(3, len(h))).min().view(np.int64)) if len(h) else 0)
+            yield batch.append_column("key", pa.array(keys, pa.int64()))
+
+    # The sample is bounded, so it may be broadcast; of near copies (one MinHash value of theirs agrees) one trains.
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(keyed, "doc_id long, text string, toxic int, key long")
+    training = written(sample.groupBy("key").agg(F.min(F.struct("doc_id", "text", "toxic")).alias("own")).select("own.*"))
 
     def distinct_terms(batches):
+        known: dict[bytes, list[str]] = {}
+        found: dict[str, list[int]] = {}
+
+        def flushed():
+            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())], ["term", "clean", "toxic"])
+            found.clear()
+            known.clear()
+            return out
+
         for batch in batches:
-            found: dict[str, list[int]] = {}
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                for term in {x for w in set(words(text)) for x in terms_of(w)}:
-                    found.setdefault(term, [0, 0])[toxic] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())], ["term", "clean", "toxic"])
+                terms: set[str] = set()
+                for w in set(words(text)):
+                    if w not in known:
+                        known[w] = terms_of(w)
+                    terms.update(known[w])
+                for term in terms:
+                    if term in found:
+                        found[term][toxic] += 1
+                    else:
+                        found[term] = [1 - toxic, toxic]
+                if len(found) > MEMO // 2:
+                    yield flushed()
+        yield flushed()
 
     sizes = {r["toxic"]: r["count"] for r in training.groupBy("toxic").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
@@ -179,25 +223,25 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, evidence: float, m
         for r in docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
             df[r["term"]] = r["n"]
         idf = np.log((1 + total) / (1 + df)) + 1
-    examples = training.orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id", "text").limit(max_examples)
-    # Only vocabulary terms of an example are read: its words that hold one are all that is sent.
-    rows = [(r["doc_id"], r["text"], r["toxic"]) for r in examples.mapInArrow(_only(vocabulary), "doc_id long, text string, toxic int").toLocalIterator()]
-    return Model(vocabulary, idf, list({r[0]: r for r in rows}.values()), k)
+    # Only vocabulary terms of an example are read: the words that hold one are all that is sent.
+    reduced = training.mapInArrow(_only(vocabulary), "doc_id long, text string, toxic int")
+    rows = reduced.orderBy("doc_id").collect()
+    return Model(vocabulary, idf, list({r["doc_id"]: (r["doc_id"], r["text"], r["toxic"]) for r in rows}.values()), k)
 
 
 def _only(vocabulary: list[str]):
     def cut(batches):
         read = Terms(vocabulary)
         for batch in batches:
-            texts = [b" ".join(w for w in words(t) if read.numbers(w.decode("utf-8", "replace"))).decode("utf-8", "replace") for t in batch.column("text").to_pylist()]
+            texts = [read.only(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("toxic")], ["doc_id", "text", "toxic"])
 
     return cut
 
 
-def scored(docs: DataFrame, labels: DataFrame, *, folds: int = 5, evidence: float = 24.0, max_examples: int = 10_000, k: int = 15) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, *, folds: int = 5, evidence: float = 24.0, max_rows: int = 20_000, k: int = 15) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence, a row for each row of docs."""
-    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, folds=folds, evidence=evidence, max_examples=max_examples, k=k))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, folds=folds, evidence=evidence, max_rows=max_rows, k=k))
 
     def score(batches):
         own = model.value
@@ -211,9 +255,9 @@ def scored(docs: DataFrame, labels: DataFrame, *, folds: int = 5, evidence: floa
     return out.select("doc_id", F.coalesce(fold("doc_id", folds) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
 
 
-def clean(docs: DataFrame, labels: DataFrame, *, cut: float = 0.5, folds: int = 5, evidence: float = 24.0, max_examples: int = 10_000, k: int = 15) -> DataFrame:
+def clean(docs: DataFrame, labels: DataFrame, *, cut: float = 0.5, folds: int = 5, evidence: float = 24.0, max_rows: int = 20_000, k: int = 15) -> DataFrame:
     """The rows of docs with a score below `cut`, all columns kept; nothing is shuffled to drop the others."""
-    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, folds=folds, evidence=evidence, max_examples=max_examples, k=k))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, folds=folds, evidence=evidence, max_rows=max_rows, k=k))
 
     def keep(batches):
         own = model.value
