@@ -2,9 +2,364 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tracewright.operators import aggregates, containment, graph, patches, patterns, phases, traversal
+from tracewright.sources import views
+
 QUERIES = {}
 ORACLES = {}
 
+#: The event runs, step by step, as the operators make them.
+BASE = """WITH e AS (SELECT user_id AS traj, event_id, ts, event_type, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 4 AS k,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events),
+c AS (SELECT *, seq // 2 AS step_idx, event_type || ':' || CAST(k AS VARCHAR) AS label,
+  CASE event_type WHEN 'view' THEN 'loc' WHEN 'error' THEN 'ctx' WHEN 'click' THEN 'ctx' WHEN 'purchase' THEN 'patch' ELSE 'general' END AS phase_class FROM e),
+a AS (SELECT *, CASE WHEN phase_class = 'ctx' THEN CASE WHEN max(CASE WHEN phase_class = 'patch' THEN 1 ELSE 0 END) OVER
+  (PARTITION BY traj ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1 THEN 'validation' ELSE 'localization' END
+  WHEN phase_class = 'loc' THEN 'localization' ELSE phase_class END AS phase FROM c),
+st AS (SELECT DISTINCT traj, CASE traj % 3 WHEN 0 THEN 'resolved' WHEN 1 THEN 'unresolved' ELSE 'unsubmitted' END AS status FROM a),
+kk AS (SELECT traj, seq, phase, CASE phase WHEN 'localization' THEN 'L' WHEN 'patch' THEN 'P' WHEN 'validation' THEN 'V' ELSE 'N' END AS abbr FROM a WHERE phase <> 'general'),
+kn AS (SELECT *, CASE WHEN abbr = lag(abbr) OVER (PARTITION BY traj ORDER BY seq) THEN 0 ELSE 1 END AS new FROM kk),
+kr AS (SELECT *, sum(new) OVER (PARTITION BY traj ORDER BY seq) - 1 AS run_no FROM kn),
+r AS (SELECT traj, CAST(run_no AS BIGINT) AS run_no, min(phase) AS phase, min(abbr) AS abbr, count(*) AS len FROM kr GROUP BY traj, run_no),
+fl AS (SELECT status, run_no AS t, abbr AS src, dst, count(*) AS n FROM (SELECT *, coalesce(lead(abbr) OVER (PARTITION BY traj ORDER BY run_no), 'T') AS dst FROM r) JOIN st USING (traj) WHERE run_no < 10 GROUP BY ALL),
+f AS (SELECT *, min(seq) OVER (PARTITION BY traj, label) AS first_seq FROM a),
+o AS (SELECT *, dense_rank() OVER (PARTITION BY traj ORDER BY first_seq) - 1 AS node_ord FROM f),
+n AS (SELECT traj, node_ord, min(label) AS label, count(*) AS n_occ, min(step_idx) AS first_step, max(step_idx) AS last_step, arg_max(value, seq) AS last_value FROM o GROUP BY traj, node_ord),
+x0 AS (SELECT *, lag(node_ord) OVER (PARTITION BY traj ORDER BY seq) AS src, lag(step_idx) OVER (PARTITION BY traj ORDER BY seq) AS prev_step FROM o),
+x AS (SELECT traj, seq - 1 AS edge_ord, src, node_ord AS dst, step_idx, step_idx <> prev_step AS is_first_in_step FROM x0 WHERE src IS NOT NULL),
+ap AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY seq) AS pn FROM a WHERE phase = 'patch'),
+p AS (SELECT *, k IN (1, 2) AS failed, CASE k WHEN 1 THEN 'failure: not found' WHEN 2 THEN 'failure: no change' WHEN 3 THEN NULL ELSE 'success' END AS edit_status,
+  'f' || CAST(event_id % 3 AS VARCHAR) AS path, event_id % 2 AS old, (event_id // 2) % 2 AS new FROM ap)
+"""
+
+
+def query(name: str, sql: str | None = None):
+    def register(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
+        return fn
+
+    return register
+
 
 def flagship(spark, sf_dir):
     return QUERIES["q_phase_flow"](spark, sf_dir)
+
+
+def runs_of(spark, sf_dir):
+    return phases.phase_runs(views.event_actions(spark, sf_dir))
+
+
+def flow_of(spark, sf_dir):
+    a = views.event_actions(spark, sf_dir)
+    return phases.phase_flow(phases.phase_runs(a), views.event_status(a))
+
+
+def graph_of(spark, sf_dir):
+    o = graph.node_occurrences(views.event_actions(spark, sf_dir))
+    return o, graph.nodes(o), graph.edges(o)
+
+
+def patches_of(spark, sf_dir):
+    a = views.event_actions(spark, sf_dir).where("phase = 'patch'")
+    status = F.when(F.col("k") == 1, "failure: not found").when(F.col("k") == 2, "failure: no change").when(F.col("k") == 0, "success")
+    return a.select("traj", "seq", "step_idx", "label", F.col("k").isin(1, 2).alias("failed"), status.alias("edit_status"), F.concat(F.lit("f"), (F.col("event_id") % 3).cast("string")).alias("path"), (F.col("event_id") % 2).alias("old"), (F.floor(F.col("event_id") / 2).cast("long") % 2).alias("new"))
+
+
+def bare_pairs(spark, sf_dir):
+    """The exec graph over event types alone: five nodes a run, so that all its cycles can be listed."""
+    a = views.event_actions(spark, sf_dir).withColumn("label", F.col("event_type"))
+    return graph.exec_pairs(graph.edges(graph.node_occurrences(a.where("seq < 12"))))
+
+
+@query("q_phase_flow", BASE + "SELECT * FROM fl")
+def q_phase_flow(spark, sf_dir):
+    return flow_of(spark, sf_dir)
+
+
+@query("q_phases", BASE + "SELECT traj, seq, step_idx, label, phase FROM a")
+def q_phases(spark, sf_dir):
+    return views.event_actions(spark, sf_dir).select("traj", "seq", "step_idx", "label", "phase")
+
+
+@query("q_phase_runs", BASE + "SELECT traj, run_no, phase, abbr, len FROM r")
+def q_phase_runs(spark, sf_dir):
+    return runs_of(spark, sf_dir)
+
+
+@query("q_phase_strings", BASE + "SELECT traj, string_agg(abbr || '_' || CAST(len AS VARCHAR), ' ' ORDER BY run_no) AS runs, string_agg(repeat(abbr, CAST(len AS BIGINT)), '' ORDER BY run_no) AS letters FROM r GROUP BY traj")
+def q_phase_strings(spark, sf_dir):
+    return phases.phase_strings(runs_of(spark, sf_dir))
+
+
+@query("q_flow_shares", BASE + ", s AS (SELECT *, n / sum(n) OVER (PARTITION BY status, t) AS share FROM fl) SELECT status, t, src, dst, n, round(share, 6) AS share FROM s WHERE share >= 0.01")
+def q_flow_shares(spark, sf_dir):
+    return phases.flow_shares(flow_of(spark, sf_dir)).withColumn("share", F.round("share", 6))
+
+
+@query("q_flow_volumes", BASE + "SELECT status, t, node, CAST(sum(n) AS BIGINT) AS n FROM (SELECT status, t, src AS node, n FROM fl UNION ALL SELECT status, t + 1, dst, n FROM fl) GROUP BY ALL")
+def q_flow_volumes(spark, sf_dir):
+    return phases.flow_volumes(flow_of(spark, sf_dir))
+
+
+@query("q_state_flow", BASE + """, s0 AS (SELECT traj, seq, phase FROM a WHERE phase IN ('localization', 'patch', 'validation')),
+s1 AS (SELECT *, CASE WHEN phase = lag(phase) OVER (PARTITION BY traj ORDER BY seq) THEN 0 ELSE 1 END AS new FROM s0),
+s2 AS (SELECT traj, phase, row_number() OVER (PARTITION BY traj ORDER BY seq) - 1 AS step, lead(phase) OVER (PARTITION BY traj ORDER BY seq) AS next FROM s1 WHERE new = 1),
+s3 AS (SELECT step, phase AS state, next, count(*) AS n_next FROM s2 WHERE step < 8 GROUP BY ALL)
+SELECT step, state, next, n_next, n FROM (SELECT *, CAST(sum(n_next) OVER (PARTITION BY step, state) AS BIGINT) AS n FROM s3) WHERE n_next >= 2""")
+def q_state_flow(spark, sf_dir):
+    return phases.state_flow(views.event_actions(spark, sf_dir), ["localization", "patch", "validation"], 8, 2)
+
+
+@query("q_end_phases", BASE + """, g AS (SELECT traj, arg_min(phase, seq) AS first, arg_max(phase, seq) AS last FROM a WHERE phase <> 'general' GROUP BY traj)
+SELECT which, phase, count(*) FILTER (status = 'resolved') AS resolved, count(*) FILTER (status = 'unresolved') AS unresolved
+FROM (SELECT traj, 'first' AS which, first AS phase FROM g UNION ALL SELECT traj, 'last', last FROM g) JOIN st USING (traj) GROUP BY which, phase""")
+def q_end_phases(spark, sf_dir):
+    a = views.event_actions(spark, sf_dir)
+    return phases.end_phases(a, views.event_status(a))
+
+
+@query("q_transition_flags", BASE + """, t AS (SELECT traj, abbr || lead(abbr) OVER (PARTITION BY traj ORDER BY run_no) AS pair FROM r)
+SELECT traj, CAST(max(CASE WHEN pair = 'LV' THEN 1 ELSE 0 END) AS BIGINT) AS LV, CAST(max(CASE WHEN pair = 'PL' THEN 1 ELSE 0 END) AS BIGINT) AS PL,
+CAST(max(CASE WHEN pair = 'VL' THEN 1 ELSE 0 END) AS BIGINT) AS VL, CAST(max(CASE WHEN pair = 'VP' THEN 1 ELSE 0 END) AS BIGINT) AS VP FROM t GROUP BY traj""")
+def q_transition_flags(spark, sf_dir):
+    return phases.transition_flags(runs_of(spark, sf_dir))
+
+
+@query("q_step_phases", BASE + """, s AS (SELECT traj, step_idx, coalesce(arg_min(phase_class, seq) FILTER (phase_class <> 'general'), 'general') AS pc FROM a GROUP BY traj, step_idx)
+SELECT traj, step_idx, CASE WHEN pc = 'ctx' THEN CASE WHEN max(CASE WHEN pc = 'patch' THEN 1 ELSE 0 END) OVER (PARTITION BY traj ORDER BY step_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1 THEN 'validation' ELSE 'localization' END WHEN pc = 'loc' THEN 'localization' ELSE pc END AS phase FROM s""")
+def q_step_phases(spark, sf_dir):
+    return phases.step_phases(views.event_actions(spark, sf_dir))
+
+
+@query("q_nodes", BASE + "SELECT * FROM n")
+def q_nodes(spark, sf_dir):
+    return graph_of(spark, sf_dir)[1].drop("step_indices")
+
+
+@query("q_edges", BASE + "SELECT * FROM x")
+def q_edges(spark, sf_dir):
+    return graph_of(spark, sf_dir)[2]
+
+
+@query("q_exec_pairs", BASE + "SELECT DISTINCT traj, src, dst FROM x")
+def q_exec_pairs(spark, sf_dir):
+    return graph.exec_pairs(graph_of(spark, sf_dir)[2])
+
+
+@query("q_graph_metrics", BASE + """, m AS (SELECT traj, count(*) AS node_count, max(last_step) + 1 AS step_count, CAST(sum(n_occ) AS BIGINT) AS occurrences, count(*) FILTER (n_occ > 1) AS revisited_nodes,
+  arg_max(label, n_occ * 1000000 - node_ord) AS most_freq_node, max(n_occ) AS most_freq FROM n GROUP BY traj),
+b AS (SELECT x.traj, count(*) AS edge_count, count(DISTINCT src * 100000 + dst) AS pair_count, avg(CASE WHEN src = dst OR d.first_step < s.first_step THEN 1.0 ELSE 0.0 END) AS backedge_fraction
+  FROM x JOIN n s ON s.traj = x.traj AND s.node_ord = src JOIN n d ON d.traj = x.traj AND d.node_ord = dst GROUP BY x.traj)
+SELECT m.*, coalesce(edge_count, 0) AS edge_count, coalesce(pair_count, 0) AS pair_count, round(coalesce(backedge_fraction, 0), 6) AS backedge_fraction,
+  round(coalesce(pair_count, 0) / node_count, 6) AS avg_out_degree, occurrences - node_count AS deduplicated, round((occurrences - node_count) * 100.0 / occurrences, 6) AS dedup_pct FROM m LEFT JOIN b USING (traj)""")
+def q_graph_metrics(spark, sf_dir):
+    _, n, e = graph_of(spark, sf_dir)
+    return graph.graph_metrics(n, e).withColumns({c: F.round(F.col(c).cast("double"), 6) for c in ("backedge_fraction", "avg_out_degree", "dedup_pct")})
+
+
+@query("q_degrees", BASE + """SELECT traj, node_ord, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, count(DISTINCT t) AS exec_out, CAST(sum(d) AS BIGINT) AS degree
+FROM (SELECT traj, src AS node_ord, 0 AS i, 1 AS o, dst AS t, 1 AS d FROM x UNION ALL SELECT traj, dst, 1, 0, NULL, CASE WHEN src = dst THEN 0 ELSE 1 END FROM x) GROUP BY traj, node_ord""")
+def q_degrees(spark, sf_dir):
+    return graph.degrees(graph_of(spark, sf_dir)[2])
+
+
+@query("q_last_in_step", BASE + "SELECT traj, step_idx, max(seq) AS seq, arg_max(node_ord, seq) AS node_ord, arg_max(value, seq) AS value FROM o GROUP BY traj, step_idx")
+def q_last_in_step(spark, sf_dir):
+    return graph.last_in_step(graph_of(spark, sf_dir)[0]).select("traj", "step_idx", "seq", "node_ord", "value")
+
+
+@query("q_collapsed_edges", BASE + """, d AS (SELECT DISTINCT traj, src, dst, step_idx FROM x), i AS (SELECT *, step_idx - row_number() OVER (PARTITION BY traj, src, dst ORDER BY step_idx) AS isl FROM d)
+SELECT traj, src, dst, min(step_idx) AS from_step, max(step_idx) AS to_step, count(*) AS n FROM i GROUP BY traj, src, dst, isl""")
+def q_collapsed_edges(spark, sf_dir):
+    return graph.collapsed_edges(graph_of(spark, sf_dir)[2])
+
+
+@query("q_busy_edges", BASE + """, b AS (SELECT *, count(*) OVER (PARTITION BY traj, src) AS c FROM x WHERE NOT is_first_in_step)
+SELECT traj, src, dst, count(*) AS n, min(step_idx) AS first_step, max(step_idx) AS last_step FROM b WHERE c >= 3 GROUP BY traj, src, dst""")
+def q_busy_edges(spark, sf_dir):
+    return graph.busy_edges(graph_of(spark, sf_dir)[2], 3)
+
+
+@query("q_inner_edges", BASE + """, w AS (SELECT DISTINCT l.traj, l.node_ord AS src, m.node_ord AS dst FROM o l JOIN o m ON l.traj = m.traj AND l.step_idx = m.step_idx)
+SELECT x.*, w.src IS NOT NULL AND NOT is_first_in_step AS intra_step FROM x LEFT JOIN w ON x.traj = w.traj AND x.src = w.src AND x.dst = w.dst""")
+def q_inner_edges(spark, sf_dir):
+    o, _, e = graph_of(spark, sf_dir)
+    return graph.inner_edges(e, o)
+
+
+@query("q_localization", BASE + """, z AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY traj) AS c, lag(phase) OVER w AS b FROM a WINDOW w AS (PARTITION BY traj ORDER BY seq)),
+y AS (SELECT traj, count(*) FILTER (phase = 'localization') AS l, count(*) AS c, count(*) FILTER (phase = 'localization' AND (b IS NULL OR b <> 'localization')) AS loc_num_clusters,
+ count(*) FILTER (phase = 'localization' AND i < c // 3) AS e1, count(*) FILTER (phase = 'localization' AND i >= c // 3 AND i < 2 * c // 3) AS e2, count(*) FILTER (phase = 'localization' AND i >= 2 * c // 3) AS e3 FROM z GROUP BY traj)
+SELECT traj, round_even(l / c, 2) AS loc_focus_ratio, loc_num_clusters, CASE WHEN l = 0 THEN 'none' WHEN greatest(e1, e2, e3) / l < 0.5 THEN 'mixed' WHEN e1 = greatest(e1, e2, e3) THEN 'early' WHEN e2 = greatest(e1, e2, e3) THEN 'middle' ELSE 'late' END AS loc_dominant_zone FROM y""")
+def q_localization(spark, sf_dir):
+    return aggregates.localization_metrics(views.event_actions(spark, sf_dir))
+
+
+@query("q_patch_metrics", BASE + """SELECT traj, count(*) AS patch_total, count(*) FILTER (NOT failed) AS patch_success, count(*) FILTER (k = 1) AS fail_not_found, count(*) FILTER (k = 2) AS fail_no_change,
+ CAST(0 AS BIGINT) AS fail_multiple_occurrences, CAST(0 AS BIGINT) AS fail_unknown, CAST(0 AS BIGINT) AS fail_other FROM p GROUP BY traj""")
+def q_patch_metrics(spark, sf_dir):
+    return patches.patch_metrics(patches_of(spark, sf_dir))
+
+
+@query("q_fail_streaks", BASE + """, i AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY seq) - row_number() OVER (PARTITION BY traj, failed ORDER BY seq) AS isl FROM p),
+s AS (SELECT traj, isl, count(*) AS c FROM i WHERE failed GROUP BY traj, isl), t AS (SELECT traj, count(*) AS c, max(c) AS m, round_even(avg(c), 2) AS v FROM s GROUP BY traj)
+SELECT traj, coalesce(c, 0) AS fail_streak_count, coalesce(m, 0) AS fail_streak_max, coalesce(v, 0.0) AS fail_streak_avg FROM (SELECT DISTINCT traj FROM p) LEFT JOIN t USING (traj)""")
+def q_fail_streaks(spark, sf_dir):
+    return patches.streaks(patches_of(spark, sf_dir))
+
+
+@query("q_reversals", BASE + """, v AS (SELECT *, lag(path) OVER w AS lp, lag(old) OVER w AS lo, lag(new) OVER w AS ln, row_number() OVER (PARTITION BY traj, path, old, new ORDER BY seq) AS c FROM p WINDOW w AS (PARTITION BY traj ORDER BY seq)),
+ab AS (SELECT traj, bool_or(none) AS abandonment FROM (SELECT traj, path, bool_and(failed) AS none FROM p GROUP BY traj, path) GROUP BY traj)
+SELECT traj, bool_or(coalesce(lp = path AND lo = new AND ln = old, false)) AS flip_flop, bool_or(c > 1 AND failed) AS repeat_failed_edit, any_value(abandonment) AS abandonment FROM v JOIN ab USING (traj) GROUP BY traj""")
+def q_reversals(spark, sf_dir):
+    return patches.reversals(patches_of(spark, sf_dir))
+
+
+@query("q_recovery_patterns", BASE + """, en AS (SELECT traj, seq, step_idx, lag(failed) OVER w AS pf, lag(step_idx) OVER w AS ps, failed FROM p WINDOW w AS (PARTITION BY traj ORDER BY seq)),
+ee AS (SELECT traj, seq, step_idx, ps FROM en WHERE pf AND NOT failed), sp AS (SELECT traj, step_idx, arg_max(phase, seq) AS phase FROM a GROUP BY traj, step_idx),
+ii AS (SELECT ee.traj, ee.seq, sp.step_idx, sp.phase FROM ee JOIN sp ON sp.traj = ee.traj AND sp.step_idx > ee.ps AND sp.step_idx < ee.step_idx AND sp.phase <> 'patch'),
+jj AS (SELECT *, lag(phase) OVER (PARTITION BY traj, seq ORDER BY step_idx) AS b FROM ii),
+hh AS (SELECT ee.traj, ee.seq, coalesce(string_agg(jj.phase, '>' ORDER BY jj.step_idx), '') AS pattern FROM ee LEFT JOIN jj ON jj.traj = ee.traj AND jj.seq = ee.seq AND (b IS NULL OR b <> phase) GROUP BY ee.traj, ee.seq),
+cc AS (SELECT traj, pattern, count(*) AS n, min(seq) AS f FROM hh GROUP BY traj, pattern), rr AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY n DESC, f) AS q FROM cc)
+SELECT traj, pattern, n FROM rr WHERE q = 1""")
+def q_recovery_patterns(spark, sf_dir):
+    return patches.recovery_patterns(views.event_actions(spark, sf_dir), patches_of(spark, sf_dir))
+
+
+@query("q_overlap_regions", BASE + """, fg AS (SELECT traj, bool_or(phase = 'validation') AS validates, bool_or(event_type = 'error' AND k = 3) AS errs, bool_or(phase = 'patch' AND k = 1) AS retries FROM a GROUP BY traj),
+g AS (SELECT validates, errs, retries, count(*) AS n FROM fg GROUP BY ALL)
+SELECT concat_ws('+', CASE WHEN validates THEN 'validates' END, CASE WHEN errs THEN 'errs' END, CASE WHEN retries THEN 'retries' END) AS region, n, round_even(n * 100.0 / (SELECT sum(n) FROM g), 2) AS pct FROM g WHERE validates OR errs OR retries""")
+def q_overlap_regions(spark, sf_dir):
+    a = views.event_actions(spark, sf_dir)
+    flags = a.groupBy("traj").agg(F.bool_or(F.col("phase") == "validation").alias("validates"), F.bool_or((F.col("event_type") == "error") & (F.col("k") == 3)).alias("errs"), F.bool_or((F.col("phase") == "patch") & (F.col("k") == 1)).alias("retries"))
+    return patches.overlap_regions(flags, ["validates", "errs", "retries"]).withColumn("pct", F.col("pct").cast("double"))
+
+
+@query("q_spread", BASE + """, m AS (SELECT traj, count(*) AS nodes, CAST(sum(n_occ) AS BIGINT) AS occurrences FROM n GROUP BY traj), l AS (SELECT status, 'nodes' AS metric, CAST(nodes AS DOUBLE) AS v FROM m JOIN st USING (traj) UNION ALL SELECT status, 'occurrences', occurrences FROM m JOIN st USING (traj))
+SELECT status, metric, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, round(avg(v), 6) AS mean, round(CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(v) END, 6) AS std, count(*) AS n FROM l GROUP BY status, metric""")
+def q_spread(spark, sf_dir):
+    o, n, _ = graph_of(spark, sf_dir)
+    m = n.groupBy("traj").agg(F.count("*").alias("nodes"), F.sum("n_occ").alias("occurrences")).join(views.event_status(o), "traj")
+    return aggregates.spread(m, ["nodes", "occurrences"], ["status"]).withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+
+
+@query("q_listing", BASE + """, l AS (SELECT traj, max(step_idx) + 1 AS step_count, arg_min(label, seq) AS title FROM a GROUP BY traj) SELECT status, count(*) AS runs, min(step_count) AS least, max(step_count) AS most, round(avg(step_count), 6) AS mean, min(title) AS title FROM l JOIN st USING (traj) GROUP BY status""")
+def q_listing(spark, sf_dir):
+    a = views.event_actions(spark, sf_dir)
+    rows = a.groupBy("traj").agg((F.max("step_idx") + 1).alias("step_count"), F.min_by("label", "seq").alias("title")).join(views.event_status(a), "traj")
+    return rows.groupBy("status").agg(F.count("*").alias("runs"), F.min("step_count").alias("least"), F.max("step_count").alias("most"), F.round(F.avg("step_count"), 6).alias("mean"), F.min("title").alias("title"))
+
+
+@query("q_order_runs", """WITH c AS (SELECT o_custkey AS traj, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS seq, CASE o_orderstatus WHEN 'F' THEN 'loc' WHEN 'O' THEN 'ctx' WHEN 'P' THEN 'patch' ELSE 'general' END AS pc FROM orders),
+a AS (SELECT *, CASE WHEN pc = 'ctx' THEN CASE WHEN max(CASE WHEN pc = 'patch' THEN 1 ELSE 0 END) OVER (PARTITION BY traj ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1 THEN 'validation' ELSE 'localization' END WHEN pc = 'loc' THEN 'localization' ELSE pc END AS phase FROM c)
+SELECT phase, count(*) AS n, count(DISTINCT traj) AS runs FROM a GROUP BY phase""")
+def q_order_runs(spark, sf_dir):
+    return views.order_actions(spark, sf_dir).groupBy("phase").agg(F.count("*").alias("n"), F.countDistinct("traj").alias("runs"))
+
+
+@query("q_conversation_pairs", """WITH w AS (SELECT conv_id AS traj, turn, role, length(text) AS chars, lead(role) OVER v AS next_role, length(lead(text) OVER v) AS next_chars FROM conversations WINDOW v AS (PARTITION BY conv_id ORDER BY turn)) SELECT * FROM w""")
+def q_conversation_pairs(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = views.table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("traj"), "turn", "role", F.length("text").cast("long").alias("chars"), F.lead("role").over(w).alias("next_role"), F.length(F.lead("text").over(w)).cast("long").alias("next_chars"))
+
+
+@query("q_nested_ranges", """WITH r AS (SELECT DISTINCT l_orderkey AS path, l_linenumber AS node, CAST(l_linenumber AS BIGINT) AS lo, CAST(l_linenumber AS BIGINT) + CAST(floor(l_quantity / 10) AS BIGINT) AS hi FROM lineitem),
+i AS (SELECT o.path, o.node AS o_node, o.lo AS o_lo, o.hi AS o_hi, i.node AS i_node, i.lo AS i_lo, i.hi AS i_hi FROM r o JOIN r i ON o.path = i.path AND o.node <> i.node AND o.lo <= i.lo AND i.hi <= o.hi)
+SELECT CAST(path AS VARCHAR) AS path, o_lo, o_hi, i_lo, i_hi FROM i WHERE NOT EXISTS (SELECT 1 FROM r m WHERE m.path = i.path AND m.node <> o_node AND m.node <> i_node AND o_lo <= m.lo AND m.hi <= o_hi AND m.lo <= i_lo AND i_hi <= m.hi)""")
+def q_nested_ranges(spark, sf_dir):
+    r = views.line_ranges(spark, sf_dir).withColumn("node", F.col("seq"))
+    return containment.nested_ranges(r).select("path", "o_lo", "o_hi", "i_lo", "i_hi")
+
+
+@query("q_scrolls", """WITH r AS (SELECT l_orderkey % 64 AS traj, l_orderkey AS path, CAST(l_linenumber AS BIGINT) AS lo, CAST(l_linenumber AS BIGINT) + CAST(floor(l_quantity / 10) AS BIGINT) AS hi FROM lineitem),
+s AS (SELECT traj, coalesce(lo <= lag(hi) OVER (PARTITION BY traj, path ORDER BY lo, hi), false) AS s FROM r) SELECT traj, bool_or(s) AS scroll FROM s GROUP BY traj""")
+def q_scrolls(spark, sf_dir):
+    return containment.scrolls(views.line_ranges(spark, sf_dir))
+
+
+PATHS = """WITH u AS (SELECT page_id AS seq, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS traj, regexp_replace(regexp_extract(url, '^[a-z]+://([^/]*)(/[^?#]*)?', 2), '/+$', '') AS path FROM pages),
+d AS (SELECT DISTINCT traj, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM u WHERE path <> ''),
+px AS (SELECT traj, path, g.i AS depth, '/' || array_to_string(parts[1:g.i], '/') AS prefix FROM d, LATERAL (SELECT unnest(range(1, len(parts))) AS i) g)
+"""
+
+
+@query("q_closest_parents", PATHS + "SELECT px.traj, px.path AS child, arg_max(px.prefix, px.depth) AS parent FROM px JOIN d ON d.traj = px.traj AND d.path = px.prefix GROUP BY px.traj, px.path")
+def q_closest_parents(spark, sf_dir):
+    return containment.closest_parents(views.page_paths(spark, sf_dir))
+
+
+@query("q_footprint", PATHS + """, s AS (SELECT traj, path, seq AS step_idx, max(seq % 3) AS r FROM u WHERE path <> '' GROUP BY ALL), g AS (SELECT traj, path, min(step_idx) AS first_step, max(step_idx) AS last_step, count(*) FILTER (r = 0) AS seen, count(*) FILTER (r = 1) AS views, count(*) FILTER (r = 2) AS edits FROM s GROUP BY traj, path)
+SELECT *, row_number() OVER (PARTITION BY traj ORDER BY edits DESC, views DESC, first_step, path) AS rank FROM g""")
+def q_footprint(spark, sf_dir):
+    kind = F.when(F.col("seq") % 3 == 2, "edit").when(F.col("seq") % 3 == 1, "view").otherwise("seen")
+    return containment.footprint(views.page_paths(spark, sf_dir).where("path <> ''").withColumn("step_idx", F.col("seq")).withColumn("activity", kind))
+
+
+@query("q_directory_rollup", PATHS + """, s AS (SELECT traj, path, count(*) FILTER (seq % 3 = 1) AS views, count(*) FILTER (seq % 3 = 2) AS edits FROM u WHERE path <> '' GROUP BY ALL)
+SELECT px.traj, prefix, count(*) AS files, CAST(sum(views) AS BIGINT) AS views, CAST(sum(edits) AS BIGINT) AS edits FROM px JOIN s ON s.traj = px.traj AND s.path = px.path GROUP BY px.traj, prefix""")
+def q_directory_rollup(spark, sf_dir):
+    kind = F.when(F.col("seq") % 3 == 2, "edit").when(F.col("seq") % 3 == 1, "view").otherwise("seen")
+    return containment.directory_rollup(containment.footprint(views.page_paths(spark, sf_dir).where("path <> ''").withColumn("step_idx", F.col("seq")).withColumn("activity", kind)))
+
+
+BARE = """WITH RECURSIVE e AS (SELECT user_id AS traj, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events),
+f AS (SELECT *, min(seq) OVER (PARTITION BY traj, event_type) AS fs FROM e WHERE seq < 12), o AS (SELECT *, dense_rank() OVER (PARTITION BY traj ORDER BY fs) - 1 AS node FROM f),
+x AS (SELECT DISTINCT traj, src, dst FROM (SELECT traj, lag(node) OVER (PARTITION BY traj ORDER BY seq) AS src, node AS dst FROM o) WHERE src IS NOT NULL)"""
+
+
+@query("q_cycles", BARE + """, w AS (SELECT traj, src AS start, src AS cur, [src] AS seen FROM (SELECT DISTINCT traj, src FROM x)
+ UNION ALL SELECT w.traj, start, x.dst, list_append(seen, x.dst) FROM w JOIN x ON x.traj = w.traj AND x.src = w.cur WHERE x.dst > start AND NOT list_contains(seen, x.dst)),
+c AS (SELECT w.traj, len(seen) AS n FROM w JOIN x ON x.traj = w.traj AND x.src = w.cur AND x.dst = w.start)
+SELECT t.traj, count(n) AS loop_count, coalesce(min(n), 0) AS min_loop, coalesce(max(n), 0) AS max_loop, round(coalesce(avg(n), 0), 6) AS avg_loop, false AS truncated FROM (SELECT DISTINCT traj FROM x) t LEFT JOIN c ON c.traj = t.traj GROUP BY t.traj""")
+def q_cycles(spark, sf_dir):
+    return traversal.cycle_metrics(bare_pairs(spark, sf_dir)).withColumn("avg_loop", F.round("avg_loop", 6))
+
+
+@query("q_longest_path", BARE + """, w AS (SELECT traj, n AS cur, [n] AS seen FROM (SELECT DISTINCT traj, src AS n FROM x UNION SELECT traj, dst FROM x)
+ UNION ALL SELECT w.traj, x.dst, list_append(seen, x.dst) FROM w JOIN x ON x.traj = w.traj AND x.src = w.cur WHERE NOT list_contains(seen, x.dst))
+SELECT traj, max(len(seen)) - 1 AS longest_path, false AS truncated FROM w GROUP BY traj""")
+def q_longest_path(spark, sf_dir):
+    return traversal.longest_path(bare_pairs(spark, sf_dir))
+
+
+@query("q_loop_components", BARE + """, w AS (SELECT traj, src, dst FROM x UNION SELECT w.traj, w.src, x.dst FROM w JOIN x ON x.traj = w.traj AND x.src = w.dst),
+m AS (SELECT a.traj, a.src, min(a.dst) AS comp FROM w a JOIN w b ON a.traj = b.traj AND a.src = b.dst AND a.dst = b.src GROUP BY a.traj, a.src)
+SELECT t.traj, count(DISTINCT comp) AS loop_components, count(comp) AS loop_nodes FROM (SELECT DISTINCT traj FROM x) t LEFT JOIN m ON m.traj = t.traj GROUP BY t.traj""")
+def q_loop_components(spark, sf_dir):
+    return traversal.loop_components(bare_pairs(spark, sf_dir))
+
+
+@query("q_shortest_path", BARE + """, z AS (SELECT traj, max(node) AS last FROM o GROUP BY traj), w AS (SELECT traj, 0 AS far, CAST(0 AS BIGINT) AS node FROM z UNION SELECT w.traj, far + 1, x.dst FROM w JOIN x ON x.traj = w.traj AND x.src = w.node WHERE far < 6)
+SELECT z.traj, CAST(min(far) AS BIGINT) AS shortest FROM z LEFT JOIN w ON w.traj = z.traj AND w.node = z.last GROUP BY z.traj""")
+def q_shortest_path(spark, sf_dir):
+    a = views.event_actions(spark, sf_dir).withColumn("label", F.col("event_type")).where("seq < 12")
+    ends = graph.node_occurrences(a).groupBy("traj").agg(F.lit(0).cast("long").alias("start_node"), F.max("node_ord").alias("end_node"))
+    return traversal.shortest_paths(bare_pairs(spark, sf_dir), ends)
+
+
+def grouped_sequences(spark, sf_dir):
+    a = views.event_actions(spark, sf_dir)
+    return patterns.sequences(phases.phase_runs(a).where("run_no < 20"), views.event_status(a).withColumnRenamed("status", "grp"))
+
+
+SEQS = BASE + """, q AS (SELECT status AS grp, traj, run_no, abbr FROM r JOIN st USING (traj) WHERE run_no < 20), total AS (SELECT grp, count(DISTINCT traj) AS total FROM q GROUP BY grp),
+sl AS (SELECT DISTINCT b.grp, b.traj, string_agg(l.abbr, '' ORDER BY l.run_no) AS pattern FROM q b JOIN (SELECT unnest(range(1, 13)) AS n) g ON true JOIN q l ON l.traj = b.traj AND l.run_no >= b.run_no AND l.run_no < b.run_no + g.n GROUP BY b.grp, b.traj, b.run_no, g.n)
+"""
+
+
+@query("q_contiguous_patterns", SEQS + "SELECT grp, pattern, count(*) AS n, round(count(*) / any_value(total), 6) AS support FROM sl JOIN total USING (grp) GROUP BY grp, pattern HAVING count(*) / any_value(total) >= 0.3")
+def q_contiguous_patterns(spark, sf_dir):
+    return patterns.contiguous(grouped_sequences(spark, sf_dir)).withColumn("pattern", F.array_join("pattern", "")).withColumn("support", F.round("support", 6))
+
+
+@query("q_longest_patterns")
+def q_longest_patterns(spark, sf_dir):
+    seqs = grouped_sequences(spark, sf_dir)
+    return patterns.with_text(patterns.longest_patterns(seqs, patterns.contiguous(seqs)))
