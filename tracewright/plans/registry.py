@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewright.functions import text
 from tracewright.operators import aggregates, containment, graph, patches, patterns, phases, traversal
 from tracewright.sources import views
+from tracewright.streaming import sessions
 
 QUERIES = {}
 ORACLES = {}
@@ -363,3 +365,69 @@ def q_contiguous_patterns(spark, sf_dir):
 def q_longest_patterns(spark, sf_dir):
     seqs = grouped_sequences(spark, sf_dir)
     return patterns.with_text(patterns.longest_patterns(seqs, patterns.contiguous(seqs)))
+
+
+@query("q_start_end", BASE + """, ins AS (SELECT DISTINCT traj, dst AS node_ord FROM x), outs AS (SELECT DISTINCT traj, src AS node_ord FROM x),
+kn2 AS (SELECT n.traj, n.node_ord, first_step, last_step, ins.node_ord IS NOT NULL AS has_in, outs.node_ord IS NOT NULL AS has_out, CAST(n.node_ord AS VARCHAR) || ':' || label AS key
+ FROM n LEFT JOIN ins ON ins.traj = n.traj AND ins.node_ord = n.node_ord LEFT JOIN outs ON outs.traj = n.traj AND outs.node_ord = n.node_ord),
+ranked AS (SELECT traj, node_ord, row_number() OVER (PARTITION BY traj ORDER BY first_step, has_in, key) AS s, row_number() OVER (PARTITION BY traj ORDER BY last_step DESC, has_out, key DESC) AS e FROM kn2)
+SELECT traj, max(CASE WHEN s = 1 THEN node_ord END) AS start_node, max(CASE WHEN e = 1 THEN node_ord END) AS end_node FROM ranked GROUP BY traj""")
+def q_start_end(spark, sf_dir):
+    _, n, e = graph_of(spark, sf_dir)
+    return graph.start_end(n, graph.exec_pairs(e))
+
+
+@query("q_thought_lengths", r"""SELECT doc_id, length(text) AS raw, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', '', 'g'), '`[^`\n]*`', '', 'g'), '"[^"\n]*"', '', 'g'), '''[^''\n]*''', '', 'g')) AS clean FROM documents""")
+def q_thought_lengths(spark, sf_dir):
+    d = views.table(spark, sf_dir, "documents")
+    return d.select("doc_id", text.thought_length_raw(F.col("text")).alias("raw"), text.thought_length_clean(F.col("text")).alias("clean"))
+
+
+@query("q_outcomes", r"""SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'neutral'
+ WHEN regexp_matches(lower(text), 'traceback \(most recent call last\)|error:|exception:|failed|failure|assertion|syntaxerror|nameerror|typeerror') THEN 'failure'
+ WHEN regexp_matches(lower(text), 'success|passed|has been edited|created successfully') THEN 'success' ELSE 'neutral' END AS outcome FROM documents""")
+def q_outcomes(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    return views.table(spark, sf_dir, "documents").select("doc_id", text.observation_outcome(none, none, F.col("text")).alias("outcome"))
+
+
+def with_directories(paths):
+    """The paths and all their ancestors, so that there is a tree to walk."""
+    up = paths.select("traj", F.explode(containment.prefixes("path")).alias("p")).select("traj", F.col("p.prefix").alias("path"))
+    return paths.select("traj", "path").unionByName(up).distinct()
+
+
+def page_codes(spark, sf_dir):
+    hier = containment.closest_parents(with_directories(views.page_paths(spark, sf_dir))).select("traj", "parent", "child")
+    return hier, containment.hierarchy_codes(hier)
+
+
+TREE = PATHS + """, t AS (SELECT traj, path FROM d UNION SELECT traj, prefix FROM px),
+hp AS (SELECT traj, path AS child, regexp_replace(path, '/[^/]*$', '') AS parent FROM t WHERE regexp_replace(path, '/[^/]*$', '') <> '')
+"""
+
+
+@query("q_tree_parents", TREE + "SELECT traj, child, parent FROM hp")
+def q_tree_parents(spark, sf_dir):
+    return containment.closest_parents(with_directories(views.page_paths(spark, sf_dir)))
+
+
+@query("q_view_depths", TREE + """, nd AS (SELECT traj, parent AS node FROM hp UNION SELECT traj, child FROM hp), lv AS (SELECT traj, node, length(node) - length(replace(node, '/', '')) AS l FROM nd),
+lf AS (SELECT lv.traj, max(l) AS max_view_depth, round_even(avg(l), 2) AS avg_view_depth FROM lv WHERE NOT EXISTS (SELECT 1 FROM hp WHERE hp.traj = lv.traj AND hp.parent = lv.node) GROUP BY lv.traj),
+sp AS (SELECT traj, max(c) AS max_view_span, round_even(avg(c), 2) AS avg_view_span FROM (SELECT traj, l, count(*) AS c FROM lv GROUP BY traj, l) GROUP BY traj)
+SELECT lf.*, max_view_span, avg_view_span FROM lf JOIN sp ON sp.traj = lf.traj""")
+def q_view_depths(spark, sf_dir):
+    hier, codes = page_codes(spark, sf_dir)
+    return containment.view_depths(codes, hier)
+
+
+@query("q_stream_listing", "SELECT CAST(user_id AS VARCHAR) AS session, count(*) AS records, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us FROM events GROUP BY user_id")
+def q_stream_listing(spark, sf_dir):
+    """The listing as the stream leaves it, once all events are read."""
+    now = spark.read.parquet(f"{sf_dir}/events.parquet")
+    reader = spark.readStream.schema(now.schema)
+    one_file = now.inputFiles()[0].endswith("/events.parquet")
+    stream = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if one_file else reader.parquet(f"{sf_dir}/events.parquet")
+    rows = stream.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("label"))
+    out = sessions.drained(sessions.running_listing(rows))
+    return out.select("session", "records", F.unix_micros(F.col("last_ts").cast("timestamp")).alias("last_us"))
