@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +43,26 @@ def written(df: DataFrame, *, partition_by: tuple[str, ...] = (), compression: s
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def worker_cache(operator: str) -> dict:
+    """What a Python worker keeps between tasks of one operator.
+
+    Workers outlive stages, so a task of another operator first drops what the last one kept, and gives the memory
+    back to the system: an executor holds the caches of one operator, however many stages a session runs.
+    """
+    if operator not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other C libraries need not
+        if trim:
+            trim(0)
+        _KEPT[operator] = {}
+    return _KEPT[operator]
+
+
 def unclash(df: DataFrame, names: list[str]) -> DataFrame:
     """Columns that an operator adds win; columns of the input with such a name become in_<name>."""
     for name in names:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import total_bytes
+from tracewright.llm.common import total_bytes, worker_cache
 
 MATCHES = "doc_id long, item_id long, start int, length int, edits int"
 Q = 8
@@ -163,6 +163,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.08, segment
 
     def against(index) -> DataFrame:
         def find(batches):
+            worker_cache("decontamination")
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 out = [(ids[k], item, start, length, edits) for (k, item), (edits, start, length) in sorted(best_matches(index.value, batch.column(1).to_pylist()).items())]
@@ -181,6 +182,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.08
 
     def without(index):
         def keep(batches):
+            worker_cache("decontamination")
             for batch in batches:
                 found = {k for k, _ in best_matches(index.value, batch.column("text").to_pylist())}
                 yield batch.filter(pa.array([k not in found for k in range(batch.num_rows)], pa.bool_()))

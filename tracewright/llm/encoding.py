@@ -13,10 +13,11 @@ from array import array
 
 import numpy as np
 
+from tracewright.llm.common import worker_cache
+
 #: Units kept in memory by one Python worker; beyond it the memory starts anew.
 MEMO = 1_000_000
 _SAFE, _UNSAFE = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
-_OPEN: dict[str, Encoder] = {}
 
 
 class Encoder:
@@ -99,9 +100,10 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One for each worker and file, kept between tasks."""
-    if path not in _OPEN:
-        _OPEN[path] = Encoder(path)
-    return _OPEN[path]
+    own = worker_cache("encoding")
+    if path not in own:
+        own[path] = Encoder(path)
+    return own[path]
 
 
 def batches(texts: list, chars: int = 2_000_000):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import STEP, mixed, rolling, word_hashes, words, written
+from tracewright.llm.common import STEP, mixed, rolling, word_hashes, words, worker_cache, written
 
 SIGNED = "set_id long, signature binary, bands array<long>"
 
@@ -194,6 +194,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, b
     least = keep_from(threshold, tolerance, steps)
 
     def sign(batches):
+        worker_cache("nearjoin")
         a, b = permutations(values)
         weights = np.arange(3, 3 + 2 * rows, 2, dtype=np.uint64) * np.uint64(STEP)
         for batch in batches:
@@ -219,6 +220,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, b
         return np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, values)
 
     def bucket_edges(batches):
+        worker_cache("nearjoin")
         for table, groups in whole_groups(batches, ["band", "key", "lo", "hi"]):
             i, j = survivors(signatures(table), groups, table.column("own").to_numpy(), steps, least)
             kept, ids = forest(table.num_rows, i, j), table.column("set_id").to_numpy()
@@ -233,12 +235,14 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, b
     groups = components(edges)
 
     def read_sets(batches):
+        worker_cache("nearjoin")
         for batch in batches:
             sets = [shingle_set(t, size).tobytes() for t in batch.column("text").to_pylist()]
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, "shingles", pa.array(sets, pa.binary()))
 
     def links(batches):
+        worker_cache("nearjoin")
         for table, groups in whole_groups(batches, ["component", "lo", "hi"], 1000):
             ids, copies = table.column("set_id").to_numpy(), table.column("copies").to_numpy()
             sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
@@ -264,6 +268,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, b
     firsts = members.select(F.col("first_id").alias("doc_id"), "set_id").distinct()
 
     def own_text(batches):
+        worker_cache("nearjoin")
         for batch in batches:  # rows that share a doc_id may hold other texts
             yield batch.filter(pa.array([len(s := shingle_set(t, size)) > 0 and set_id(s) == k for t, k in zip(batch.column("text").to_pylist(), batch.column("set_id").to_pylist(), strict=True)], pa.bool_()))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import words, written
+from tracewright.llm.common import words, worker_cache, written
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct", "n_short_lines"]
@@ -67,6 +67,7 @@ def statistics(text: str | None) -> tuple[int, ...]:
 
 def counted(docs: DataFrame) -> DataFrame:
     def count(batches):
+        worker_cache("quality")
         for batch in batches:
             columns = list(zip(*[statistics(t) for t in batch.column(1).to_pylist()], strict=True)) or [[]] * len(COUNTS)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(list(c), pa.int64()) for c in columns]], ["doc_id", *COUNTS])
@@ -178,6 +179,7 @@ def judged(docs: DataFrame, labels: DataFrame, *, cut: float = 0.5, max_rows: in
     model = docs.sparkSession.sparkContext.broadcast(fitted(counts, labels, max_rows))
 
     def score(batches):
+        worker_cache("quality")
         for batch in batches:
             s = model.value.score(features({c: batch.column(c).to_numpy() for c in COUNTS}))
             yield batch.append_column("score", pa.array(s))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import parts_for, rolling, shared_dir, total_bytes, unclash, word_hashes, words, written
+from tracewright.llm.common import parts_for, rolling, shared_dir, total_bytes, unclash, word_hashes, words, worker_cache, written
 
 NO_DOC = np.iinfo(np.int64).max
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -79,6 +79,7 @@ def batched(docs: DataFrame, batch_bytes: int, n: int) -> DataFrame:
     spark = docs.sparkSession
 
     def pack(rows):
+        worker_cache("substring")
         k, part = 0, TaskContext.get().partitionId()
         for batch in rows:
             sizes = np.asarray([len(t or "") for t in batch.column("text").to_pylist()], np.int64)
@@ -113,6 +114,7 @@ def deduplicated(docs: DataFrame, *, window: int = 50, batch_bytes: int = 8_000_
         return [0, *np.searchsorted(x, np.asarray(edges, np.uint64)).tolist(), len(x)]
 
     def probe(rows):
+        worker_cache("substring")
         for batch in rows:
             for number, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 runs, blocks = [], []
@@ -152,6 +154,7 @@ def deduplicated(docs: DataFrame, *, window: int = 50, batch_bytes: int = 8_000_
         return np.flatnonzero(steps.cumsum()[: len(h) - window + 1] > 0)
 
     def grow(rows):
+        worker_cache("substring")
         for batch in rows:
             for number, blob, replies in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 known, hashes, owners = np.sort(np.concatenate([unsqueeze(b) for b in replies])), [], []
@@ -196,6 +199,7 @@ def deduplicated(docs: DataFrame, *, window: int = 50, batch_bytes: int = 8_000_
     firsts = written(windows.groupBy("range").applyInPandas(earliest, "batch long, x binary, least binary").groupBy("batch").agg(F.collect_list("x").alias("x"), F.collect_list("least").alias("least")), compression="none")
 
     def cut(rows):
+        worker_cache("substring")
         for batch in rows:
             for blob, xs, leasts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 table = opened(blob)

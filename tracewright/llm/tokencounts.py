@@ -20,8 +20,9 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tracewright.llm.common import worker_cache
+
 MARK, MEMO, UNKNOWN_PENALTY = "▁", 600_000, 10.0
-_OPEN: dict[str, Counter] = {}
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -73,9 +74,10 @@ class Counter:
 
 
 def counter(path: str) -> Counter:
-    if path not in _OPEN:
-        _OPEN[path] = Counter(vocabulary(path))
-    return _OPEN[path]
+    own = worker_cache("tokencounts")
+    if path not in own:
+        own[path] = Counter(vocabulary(path))
+    return own[path]
 
 
 def token_counts(docs: DataFrame, vocab: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import rolling, word_hashes, words, written
+from tracewright.llm.common import rolling, word_hashes, words, worker_cache, written
 
 EDGE = ".,;:!?\"'()[]{}*#|<>-_/\\&%$"
 MEMO = 400_000
@@ -161,6 +161,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, evidence: float, m
     known = known.orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id").limit(max_rows)
 
     def keyed(batches):
+        worker_cache("toxicity")
         for batch in batches:
             keys = []
             for text in batch.column("text").to_pylist():
@@ -173,6 +174,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, evidence: float, m
     training = written(sample.groupBy("key").agg(F.min(F.struct("doc_id", "text", "toxic")).alias("own")).select("own.*"))
 
     def distinct_terms(batches):
+        worker_cache("toxicity")
         known: dict[bytes, list[str]] = {}
         found: dict[str, list[int]] = {}
 
@@ -209,6 +211,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, evidence: float, m
         vocabulary = sorted(r["term"] for r in chosen.select("term").collect())
 
     def frequencies(batches):
+        worker_cache("toxicity")
         read, n = Terms(vocabulary), np.zeros(len(vocabulary), np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -231,6 +234,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, evidence: float, m
 
 def _only(vocabulary: list[str]):
     def cut(batches):
+        worker_cache("toxicity")
         read = Terms(vocabulary)
         for batch in batches:
             texts = [read.only(t) for t in batch.column("text").to_pylist()]
@@ -244,6 +248,7 @@ def scored(docs: DataFrame, labels: DataFrame, *, folds: int = 5, evidence: floa
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, folds=folds, evidence=evidence, max_rows=max_rows, k=k))
 
     def score(batches):
+        worker_cache("toxicity")
         own = model.value
         read = Terms(own.vocabulary)
         for batch in batches:
@@ -260,6 +265,7 @@ def clean(docs: DataFrame, labels: DataFrame, *, cut: float = 0.5, folds: int =
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, folds=folds, evidence=evidence, max_rows=max_rows, k=k))
 
     def keep(batches):
+        worker_cache("toxicity")
         own = model.value
         read = Terms(own.vocabulary)
         for batch in batches:
