@@ -98,3 +98,15 @@ def directory_rollup(footprints: DataFrame) -> DataFrame:
     """traj, prefix, files, views, edits for every ancestor directory."""
     up = footprints.select("traj", "views", "edits", F.explode(prefixes("path")).alias("p"))
     return up.groupBy("traj", F.col("p.prefix").alias("prefix")).agg(F.count("*").alias("files"), F.sum("views").alias("views"), F.sum("edits").alias("edits"))
+
+
+def attached_ranges(ranges: DataFrame, nested: DataFrame, views: DataFrame) -> DataFrame:
+    """traj, path, lo, hi, parent: ranges within no other one, below the last whole view of their file, else below that
+    of the deepest directory viewed. ranges and nested as for nested_ranges; views: traj, path, node."""
+    whole = views.groupBy("traj", "path").agg(F.max("node").alias("parent"))
+    inner = nested.select("traj", "path", F.col("i_node").alias("node")).distinct()
+    outer = ranges.select("traj", "path", "node", "lo", "hi").distinct().join(inner, ["traj", "path", "node"], "left_anti")
+    up = outer.select("traj", "path").distinct().select("traj", F.col("path").alias("file"), F.explode(prefixes("path")).alias("p")).select("traj", "file", F.col("p.prefix").alias("path"), F.col("p.depth").alias("depth"))
+    above = up.join(whole, ["traj", "path"]).groupBy("traj", F.col("file").alias("path")).agg(F.max_by("parent", "depth").alias("_above"))
+    out = outer.join(whole, ["traj", "path"], "left").join(above, ["traj", "path"], "left")
+    return out.select("traj", "path", "lo", "hi", F.coalesce("parent", "_above").alias("parent"))

@@ -104,3 +104,19 @@ def start_end(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     start = F.min(F.struct("first_step", F.coalesce("_in", F.lit(0)), "_k", "node_ord"))["node_ord"]
     end = F.max(F.struct("last_step", 1 - F.coalesce("_out", F.lit(0)), "_k", "node_ord"))["node_ord"]
     return n.groupBy("traj").agg(start.alias("start_node"), end.alias("end_node"))
+
+
+def continuations(occurrences: DataFrame, edges: DataFrame, thoughts: DataFrame) -> DataFrame:
+    """traj, step_idx, src, dst: steps whose thought holds the step before's whole thought, where an edge leads from
+    the first node of that step to theirs. thoughts: traj, step_idx, thought."""
+    first = occurrences.groupBy("traj", "step_idx").agg(F.min_by("node_ord", "seq").alias("dst"))
+    w = Window.partitionBy("traj").orderBy("step_idx")
+    told = first.join(thoughts, ["traj", "step_idx"], "left").withColumn("src", F.lag("dst").over(w)).withColumn("_before", F.lag("thought").over(w))
+    held = told.where("_before <> '' and contains(thought, _before)").select("traj", "step_idx", "src", "dst")
+    return held.join(exec_pairs(edges), ["traj", "src", "dst"], "left_semi")
+
+
+def localization_repeats(occurrences: DataFrame) -> DataFrame:
+    """traj, loc_avg_node_freq, repeated_view: how often localization comes to a node, and whether twice to one."""
+    visits = occurrences.where("phase = 'localization'").groupBy("traj", "node_ord").agg(F.count("*").alias("n"))
+    return visits.groupBy("traj").agg(F.avg("n").alias("loc_avg_node_freq"), F.bool_or(F.col("n") > 1).alias("repeated_view"))

@@ -431,3 +431,16 @@ def q_stream_listing(spark, sf_dir):
     rows = stream.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("label"))
     out = sessions.drained(sessions.running_listing(rows))
     return out.select("session", "records", F.unix_micros(F.col("last_ts").cast("timestamp")).alias("last_us"))
+
+
+@query("q_localization_repeats", BASE + ", v AS (SELECT traj, node_ord, count(*) AS c FROM o WHERE phase = 'localization' GROUP BY traj, node_ord) SELECT traj, round(avg(c), 6) AS loc_avg_node_freq, bool_or(c > 1) AS repeated_view FROM v GROUP BY traj")
+def q_localization_repeats(spark, sf_dir):
+    return graph.localization_repeats(graph_of(spark, sf_dir)[0]).withColumn("loc_avg_node_freq", F.round("loc_avg_node_freq", 6))
+
+
+@query("q_continuations", BASE + """, th AS (SELECT traj, step_idx, arg_min(event_type, seq) AS thought, arg_min(node_ord, seq) AS dst FROM o GROUP BY traj, step_idx),
+pv AS (SELECT *, lag(dst) OVER w AS src, lag(thought) OVER w AS b FROM th WINDOW w AS (PARTITION BY traj ORDER BY step_idx))
+SELECT traj, step_idx, src, dst FROM pv WHERE contains(thought, b) AND EXISTS (SELECT 1 FROM x WHERE x.traj = pv.traj AND x.src = pv.src AND x.dst = pv.dst)""")
+def q_continuations(spark, sf_dir):
+    o, _, e = graph_of(spark, sf_dir)
+    return graph.continuations(o, e, o.groupBy("traj", "step_idx").agg(F.min_by("event_type", "seq").alias("thought")))
