@@ -53,6 +53,13 @@ def test_ranges(spark):
     assert s((1, 10), (10, 20)) is True and s((1, 10), (11, 20)) is False
 
 
+def test_attached_ranges(spark):
+    r = spark.createDataFrame([("t", "/a/b.py", 1, 1, 9), ("t", "/a/b.py", 2, 2, 3), ("t", "/a/c.py", 3, 5, 6), ("t", "/z.py", 4, 1, 2)], "traj string, path string, node long, lo long, hi long")
+    views = spark.createDataFrame([("t", "/a", 0), ("t", "/a/b.py", 5), ("t", "/a/b.py", 7)], "traj string, path string, node long")
+    got = containment.attached_ranges(r, containment.nested_ranges(r), views).collect()
+    assert {(x.path, x.lo, x.parent) for x in got} == {("/a/b.py", 1, 7), ("/a/c.py", 5, 0), ("/z.py", 1, None)}
+
+
 def test_tree(spark):
     p = spark.createDataFrame([("t", x) for x in ("/a", "/a/b/c.py", "/a/b/d/e.py", "/a/b")], "traj string, path string")
     assert {(r.child, r.parent) for r in containment.closest_parents(p).collect()} == {("/a/b", "/a"), ("/a/b/c.py", "/a/b"), ("/a/b/d/e.py", "/a/b")}
