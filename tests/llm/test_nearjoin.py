@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import fixtures
@@ -73,3 +74,21 @@ def test_one_of_each(spark):
     rows = near_rows()
     kept = nearjoin.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c, _ in brute(rows).values()})
+
+
+def test_ranges_of_hashes_and_small_tables_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, 300, np.uint64) * np.uint64(2))[:200] for _ in range(6)]
+    sets = [np.union1d(sets[k % 6], sets[(k * 5 + 1) % 6][: k * 3]) for k in range(40)]
+    i, j = np.triu_indices(40, 1)
+    exact = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+    for hashes in (1 << 20, 64):
+        monkeypatch.setattr(nearjoin, "HASHES", hashes)
+        assert nearjoin.intersections(sets, i, j).tolist() == exact
+        assert len(nearjoin.forest(40, i, j)) == 39
+    monkeypatch.setattr(nearjoin, "PAIRS", 30)
+    keys = np.repeat(np.arange(9), [1, 2, 3, 9, 1, 1, 5, 2, 4])
+    batches = [pa.RecordBatch.from_arrays([pa.array(part)], ["k"]) for part in np.array_split(keys, 5)]
+    for rows in (1, 4, 100):
+        seen = [table.slice(a, b - a).column("k").to_pylist() for table, runs in nearjoin.whole_groups(batches, ["k"], rows) for a, b in runs]
+        assert seen == [[k] * n for k, n in enumerate([1, 2, 3, 9, 1, 1, 5, 2, 4])]

@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import STEP, mixed, rolling, word_hashes, words, worker_cache, written
 
-SIGNED = "set_id long, signature binary, bands array<long>"
+SIGNED = "set_id long, n_shingles long, signature binary, bands array<long>"
+#: Bounds of what a task holds at a time: pairs compared, shingles of two blocks, hashes sorted together.
+PAIRS, SHINGLES, HASHES = 1 << 21, 4_000_000, 1 << 20
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -77,8 +79,18 @@ def survivors(sig: np.ndarray, groups: list[tuple[int, int]], own: np.ndarray, s
     A group with members of two blocks compares each of the one with each of the other.
     """
     small = np.zeros(len(sig) + 1, np.int64)  # where the small group of a row ends
-    found_i, found_j, counts = [], [], []
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     longest = 0
+
+    def refine(i: np.ndarray, j: np.ndarray, equal: np.ndarray) -> None:
+        for start in range(0, len(i), HASHES // 8):
+            a, b, count = (v[start : start + HASHES // 8] for v in (i, j, equal.astype(np.int32)))
+            for at, upto, need in zip(steps, steps[1:], least[1:], strict=False):
+                count = count + (sig[a, at:upto] == sig[b, at:upto]).sum(1, dtype=np.int32)
+                stay = count >= need
+                a, b, count = a[stay], b[stay], count[stay]
+            found.append((a, b))
+
     for start, end in groups:
         if end - start <= 24 and own[start:end].min() == own[start:end].max():
             small[start:end] = end
@@ -92,39 +104,42 @@ def survivors(sig: np.ndarray, groups: list[tuple[int, int]], own: np.ndarray, s
             equal += sig[x, k, None] == sig[None, y, k]
         stay = equal >= least[0]
         i, j = np.nonzero(stay if two.any() else np.triu(stay, 1))
-        found_i.append(x[i])
-        found_j.append(y[j])
-        counts.append(equal[i, j].astype(np.int32))
+        refine(x[i], y[j], equal[i, j])
     for gap in range(1, longest):
         i = np.flatnonzero(small[:-1] > np.arange(len(sig)) + gap)
         equal = (sig[i, : steps[0]] == sig[i + gap, : steps[0]]).sum(1)
         i, equal = i[equal >= least[0]], equal[equal >= least[0]]
-        found_i.append(i)
-        found_j.append(i + gap)
-        counts.append(equal.astype(np.int32))
-    if not found_i:
+        refine(i, i + gap, equal)
+    if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    i, j, count = np.concatenate(found_i), np.concatenate(found_j), np.concatenate(counts)
-    for at, upto, need in zip(steps, steps[1:], least[1:], strict=False):
-        count += (sig[i, at:upto] == sig[j, at:upto]).sum(1, dtype=np.int32)
-        stay = count >= need
-        i, j, count = i[stay], j[stay], count[stay]
+    i, j = (np.concatenate(v) for v in zip(*found, strict=True))
     return i, j
 
 
-def whole_groups(batches, keys: list[str], rows: int = 4000):
-    """Tables of whole groups, and the runs of their rows, from batches sorted by the keys."""
+def whole_groups(batches, keys: list[str], rows: int = 4000, size: int = 32_000_000):
+    """Tables of whole groups, and the runs of their rows, from batches sorted by the keys. A table has one group, or
+    more while they stay below `rows` and PAIRS."""
+
+    def tables(table: pa.Table, runs: list[tuple[int, int]]):
+        first = pairs = 0
+        for k, (start, end) in enumerate(runs):
+            pairs += (end - start) ** 2
+            if k + 1 == len(runs) or end - runs[first][0] >= rows or pairs + (runs[k + 1][1] - end) ** 2 > PAIRS:
+                base = runs[first][0]
+                yield table.slice(base, end - base), [(x - base, y - base) for x, y in runs[first : k + 1]]
+                first, pairs = k + 1, 0
+
     kept: pa.Table | None = None
     for batch in batches:
         now = pa.Table.from_batches([batch])
         kept = now if kept is None else pa.concat_tables([kept, now])
-        if kept.num_rows >= rows:
+        if kept.num_rows >= rows or kept.nbytes >= size:
             runs = runs_of(kept, keys)
             if len(runs) > 1:
-                yield kept.slice(0, runs[-1][0]), runs[:-1]
+                yield from tables(kept, runs[:-1])
                 kept = kept.slice(runs[-1][0])
     if kept is not None and kept.num_rows:
-        yield kept, runs_of(kept, keys)
+        yield from tables(kept, runs_of(kept, keys))
 
 
 def runs_of(table: pa.Table, keys: list[str]) -> list[tuple[int, int]]:
@@ -147,18 +162,22 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
             x = parent[x]
         return x
 
-    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            kept.append(k)
+    for start in range(0, len(i), HASHES // 8):
+        for k, (x, y) in enumerate(zip(i[start : start + HASHES // 8].tolist(), j[start : start + HASHES // 8].tolist(), strict=True), start):
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                kept.append(k)
     return kept
 
 
 def in_blocks(rows: DataFrame, sizes: DataFrame, key: list[str], member: str, block: int) -> DataFrame:
-    """Rows whose key is among `sizes` (with its members counted in _m), once for each pair of blocks that they meet
-    in (columns lo, hi, own)."""
-    sizes = sizes.withColumn("_blocks", F.when(F.col("_m") <= block, 1).otherwise(F.ceil(F.col("_m") * 1.25 / block)).cast("int"))
+    """Rows whose key is among `sizes` (with its members counted in _m, their shingles in _s if these are held), once
+    for each pair of blocks that they meet in (columns lo, hi, own)."""
+    blocks = F.when(F.col("_m") <= block, 1).otherwise(F.ceil(F.col("_m") * 1.25 / block)).cast("int")
+    if "_s" in sizes.columns:  # no more blocks than members: a single text is not cut
+        blocks = F.greatest(blocks, F.least("_m", F.ceil(F.col("_s") * 2 / SHINGLES)).cast("int"))
+    sizes = sizes.withColumn("_blocks", blocks).drop("_s")
     dealt = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64(F.lit(5), member), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return dealt.withColumn("lo", F.least("own", "_other")).withColumn("hi", F.greatest("own", "_other")).drop("_m", "_blocks", "_other")
@@ -198,23 +217,25 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, b
         a, b = permutations(values)
         weights = np.arange(3, 3 + 2 * rows, 2, dtype=np.uint64) * np.uint64(STEP)
         for batch in batches:
-            ids, sets, signs, keys = batch.column(0).to_pylist(), [], [], []
+            ids, sets, sizes, signs, keys = batch.column(0).to_pylist(), [], [], [], []
             for doc_id, text in zip(ids, batch.column(1).to_pylist(), strict=True):
                 s = shingle_set(text, size)
                 if not len(s) or doc_id is None:
                     sets.append(None)
+                    sizes.append(None)
                     signs.append(None)
                     keys.append(None)
                     continue
                 sig = signature(s, a, b)
                 sets.append(set_id(s))
+                sizes.append(len(s))
                 signs.append(sig.tobytes())
                 keys.append(mixed(mixed((sig.reshape(bands, rows).astype(np.uint64) + np.uint64(1)) * weights).sum(1, dtype=np.uint64)).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.int64()), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "set_id", "signature", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "set_id", "n_shingles", "signature", "bands"])
 
     signed = written(docs.select("doc_id", "text").mapInArrow(sign, f"doc_id long, {SIGNED}"))
     # A class of equal sets: its least doc_id, how many rows, and one signature.
-    classes = written(signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
+    classes = written(signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
 
     def signatures(table) -> np.ndarray:
         return np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, values)
@@ -263,8 +284,9 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, b
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ((ids[at], ids[i[kept]]), (ids[at], ids[j[kept]]), (n[at], np.zeros(len(kept), np.int64)))], ["a", "b", "n"])
 
     # One text for each class in a component; the sets are made anew from it.
-    sizes = groups.groupBy("component").agg(F.count("*").alias("_m"))
-    members = written(in_blocks(groups.withColumnRenamed("node", "set_id"), sizes, ["component"], "set_id", block).join(classes.select("set_id", "first_id", "copies", "signature"), "set_id"))
+    known = written(groups.withColumnRenamed("node", "set_id").join(classes.select("set_id", "first_id", "copies", "n_shingles", "signature"), "set_id"))
+    sizes = known.groupBy("component").agg(F.count("*").alias("_m"), F.sum("n_shingles").alias("_s"))
+    members = written(in_blocks(known.drop("n_shingles"), sizes, ["component"], "set_id", block))
     firsts = members.select(F.col("first_id").alias("doc_id"), "set_id").distinct()
 
     def own_text(batches):
@@ -288,17 +310,24 @@ def intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, columns:
     """|set i & set j| for each pair: one by one if few, else as products of 0/1 blocks over the shingles in use."""
     if len(i) <= 4 * len(sets):
         return np.asarray([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column = np.unique(flat, return_inverse=True)
     total = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    for start in range(0, int(column[-1]) + 1, columns):
-        lo, hi = np.searchsorted(column, (start, start + columns))
-        part = np.zeros((len(sets), columns), np.float32)
-        part[owner[lo:hi], column[lo:hi] - start] = 1
-        total += part @ part.T
+    # Hashes are uniform, so ranges of them hold about equally many.
+    ranges = math.ceil(sum(map(len, sets)) / HASHES)
+    edges = np.asarray([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
+    cuts = [[0, *np.searchsorted(s, edges).tolist(), len(s)] for s in sets]
+    for r in range(ranges):
+        flat = np.concatenate([s[c[r] : c[r + 1]] for s, c in zip(sets, cuts, strict=True)])
+        if not len(flat):
+            continue
+        owner = np.repeat(np.arange(len(sets)), [c[r + 1] - c[r] for c in cuts])
+        _, column = np.unique(flat, return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for start in range(0, int(column[-1]) + 1, columns):
+            lo, hi = np.searchsorted(column, (start, start + columns))
+            part = np.zeros((len(sets), columns), np.float32)
+            part[owner[lo:hi], column[lo:hi] - start] = 1
+            total += part @ part.T
     return total[i, j].astype(np.int64)
 
 
