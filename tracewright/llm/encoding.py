@@ -15,9 +15,8 @@ import numpy as np
 
 from tracewright.llm.common import worker_cache
 
-#: Units kept in memory by one Python worker, in two halves: when the newer is full, it replaces the older, from which
-#: units still in use come back.
-MEMO = 500_000
+#: Units kept in memory by one Python worker; beyond it the memory starts anew.
+MEMO = 1_000_000
 _SAFE, _UNSAFE = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
 
 
@@ -32,7 +31,6 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_blanks = "Removed" in str(self.tokenizer.pre_tokenizer)
         self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
 
     def _each(self, units: list[str]) -> list[bytes]:
         fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -87,14 +85,12 @@ class Encoder:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         split = [self._units(t or "") for t in texts]
-        if len(self.memo) > MEMO // 2:
-            self.memo, self.older = {}, self.memo
+        if len(self.memo) > MEMO:
+            self.memo.clear()
         get = self.memo.__getitem__
         skip = 0 if self.drops_blanks else 1
-        new = set().union(*[u[skip:] for u in split]).difference(self.memo)
-        back = new.intersection(self.older)
-        self.memo.update((u, self.older[u]) for u in back)
-        self._learn(list(new - back))
+        seen = set().union(*[u[skip:] for u in split])
+        self._learn([u for u in seen if u not in self.memo])
         if not skip:
             return [b"".join(map(get, u)) for u in split]
         begun = list({u[0] for u in split})
