@@ -74,7 +74,7 @@ def patches_of(spark, sf_dir):
 def bare_pairs(spark, sf_dir):
     """The exec graph over event types alone: five nodes a run, so that all its cycles can be listed."""
     a = views.event_actions(spark, sf_dir).withColumn("label", F.col("event_type"))
-    return graph.exec_pairs(graph.edges(graph.node_occurrences(a.where("seq < 12"))))
+    return graph.exec_pairs(graph.edges(graph.node_occurrences(a)))
 
 
 @query("q_phase_flow", BASE + "SELECT * FROM fl")
@@ -341,7 +341,7 @@ def q_loop_components(spark, sf_dir):
 @query("q_shortest_path", BARE + """, z AS (SELECT traj, max(node) AS last FROM o GROUP BY traj), w AS (SELECT traj, 0 AS far, CAST(0 AS BIGINT) AS node FROM z UNION SELECT w.traj, far + 1, x.dst FROM w JOIN x ON x.traj = w.traj AND x.src = w.node WHERE far < 6)
 SELECT z.traj, CAST(min(far) AS BIGINT) AS shortest FROM z LEFT JOIN w ON w.traj = z.traj AND w.node = z.last GROUP BY z.traj""")
 def q_shortest_path(spark, sf_dir):
-    a = views.event_actions(spark, sf_dir).withColumn("label", F.col("event_type")).where("seq < 12")
+    a = views.event_actions(spark, sf_dir).withColumn("label", F.col("event_type"))
     ends = graph.node_occurrences(a).groupBy("traj").agg(F.lit(0).cast("long").alias("start_node"), F.max("node_ord").alias("end_node"))
     return traversal.shortest_paths(bare_pairs(spark, sf_dir), ends)
 
