@@ -12,13 +12,24 @@ def sequences(runs: DataFrame, groups: DataFrame) -> DataFrame:
     return runs.join(groups, "traj").groupBy("grp", "traj").agg(parts.alias("_p")).select("grp", "traj", F.transform("_p", lambda p: p["abbr"]).alias("seq"), F.transform("_p", lambda p: p["len"]).alias("lens"))
 
 
-def contiguous(seqs: DataFrame, support: float = 0.3, max_len: int = 12) -> DataFrame:
-    """grp, pattern, n, support: contiguous slices that enough of a group's runs have."""
-    size = F.size("seq")
-    slices = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(size - i + 1, F.lit(max_len))), lambda n: F.slice("seq", i, n))))
-    total = seqs.groupBy("grp").agg(F.count("*").alias("_total"))
-    counted = seqs.select("grp", F.explode(F.array_distinct(slices)).alias("pattern")).groupBy("grp", "pattern").agg(F.count("*").alias("n"))
-    return counted.join(F.broadcast(total), "grp").withColumn("support", F.col("n") / F.col("_total")).where(F.col("support") >= support).drop("_total")
+def contiguous(seqs: DataFrame, support: float = 0.3, first_len: int = 12) -> DataFrame:
+    """grp, pattern, n, support: contiguous slices that enough of a group's runs have.
+
+    Slices of a frequent slice are frequent, so where none of the greatest length counted is frequent, no longer one is;
+    until then that length, `first_len` at first, doubles.
+    """
+    size, total = F.size("seq"), seqs.groupBy("grp").agg(F.count("*").alias("_total"))
+
+    def upto(longest: int) -> DataFrame:
+        slices = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(size - i + 1, F.lit(longest))), lambda n: F.slice("seq", i, n))))
+        counted = seqs.select("grp", F.explode(F.array_distinct(slices)).alias("pattern")).groupBy("grp", "pattern").agg(F.count("*").alias("n"))
+        return counted.join(F.broadcast(total), "grp").withColumn("support", F.col("n") / F.col("_total")).where(F.col("support") >= support).drop("_total")
+
+    found = upto(first_len)
+    while not found.where(F.size("pattern") >= first_len).isEmpty():
+        first_len *= 2
+        found = upto(first_len)
+    return found
 
 
 def greedy_match(pattern: Column, seq: Column) -> Column:

@@ -348,7 +348,7 @@ def q_shortest_path(spark, sf_dir):
 
 def grouped_sequences(spark, sf_dir):
     a = views.event_actions(spark, sf_dir)
-    return patterns.sequences(phases.phase_runs(a).where("run_no < 20"), views.event_status(a).withColumnRenamed("status", "grp"))
+    return patterns.sequences(phases.phase_runs(a), views.event_status(a).withColumnRenamed("status", "grp"))
 
 
 SEQS = BASE + """, q AS (SELECT status AS grp, traj, run_no, abbr FROM r JOIN st USING (traj) WHERE run_no < 20), total AS (SELECT grp, count(DISTINCT traj) AS total FROM q GROUP BY grp),
