@@ -268,7 +268,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, b
             ids, copies = table.column("set_id").to_numpy(), table.column("copies").to_numpy()
             sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
             sizes = np.asarray([len(s) for s in sets])
-            i, j = survivors(signatures(table), groups, table.column("own").to_numpy(), steps, least)
+            own, lo, hi = (table.column(c).to_numpy() for c in ("own", "lo", "hi"))
+            # Where one of two blocks is empty, the other's members meet in a group of their own.
+            groups = [(a, b) for a, b in groups if lo[a] == hi[a] or own[a:b].min() < own[a:b].max()]
+            i, j = survivors(signatures(table), groups, own, steps, least)
             common = np.zeros(len(i), np.int64)
             group = np.searchsorted([g[1] for g in groups], i, "right")
             for g in np.unique(group):
