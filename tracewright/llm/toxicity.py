@@ -1,24 +1,23 @@
-"""Toxicity: the nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index.
+"""Toxicity: the nearest labelled examples by exact TF-IDF cosine, found in an inverted index.
 
-At most `max_rows` labelled rows, those with the least hash of doc_id, train and are the examples; of near copies one
-counts. Terms are words in lower case and their beginnings of four and five letters. The vocabulary is the terms that toxic
-examples have more often, with a log-likelihood ratio of `evidence` or more; document frequencies are counted over all
-documents. The index keeps, for each term and block of examples, the largest weight; a query visits
-blocks from the highest bound down and stops when no bound reaches its k-th best, so the k nearest are exact (ties: the
-smaller doc_id). Votes weighted by closeness give a raw score, which an isotonic fit on the examples (each scored without itself) makes
-a probability. Each row carries its nearest examples as evidence.
+At most `max_rows` labelled rows, those with the least hash of doc_id, train and are the examples; of near copies with
+one label one counts. Terms are words in lower case and their beginnings of four and five letters. The vocabulary is all
+terms that an example has, and all examples are in the index. Document frequencies are counted over all documents. A
+term that toxic examples have more often weighs one plus its log-likelihood ratio times as much as another; none is left
+out. A query adds up the postings of all its terms, so the k nearest are exact (ties: the smaller doc_id). Votes weighted
+by closeness give a raw score, which an isotonic fit on the examples (each scored without itself) makes a probability.
+Each row carries its nearest examples as evidence.
 
 Training rows are those whose crc32(doc_id) mod `folds` is not 0, the others are held out. Labels, lang, source and
 doc_id enter no score.
 
 Defined results: null, empty and all other texts without a vocabulary term get the toxic share of the examples without
-one; with no labels every score is 0; rows that repeat each give a row; an empty table gives none. Extra columns are
+words; with no labels every score is 0; rows that repeat each give a row; an empty table gives none. Extra columns are
 not read; a repeated label counts as its largest.
 """
 
 from __future__ import annotations
 
-import math
 from itertools import chain
 
 import numpy as np
@@ -26,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import rolling, word_hashes, words, worker_cache, written
+from tracewright.llm.common import mixed, rolling, word_hashes, words, worker_cache, written
 
 EDGE = ".,;:!?\"'()[]{}*#|<>-_/\\&%$"
 MEMO = 400_000
+#: One MinHash value each; near copies agree on all.
+SALTS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 EVIDENCE = "array<struct<doc_id:bigint,toxic:int,similarity:double>>"
 
 
@@ -63,11 +64,6 @@ class Terms:
     def numbers(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(self._found(words(text))))
 
-    def only(self, text: str | None) -> str:
-        """The words that hold a term."""
-        own = words(text)
-        return b" ".join([w for w, f in zip(own, self._found(own), strict=True) if f]).decode("utf-8", "replace")
-
     def vector(self, text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Vocabulary numbers and weights of length one; both empty where no term occurs."""
         t, n = np.unique(np.asarray(self.numbers(text), np.int64), return_counts=True)
@@ -75,76 +71,55 @@ class Terms:
         return t, w / np.sqrt((w * w).sum()) if len(t) else w
 
 
-class BlockMax:
-    """Examples in blocks of like ones; exact k nearest by cosine."""
-
-    def __init__(self, vectors, ids, toxic, size: int, block: int = 32):
-        order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), ids[i]))
-        self.ids, self.toxic = np.asarray([ids[i] for i in order], np.int64), np.asarray([toxic[i] for i in order], np.int64)
-        self.block, self.blocks = block, max(1, math.ceil(len(order) / block))
-        #: For each term and block: the largest weight, and the row of the block's postings (-1: none).
-        self.most, self.row = np.zeros((size, self.blocks)), np.full((size, self.blocks), -1, np.int32)
-        self.postings = []
-        for b in range(self.blocks):
-            own = order[b * block : (b + 1) * block]
-            terms = np.unique(np.concatenate([vectors[i][0] for i in own])) if own else np.empty(0, np.int64)
-            self.row[terms, b] = np.arange(len(terms))
-            weights = np.zeros((len(terms), len(own)))
-            for place, i in enumerate(own):
-                weights[self.row[vectors[i][0], b], place] = vectors[i][1]
-            self.most[terms, b] = weights.max(1) if len(terms) else 0
-            self.postings.append(weights)
+class Postings:
+    """Examples by term; exact k nearest by cosine."""
+
+    def __init__(self, vectors, ids, toxic, size: int, block: int = 0):
+        self.ids, self.toxic = np.asarray(ids, np.int64), np.asarray(toxic, np.int64)
+        terms = np.concatenate([*[t for t, _ in vectors], np.empty(0, np.int32)])
+        order = np.argsort(terms, kind="stable")
+        self.first = np.searchsorted(terms[order], np.arange(size + 1))
+        self.place = np.repeat(np.arange(len(vectors), dtype=np.min_scalar_type(len(vectors))), [len(t) for t, _ in vectors])[order]
+        self.weight = np.concatenate([*[w for _, w in vectors], np.empty(0, np.float32)])[order]
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines, from the nearest; only examples that share a term."""
-        bound, rows = w @ self.most[t], self.row[t]
-        places, cosines, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(places) >= k and bound[b] < least - 1e-12:
-                break
-            own = rows[:, b]
-            has = own >= 0
-            sums = w[has] @ self.postings[b][own[has]]
-            at = np.flatnonzero(sums > max(0.0, least - 1e-12) if len(places) >= k else sums > 0)
-            if not len(at):
-                continue
-            places, cosines = np.concatenate([places, at + b * self.block]), np.concatenate([cosines, sums[at]])
-            if without is not None:
-                cosines, places = cosines[places != without], places[places != without]
-            order = np.lexsort((self.ids[places], -np.round(cosines, 12)))[:k]
-            places, cosines = places[order], cosines[order]
-            least = float(cosines[-1]) if len(places) >= k else 0.0
-        return places, cosines
+        n = self.first[t + 1] - self.first[t]
+        at = np.repeat(self.first[t] - np.concatenate([[0], n.cumsum()[:-1]]).astype(np.int64), n) + np.arange(n.sum())
+        sums = np.bincount(self.place[at], np.repeat(w, n) * self.weight[at], len(self.ids))
+        if without is not None:
+            sums[without] = 0
+        places = np.flatnonzero(sums > 0)
+        if len(places) > k:
+            least = np.partition(sums[places], len(places) - k)[len(places) - k]
+            places = places[sums[places] >= least - 1e-12]
+        places = places[np.lexsort((self.ids[places], -np.round(sums[places], 12)))[:k]]
+        return places, sums[places]
+
+
+BlockMax = Postings  # the name before all terms were indexed
+
+
+def isotonic(raw: list[tuple[float, int]], share: float) -> tuple[np.ndarray, np.ndarray]:
+    """From raw scores to probabilities: equal neighbours in violation are pooled."""
+    pools: list[list[float]] = []
+    for score, y in sorted(raw):
+        pools.append([score, score, y, 1])
+        while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
+            last = pools.pop()
+            pools[-1] = [pools[-1][0], last[1], pools[-1][2] + last[2], pools[-1][3] + last[3]]
+    return np.asarray([x for p in pools for x in p[:2]]), np.repeat([(p[2] + share) / (p[3] + 1) for p in pools], 2)
 
 
 class Model:
-    def __init__(self, vocabulary, idf, examples, k: int):
-        self.vocabulary, self.idf, self.k = vocabulary, idf, k
-        read = Terms(vocabulary)
-        vectors = [read.vector(text, idf) for _, text, _ in examples]
-        some = [i for i, v in enumerate(vectors) if len(v[0])]
-        none = [examples[i][2] for i, v in enumerate(vectors) if not len(v[0])]
-        self.without = sum(none) / len(none) if none else 0.0
-        self.share = sum(e[2] for e in examples) / max(1, len(examples))
-        vectors, examples = [vectors[i] for i in some], [examples[i] for i in some]
-        self.index = BlockMax(vectors, [e[0] for e in examples], [e[2] for e in examples], len(vocabulary))
-        # Each example scored without itself, then the isotonic fit: equal neighbours in violation are pooled.
-        place = {int(i): p for p, i in enumerate(self.index.ids)}
-        raw = [(self.raw(*self.index.nearest(*v, k, without=place[e[0]])), e[2]) for v, e in zip(vectors, examples, strict=True)]
-        pools: list[list[float]] = []
-        for score, y in sorted(raw):
-            pools.append([score, score, y, 1])
-            while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
-                last = pools.pop()
-                pools[-1] = [pools[-1][0], last[1], pools[-1][2] + last[2], pools[-1][3] + last[3]]
-        self.x = np.asarray([x for p in pools for x in p[:2]])
-        self.y = np.repeat([(p[2] + self.share) / (p[3] + 1) for p in pools], 2)
+    def __init__(self, vocabulary, idf, index: Postings, without: float, share: float, k: int):
+        self.vocabulary, self.idf, self.index, self.without, self.share, self.k = vocabulary, idf, index, without, share, k
 
     def raw(self, at: np.ndarray, cosine: np.ndarray) -> float:
         w = 1 / (1.05 - np.minimum(cosine, 1))
         return float((w @ self.index.toxic[at] + self.share) / (w.sum() + 1))
 
-    def score(self, t: np.ndarray, w: np.ndarray) -> tuple[float, list[dict]]:
+    def score(self, t: np.ndarray, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, list[dict]]:
         if not len(t) or not len(self.index.ids):
             return self.without, []
         at, cosine = self.index.nearest(t, w, self.k)
@@ -152,11 +127,12 @@ class Model:
             return self.share, []
         raw = self.raw(at, cosine)
         # The raw score orders what the fit makes equal.
-        score = 0.95 * float(np.interp(raw, self.x, self.y)) + 0.05 * raw
+        score = 0.95 * float(np.interp(raw, x, y)) + 0.05 * raw
         return score, [{"doc_id": int(self.index.ids[p]), "toxic": int(self.index.toxic[p]), "similarity": float(c)} for p, c in zip(at[:3], cosine[:3], strict=True)]
 
 
-def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, evidence: float, max_rows: int, k: int) -> Model:
+def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k: int):
+    """The broadcast model and its isotonic curve. Workers keep a broadcast on disk, so it is sent once."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(fold("doc_id", folds) != 0)
     known = known.orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id").limit(max_rows)
 
@@ -166,12 +142,14 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, evidence: float, m
             keys = []
             for text in batch.column("text").to_pylist():
                 h = word_hashes(words(text))
-                keys.append(int(rolling(h, min(3, len(h))).min().view(np.int64)) if len(h) else 0)
-            yield batch.append_column("key", pa.array(keys, pa.int64()))
+                runs = rolling(h, min(3, len(h))) if len(h) else h
+                keys.append(b"".join([mixed(runs ^ np.uint64(salt)).min().tobytes() for salt in SALTS]) if len(h) else b"")
+            yield batch.append_column("key", pa.array(keys, pa.binary()))
 
-    # The sample is bounded, so it may be broadcast; of near copies (one MinHash value of theirs agrees) one trains.
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(keyed, "doc_id long, text string, toxic int, key long")
-    training = written(sample.groupBy("key").agg(F.min(F.struct("doc_id", "text", "toxic")).alias("own")).select("own.*"))
+    # The sample is bounded, so it may be broadcast; of near copies with one label (all MinHash values agree) one trains.
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(keyed, "doc_id long, text string, toxic int, key binary")
+    training = sample.groupBy("key", "toxic").agg(F.min(F.struct("doc_id", "text", "toxic")).alias("own")).select("own.*")
+    training = written(training.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")))
 
     def distinct_terms(batches):
         worker_cache("toxicity")
@@ -202,17 +180,21 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, evidence: float, m
 
     sizes = {r["toxic"]: r["count"] for r in training.groupBy("toxic").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    vocabulary: list[str] = []
-    if n0 and n1:
-        counts = training.select("text", "toxic").mapInArrow(distinct_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c0"), F.sum("toxic").alias("c1"))
-        each = F.col("c0") + F.col("c1")
-        terms = [F.when(F.col(c) > 0, F.col(c) * F.ln(F.col(c) * (n0 + n1) / (each * n))).otherwise(0.0) for c, n in (("c0", n0), ("c1", n1))]
-        chosen = counts.where(F.col("c1") * n0 > F.col("c0") * n1).where(2 * (terms[0] + terms[1]) >= evidence)
-        vocabulary = sorted(r["term"] for r in chosen.select("term").collect())
+    counts = training.select("text", "toxic").mapInArrow(distinct_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c0"), F.sum("toxic").alias("c1")).toArrow().sort_by("term")
+    vocabulary: list[str] = counts.column("term").to_pylist()
+    c0, c1 = (counts.column(c).to_numpy().astype(float) for c in ("c0", "c1"))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * sum(np.where(c > 0, c * np.log(c * (n0 + n1) / ((c0 + c1) * n)), 0.0) for c, n in ((c0, n0), (c1, n1)))
+    lean = 1 + np.where(c1 * n0 > c0 * n1, ratio, 0.0)
+    del counts, c0, c1
+
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches):
         worker_cache("toxicity")
-        read, n = Terms(vocabulary), np.zeros(len(vocabulary), np.int64)
+        read = Terms(shared.value)
+        n = np.zeros(len(shared.value), np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n[list(set(read.numbers(text)))] += 1
@@ -223,36 +205,53 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, evidence: float, m
     if vocabulary:
         total = docs.count()
         df = np.zeros(len(vocabulary))
-        for r in docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-            df[r["term"]] = r["n"]
-        idf = np.log((1 + total) / (1 + df)) + 1
-    # Only vocabulary terms of an example are read: the words that hold one are all that is sent.
-    reduced = training.mapInArrow(_only(vocabulary), "doc_id long, text string, toxic int")
-    rows = reduced.orderBy("doc_id").collect()
-    return Model(vocabulary, idf, list({r["doc_id"]: (r["doc_id"], r["text"], r["toxic"]) for r in rows}.values()), k)
-
+        found = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        df[found.column("term").to_numpy()] = found.column("n").to_numpy()
+        idf = (np.log((1 + total) / (1 + df)) + 1) * lean
 
-def _only(vocabulary: list[str]):
-    def cut(batches):
+    def vectors(batches):
+        worker_cache("toxicity")
+        read = Terms(shared.value)
+        for batch in batches:
+            own = [read.vector(t, idf) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([t.astype(np.int32).tobytes() for t, _ in own], pa.binary()), pa.array([w.astype(np.float32).tobytes() for _, w in own], pa.binary())], ["doc_id", "toxic", "t", "w"])
+
+    rows = training.mapInArrow(vectors, "doc_id long, toxic int, t binary, w binary").toArrow().sort_by("doc_id")
+    shared.destroy()
+    toxic = rows.column("toxic").to_numpy()
+    some = np.asarray([len(t) > 0 for t in rows.column("t").to_pylist()], bool)
+    share, without = float(toxic.sum()) / max(1, len(toxic)), float(toxic[~some].mean()) if (~some).any() else 0.0
+    rows = rows.filter(pa.array(some, pa.bool_()))
+    own = [(np.frombuffer(t, np.int32), np.frombuffer(w, np.float32)) for t, w in zip(rows.column("t").to_pylist(), rows.column("w").to_pylist(), strict=True)]
+    index = Postings(own, rows.column("doc_id").to_numpy(), toxic[some], len(vocabulary))
+    del rows, own
+    model = spark.sparkContext.broadcast(Model(vocabulary, idf, index, without, share, k))
+
+    def without_itself(batches):
         worker_cache("toxicity")
-        read = Terms(vocabulary)
+        m = model.value
+        read = Terms(m.vocabulary)
         for batch in batches:
-            texts = [read.only(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("toxic")], ["doc_id", "text", "toxic"])
+            raw = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                t, w = read.vector(text, m.idf)
+                raw.append(m.raw(*m.index.nearest(t, w, k, without=int(np.searchsorted(m.index.ids, doc_id)))) if len(t) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(raw, pa.float64())], ["toxic", "raw"])
 
-    return cut
+    raw = training.mapInArrow(without_itself, "toxic int, raw double").where("raw is not null").toArrow()
+    return model, isotonic(list(zip(raw.column("raw").to_pylist(), raw.column("toxic").to_pylist(), strict=True)), share)
 
 
-def scored(docs: DataFrame, labels: DataFrame, *, folds: int = 5, evidence: float = 24.0, max_rows: int = 20_000, k: int = 15) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, *, folds: int = 5, max_rows: int = 20_000, k: int = 15) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence, a row for each row of docs."""
-    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, folds=folds, evidence=evidence, max_rows=max_rows, k=k))
+    model, curve = fitted(docs, labels, folds=folds, max_rows=max_rows, k=k)
 
     def score(batches):
         worker_cache("toxicity")
         own = model.value
         read = Terms(own.vocabulary)
         for batch in batches:
-            found = [own.score(*read.vector(t, own.idf)) for t in batch.column(1).to_pylist()]
+            found = [own.score(*read.vector(t, own.idf), *curve) for t in batch.column(1).to_pylist()]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], kind)], ["doc_id", "score", "evidence"])
 
@@ -260,16 +259,16 @@ def scored(docs: DataFrame, labels: DataFrame, *, folds: int = 5, evidence: floa
     return out.select("doc_id", F.coalesce(fold("doc_id", folds) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
 
 
-def clean(docs: DataFrame, labels: DataFrame, *, cut: float = 0.5, folds: int = 5, evidence: float = 24.0, max_rows: int = 20_000, k: int = 15) -> DataFrame:
+def clean(docs: DataFrame, labels: DataFrame, *, cut: float = 0.5, folds: int = 5, max_rows: int = 20_000, k: int = 15) -> DataFrame:
     """The rows of docs with a score below `cut`, all columns kept; nothing is shuffled to drop the others."""
-    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, folds=folds, evidence=evidence, max_rows=max_rows, k=k))
+    model, curve = fitted(docs, labels, folds=folds, max_rows=max_rows, k=k)
 
     def keep(batches):
         worker_cache("toxicity")
         own = model.value
         read = Terms(own.vocabulary)
         for batch in batches:
-            scores = [own.score(*read.vector(t, own.idf))[0] for t in batch.column("text").to_pylist()]
+            scores = [own.score(*read.vector(t, own.idf), *curve)[0] for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array([s < cut for s in scores], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
