@@ -35,16 +35,21 @@ def complete(lengths: list[int], counts: dict[int, int], room: int, steps: int)
     """Lengths (ascending, with counts) that fill `room` with the least waste found in so many steps."""
     best: tuple[int, ...] = ()
     best_waste, left, smallest = room, steps, lengths[0] if lengths else 1
+    filled = [0]  # the most that the first so many lengths fill
+    for n in lengths:
+        filled.append(filled[-1] + n * counts[n])
 
     def search(room: int, upto: int, chosen: tuple[int, ...]) -> None:
         nonlocal best, best_waste, left
         if room < best_waste:
             best, best_waste = chosen, room
         at = min(bisect_right(lengths, room), upto) - 1
-        while at >= 0 and best_waste and left > 0:
+        while at >= 0 and best_waste and left > 0 and room - filled[at + 1] < best_waste:
             length = lengths[at]
             most = min(counts[length], room // length)
             for k in range(most, 0, -1):
+                if room - k * length - filled[at] >= best_waste:
+                    break
                 left -= 1
                 search(room - k * length, at, chosen + (length,) * k)
                 if not best_waste or left <= 0:
