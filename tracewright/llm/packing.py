@@ -7,8 +7,8 @@ dominates (once a length closes a filling, shorter ones in its place are skipped
 the best-fit incumbent, and stops at a filling without waste or at a bound on steps, keeping the incumbent. The filling is
 then used as many times as its lengths allow, which uses one length up, so there are about as many searches as lengths.
 
-Pieces get numbers within their length by sorting and prefix sums (no length is gathered in one task), and the
-number says which filling, copy and place is theirs.
+Pieces get numbers within their length by counting in each task and prefix sums over the tasks (no length is gathered
+in one task), and the number says which filling, copy and place is theirs.
 
 Defined results: a null text is empty, and is its end id alone; rows that repeat are packed each; an empty table gives
 none. Extra columns are ignored.
@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import written
-from tracewright.llm.encoding import batches, encoder
+from tracewright.llm.encoding import batches, encoder, narrow
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, row long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, n long"
 
 
 def complete(lengths: list[int], counts: dict[int, int], room: int, steps: int) -> tuple[int, ...]:
@@ -98,56 +98,60 @@ def places(fillings: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]
     return {n: np.asarray([r[i] for r in rows], np.int64) for i, n in enumerate(names)}
 
 
-def pieces(docs: DataFrame, vocab: str, capacity: int, end_id: int, id_width: int = 2) -> DataFrame:
-    """A row for each piece with its ids, written to the shared folder; `row` counts within the task `part`."""
+def pieces(docs: DataFrame, vocab: str, capacity: int, end_id: int, id_width: int | None) -> DataFrame:
+    """A row for each piece, written to the shared folder, with its ids if these have a width; `n` counts the pieces
+    of its length before it within the task `part`."""
+    names = [x.split()[0] for x in PIECES.split(", ")]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
 
     def cut(rows):
-        encode, part, row = encoder(vocab), TaskContext.get().partitionId(), 0
-        end = np.asarray([end_id], "<u4").tobytes()
+        encode, part = encoder(vocab), TaskContext.get().partitionId()
+        seen: dict[int, int] = {}  # by length
+        end = np.asarray([end_id], np.uint32)
         for batch in rows:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in batches(texts):
-                out = []
-                for doc_id, raw in zip(ids[a:b], encode.ids(texts[a:b]), strict=True):
-                    raw += end
-                    for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        own = raw[at : at + 4 * capacity]
-                        out.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own), np.frombuffer(own, "<u4").astype(f"<u{id_width}").tobytes(), part, row))
-                        row += 1
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
-                names = [x.split()[0] for x in PIECES.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-    return written(docs.select("doc_id", "text").mapInArrow(cut, PIECES), compression="zstd")
-
-
-def packed(docs: DataFrame, vocab: str, *, capacity: int = 4096, end_id: int = 1, steps: int = 3000, with_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset and, unless turned off, ids (little-endian unsigned
-    16-bit): a row for each piece. The driver sees the counts of the lengths, at most `capacity` numbers."""
+                found, starts, stops = encode.flat(texts[a:b])
+                out, kept = [], []
+                for doc_id, x, y in zip(ids[a:b], starts.tolist(), stops.tolist(), strict=True):
+                    for k, at in enumerate(range(0, y - x + 1, capacity)):
+                        own = found[x + at : min(y, x + at + capacity)]
+                        if y - x - at < capacity:
+                            own = np.concatenate([own, end])
+                        n = seen.get(len(own), 0)
+                        seen[len(own)] = n + 1
+                        out.append((doc_id, k, at, len(own), zlib.crc32(own.tobytes()), part, n))
+                        if id_width:
+                            kept.append(narrow(own, id_width).tobytes())
+                columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.binary())] if id_width else [])], [*names, *(["ids"] if id_width else [])])
+
+    return written(docs.select("doc_id", "text").mapInArrow(cut, PIECES + (", ids binary" if id_width else "")), compression="zstd")
+
+
+def packed(docs: DataFrame, vocab: str, *, capacity: int = 4096, end_id: int = 1, steps: int = 3000, with_ids: bool = True, id_width: int = 2) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset and, unless turned off, ids (little-endian, of
+    `id_width` bytes each; an id that doesn't fit is an error): a row for each piece. The driver sees the counts of
+    the lengths, at most `capacity` numbers; pieces move once, to the first number of their length and task."""
     spark = docs.sparkSession
-    cut = pieces(docs, vocab, capacity, end_id)
-    by_part = written(cut.groupBy("length", "part").agg(F.count("*").alias("n")))
-    histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    cut = pieces(docs, vocab, capacity, end_id, id_width if with_ids else None)
+    by_part = written(cut.groupBy("length", "part").agg(F.count("*").alias("_m")))
+    histogram = {r["length"]: r["_m"] for r in by_part.groupBy("length").agg(F.sum("_m").alias("_m")).collect()}
     place = spark.sparkContext.broadcast(places(plan(histogram, capacity, steps)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = by_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("length", "part").orderBy("row")
-    numbered = cut.drop("ids").withColumn("_n", F.row_number().over(within) - 1).join(first, ["length", "part"]).withColumn("_number", F.col("_first") + F.col("_n"))
+    first = by_part.select("length", "part", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_first"))
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"] + (["ids"] if with_ids else [])
 
-    def put(frames):
+    def put(batches):
         p = place.value
         wide = int(p["low"].max() + 1) if len(p["low"]) else 1
         at_key = p["length"] * wide + p["low"]
-        for f in frames:
-            number, length = f["_number"].to_numpy(), f["length"].to_numpy()
+        for batch in batches:
+            number, length = batch.column("_number").to_numpy(), batch.column("length").to_numpy()
             k = np.searchsorted(at_key, length * wide + np.minimum(number, wide - 1), "right") - 1
-            f["sequence_id"] = p["sequence"][k] + number - p["low"][k]
-            f["offset"] = p["offset"][k]
-            yield f.drop(columns=["_number"])
-
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "row"]
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, row long, sequence_id long, offset long"
-    out = numbered.select(*columns, "_number").mapInPandas(put, schema)
-    if with_ids:
-        out = out.join(cut.select("part", "row", "ids"), ["part", "row"])
-    return out.drop("part", "row")
+            found = (p["sequence"][k] + number - p["low"][k], p["offset"][k])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *map(pa.array, found)], [*columns, "sequence_id", "offset"])
+
+    numbered = cut.join(first, ["length", "part"]).select(*columns, (F.col("_first") + F.col("n")).alias("_number"))
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, " + ("ids binary, " if with_ids else "") + "sequence_id long, offset long"
+    return numbered.mapInArrow(put, schema)

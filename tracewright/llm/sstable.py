@@ -33,12 +33,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import parts_for, shared_dir, total_bytes, written
-from tracewright.llm.encoding import batches, encoder
+from tracewright.llm.encoding import batches, encoder, narrow
 
 MAGIC = b"TWSST\x00\x00\x01"
 FOOTER = struct.Struct("<QQQQQQI8s")
 ENTRY = struct.Struct("<QII")
 MANIFEST = "path string, first_key binary, part int, docs long, ids long, bytes long"
+FILES_A_RUN = 4096
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -173,12 +174,14 @@ def write_tables(docs: DataFrame, vocab: str, *, end_id: int = 2, id_width: int
         from pyarrow import fs
 
         encode, writer, tmp = encoder(vocab), None, ""
-        end = np.asarray([end_id], f"<u{id_width}").tobytes()
+        end = narrow(np.asarray([end_id], np.uint32), id_width).tobytes()
         first = None
         for batch in rows:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in batches(texts):
-                for doc_id, raw in zip(ids[a:b], encode.ids(texts[a:b]), strict=True):
+                found, starts, stops = encode.flat(texts[a:b])
+                found = narrow(found, id_width)
+                for doc_id, x, y in zip(ids[a:b], starts.tolist(), stops.tolist(), strict=True):
                     if writer is None:
                         task, first = TaskContext.get(), key_of(doc_id)
                         store, root = fs.FileSystem.from_uri(out)
@@ -186,7 +189,7 @@ def write_tables(docs: DataFrame, vocab: str, *, end_id: int = 2, id_width: int
                         final = f"{root}/table-{task.partitionId():05d}-{task.taskAttemptId()}.sst"
                         tmp = final + ".part"
                         writer = Writer(store.open_output_stream(tmp), id_width, block_bytes)
-                    writer.put(key_of(doc_id), np.frombuffer(raw, "<u4").astype(f"<u{id_width}").tobytes() + end)
+                    writer.put(key_of(doc_id), found[x:y].tobytes() + end)
         if writer is not None:
             size = writer.close()
             store.move(tmp, final)
@@ -200,8 +203,12 @@ def write_tables(docs: DataFrame, vocab: str, *, end_id: int = 2, id_width: int
 
 def read_tables(manifest: DataFrame) -> DataFrame:
     """A row for each entry of the files: doc_id, start (ids in all entries before it), n_tokens, ids_crc32."""
-    before = Window.orderBy("first_key", "part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
+    # Tasks are numbered in key order. Sums before a file are taken in two levels: within a run of files, then over runs.
+    own = manifest.select("path", "part", "ids", F.floor(F.col("part") / FILES_A_RUN).alias("run"))
+    within = Window.partitionBy("run").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = own.groupBy("run").agg(F.sum("ids").alias("_ids")).select("run", F.coalesce(F.sum("_ids").over(before), F.lit(0)).alias("_before"))
+    placed = own.withColumn("_within", F.coalesce(F.sum("ids").over(within), F.lit(0))).join(runs, "run").select("path", (F.col("_before") + F.col("_within")).alias("start"))
 
     def read(rows):
         for batch in rows:
