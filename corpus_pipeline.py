@@ -1,9 +1,13 @@
 """The corpus pipeline: what stays of `documents` after five stages, packed into training sequences.
 
 Each stage gets what the one before kept, as a table read again, and returns the columns of documents; the last returns
-packed pieces. Dropped are toxic documents, all but one of each group of near duplicates, and documents that hold a
+packed pieces with their token ids (little-endian, 2 bytes each). Dropped are toxic documents, all but one of each group of near duplicates, and documents that hold a
 benchmark text; cut out are passages of 50 words or more that an earlier document has (a document that loses all its
 words goes).
+
+Defined results: null and empty texts pass every stage and are packed as their end id alone; rows with a null doc_id
+are not compared with others; rows that repeat a near-duplicate class leave one; an empty table gives none; columns
+beyond those of documents are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, with_ids=False)
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
 STAGES = [
