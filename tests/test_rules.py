@@ -51,6 +51,41 @@ CASES = [
     (None, None, "git", ["status"], {}, "codex", True, "localization"),
     (None, None, "git", ["commit", "-m", "fix"], {}, "codex", False, "general"),
     (None, None, "apply_patch", [], {}, "codex", False, "patch"),
+    (None, None, "grep", ["x", "file.py", ">", "tests/test_file.py"], {}, None, True, "validation"),
+    (None, None, "grep", ["test_x", "file.py"], {}, None, True, "localization"),
+    (None, None, "foo", ["2>err"], {}, None, False, "patch"),
+    (None, None, "foo", ["a 2>err"], {}, None, False, "patch"),
+    (None, None, "foo", ["a", "b"], {}, None, False, "general"),
+    (None, None, "python", ["-c", "'print(42)'", ">", "tests/test_out.py"], {}, None, False, "localization"),
+    (EDITOR, "create", None, ["tests/test_file.py"], {}, None, False, "localization"),
+    (EDITOR, "str_replace", None, ["/testbed/django/client.py", "  temp = None\n  print(f\"DEBUG: passwd = '{passwd}'\")  # DEBUG\n  temp = Temp(mode='w+')}"], {}, None, False, "patch"),
+    (None, None, "nl", ["filename.py", "|", "sed", "10,20p"], {"n": "true"}, None, False, "localization"),
+    (None, None, "nl", ["test_file.py", "|", "sed", "10,20p"], {"n": "true"}, None, False, "localization"),
+    (None, None, "nl", ["file.py", ">", "test_output.py"], {}, None, False, "localization"),
+    (None, None, "nl", ["file.py", ">", "test_output.py"], {}, None, True, "validation"),
+    (None, None, "nl", ["file.py", ">", "./test_output.py"], {}, None, True, "validation"),
+    (None, None, "sleep", [], {}, None, True, "general"),
+    (None, None, "git", ["status"], {}, None, True, "general"),
+    ("mcp/update_plan", None, None, [], {}, "codex", False, "plan"),
+    (None, None, "/opt/venv/bin/mypy", ["src/"], {}, "claude", True, "validation"),
+    (None, None, "/opt/venv/bin/isort", ["src/", "tests/"], {"check": "true"}, "claude", True, "validation"),
+    (None, None, "mcp__environment__bash", [], {}, "claude", False, "localization"),
+    *[(None, None, c, [], {}, "codex", p, "validation" if p else "localization") for c in ("curl", "taskoutput", "ps", "date", "nvidia-smi", "which", "df", "free", "env", "pgrep", "write_stdin", "wait", "tmux", "exec", "exec_command", "powershell", "run_shell_command") for p in (True, False)],
+    *[(None, None, c, [], {}, "codex", False, "general") for c in ("taskupdate", "taskcreate", "agent", "mcp__environment__finish")],
+    *[(None, None, c, [], {}, "codex", False, "localization") for c in ("toolsearch", "webfetch")],
+    (None, None, "rm", ["source.py"], {}, "codex", False, "patch"),
+    (None, None, "mkdir", ["src"], {}, "codex", False, "patch"),
+    (None, None, "node", ["-e", "console.log('ok')"], {}, "codex", False, "localization"),
+    (None, None, "complex_command", ["for f in *; do python $f; done"], {}, None, True, "general"),
+    (None, None, "complex_command", ["if x; then make 2> err.log; fi"], {}, None, False, "patch"),
+    (None, None, "complex_command", ["for i in 1; do python - <<'E'\nprint(1)\nE\ndone"], {}, None, True, "validation"),
+    (None, None, "complex_command", ["for i in 1; do python - <<'E'\nopen('a.py', 'w').write('')\nE\ndone"], {}, None, True, "patch"),
+    (None, None, "complex_command", ["for t in tests/; do ls $t; done"], {}, None, True, "general"),
+    (None, None, "complex_command", ["for t in tests/; do ls $t; done"], {}, "codex", True, "validation"),
+    (None, None, "python", [], {"c": "f = 'a.py'\nopen(f, 'a')"}, None, False, "patch"),
+    (None, None, "python", [], {"c": "p = Path('a.py') / 'b'\np.write_text('')"}, None, False, "localization"),
+    (None, None, "perl", ["print", "word"], {"n": "true"}, None, False, "general"),
+    (None, None, "perl", ["print", "a/b"], {"n": "true"}, None, False, "localization"),
 ]
 
 

@@ -26,61 +26,118 @@ EDITOR_EDITS = ["create", "str_replace", "insert", "undo_edit"]
 RUNNERS = ["python", "python3", "python2", "pytest", "pylint"]
 ANALYSERS, FORMATTERS = ["mypy", "pyright", "ruff", "flake8"], ["black", "isort"]
 PLANS = ["updateplan", "enterplanmode", "exitplanmode", "todowrite"]
-WRITES = r"^(?:>|>>|1>|2>)|<<|<>|>&|2>&1| >|^>\||^tee$| tee "
-WROTE = r"""(?s)open\(\s*['"]([^'"]+)['"]\s*,\s*['"][wax]"""
-PATH_WROTE = r"""(?s)Path\(\s*['"]([^'"]+)['"]\s*\)\.write_"""
-ASSIGNED = r"""(?s)(\w+)\s*=\s*(?:Path\(\s*)?['"]([^'"\n]+)['"]"""
+#: What makes a token a path, and what makes it a redirection: whole, at its start, anywhere in it.
+PATHISH = r"(^[/~.]|/|\.py$)"
+REDIRECTIONS = [">", ">>", "1>", "2>", ">|", "<<<", "<<", "<>", ">&", "2>&1"]
+REDIRECTION_STARTS = [">", ">>", "1>", "2>"]
+REDIRECTION_PARTS = [" <<", "<<", " >>", ">>", " 1>", " 2>", " >", " >|", "<>", ">&", "2>&1", " tee "]
+
+#: What scripts of node, and commands of uv and git, write, check or read.
+NODE_WRITES = r"\b(?:writefile|appendfile|rename|unlink|rm|mkdir|copyfile)(?:sync)?\s*\("
+UV_WRITES, UV_CHECKS = r"\b(?:add|remove)\b", r"\b(?:pytest|unittest|mypy|pyright|ruff|flake8|pylint|test)\b"
+GIT_CHECKS, GIT_WRITES = r"\bdiff\s+--check\b", r"\b(?:apply|cherry-pick|merge|revert)\b"
+GIT_READS = r"\b(?:status|diff|show|log|grep|ls-files|branch|rev-parse)\b"
+
+#: A here-document and its body; a redirection and its target.
+BODY = r"""(?s)<<['"]?(\w+)['"]?\s*\n(.*?)\n\1"""
+TARGET = r">\s*([^\s;&|]+)"
+#: How Python code names the files it writes: the last group is the file, or the variable that holds it.
+OPENED = r"""(?<![\w.])open\(\s*(['"])([^'"]+)\1\s*,\s*['"][^'"]*[wax]"""
+OPENED_NAME = r"""(?<![\w.])open\(\s*(\w+)\s*,\s*['"][^'"]*[wax]"""
+PATH_WRITTEN = r"""(?<![\w.])Path\(\s*(['"])([^'"]+)\1[^()]*\)\s*\.write_(?:text|bytes)\("""
+NAME_WRITTEN = r"""(?<![\w.])(\w+)\.write_(?:text|bytes)\("""
+IS_PATH = r"""(?<![\w.])(\w+)\s*=\s*Path\(\s*['"]([^'"]+)['"][^()]*\)(?!\s*[/.\[])"""
+IS_TEXT = r"""(?<![\w.])(\w+)\s*=\s*['"]([^'"\n]*)['"](?!\s*[.%+*\[])"""
+
+
+def contains_any(text: Column, parts: list[str]) -> Column:
+    out = F.lit(False)
+    for part in parts:
+        out = out | F.contains(text, F.lit(part))
+    return out
 
 
 def hinted(texts: Column, hints: list[str]) -> Column:
-    """Whether a token that looks like a path holds a test hint."""
-    pattern = "|".join(h.replace(".", r"\.") for h in hints)
-    return F.exists(F.filter(texts, lambda t: t.rlike(r"[/\\]|\.\w+$|^[\w.-]+$")), lambda t: t.rlike(pattern))
+    """Whether one of the texts holds a test hint."""
+    return F.exists(texts, lambda t: contains_any(t, hints))
+
+
+def paths_of(tokens: Column) -> Column:
+    return F.filter(tokens, lambda t: t.rlike(PATHISH))
+
+
+def redirects(tokens: Column) -> Column:
+    """Whether a token is, begins with or holds a redirection, or is a tee."""
+
+    def one(t: Column) -> Column:
+        out = t.isin(*REDIRECTIONS, "tee") | contains_any(t, REDIRECTION_PARTS)
+        for start in REDIRECTION_STARTS:
+            out = out | t.startswith(start)
+        return out
+
+    return F.exists(tokens, one)
 
 
 def base_name(command: Column) -> Column:
-    return F.regexp_extract(command, r"([^/\\]*)$", 1)
+    return F.regexp_extract(F.regexp_replace(command, r"[/\\]+$", ""), r"([^/\\]*)$", 1)
 
 
 def edited_by_code(code: Column) -> Column:
-    """Files that inline Python writes: by name, through Path, or through a variable that holds either."""
-    one = lambda p: F.regexp_extract_all(code, F.lit(p), F.lit(1))
-    names, values = F.regexp_extract_all(code, F.lit(ASSIGNED), F.lit(1)), F.regexp_extract_all(code, F.lit(ASSIGNED), F.lit(2))
-    used = F.concat(one(r"(\w+)\.write_(?:text|bytes)\("), one(r"open\(\s*(\w+)\s*,\s*['\"][wax]"))
-    held = F.transform(F.filter(F.arrays_zip(names.alias("n"), values.alias("v")), lambda z: F.array_contains(used, z["n"])), lambda z: z["v"])
-    return F.array_distinct(F.concat(one(WROTE), one(PATH_WROTE), held))
+    """Files that Python code writes: by name, through Path, or through a variable that last was given either."""
+    every = lambda p, g: F.regexp_extract_all(code, F.lit(p), F.lit(g))
+
+    def held(used: str, given: str) -> Column:
+        pairs = F.arrays_zip(every(given, 1).alias("n"), every(given, 2).alias("v"))
+        return F.transform(every(used, 1), lambda u: F.try_element_at(F.filter(pairs, lambda z: z["n"] == u), F.lit(-1))["v"])
+
+    found = F.concat(every(OPENED, 2), every(PATH_WRITTEN, 2), held(OPENED_NAME, IS_TEXT), held(NAME_WRITTEN, IS_PATH))
+    return F.filter(F.array_distinct(found), lambda f: f.isNotNull())
+
+
+def plan_name(name: Column) -> Column:
+    """A tool's name as plans are told by: its last part, in lower case, without _ and -."""
+    return F.regexp_replace(F.lower(F.trim(F.regexp_extract(F.coalesce(name, F.lit("")), r"([^/]*)$", 1))), "[_-]", "")
 
 
 def phase_class(tool: Column, subcommand: Column, command: Column, tokens: Column, flags: Column, framework: Column) -> Column:
     """tokens: array of strings; flags: map of strings; framework: codex and claude get the extended rules."""
     extended = F.coalesce(framework.isin("codex", "claude"), F.lit(False))
-    tokens = F.transform(F.coalesce(tokens, F.array().cast("array<string>")), F.lower)
+    given = F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: t.isNotNull())
+    tokens = F.transform(given, F.lower)
     has = lambda name: F.coalesce(F.map_contains_key(flags, F.lit(name)), F.lit(False))
     raw = F.lower(F.trim(F.coalesce(command, F.lit(""))))
     cmd = F.when(extended, base_name(raw)).otherwise(raw)
     name = base_name(F.lower(F.trim(F.coalesce(tool, F.lit("")))))
     either = lambda names: extended & (cmd.isin(names) | name.isin(names))
     text = F.array_join(tokens, " ")
-    test = F.when(extended, hinted(tokens, EXTENDED_TEST_HINTS)).otherwise(hinted(tokens, TEST_HINTS))
-    writes = F.exists(tokens, lambda t: t.rlike(WRITES))
+    tests = lambda files: F.when(extended, hinted(files, EXTENDED_TEST_HINTS)).otherwise(hinted(files, TEST_HINTS))
+    paths = paths_of(tokens)
+    test, writes = tests(paths), redirects(tokens)
     edits = F.when(test, "ctx").otherwise("patch")
     reads = F.when(test, "ctx").otherwise("loc")
-    flat = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[_-]", "")
-    plans = extended & (flat(tool).isin(PLANS) | flat(subcommand).isin(PLANS) | flat(command).isin(PLANS))
+    plans = extended & (plan_name(tool).isin(PLANS) | plan_name(subcommand).isin(PLANS) | plan_name(command).isin(PLANS))
     sub = F.lower(F.coalesce(subcommand, F.lit("")))
+    lowered = lambda files: F.transform(files, F.lower)
 
+    # Python: a redirection edits; else code that edits files goes by them; else it runs.
     heredoc = has("__heredoc__")
-    code = F.when(heredoc, F.concat_ws("\n", F.filter(tokens, lambda t: (F.length(t) > 20) | t.rlike(r"\n|path\(|open\(|write")))).otherwise(F.coalesce(F.element_at(flags, "c"), F.lit("")))
-    code = F.regexp_replace(code, r"\bpath\(", "Path(")
+    is_code = lambda t: ((F.length(t) > 20) | t.rlike(r"\n|Path\(|open\(|write")) & ~t.isin("-", ">")
+    inline = F.element_at(flags, "c")
+    code = F.coalesce(F.when(heredoc, F.get(F.filter(given, is_code), F.lit(0))), F.when(F.length(inline) > 5, inline), F.lit(""))
     files = edited_by_code(code)
-    runner = F.when(writes & ~heredoc, edits).when(F.size(files) > 0, F.when(hinted(F.transform(files, F.lower), EXTENDED_TEST_HINTS), "ctx").otherwise("patch")).otherwise("ctx")
+    runner = F.when(writes & ~heredoc, edits).when(F.size(files) > 0, F.when(tests(lowered(files)), "ctx").otherwise("patch")).otherwise("ctx")
 
-    whole = F.array_join(tokens, "\n")
-    targets = F.concat(F.regexp_extract_all(whole, F.lit(r"(?<![0-9&])>>?\s*([^\s;&|<>]+)"), F.lit(1)), edited_by_code(F.regexp_replace(whole, r"\bpath\(", "Path(")))
-    plain = F.exists(targets, lambda t: ~t.rlike("|".join(TEST_HINTS)))
-    compound = F.when(plain, "patch").when((F.size(targets) > 0) | whole.rlike(r"\b(?:python3?|pytest)\b") | whole.rlike("|".join(TEST_HINTS)), "ctx").otherwise("general")
+    # A whole script: by the files it writes, then by what it runs.
+    whole = F.coalesce(F.get(given, F.lit(0)), F.lit(""))
+    low = F.lower(whole)
+    runs_code = F.contains(low, F.lit("python")) & F.contains(whole, F.lit("<<"))
+    bodies = F.when(runs_code, F.regexp_extract_all(whole, F.lit(BODY), F.lit(2))).otherwise(F.array().cast("array<string>"))
+    by_code = F.flatten(F.transform(bodies, edited_by_code))
+    targets = F.concat(by_code, F.regexp_extract_all(whole, F.lit(TARGET), F.lit(1)))
+    plain = F.exists(targets, lambda t: F.when(extended, ~contains_any(F.lower(t), EXTENDED_TEST_HINTS)).otherwise(~contains_any(F.lower(t), TEST_HINTS)))
+    compound = F.when(plain, "patch").when((runs_code & (F.size(by_code) == 0)) | (F.size(targets) > 0) | tests(F.array(low)), "ctx").otherwise("general")
 
-    reader = cmd.isin(READ) | ((cmd == "sed") & ~has("i") & has("n")) | ((cmd == "perl") & ~has("i") & (has("n") | has("p")) & (F.size(tokens) > 0))
+    reader = cmd.isin(READ) | ((cmd == "sed") & ~has("i") & has("n")) | ((cmd == "perl") & ~has("i") & (has("n") | has("p")) & (F.size(paths) > 0))
     return (
         F.when(plans, "plan")
         .when(either(NAVIGATE), "loc")
@@ -89,12 +146,9 @@ def phase_class(tool: Column, subcommand: Column, command: Column, tokens: Colum
         .when(either(PATCHERS), "patch")
         .when(either(OBSERVE) & ~writes, "ctx")
         .when(cmd == "complex_command", compound)
-        .when(extended & (cmd == "node"), F.when(text.rlike(r"\b(?:writefile|appendfile|rename|unlink|rm|mkdir|copyfile)(?:sync)?\s*\("), "patch").otherwise("ctx"))
-        .when(extended & (cmd == "uv"), F.when(text.rlike(r"\b(?:add|remove)\b"), "patch").when(text.rlike(r"\b(?:pytest|unittest|mypy|pyright|ruff|flake8|pylint|test)\b"), "ctx").otherwise("general"))
-        .when(
-            extended & (cmd == "git"),
-            F.when(text.rlike(r"\bdiff\s+--check\b"), "ctx").when(text.rlike(r"\b(?:status|diff|show|log|grep|ls-files|branch|rev-parse)\b"), "loc").when(text.rlike(r"\b(?:apply|cherry-pick|merge|revert)\b"), "patch").otherwise("general"),
-        )
+        .when(extended & (cmd == "node"), F.when(text.rlike(NODE_WRITES), "patch").otherwise("ctx"))
+        .when(extended & (cmd == "uv"), F.when(text.rlike(UV_WRITES), "patch").when(text.rlike(UV_CHECKS), "ctx").otherwise("general"))
+        .when(extended & (cmd == "git"), F.when(text.rlike(GIT_CHECKS), "ctx").when(text.rlike(GIT_READS), "loc").when(text.rlike(GIT_WRITES), "patch").otherwise("general"))
         .when(F.lower(F.coalesce(tool, F.lit(""))) == "str_replace_editor", F.when(sub.isin(EDITOR_EDITS), edits).when(sub == "view", reads).otherwise("general"))
         .when(cmd.isin(RUNNERS), runner)
         .when(extended & (cmd.isin(ANALYSERS) | (cmd.isin(FORMATTERS) & (has("check") | has("check-only") | has("diff")))), "ctx")
