@@ -25,7 +25,7 @@ def thought_length_raw(thought: Column) -> Column:
 def thought_length_clean(thought: Column) -> Column:
     """Characters left once fenced, back-ticked and quoted spans are gone."""
     text = F.coalesce(thought, F.lit(""))
-    for span in ("(?s)```.*?```", "`[^`\n]*`", '"[^"\n]*"', "'[^'\n]*'"):
+    for span in ("(?s)```.*?```", "`[^`]*`", '"[^"]*"', "'[^']*'"):
         text = F.regexp_replace(text, span, "")
     return F.length(text).cast("long")
 

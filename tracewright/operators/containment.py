@@ -59,12 +59,15 @@ def hierarchy_codes(hier: DataFrame, depth: int = 64) -> DataFrame:
     return found.groupBy("traj", "node").agg(F.min("code").alias("code"))
 
 
-def view_depths(codes: DataFrame, hier: DataFrame) -> DataFrame:
-    """traj, max_view_depth, avg_view_depth over leaves, max_view_span, avg_view_span over levels."""
-    leaf = codes.join(hier.select("traj", F.col("parent").alias("node")).distinct(), ["traj", "node"], "left_anti")
+def view_depths(codes: DataFrame, hier: DataFrame, visits: DataFrame) -> DataFrame:
+    """traj, max_view_depth, avg_view_depth over visits of leaves, max_view_span, avg_view_span over visits by level.
+
+    visits: traj, node, a row for each time that a run looks there; nodes without a code don't count."""
+    seen = visits.select("traj", "node").join(codes, ["traj", "node"])
+    leaf = seen.join(hier.select("traj", F.col("parent").alias("node")).distinct(), ["traj", "node"], "left_anti")
     deep = leaf.groupBy("traj").agg(F.max(F.size("code")).cast("long").alias("max_view_depth"), F.bround(F.avg(F.size("code")), 2).alias("avg_view_depth"))
-    level = codes.groupBy("traj", F.size("code").alias("_l")).agg(F.count("*").alias("n")).groupBy("traj").agg(F.max("n").alias("max_view_span"), F.bround(F.avg("n"), 2).alias("avg_view_span"))
-    return deep.join(level, "traj")
+    level = seen.groupBy("traj", F.size("code").alias("_l")).agg(F.count("*").alias("n")).groupBy("traj").agg(F.max("n").alias("max_view_span"), F.bround(F.avg("n"), 2).alias("avg_view_span"))
+    return level.join(deep, "traj", "left").select("traj", F.coalesce("max_view_depth", F.lit(0)).cast("long").alias("max_view_depth"), F.coalesce("avg_view_depth", F.lit(0.0)).alias("avg_view_depth"), "max_view_span", "avg_view_span")
 
 
 def zoom_outs(visits: DataFrame) -> DataFrame:

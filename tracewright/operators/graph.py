@@ -19,6 +19,13 @@ def node_occurrences(actions: DataFrame, key: str = "label") -> DataFrame:
     return actions.withColumn("_first", first).withColumn("node_ord", F.dense_rank().over(Window.partitionBy("traj").orderBy("_first")).cast("long") - 1).drop("_first")
 
 
+def in_node_order(occurrences: DataFrame) -> DataFrame:
+    """occurrences with seq numbered anew: by step, within a step by node, within a node by time. Metrics and phase
+    sequences read a run in this order, and the last action of a step is the last one in it."""
+    w = Window.partitionBy("traj").orderBy("step_idx", "node_ord", "seq")
+    return occurrences.withColumn("seq", F.row_number().over(w).cast("long") - 1)
+
+
 def nodes(occurrences: DataFrame) -> DataFrame:
     """A row for each node: the first occurrence's attributes, the last one's value, and all steps in order."""
     return occurrences.groupBy("traj", "node_ord").agg(

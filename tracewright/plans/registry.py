@@ -31,8 +31,9 @@ o AS (SELECT *, dense_rank() OVER (PARTITION BY traj ORDER BY first_seq) - 1 AS
 n AS (SELECT traj, node_ord, min(label) AS label, count(*) AS n_occ, min(step_idx) AS first_step, max(step_idx) AS last_step, arg_max(value, seq) AS last_value FROM o GROUP BY traj, node_ord),
 x0 AS (SELECT *, lag(node_ord) OVER (PARTITION BY traj ORDER BY seq) AS src, lag(step_idx) OVER (PARTITION BY traj ORDER BY seq) AS prev_step FROM o),
 x AS (SELECT traj, seq - 1 AS edge_ord, src, node_ord AS dst, step_idx, step_idx <> prev_step AS is_first_in_step FROM x0 WHERE src IS NOT NULL),
-ap AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY seq) AS pn FROM a WHERE phase = 'patch'),
-p AS (SELECT *, k IN (1, 2) AS failed, CASE k WHEN 1 THEN 'failure: not found' WHEN 2 THEN 'failure: no change' WHEN 3 THEN NULL ELSE 'success' END AS edit_status,
+ao AS (SELECT * EXCLUDE (seq), row_number() OVER (PARTITION BY traj ORDER BY step_idx, node_ord, seq) - 1 AS seq FROM o),
+ap AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY seq) AS pn FROM ao WHERE phase = 'patch'),
+p AS (SELECT *, k IN (1, 2) AS failed, CASE k WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'failure: not found' ELSE 'failure: unknown' END WHEN 2 THEN CASE event_id % 3 WHEN 0 THEN 'failure: no change' WHEN 1 THEN 'failure: invalid code' ELSE 'failure: disk full' END WHEN 3 THEN NULL ELSE 'success' END AS edit_status,
   'f' || CAST(event_id % 3 AS VARCHAR) AS path, event_id % 2 AS old, (event_id // 2) % 2 AS new FROM ap)
 """
 
@@ -65,9 +66,17 @@ def graph_of(spark, sf_dir):
     return o, graph.nodes(o), graph.edges(o)
 
 
+def ordered_of(spark, sf_dir):
+    """The actions as the metrics read them: by step, within it by node."""
+    return graph.in_node_order(graph.node_occurrences(views.event_actions(spark, sf_dir)))
+
+
 def patches_of(spark, sf_dir):
-    a = views.event_actions(spark, sf_dir).where("phase = 'patch'")
-    status = F.when(F.col("k") == 1, "failure: not found").when(F.col("k") == 2, "failure: no change").when(F.col("k") == 0, "success")
+    a = ordered_of(spark, sf_dir).where("phase = 'patch'")
+    rest = F.col("event_id") % 3
+    missed = F.when(F.col("event_id") % 2 == 0, "failure: not found").otherwise("failure: unknown")
+    other = F.when(rest == 0, "failure: no change").when(rest == 1, "failure: invalid code").otherwise("failure: disk full")
+    status = F.when(F.col("k") == 1, missed).when(F.col("k") == 2, other).when(F.col("k") == 0, "success")
     return a.select("traj", "seq", "step_idx", "label", F.col("k").isin(1, 2).alias("failed"), status.alias("edit_status"), F.concat(F.lit("f"), (F.col("event_id") % 3).cast("string")).alias("path"), (F.col("event_id") % 2).alias("old"), (F.floor(F.col("event_id") / 2).cast("long") % 2).alias("new"))
 
 
@@ -193,16 +202,19 @@ def q_inner_edges(spark, sf_dir):
     return graph.inner_edges(e, o)
 
 
-@query("q_localization", BASE + """, z AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY traj) AS c, lag(phase) OVER w AS b FROM a WINDOW w AS (PARTITION BY traj ORDER BY seq)),
+@query("q_localization", BASE + """, z AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY traj) AS c, lag(phase) OVER w AS b FROM ao WINDOW w AS (PARTITION BY traj ORDER BY seq)),
 y AS (SELECT traj, count(*) FILTER (phase = 'localization') AS l, count(*) AS c, count(*) FILTER (phase = 'localization' AND (b IS NULL OR b <> 'localization')) AS loc_num_clusters,
  count(*) FILTER (phase = 'localization' AND i < c // 3) AS e1, count(*) FILTER (phase = 'localization' AND i >= c // 3 AND i < 2 * c // 3) AS e2, count(*) FILTER (phase = 'localization' AND i >= 2 * c // 3) AS e3 FROM z GROUP BY traj)
 SELECT traj, round_even(l / c, 2) AS loc_focus_ratio, loc_num_clusters, CASE WHEN l = 0 THEN 'none' WHEN greatest(e1, e2, e3) / l < 0.5 THEN 'mixed' WHEN e1 = greatest(e1, e2, e3) THEN 'early' WHEN e2 = greatest(e1, e2, e3) THEN 'middle' ELSE 'late' END AS loc_dominant_zone FROM y""")
 def q_localization(spark, sf_dir):
-    return aggregates.localization_metrics(views.event_actions(spark, sf_dir))
+    return aggregates.localization_metrics(ordered_of(spark, sf_dir))
 
 
-@query("q_patch_metrics", BASE + """SELECT traj, count(*) AS patch_total, count(*) FILTER (NOT failed) AS patch_success, count(*) FILTER (k = 1) AS fail_not_found, count(*) FILTER (k = 2) AS fail_no_change,
- CAST(0 AS BIGINT) AS fail_multiple_occurrences, CAST(0 AS BIGINT) AS fail_unknown, CAST(0 AS BIGINT) AS fail_other FROM p GROUP BY traj""")
+@query("q_patch_metrics", BASE + """, kinds AS (SELECT traj, substr(edit_status, 10) AS kind, count(*) AS n FROM p WHERE failed GROUP BY ALL),
+others AS (SELECT traj, string_agg(kind || ':' || CAST(n AS VARCHAR), ',' ORDER BY kind) AS fail_others FROM kinds WHERE kind NOT IN ('not found', 'no change', 'multiple occurrences', 'unknown', 'invalid code') GROUP BY traj)
+SELECT p.traj, count(*) AS patch_total, count(*) FILTER (NOT failed) AS patch_success, count(*) FILTER (edit_status = 'failure: not found') AS fail_not_found, count(*) FILTER (edit_status = 'failure: no change') AS fail_no_change,
+ count(*) FILTER (edit_status = 'failure: multiple occurrences') AS fail_multiple_occurrences, count(*) FILTER (edit_status = 'failure: unknown') AS fail_unknown, count(*) FILTER (edit_status = 'failure: invalid code') AS fail_invalid_code,
+ coalesce(any_value(fail_others), '') AS fail_others FROM p LEFT JOIN others ON others.traj = p.traj GROUP BY p.traj""")
 def q_patch_metrics(spark, sf_dir):
     return patches.patch_metrics(patches_of(spark, sf_dir))
 
@@ -221,15 +233,23 @@ def q_reversals(spark, sf_dir):
     return patches.reversals(patches_of(spark, sf_dir))
 
 
-@query("q_recovery_patterns", BASE + """, en AS (SELECT traj, seq, step_idx, lag(failed) OVER w AS pf, lag(step_idx) OVER w AS ps, failed FROM p WINDOW w AS (PARTITION BY traj ORDER BY seq)),
-ee AS (SELECT traj, seq, step_idx, ps FROM en WHERE pf AND NOT failed), sp AS (SELECT traj, step_idx, arg_max(phase, seq) AS phase FROM a GROUP BY traj, step_idx),
-ii AS (SELECT ee.traj, ee.seq, sp.step_idx, sp.phase FROM ee JOIN sp ON sp.traj = ee.traj AND sp.step_idx > ee.ps AND sp.step_idx < ee.step_idx AND sp.phase <> 'patch'),
-jj AS (SELECT *, lag(phase) OVER (PARTITION BY traj, seq ORDER BY step_idx) AS b FROM ii),
-hh AS (SELECT ee.traj, ee.seq, coalesce(string_agg(jj.phase, '>' ORDER BY jj.step_idx), '') AS pattern FROM ee LEFT JOIN jj ON jj.traj = ee.traj AND jj.seq = ee.seq AND (b IS NULL OR b <> phase) GROUP BY ee.traj, ee.seq),
-cc AS (SELECT traj, pattern, count(*) AS n, min(seq) AS f FROM hh GROUP BY traj, pattern), rr AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY n DESC, f) AS q FROM cc)
+SPANS = BASE + """, en AS (SELECT traj, seq, step_idx, lag(failed) OVER w AS pf, lag(step_idx) OVER w AS ps, failed FROM p WINDOW w AS (PARTITION BY traj ORDER BY seq)),
+sp AS (SELECT traj, step_idx, arg_max(phase, seq) AS phase FROM ao GROUP BY traj, step_idx),
+ii AS (SELECT en.traj, en.seq, pf AND NOT failed AS recovers, g.i AS step_idx, coalesce(sp.phase, 'unknown') AS phase FROM en, LATERAL (SELECT unnest(range(ps + 1, en.step_idx)) AS i) g LEFT JOIN sp ON sp.traj = en.traj AND sp.step_idx = g.i),
+jj AS (SELECT *, lag(phase) OVER (PARTITION BY traj, seq ORDER BY step_idx) AS b FROM ii WHERE phase <> 'patch'),
+hh AS (SELECT traj, seq, recovers, string_agg(phase, '>' ORDER BY step_idx) AS pattern FROM jj WHERE b IS NULL OR b <> phase GROUP BY traj, seq, recovers)
+"""
+
+
+@query("q_recovery_patterns", SPANS + """, cc AS (SELECT traj, pattern, count(*) AS n, min(seq) AS f FROM hh WHERE recovers GROUP BY traj, pattern), rr AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY n DESC, f) AS q FROM cc)
 SELECT traj, pattern, n FROM rr WHERE q = 1""")
 def q_recovery_patterns(spark, sf_dir):
-    return patches.recovery_patterns(views.event_actions(spark, sf_dir), patches_of(spark, sf_dir))
+    return patches.recovery_patterns(ordered_of(spark, sf_dir), patches_of(spark, sf_dir))
+
+
+@query("q_reasoning_spans", SPANS + "SELECT traj, pattern, count(*) AS n FROM hh GROUP BY traj, pattern")
+def q_reasoning_spans(spark, sf_dir):
+    return patches.reasoning_spans(ordered_of(spark, sf_dir), patches_of(spark, sf_dir))
 
 
 @query("q_overlap_regions", BASE + """, fg AS (SELECT traj, bool_or(phase = 'validation') AS validates, bool_or(event_type = 'error' AND k = 3) AS errs, bool_or(phase = 'patch' AND k = 1) AS retries FROM a GROUP BY traj),
@@ -292,9 +312,14 @@ px AS (SELECT traj, path, g.i AS depth, '/' || array_to_string(parts[1:g.i], '/'
 """
 
 
-@query("q_closest_parents", PATHS + "SELECT px.traj, px.path AS child, arg_max(px.prefix, px.depth) AS parent FROM px JOIN d ON d.traj = px.traj AND d.path = px.prefix GROUP BY px.traj, px.path")
+@query("q_closest_parents", PATHS + """, t AS (SELECT traj, path, parts FROM d UNION SELECT traj, prefix, list_filter(string_split(prefix, '/'), lambda x: x <> '') FROM px WHERE length(prefix) % 2 = 0),
+ax AS (SELECT traj, path, g.i AS depth, '/' || array_to_string(parts[1:g.i], '/') AS prefix FROM t, LATERAL (SELECT unnest(range(1, len(parts))) AS i) g)
+SELECT ax.traj, ax.path AS child, arg_max(ax.prefix, ax.depth) AS parent FROM ax JOIN t ON t.traj = ax.traj AND t.path = ax.prefix GROUP BY ax.traj, ax.path""")
 def q_closest_parents(spark, sf_dir):
-    return containment.closest_parents(views.page_paths(spark, sf_dir))
+    """Pages, and those of their directories whose path has an even length: some closest ones are further up."""
+    p = views.page_paths(spark, sf_dir)
+    some = p.select("traj", F.explode(containment.prefixes("path")).alias("p")).select("traj", F.col("p.prefix").alias("path")).where(F.length("path") % 2 == 0)
+    return containment.closest_parents(p.select("traj", "path").unionByName(some))
 
 
 @query("q_footprint", PATHS + """, s AS (SELECT traj, path, seq AS step_idx, max(seq % 3) AS r FROM u WHERE path <> '' GROUP BY ALL), g AS (SELECT traj, path, min(step_idx) AS first_step, max(step_idx) AS last_step, count(*) FILTER (r = 0) AS seen, count(*) FILTER (r = 1) AS views, count(*) FILTER (r = 2) AS edits FROM s GROUP BY traj, path)
@@ -312,7 +337,7 @@ def q_directory_rollup(spark, sf_dir):
 
 
 BARE = """WITH RECURSIVE e AS (SELECT user_id AS traj, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events),
-f AS (SELECT *, min(seq) OVER (PARTITION BY traj, event_type) AS fs FROM e WHERE seq < 12), o AS (SELECT *, dense_rank() OVER (PARTITION BY traj ORDER BY fs) - 1 AS node FROM f),
+f AS (SELECT *, min(seq) OVER (PARTITION BY traj, event_type) AS fs FROM e), o AS (SELECT *, dense_rank() OVER (PARTITION BY traj ORDER BY fs) - 1 AS node FROM f),
 x AS (SELECT DISTINCT traj, src, dst FROM (SELECT traj, lag(node) OVER (PARTITION BY traj ORDER BY seq) AS src, node AS dst FROM o) WHERE src IS NOT NULL)"""
 
 
@@ -351,12 +376,13 @@ def grouped_sequences(spark, sf_dir):
     return patterns.sequences(phases.phase_runs(a), views.event_status(a).withColumnRenamed("status", "grp"))
 
 
-SEQS = BASE + """, q AS (SELECT status AS grp, traj, run_no, abbr FROM r JOIN st USING (traj) WHERE run_no < 20), total AS (SELECT grp, count(DISTINCT traj) AS total FROM q GROUP BY grp),
-sl AS (SELECT DISTINCT b.grp, b.traj, string_agg(l.abbr, '' ORDER BY l.run_no) AS pattern FROM q b JOIN (SELECT unnest(range(1, 13)) AS n) g ON true JOIN q l ON l.traj = b.traj AND l.run_no >= b.run_no AND l.run_no < b.run_no + g.n GROUP BY b.grp, b.traj, b.run_no, g.n)
+SEQS = BASE + """, q AS (SELECT status AS grp, traj, string_agg(abbr, '' ORDER BY run_no) AS letters, list(len ORDER BY run_no) AS lens FROM r JOIN st USING (traj) GROUP BY status, traj), total AS (SELECT grp, count(*) AS total FROM q GROUP BY grp),
+sl AS (SELECT DISTINCT grp, traj, substr(letters, i, n) AS pattern FROM (SELECT *, unnest(range(1, length(letters) - i + 2)) AS n FROM (SELECT *, unnest(range(1, length(letters) + 1)) AS i FROM q))),
+cp AS (SELECT grp, pattern, count(*) AS n, count(*) / any_value(total) AS support FROM sl JOIN total USING (grp) GROUP BY grp, pattern HAVING count(*) / any_value(total) >= 0.3)
 """
 
 
-@query("q_contiguous_patterns", SEQS + "SELECT grp, pattern, count(*) AS n, round(count(*) / any_value(total), 6) AS support FROM sl JOIN total USING (grp) GROUP BY grp, pattern HAVING count(*) / any_value(total) >= 0.3")
+@query("q_contiguous_patterns", SEQS + "SELECT grp, pattern, n, round(support, 6) AS support FROM cp")
 def q_contiguous_patterns(spark, sf_dir):
     return patterns.contiguous(grouped_sequences(spark, sf_dir)).withColumn("pattern", F.array_join("pattern", "")).withColumn("support", F.round("support", 6))
 
@@ -367,6 +393,19 @@ def q_longest_patterns(spark, sf_dir):
     return patterns.with_text(patterns.longest_patterns(seqs, patterns.contiguous(seqs)))
 
 
+@query("q_longest_supports", SEQS + """, lp AS (SELECT grp, pattern FROM (SELECT *, max(length(pattern)) OVER (PARTITION BY grp) AS m FROM cp) WHERE length(pattern) = m),
+pos AS (SELECT grp, pattern, k, string_agg('[^' || substr(pattern, j, 1) || ']*' || substr(pattern, j, 1), '' ORDER BY j) AS re FROM (SELECT *, unnest(range(1, k + 1)) AS j FROM (SELECT *, unnest(range(1, length(pattern) + 1)) AS k FROM lp)) GROUP BY grp, pattern, k),
+ma AS (SELECT q.grp, q.traj, pattern, k, lens, length(regexp_extract(letters, '^' || re)) AS hit FROM pos JOIN q USING (grp)),
+pc AS (SELECT grp, pattern, round_even(count(*) FILTER (k = length(pattern) AND hit > 0) * 100.0 / any_value(total), 0) AS pct FROM ma JOIN total USING (grp) GROUP BY grp, pattern),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY pct DESC, pattern DESC) AS q FROM pc) WHERE q = 1),
+full_ AS (SELECT grp, pattern, traj FROM ma WHERE k = length(pattern) AND hit > 0)
+SELECT best.grp, best.pattern, CAST(pct AS DOUBLE) AS pct, (SELECT string_agg(CAST(low AS VARCHAR), ' ' ORDER BY k) FROM (SELECT k, min(lens[hit]) AS low FROM ma JOIN full_ USING (grp, pattern, traj) WHERE ma.grp = best.grp AND ma.pattern = best.pattern GROUP BY k)) AS lower FROM best""")
+def q_longest_supports(spark, sf_dir):
+    seqs = grouped_sequences(spark, sf_dir)
+    found = patterns.longest_patterns(seqs, patterns.contiguous(seqs))
+    return found.select("grp", F.array_join("pattern", "").alias("pattern"), F.col("pct").cast("double").alias("pct"), F.array_join(F.transform("lower", lambda x: x.cast("string")), " ").alias("lower"))
+
+
 @query("q_start_end", BASE + """, ins AS (SELECT DISTINCT traj, dst AS node_ord FROM x), outs AS (SELECT DISTINCT traj, src AS node_ord FROM x),
 kn2 AS (SELECT n.traj, n.node_ord, first_step, last_step, ins.node_ord IS NOT NULL AS has_in, outs.node_ord IS NOT NULL AS has_out, CAST(n.node_ord AS VARCHAR) || ':' || label AS key
  FROM n LEFT JOIN ins ON ins.traj = n.traj AND ins.node_ord = n.node_ord LEFT JOIN outs ON outs.traj = n.traj AND outs.node_ord = n.node_ord),
@@ -377,18 +416,25 @@ def q_start_end(spark, sf_dir):
     return graph.start_end(n, graph.exec_pairs(e))
 
 
-@query("q_thought_lengths", r"""SELECT doc_id, length(text) AS raw, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', '', 'g'), '`[^`\n]*`', '', 'g'), '"[^"\n]*"', '', 'g'), '''[^''\n]*''', '', 'g')) AS clean FROM documents""")
+@query("q_thought_lengths", r"""WITH t AS (SELECT doc_id, translate(text, 'xqz', '`"''') AS text FROM documents)
+SELECT doc_id, coalesce(length(text), 0) AS raw, coalesce(length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', '', 'g'), '`[^`]*`', '', 'g'), '"[^"]*"', '', 'g'), '''[^'']*''', '', 'g')), 0) AS clean FROM t""")
 def q_thought_lengths(spark, sf_dir):
-    d = views.table(spark, sf_dir, "documents")
+    """The letters x, q and z stand in for marks, so that spans are many and cross lines."""
+    d = views.table(spark, sf_dir, "documents").withColumn("text", F.translate("text", "xqz", "`\"'"))
     return d.select("doc_id", text.thought_length_raw(F.col("text")).alias("raw"), text.thought_length_clean(F.col("text")).alias("clean"))
 
 
-@query("q_outcomes", r"""SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'neutral'
- WHEN regexp_matches(lower(text), 'traceback \(most recent call last\)|error:|exception:|failed|failure|assertion|syntaxerror|nameerror|typeerror') THEN 'failure'
- WHEN regexp_matches(lower(text), 'success|passed|has been edited|created successfully') THEN 'success' ELSE 'neutral' END AS outcome FROM documents""")
+@query("q_outcomes", r"""WITH t AS (SELECT event_id, event_type = 'view' AS seen, lower(CASE CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 5 WHEN 0 THEN 'The file has been edited. ' || props WHEN 1 THEN 'TypeError: ' || props WHEN 2 THEN props
+ WHEN 3 THEN 'The path ' || event_type || ' does not exist. Please provide a valid path.' ELSE '' END) AS low FROM events)
+SELECT event_id, CASE WHEN low = '' THEN 'neutral' WHEN seen THEN CASE WHEN regexp_matches(low, '^the path .+ does not exist\. please provide a valid path\.?$') THEN 'failure' ELSE 'neutral' END
+ WHEN regexp_matches(low, 'traceback \(most recent call last\)|error:|exception:|failed|failure|assertion|syntaxerror|nameerror|typeerror') THEN 'failure'
+ WHEN regexp_matches(low, 'success|passed|has been edited|created successfully') THEN 'success' ELSE 'neutral' END AS outcome FROM t""")
 def q_outcomes(spark, sf_dir):
-    none = F.lit(None).cast("string")
-    return views.table(spark, sf_dir, "documents").select("doc_id", text.observation_outcome(none, none, F.col("text")).alias("outcome"))
+    e = views.table(spark, sf_dir, "events").withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("long") % 5)
+    said = F.when(F.col("k") == 0, F.concat(F.lit("The file has been edited. "), "props")).when(F.col("k") == 1, F.concat(F.lit("TypeError: "), "props")).when(F.col("k") == 2, F.col("props"))
+    said = said.when(F.col("k") == 3, F.concat(F.lit("The path "), "event_type", F.lit(" does not exist. Please provide a valid path."))).otherwise("")
+    seen = F.col("event_type") == "view"
+    return e.select("event_id", text.observation_outcome(F.when(seen, text.EDITOR), F.when(seen, "view"), said).alias("outcome"))
 
 
 def with_directories(paths):
@@ -412,13 +458,14 @@ def q_tree_parents(spark, sf_dir):
     return containment.closest_parents(with_directories(views.page_paths(spark, sf_dir)))
 
 
-@query("q_view_depths", TREE + """, nd AS (SELECT traj, parent AS node FROM hp UNION SELECT traj, child FROM hp), lv AS (SELECT traj, node, length(node) - length(replace(node, '/', '')) AS l FROM nd),
-lf AS (SELECT lv.traj, max(l) AS max_view_depth, round_even(avg(l), 2) AS avg_view_depth FROM lv WHERE NOT EXISTS (SELECT 1 FROM hp WHERE hp.traj = lv.traj AND hp.parent = lv.node) GROUP BY lv.traj),
+@query("q_view_depths", TREE + """, vis AS (SELECT traj, path AS node FROM u WHERE path <> ''), lv AS (SELECT traj, node, length(node) - length(replace(node, '/', '')) AS l FROM vis),
+lf AS (SELECT traj, max(l) AS max_view_depth, round_even(avg(l), 2) AS avg_view_depth FROM lv WHERE NOT EXISTS (SELECT 1 FROM hp WHERE hp.traj = lv.traj AND hp.parent = lv.node) GROUP BY traj),
 sp AS (SELECT traj, max(c) AS max_view_span, round_even(avg(c), 2) AS avg_view_span FROM (SELECT traj, l, count(*) AS c FROM lv GROUP BY traj, l) GROUP BY traj)
-SELECT lf.*, max_view_span, avg_view_span FROM lf JOIN sp ON sp.traj = lf.traj""")
+SELECT sp.traj, coalesce(max_view_depth, 0) AS max_view_depth, coalesce(avg_view_depth, 0) AS avg_view_depth, max_view_span, avg_view_span FROM sp LEFT JOIN lf ON sp.traj = lf.traj""")
 def q_view_depths(spark, sf_dir):
     hier, codes = page_codes(spark, sf_dir)
-    return containment.view_depths(codes, hier)
+    visits = views.page_paths(spark, sf_dir).where("path <> ''").select("traj", F.col("path").alias("node"))
+    return containment.view_depths(codes, hier, visits)
 
 
 @query("q_stream_listing", "SELECT CAST(user_id AS VARCHAR) AS session, count(*) AS records, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us FROM events GROUP BY user_id")
