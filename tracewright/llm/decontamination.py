@@ -9,28 +9,39 @@ of 2e + 1 diagonals, retain bands that reach the bound, and verify them by bande
 Characters are bytes of the UTF-8 text with A-Z in lower case and white space (U+0009 to U+000D) as a space.
 
 The segments travel with the code. Their size is checked: a benchmark of more than `block_bytes` is taken in blocks,
-each against all documents.
+each against all documents, one after the other, so that workers hold one index at a time. Texts longer than CHUNK are
+looked through in overlapping parts.
 
-Defined results: null and empty texts and items match nothing; items of fewer than `least` characters are skipped, as
-chance would find them; rows that repeat each give their matches; an empty table gives none. Extra columns are not read.
+A quote of segment * 3 / 2 characters of a longer item holds a whole segment, wherever it begins: from that length on
+(144 as set) a match is sure, within the budget.
+
+Items of fewer than `least` characters leave no room for edits: they match where a text holds them whole, with no
+letter or digit right before or after (an automaton finds them all in one pass).
+
+Defined results: null and empty texts and items match nothing, nor do items of white space; rows that repeat each give their matches; an empty table gives none. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
+import ahocorasick
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import total_bytes, worker_cache
+from tracewright.llm.common import total_bytes, worker_cache, written
 
 MATCHES = "doc_id long, item_id long, start int, length int, edits int"
 Q = 8
 FOLD = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 TABLE_BITS = 22
+CHUNK = 4_000_000
+WORDY = re.compile(rb"[0-9a-z\x80-\xff]")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,9 +76,12 @@ def banded_distance(segment: bytes, region: bytes, budget: int) -> tuple[int, in
 class Index:
     def __init__(self, items: list[tuple[int, str]], ratio: float, segment: int, least: int):
         self.segments: list[tuple[int, bytes, int, int]] = []
+        short: dict[str, list[int]] = {}
         for item_id, text in items:
             data = folded(text).strip()
             if len(data) < least:
+                if data:
+                    short.setdefault(data.decode("latin-1"), []).append(item_id)
                 continue
             n = max(1, math.ceil((len(data) - segment) / (segment // 2)) + 1) if len(data) > segment else 1
             for k in range(n):
@@ -86,14 +100,37 @@ class Index:
         self.edits = np.asarray([e for _, _, e, _ in self.segments], np.int64)
         self.need = np.asarray([t for _, _, _, t in self.segments], np.int64)
         self.reach = max((len(s) + e for _, s, e, _ in self.segments), default=0)
+        self.short = ahocorasick.Automaton() if short else None
+        for data, ids in short.items():
+            self.short.add_word(data, (len(data), ids))
+        if self.short:
+            self.short.make_automaton()
 
     @staticmethod
     def slot(g: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return (g * MIX) >> np.uint64(64 - TABLE_BITS)
 
+    def whole(self, data: bytes) -> list[tuple[int, int, int]]:
+        """(item, start, end) of short items that stand there whole."""
+        found = []
+        for last, (n, ids) in self.short.iter(data.decode("latin-1")) if self.short else ():
+            start, end = last + 1 - n, last + 1
+            before, after = data[start - 1 : start] if start else b"", data[end : end + 1]
+            if not (WORDY.match(before) and WORDY.match(data[start : start + 1])) and not (WORDY.match(after) and WORDY.match(data[last:end])):
+                found += [(item, start, end) for item in ids]
+        return found
+
     def matches(self, data: bytes) -> list[tuple[int, int, int, int]]:
         """(segment, start, end, edits) of all verified places."""
+        if len(data) <= CHUNK:
+            return self._matches(data)
+        overlap, out = 4 * self.reach + 64, []
+        for at in range(0, len(data), CHUNK):
+            out += [(s, start + at, end + at, edits) for s, start, end, edits in self._matches(data[at : at + CHUNK + overlap])]
+        return out
+
+    def _matches(self, data: bytes) -> list[tuple[int, int, int, int]]:
         if not self.segments or len(data) < Q:
             return []
         hit = np.flatnonzero(self.table[self.slot(grams(data))])
@@ -133,9 +170,9 @@ def indexes(benchmark: DataFrame, ratio: float, segment: int, least: int, block_
     """Broadcast indexes, each of a block of the benchmark of about `block_bytes` at most."""
     sc, blocks = benchmark.sparkSession.sparkContext, max(1, math.ceil(total_bytes(benchmark) / block_bytes))
     for k in range(blocks):
-        part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         items = [(r["item_id"], r["text"]) for r in part.select("item_id", "text").collect()]
-        yield sc.broadcast(Index(items, ratio, segment, least))
+        yield sc.broadcast(Index(items, ratio, segment, least)), k + 1 < blocks
 
 
 def best_matches(index: Index, texts: list[str | None], chars: int = 2_000_000) -> dict[tuple[int, int], tuple[int, int, int]]:
@@ -153,6 +190,10 @@ def best_matches(index: Index, texts: list[str | None], chars: int = 2_000_000)
             k = int(np.searchsorted(starts, (start + end) // 2, "right")) - 1
             key, new = (first + k, index.segments[s][0]), (edits, max(0, int(start - starts[k])), end - start)
             best[key] = min(best.get(key, new), new)
+        for k, part in enumerate(parts):
+            for item, start, end in index.whole(part):
+                key, new = (first + k, item), (0, start, end - start)
+                best[key] = min(best.get(key, new), new)
         first = upto
     return best
 
@@ -173,7 +214,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.08, segment
 
         return docs.select("doc_id", "text").mapInArrow(find, MATCHES)
 
-    return reduce(DataFrame.unionByName, [against(i) for i in indexes(benchmark, ratio, segment, least, block_bytes)])
+    found = []
+    for index, more in indexes(benchmark, ratio, segment, least, block_bytes):
+        found.append(against(index))
+        if more or len(found) > 1:  # the next index takes its place
+            found[-1] = written(found[-1])
+            index.destroy()
+    return reduce(DataFrame.unionByName, found)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.08, segment: int = 96, least: int = 40, block_bytes: int = 16 << 20) -> DataFrame:
@@ -189,6 +236,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, ratio: float = 0.08
 
         return keep
 
-    for index in indexes(benchmark, ratio, segment, least, block_bytes):
+    for index, more in indexes(benchmark, ratio, segment, least, block_bytes):
         docs = docs.mapInArrow(without(index), schema)
+        if more:  # the next index takes its place
+            docs = written(docs)
+            index.destroy()
     return docs

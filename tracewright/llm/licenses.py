@@ -1,22 +1,27 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in DataFrame functions alone.
 
-A text's words are cut into overlapping blocks. A block matches a template when it holds at least `threshold` of the
-template's distinct words. All words are put in one global order, rarest first by their counts over all documents. Then
+A text's words are cut into overlapping blocks, for each template at least twice as long as it is, so that a template
+that stands there whole lies within one block (and at least `block` words). A block matches a template when it holds at
+least `threshold` of the template's distinct words. All words are put in one global order, rarest first by their counts
+over all documents. Then
 
-- length filter: a block needs as many distinct words as the overlap the template asks for;
 - prefix filter: a match shares a word of the template's first n - overlap + 1 in that order;
-- positional filter: from the first shared word, what is left of template and block must still reach the overlap;
+- length filter: a block needs as many distinct template words as the overlap the template asks for;
+- positional filter: from the first word shared in the prefix, what follows in the template and what follows in the
+  block must still reach the overlap;
 
-and what passes is verified by the whole intersection. Only template words can match, so blocks are reduced to them
-before anything moves. Templates and phrases are parameters of a fixed size.
+and only what passes is verified by the whole intersection. Only template words can match, so blocks are reduced to
+them, in the global order, first. Templates and phrases are parameters; templates may span lines and be of any length.
 
-Defined results: a null text is empty; no word gives n_words 0, null places and score 0; rows that repeat each give a
-row; an empty table gives none. Of extra columns those named like added ones become in_<name>, the rest pass through.
+Defined results: a null text is empty; no word gives n_words 0, null places, score 0 and no blocks; rows that repeat each
+give a row; an empty table gives none. Of extra columns those named like added ones become in_<name>, the rest pass
+through.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +42,8 @@ TEMPLATES = [
     ("proprietary", "all rights reserved no part of this work may be reproduced without written permission"),
 ]
 BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-ADDED = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+BLOCKS = "array<struct<share:double,label:string,first:bigint,words:bigint>>"
+ADDED = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]
 
 
 def spaced(text: Column) -> Column:
@@ -50,12 +56,24 @@ def count_of(text: Column, what: str) -> Column:
     return F.size(F.split(text, what, -1)) - 1
 
 
+def template_words(text: str) -> list[str]:
+    """A template's words as texts have them."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    return re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", low)
+
+
+def literal(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+
+
 def scanned(docs: DataFrame, *, threshold: float = 0.8, block: int = 32, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
-    """docs with n_words, n_base, first_word, last_word, base_labels, labels and score (the largest containment)."""
+    """docs with n_words, n_base, first_word, last_word, base_labels, labels, score (the largest containment) and blocks
+    (label, share, first word and number of words of each text block that matches a template)."""
     docs = unclash(docs, ADDED)
     spark = docs.sparkSession
-    words = {label: list(dict.fromkeys(text.split())) for label, text in templates}
-    vocabulary = sorted({w for own in words.values() for w in own})
+    whole = {label: template_words(text) for label, text in templates}
+    sets = {label: list(dict.fromkeys(own)) for label, own in whole.items() if own}
+    vocabulary = sorted({w for own in sets.values() for w in own})
     lines = docs.withColumn("_words", spaced(F.col("text")))
 
     # The global order: how often each template word stands in all texts, rarest first, ties by the word.
@@ -63,30 +81,37 @@ def scanned(docs: DataFrame, *, threshold: float = 0.8, block: int = 32, templat
     counted = lines.select(F.explode(F.split("_words", " ")).alias("word")).join(F.broadcast(known), "word").groupBy("word").count()
     counts = {r["word"]: r["count"] for r in counted.collect()}
     order = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    sets = {label: sorted(own, key=order.get) for label, own in words.items()}
+    sets = {label: sorted(own, key=order.get) for label, own in sets.items()}
     overlap = {label: math.ceil(threshold * len(own) - 1e-9) for label, own in sets.items()}
     prefix = {label: own[: len(own) - overlap[label] + 1] for label, own in sets.items()}
+    by_length: dict[int, list[str]] = {}
+    for label in sets:
+        n = max(block, 1 << (2 * len(whole[label]) - 1).bit_length())
+        by_length.setdefault(n, []).append(label)
+
+    def matching(own: Column, start: Column, length: int, label: str) -> Column:
+        """What a block gives for a template, null unless it passes the filters in turn and reaches the overlap."""
+        words, need = sets[label], overlap[label]
+        first = F.element_at(F.array_intersect(literal(prefix[label]), own), 1)
+        left = F.least(F.lit(len(words)) - F.array_position(literal(words), first), F.size(own) - F.array_position(own, first))
+        both = F.size(F.array_intersect(literal(words), own))
+        found = F.struct((both / F.lit(len(words))).alias("share"), F.lit(label).alias("label"), start.cast("long").alias("first"), F.lit(length).cast("long").alias("words"))
+        return F.when(F.arrays_overlap(own, literal(prefix[label])), F.when((F.size(own) >= need) & (left + 1 >= need), F.when(both >= need, found)))
 
-    # Blocks of texts that hold a prefix word, as the sets of their template words in the global order.
     some = sorted({w for own in prefix.values() for w in own})
-    split = F.split(F.trim("_words"), " ")
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_all") - 1), F.lit(block // 2))
-
-    def containment(own_words: Column) -> Column:
-        """By label, the share of the template that a block holds, for those that pass the filters and reach it."""
-        found = []
-        for label, own in sets.items():
-            need = overlap[label]
-            marks = F.array_intersect(F.array(*[F.lit(w) for w in own]), own_words)  # in the global order
-            first = F.array_position(F.array(*[F.lit(w) for w in own]), F.element_at(marks, 1))
-            passes = (F.size(own_words) >= need) & (first <= len(prefix[label])) & (F.lit(len(own)) - first + 1 >= need)
-            found.append(F.when(F.arrays_overlap(own_words, F.array(*[F.lit(w) for w in prefix[label]])), F.when(passes & (F.size(marks) >= need), F.struct((F.size(marks) / F.lit(len(own))).alias("share"), F.lit(label).alias("label")))))
-        return F.filter(F.array(*found), lambda x: x.isNotNull())
-
-    cut = F.transform(starts, lambda s: F.array_distinct(F.slice("_all", s + 1, block)))
-    marked = F.flatten(F.transform(F.col("_blocks"), containment))
-    lines = lines.withColumn("_all", F.when(F.col("_words").rlike(f" (?:{'|'.join(some)}) "), split))
-    lines = lines.withColumn("_blocks", F.when(F.col("_all").isNotNull(), cut)).withColumn("_found", F.coalesce(marked, F.array()))
+    holds = F.col("_words").rlike(f" (?:{'|'.join(map(re.escape, some))}) ") if some else F.lit(False)
+    lines = lines.withColumn("_all", F.when(holds, F.split(F.trim("_words"), " ")))
+
+    def matches(length: int, labels: list[str]) -> Column:
+        """All that the blocks of one length give."""
+        in_order = literal(sorted({w for label in labels for w in sets[label]}, key=order.get))
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_all") - 1), F.lit(length // 2))
+        reduced = F.transform(starts, lambda s: F.struct(s.alias("s"), F.array_intersect(in_order, F.slice("_all", s + 1, length)).alias("own")))
+        each = lambda b: F.filter(F.array(*[matching(b["own"], b["s"], length, x) for x in labels]), lambda x: x.isNotNull())
+        return F.flatten(F.transform(reduced, each))
+
+    parts = [F.array().cast(BLOCKS), *[matches(n, labels) for n, labels in by_length.items()]]
+    lines = lines.withColumn("_found", F.when(F.col("_all").isNotNull(), F.concat(*parts)).otherwise(F.array().cast(BLOCKS)))
 
     places = [count_of(F.col("_words"), f" {p}(?= )") for p in phrases]
     firsts, lasts = [], []
@@ -105,4 +130,5 @@ def scanned(docs: DataFrame, *, threshold: float = 0.8, block: int = 32, templat
         F.array_join(F.array_distinct(base), ",").alias("base_labels"),
         F.array_join(found, ",").alias("labels"),
         F.coalesce(F.array_max(F.transform("_found", lambda x: x["share"])), F.lit(0.0)).alias("score"),
+        F.transform("_found", lambda x: F.struct(x["label"].alias("label"), x["share"].alias("share"), x["first"].alias("first"), F.least(x["words"], F.size("_all") - x["first"]).alias("words"))).alias("blocks"),
     )

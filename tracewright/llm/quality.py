@@ -100,7 +100,9 @@ class Trees:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """The probability of good quality, all rows and trees at once."""
-        f = self.flat()
+        if not hasattr(self, "_flat"):
+            self._flat = self.flat()
+        f = self._flat
         if not len(f["roots"]):
             return np.full(len(x), 1 / (1 + np.exp(-self.start)))
         at = np.broadcast_to(f["roots"], (len(x), len(f["roots"]))).copy()

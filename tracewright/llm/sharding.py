@@ -5,8 +5,11 @@ Fisher-Yates shuffle of each bucket (Spark's shuffle() on an array is one) and w
 its key and the number of shards alone (rendezvous hashing: the shard with the highest hash wins), so one more shard
 takes records only into itself.
 
+Rows that agree on key and text share a bucket, unless they repeat so often that they would fill a good part of it:
+these are scattered one by one.
+
 Defined results: a null text counts as empty (size 1, crc32 0); a null key hashes like any other value; rows that
-repeat in full share a bucket and get a slot each; an empty table gives an empty table; input columns named like an
+repeat get a slot each; an empty table gives an empty table; input columns named like an
 added one (size, text_crc32, shard, bucket, slot, grown_shard) become in_<name>. Columns of map type pass through.
 """
 
@@ -15,8 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import parts_for, shared_dir, text_bytes, total_bytes, unclash
+from tracewright.llm.common import parts_for, shared_dir, text_bytes, unclash
 
+#: What a record takes besides its text.
+ROW_BYTES = 100
 ADDED = ["size", "text_crc32", "shard", "bucket", "slot", "grown_shard"]
 
 
@@ -34,13 +39,18 @@ def shuffled_shards(docs: DataFrame, shards: int = 8, *, key: str = "doc_id", se
     """
     spark = docs.sparkSession
     docs = unclash(docs, ADDED)
-    per_shard = parts_for(total_bytes(docs), bucket_bytes * shards)
+    n_bytes = int(docs.agg(F.sum(text_bytes() + ROW_BYTES)).first()[0] or 0)
+    per_shard = parts_for(n_bytes, bucket_bytes * shards)
     payload = docs.columns
-    placed = docs.select(
-        F.xxhash64(F.lit(seed + 1), F.col(key), F.col("text")).alias("_draw"),
-        rendezvous(F.col(key), shards, seed).alias("shard"),
-        F.struct(*payload).alias("_row"),
-    ).withColumn("bucket", F.pmod("_draw", F.lit(per_shard)).cast("int"))
+    same = F.xxhash64(F.lit(seed + 1), F.col(key), F.col("text"))
+    counts = docs.groupBy(same.alias("_draw")).agg(F.count("*").alias("_copies"), F.max(text_bytes()).alias("_bytes"))
+    # Rows that repeat so often that they would fill a good part of a bucket: at most as many as a few for each bucket.
+    often = counts.where((F.col("_copies") > 1) & (F.col("_copies") * (F.col("_bytes") + ROW_BYTES) * 4 > bucket_bytes)).select("_draw")
+    draw = same.alias("_draw")
+    if not often.isEmpty():
+        docs = docs.withColumn("_draw", same).join(often.withColumn("_often", F.lit(True)), "_draw", "left")
+        draw = F.when(F.col("_often"), F.xxhash64("_draw", F.monotonically_increasing_id())).otherwise(F.col("_draw")).alias("_draw")
+    placed = docs.select(draw, rendezvous(F.col(key), shards, seed).alias("shard"), F.struct(*payload).alias("_row")).withColumn("bucket", F.pmod("_draw", F.lit(per_shard)).cast("int"))
     in_order = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("_n")).select("shard", "bucket", F.coalesce(F.sum("_n").over(in_order), F.lit(0)).alias("_start"))
     scattered = placed.select("shard", "bucket", F.struct("_draw", "_row").alias("_item")).repartition(shards * per_shard, "shard", "bucket")

@@ -4,7 +4,7 @@ An Aho-Corasick automaton finds every vocabulary piece in a unit of text; dynami
 the best score and how many tokens lead there. Ties go as in the tokenizers library's unigram model: of equal paths to
 a place the one whose last piece begins first stays; a character that is no piece costs ten below the least score, and
 stands for one token for each of its bytes. Blanks become U+2581, which only begins pieces, so units between blanks are
-counted alone and each is counted once (up to `MEMO` are kept by a worker).
+counted alone and each is counted once (a worker keeps `MEMO_BYTES` of them).
 
 The vocabulary is the pieces and scores of a public model file, whose path is a parameter.
 
@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame
 
 from tracewright.llm.common import worker_cache
 
-MARK, MEMO, UNKNOWN_PENALTY = "▁", 600_000, 10.0
+MARK, UNKNOWN_PENALTY = "▁", 10.0
+#: Bytes of units kept by a worker, with about so many for each besides its characters.
+MEMO_BYTES, ENTRY_BYTES = 96_000_000, 130
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -40,6 +42,7 @@ class Counter:
         self.find.make_automaton()
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
         self.memo: dict[str, int] = {}
+        self.held = 0
 
     def tokens(self, unit: str) -> int:
         """Of one unit, its mark included."""
@@ -61,8 +64,9 @@ class Counter:
         return count[size]
 
     def counts(self, texts: list[str | None]) -> list[int]:
-        if len(self.memo) > MEMO:
+        if self.held > MEMO_BYTES:
             self.memo.clear()
+            self.held = 0
         split = []
         for t in texts:
             units = t.split(" ") if t else []
@@ -70,6 +74,7 @@ class Counter:
         for units in split:
             for unit in set(filterfalse(self.memo.__contains__, units)):
                 self.memo[unit] = self.tokens(MARK + unit)
+                self.held += 2 * len(unit) + ENTRY_BYTES
         return [sum(map(self.memo.__getitem__, units)) for units in split]
 
 

@@ -4,7 +4,8 @@ At most `max_rows` labelled rows, those with the least hash of doc_id, train and
 one label one counts. Terms are words in lower case and their beginnings of four and five letters. The vocabulary is all
 terms that an example has, and all examples are in the index. Document frequencies are counted over all documents. A
 term that toxic examples have more often weighs one plus its log-likelihood ratio times as much as another; none is left
-out. A query adds up the postings of all its terms, so the k nearest are exact (ties: the smaller doc_id). Votes weighted
+out. Block-max bounds say which blocks of examples a query need not look through; the k nearest are exact (ties: the
+smaller doc_id). Votes weighted
 by closeness give a raw score, which an isotonic fit on the examples (each scored without itself) makes a probability.
 Each row carries its nearest examples as evidence.
 
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import mixed, rolling, word_hashes, words, worker_cache, written
 
 EDGE = ".,;:!?\"'()[]{}*#|<>-_/\\&%$"
-MEMO = 400_000
+#: Bytes of words kept by a worker, with about so many for what is known of each; terms counted before they are sent on.
+MEMO_BYTES, ENTRY_BYTES, MEMO = 64_000_000, 200, 400_000
+TIE = 1e-6
 #: One MinHash value each; near copies agree on all.
 SALTS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 EVIDENCE = "array<struct<doc_id:bigint,toxic:int,similarity:double>>"
@@ -47,18 +50,22 @@ class Terms:
     """From words to vocabulary numbers, with a bounded memory."""
 
     def __init__(self, vocabulary: list[str]):
-        self.number, self.memo = {t: k for k, t in enumerate(vocabulary)}, {}
+        self.number, self.memo, self.held = {t: k for k, t in enumerate(vocabulary)}, {}, 0
 
     def _found(self, own: list[bytes]) -> list[tuple[int, ...]]:
         memo = self.memo
-        if len(memo) > MEMO:
+        if self.held > MEMO_BYTES:
             memo.clear()
+            self.held = 0
         found = list(map(memo.get, own))
         if None in found:
             for k, f in enumerate(found):
                 if f is None:
                     w = own[k]
-                    memo[w] = found[k] = tuple([self.number[t] for t in terms_of(w) if t in self.number])
+                    if w not in memo:
+                        memo[w] = tuple([self.number[t] for t in terms_of(w) if t in self.number])
+                        self.held += len(w) + ENTRY_BYTES
+                    found[k] = memo[w]
         return found
 
     def numbers(self, text: str | None) -> list[int]:
@@ -71,22 +78,53 @@ class Terms:
         return t, w / np.sqrt((w * w).sum()) if len(t) else w
 
 
-class Postings:
-    """Examples by term; exact k nearest by cosine."""
+class BlockMax:
+    """Examples by term, in blocks that know their largest weight of each term; exact k nearest by cosine.
 
-    def __init__(self, vectors, ids, toxic, size: int, block: int = 0):
-        self.ids, self.toxic = np.asarray(ids, np.int64), np.asarray(toxic, np.int64)
+    Examples with the same heaviest term lie together, so that blocks differ. A query bounds each block by the largest
+    weights of its terms there, looks through the most promising blocks, and then only through those whose bound
+    reaches the k-th cosine found.
+    """
+
+    def __init__(self, vectors, ids, toxic, size: int, block: int = 64, first_blocks: int = 8):
+        heavy = np.asarray([t[w.argmax()] if len(t) else -1 for t, w in vectors], np.int64)
+        own = np.lexsort((np.asarray(ids, np.int64), heavy))
+        self.ids, self.toxic = np.asarray(ids, np.int64)[own], np.asarray(toxic, np.int64)[own]
+        self.place_of = dict(zip(self.ids.tolist(), range(len(own)), strict=True))
+        vectors, self.block, self.first_blocks = [vectors[k] for k in own], block, first_blocks
         terms = np.concatenate([*[t for t, _ in vectors], np.empty(0, np.int32)])
         order = np.argsort(terms, kind="stable")
-        self.first = np.searchsorted(terms[order], np.arange(size + 1))
-        self.place = np.repeat(np.arange(len(vectors), dtype=np.min_scalar_type(len(vectors))), [len(t) for t, _ in vectors])[order]
+        terms = terms[order]
+        self.place = np.repeat(np.arange(len(vectors), dtype=np.min_scalar_type(max(1, len(vectors)))), [len(t) for t, _ in vectors])[order]
         self.weight = np.concatenate([*[w for _, w in vectors], np.empty(0, np.float32)])[order]
+        # Entries: the postings of one term in one block.
+        blocks = self.place.astype(np.int32) // block
+        self.start = np.flatnonzero(np.diff(terms, prepend=-1) | np.diff(blocks, prepend=-1)).astype(np.int64)
+        self.end = np.append(self.start[1:], len(terms))
+        self.of = blocks[self.start]
+        self.most = np.maximum.reduceat(self.weight, self.start) if len(terms) else np.empty(0, np.float32)
+        self.first = np.searchsorted(terms[self.start], np.arange(size + 1))
+
+    def _cosines(self, sums: np.ndarray, entries: np.ndarray, w: np.ndarray) -> None:
+        n = self.end[entries] - self.start[entries]
+        at = np.repeat(self.start[entries] - (n.cumsum() - n), n) + np.arange(n.sum())
+        sums += np.bincount(self.place[at], np.repeat(w, n) * self.weight[at], len(sums))
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines, from the nearest; only examples that share a term."""
         n = self.first[t + 1] - self.first[t]
-        at = np.repeat(self.first[t] - np.concatenate([[0], n.cumsum()[:-1]]).astype(np.int64), n) + np.arange(n.sum())
-        sums = np.bincount(self.place[at], np.repeat(w, n) * self.weight[at], len(self.ids))
+        entries = np.repeat(self.first[t] - (n.cumsum() - n), n) + np.arange(n.sum())
+        w, of, sums = np.repeat(w, n), self.of[entries], np.zeros(len(self.ids))
+        bounds = np.bincount(of, w * self.most[entries], len(sums) // self.block + 1)
+        looked = np.zeros(len(bounds), bool)
+        looked[np.argpartition(bounds, -self.first_blocks)[-self.first_blocks :] if len(bounds) > self.first_blocks else slice(None)] = True
+        self._cosines(sums, entries[looked[of]], w[looked[of]])
+        if without is not None:
+            sums[without] = 0
+        least = np.partition(sums, len(sums) - k)[len(sums) - k] if len(sums) > k else 0.0
+        rest = ~looked & (bounds > 0) & (bounds >= least - 1e-6)
+        if rest.any():
+            self._cosines(sums, entries[rest[of]], w[rest[of]])
         if without is not None:
             sums[without] = 0
         places = np.flatnonzero(sums > 0)
@@ -97,9 +135,6 @@ class Postings:
         return places, sums[places]
 
 
-BlockMax = Postings  # the name before all terms were indexed
-
-
 def isotonic(raw: list[tuple[float, int]], share: float) -> tuple[np.ndarray, np.ndarray]:
     """From raw scores to probabilities: equal neighbours in violation are pooled."""
     pools: list[list[float]] = []
@@ -112,7 +147,7 @@ def isotonic(raw: list[tuple[float, int]], share: float) -> tuple[np.ndarray, np
 
 
 class Model:
-    def __init__(self, vocabulary, idf, index: Postings, without: float, share: float, k: int):
+    def __init__(self, vocabulary, idf, index: BlockMax, without: float, share: float, k: int):
         self.vocabulary, self.idf, self.index, self.without, self.share, self.k = vocabulary, idf, index, without, share, k
 
     def raw(self, at: np.ndarray, cosine: np.ndarray) -> float:
@@ -126,8 +161,8 @@ class Model:
         if not len(at):
             return self.share, []
         raw = self.raw(at, cosine)
-        # The raw score orders what the fit makes equal.
-        score = 0.95 * float(np.interp(raw, x, y)) + 0.05 * raw
+        # The calibrated score; the raw one only orders what the fit makes equal.
+        score = (1 - TIE) * float(np.interp(raw, x, y)) + TIE * raw
         return score, [{"doc_id": int(self.index.ids[p]), "toxic": int(self.index.toxic[p]), "similarity": float(c)} for p, c in zip(at[:3], cosine[:3], strict=True)]
 
 
@@ -223,7 +258,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
     share, without = float(toxic.sum()) / max(1, len(toxic)), float(toxic[~some].mean()) if (~some).any() else 0.0
     rows = rows.filter(pa.array(some, pa.bool_()))
     own = [(np.frombuffer(t, np.int32), np.frombuffer(w, np.float32)) for t, w in zip(rows.column("t").to_pylist(), rows.column("w").to_pylist(), strict=True)]
-    index = Postings(own, rows.column("doc_id").to_numpy(), toxic[some], len(vocabulary))
+    index = BlockMax(own, rows.column("doc_id").to_numpy(), toxic[some], len(vocabulary))
     del rows, own
     model = spark.sparkContext.broadcast(Model(vocabulary, idf, index, without, share, k))
 
@@ -235,7 +270,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
             raw = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 t, w = read.vector(text, m.idf)
-                raw.append(m.raw(*m.index.nearest(t, w, k, without=int(np.searchsorted(m.index.ids, doc_id)))) if len(t) else None)
+                raw.append(m.raw(*m.index.nearest(t, w, k, without=m.index.place_of[doc_id])) if len(t) else None)
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(raw, pa.float64())], ["toxic", "raw"])
 
     raw = training.mapInArrow(without_itself, "toxic int, raw double").where("raw is not null").toArrow()
