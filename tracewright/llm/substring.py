@@ -9,8 +9,8 @@ windows that start in a smaller doc_id cover, together, the whole of each repeat
 Nothing is matched in pairs. Documents are kept in batches, a table bucketed by batch. A batch sends each distinct hash
 once, as sorted differences packed in columns of bytes, to the range of hashes it belongs to, and gets back what is
 shared; so a passage that a third of all documents share costs one entry for each batch. Probes are cut to as many bits
-as keep false hits rare (they cost work, no results: windows meet by all 64 bits; two different windows among n agree
-with probability n * n / 2^65).
+as keep false hits rare (they cost work, no results). Windows around hits meet by two independent hashes of their word
+sequence, 128 bits together: among n different windows two agree with probability n * n / 2^129, 1e-13 for 10^13.
 
 Defined results: null and empty texts have no words; documents shorter than a window stay; rows that share a doc_id
 don't remove each other's words; rows with a null doc_id stay whole and remove nothing. Text that loses nothing is
@@ -26,10 +26,12 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tracewright.llm.common import parts_for, rolling, shared_dir, total_bytes, unclash, word_hashes, words, worker_cache, written
 
@@ -66,6 +68,29 @@ def within(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == values
 
 
+def ranges_of(x: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
+    """(range, from, to) of the runs of a sorted array whose values agree but for their last `shift` bits."""
+    if not len(x):
+        return []
+    lead = x >> np.uint64(shift) if shift < 64 else np.zeros(len(x), np.uint64)
+    at = np.flatnonzero(np.diff(lead, prepend=~lead[:1])).tolist()
+    return [(int(lead[a]), a, b) for a, b in zip(at, [*at[1:], len(x)], strict=True)]
+
+
+def between(x: np.ndarray, lead: int, shift: int) -> np.ndarray:
+    """The part of a sorted array that lies in a range."""
+    if shift >= 64:
+        return x
+    low, high = np.searchsorted(x >> np.uint64(shift), np.asarray([lead, lead + 1], np.uint64))
+    return x[low:high]
+
+
+def second_hashes(text: str | None) -> np.ndarray:
+    """Hashes of words that are independent of the first ones."""
+    w = words(text)
+    return np.fromiter((xxhash.xxh3_64_intdigest(x, 0x5851F42D4C957F2D) for x in w), np.uint64, len(w))
+
+
 def opened(blob: bytes) -> pa.RecordBatch:
     return next(iter(pa.ipc.open_stream(blob)))
 
@@ -74,6 +99,25 @@ def hashed(texts: list[str | None]) -> list[np.ndarray]:
     return [word_hashes(words(t)) for t in texts]
 
 
+def firsts_of(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs (x, y) in order, with the least and the greatest d of each."""
+    order = np.lexsort((d, y, x))
+    x, y, d = x[order], y[order], d[order]
+    first = np.flatnonzero((np.diff(x, prepend=~x[:1]) != 0) | (np.diff(y, prepend=~y[:1]) != 0))
+    last = np.append(first[1:], len(x)) - 1
+    return x[first], y[first], d[first], d[last]
+
+
+def place_of(x: np.ndarray, y: np.ndarray, own: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Where each pair (own, second) is among the sorted pairs (x, y), -1 where it isn't."""
+    at = np.minimum(np.searchsorted(x, own), len(x) - 1)
+    while True:  # steps on only where two different windows share the first hash
+        on = (x[at] == own) & (y[at] != second) & (at + 1 < len(x))
+        if not on.any():
+            return np.where((x[at] == own) & (y[at] == second), at, -1)
+        at[on] += 1
+
+
 def batched(docs: DataFrame, batch_bytes: int, n: int) -> DataFrame:
     """The documents as a table of batches, bucketed by batch so that joins on it don't move them again."""
     spark = docs.sparkSession
@@ -107,12 +151,6 @@ def deduplicated(docs: DataFrame, *, window: int = 50, batch_bytes: int = 8_000_
     keep = min(64, max(range_bits + 8, math.ceil(math.log2(most_words)) + 12))
     drop = np.uint64(64 - keep)
     packed = batched(docs, batch_bytes, parts_for(n_bytes, 4 * batch_bytes, least=2))
-    lead = [np.uint64(r << (keep - range_bits)) for r in range(1, 1 << range_bits)]
-    full_lead = [np.uint64(r << (64 - range_bits)) for r in range(1, 1 << range_bits)]
-
-    def split(x: np.ndarray, edges) -> list[int]:
-        return [0, *np.searchsorted(x, np.asarray(edges, np.uint64)).tolist(), len(x)]
-
     def probe(rows):
         worker_cache("substring")
         for batch in rows:
@@ -124,8 +162,8 @@ def deduplicated(docs: DataFrame, *, window: int = 50, batch_bytes: int = 8_000_
                     runs.append(np.unique(r))
                 x, counts = np.unique(np.concatenate([*runs, np.empty(0, np.uint64)]), return_counts=True)
                 several, index = x[counts > 1], np.unique(np.concatenate([*blocks, np.empty(0, np.uint64)]))
-                cuts = [split(v, lead) for v in (x, several, index)]
-                out = [(r, number, *[squeeze(v[c[r] : c[r + 1]]) for v, c in zip((x, several, index), cuts, strict=True)]) for r in range(1 << range_bits) if cuts[0][r + 1] > cuts[0][r]]
+                shift = keep - range_bits
+                out = [(r, number, squeeze(x[a:b]), squeeze(between(several, r, shift)), squeeze(between(index, r, shift))) for r, a, b in ranges_of(x, shift)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["range", "batch", "runs", "several", "blocks"])
 
@@ -157,57 +195,48 @@ def deduplicated(docs: DataFrame, *, window: int = 50, batch_bytes: int = 8_000_
         worker_cache("substring")
         for batch in rows:
             for number, blob, replies in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                known, hashes, owners = np.sort(np.concatenate([unsqueeze(b) for b in replies])), [], []
+                known, hashes, seconds, owners = np.sort(np.concatenate([unsqueeze(b) for b in replies])), [], [], []
                 table = opened(blob)
-                for doc_id, h in zip(table.column("doc_id").to_pylist(), hashed(table.column("text").to_pylist()), strict=True):
+                texts = table.column("text").to_pylist()
+                for doc_id, text, h in zip(table.column("doc_id").to_pylist(), texts, hashed(texts), strict=True):
                     if doc_id is not None and len(s := around(h, known)):
-                        own = np.unique(rolling(h, window)[s])
-                        hashes.append(own)
-                        owners.append(np.full(len(own), doc_id, np.int64))
+                        hashes.append(rolling(h, window)[s])
+                        seconds.append(rolling(second_hashes(text), window)[s])
+                        owners.append(np.full(len(s), doc_id, np.int64))
                 if not hashes:
                     continue
-                x, docs_ = np.concatenate(hashes), np.concatenate(owners)
-                order = np.lexsort((docs_, x))
-                x, docs_ = x[order], docs_[order]
-                first = np.flatnonzero(np.diff(x, prepend=~x[:1]))
-                last = np.append(first[1:], len(x)) - 1
-                several = (docs_[last] > docs_[first]).astype(np.uint8)
-                x, least = x[first], docs_[first]
-                c = split(x, full_lead)
-                out = [(r, number, squeeze(x[c[r] : c[r + 1]]), plain(least[c[r] : c[r + 1]]), plain(several[c[r] : c[r + 1]])) for r in range(1 << range_bits) if c[r + 1] > c[r]]
-                yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["range", "batch", "x", "least", "several"])
-
-    windows = packed.join(hits, "batch").select("batch", "blob", "hits").mapInArrow(grow, "range int, batch long, x binary, least binary, several binary")
+                x, y, least, most = firsts_of(np.concatenate(hashes), np.concatenate(seconds), np.concatenate(owners))
+                several = (most > least).astype(np.uint8)
+                out = [(r, number, squeeze(x[a:b]), plain(y[a:b]), plain(least[a:b]), plain(several[a:b])) for r, a, b in ranges_of(x, 64 - range_bits)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["range", "batch", "x", "y", "least", "several"])
+
+    windows = packed.join(hits, "batch").select("batch", "blob", "hits").mapInArrow(grow, "range int, batch long, x binary, y binary, least binary, several binary")
 
     def earliest(pdf):
         import pandas as pd
 
-        xs, least = [unsqueeze(b) for b in pdf["x"]], [unplain(b, np.int64) for b in pdf["least"]]
-        x, d = np.concatenate(xs), np.concatenate(least)
-        order = np.lexsort((d, x))
-        x, d = x[order], d[order]
-        first = np.flatnonzero(np.diff(x, prepend=~x[:1]))
-        x, d = x[first], d[first]
+        xs, ys, least = [unsqueeze(b) for b in pdf["x"]], [unplain(b, np.uint64) for b in pdf["y"]], [unplain(b, np.int64) for b in pdf["least"]]
+        x, y, d, _ = firsts_of(np.concatenate(xs), np.concatenate(ys), np.concatenate(least))
         out = []
-        for number, own, low, several in zip(pdf["batch"], xs, least, pdf["several"], strict=True):
-            best = d[np.searchsorted(x, own)]
+        for number, own, second, low, several in zip(pdf["batch"], xs, ys, least, pdf["several"], strict=True):
+            best = d[place_of(x, y, own, second)]
             tell = (best < low) | (unplain(several, np.uint8) > 0)
             if tell.any():
-                out.append((number, squeeze(own[tell]), plain(best[tell])))
-        return pd.DataFrame(out, columns=["batch", "x", "least"])
+                out.append((number, squeeze(own[tell]), plain(second[tell]), plain(best[tell])))
+        return pd.DataFrame(out, columns=["batch", "x", "y", "least"])
 
-    firsts = written(windows.groupBy("range").applyInPandas(earliest, "batch long, x binary, least binary").groupBy("batch").agg(F.collect_list("x").alias("x"), F.collect_list("least").alias("least")), compression="none")
+    found = windows.groupBy("range").applyInPandas(earliest, "batch long, x binary, y binary, least binary")
+    firsts = written(found.groupBy("batch").agg(*[F.collect_list(c).alias(c) for c in ("x", "y", "least")]), compression="none")
 
     def cut(rows):
         worker_cache("substring")
         for batch in rows:
-            for blob, xs, leasts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for blob, xs, ys, leasts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 table = opened(blob)
                 texts, n_words, n_removed = table.column("text").to_pylist(), [], []
                 if xs:
-                    x, d = np.concatenate([unsqueeze(b) for b in xs]), np.concatenate([unplain(b, np.int64) for b in leasts])
-                    order = np.argsort(x)
-                    x, d = x[order], d[order]
+                    parts = [unsqueeze(b) for b in xs], [unplain(b, np.uint64) for b in ys], [unplain(b, np.int64) for b in leasts]
+                    x, y, d, _ = firsts_of(*map(np.concatenate, parts))
                 for i, (doc_id, text) in enumerate(zip(table.column("doc_id").to_pylist(), texts, strict=True)):
                     tokens = words(text)
                     n_words.append(len(tokens))
@@ -215,9 +244,10 @@ def deduplicated(docs: DataFrame, *, window: int = 50, batch_bytes: int = 8_000_
                     if not xs or doc_id is None or len(tokens) < window:
                         continue
                     w = rolling(word_hashes(tokens), window)
-                    at = np.searchsorted(x, w)
-                    at[at == len(x)] = 0
-                    starts = np.flatnonzero((x[at] == w) & (d[at] < doc_id))
+                    starts = np.flatnonzero(within(w, x))
+                    if len(starts):
+                        at = place_of(x, y, w[starts], rolling(second_hashes(text), window)[starts])
+                        starts = starts[(at >= 0) & (d[at] < doc_id)]
                     if len(starts):
                         steps = np.zeros(len(tokens) + 1, np.int64)
                         np.add.at(steps, starts, 1)
@@ -230,5 +260,5 @@ def deduplicated(docs: DataFrame, *, window: int = 50, batch_bytes: int = 8_000_
                 table = table.set_column(table.schema.get_field_index("text"), "text", pa.array(texts, table.schema.field("text").type))
                 yield pa.RecordBatch.from_arrays([*table.columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*table.schema.names, "n_words", "n_removed"])
 
-    schema = docs.schema.add("n_words", "long").add("n_removed", "long")
-    return packed.join(firsts, "batch", "left").select("blob", "x", "least").mapInArrow(cut, schema)
+    schema = StructType([*docs.schema, StructField("n_words", LongType()), StructField("n_removed", LongType())])
+    return packed.join(firsts, "batch", "left").select("blob", "x", "y", "least").mapInArrow(cut, schema)
