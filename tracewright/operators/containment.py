@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.traversal import cut
+
+
+def clean_path(path: Column) -> Column:
+    """Without doubled slashes, single dots and a closing slash, as path parts are compared."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"/(?:\./)+", "/"), "/{2,}", "/"), "(?<=.)/(?:\\.)?$", "")
+
 
 def prefixes(path: str) -> Column:
-    """Strict ancestors of a path as structs (prefix, depth): /a/b/c has /a and /a/b."""
+    """Strict ancestors of a path as structs (prefix, depth): /a/b/c has /a and /a/b, and a/b/c has a and a/b."""
     parts = F.filter(F.split(F.col(path), "/"), lambda x: x != "")
-    n = F.size(parts)
-    return F.transform(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")).alias("prefix"), k.alias("depth")))
+    n, root = F.size(parts), F.when(F.col(path).startswith("/"), "/").otherwise("")
+    return F.transform(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(F.concat(root, F.array_join(F.slice(parts, F.lit(1), k), "/")).alias("prefix"), k.alias("depth")))
 
 
 def closest_parents(paths: DataFrame) -> DataFrame:
@@ -25,12 +32,18 @@ def closest_parents(paths: DataFrame) -> DataFrame:
 def nested_ranges(ranges: DataFrame) -> DataFrame:
     """traj, path, outer_lo, outer_hi, lo, hi: each range of a file in its immediate outer one. ranges: traj, path,
     node, lo, hi. Equal ranges hold each other, so two of them nest both ways and three block one another."""
-    r = ranges.select("traj", "path", "node", "lo", "hi").distinct()
-    o, i, m = (r.select("traj", "path", *[F.col(c).alias(f"{k}_{c}") for c in ("node", "lo", "hi")]) for k in ("o", "i", "m"))
-    keys = ["traj", "path", *[f"{k}_{c}" for k in ("o", "i") for c in ("node", "lo", "hi")]]
-    inside = o.join(i, ["traj", "path"]).where("o_node <> i_node and o_lo <= i_lo and i_hi <= o_hi")
-    between = inside.join(m, ["traj", "path"]).where("m_node <> o_node and m_node <> i_node and o_lo <= m_lo and m_hi <= o_hi and m_lo <= i_lo and i_hi <= m_hi").select(keys)
-    return inside.join(between.distinct(), keys, "left_anti")
+    own = ranges.groupBy("traj", "path", "lo", "hi").agg(F.collect_set("node").alias("_nodes")).withColumn("_n", F.size("_nodes"))
+    # A range that stands alone lies in the least ones of those around it: in order of falling starts, the ones whose
+    # end is nearer than any before. Of these, one that stands twice is blocked by its twin.
+    i = own.where("_n = 1").select("traj", "path", F.col("_nodes")[0].alias("i_node"), F.col("lo").alias("i_lo"), F.col("hi").alias("i_hi"))
+    o = own.select("traj", "path", F.col("_nodes")[0].alias("o_node"), F.col("_n").alias("_m"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"))
+    around = i.join(o, ["traj", "path"]).where("o_lo <= i_lo and i_hi <= o_hi and (o_lo < i_lo or i_hi < o_hi)")
+    w = Window.partitionBy("traj", "path", "i_node", "i_lo", "i_hi").orderBy(F.desc("o_lo"), "o_hi").rowsBetween(Window.unboundedPreceding, -1)
+    least = around.withColumn("_near", F.min("o_hi").over(w)).where("(_near is null or o_hi < _near) and _m = 1")
+    columns = ["traj", "path", "o_node", "o_lo", "o_hi", "i_node", "i_lo", "i_hi"]
+    twins = own.where("_n = 2").select("traj", "path", F.explode(F.array(F.struct(F.col("_nodes")[0].alias("o"), F.col("_nodes")[1].alias("i")), F.struct(F.col("_nodes")[1].alias("o"), F.col("_nodes")[0].alias("i")))).alias("_t"), "lo", "hi")
+    twins = twins.select("traj", "path", F.col("_t.o").alias("o_node"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"), F.col("_t.i").alias("i_node"), F.col("lo").alias("i_lo"), F.col("hi").alias("i_hi"))
+    return least.select(columns).unionByName(twins)
 
 
 def scrolls(ranges: DataFrame) -> DataFrame:
@@ -39,24 +52,25 @@ def scrolls(ranges: DataFrame) -> DataFrame:
     return ranges.withColumn("_s", F.coalesce(F.col("lo") <= F.lag("hi").over(w), F.lit(False))).groupBy("traj").agg(F.bool_or("_s").alias("scroll"))
 
 
-def hierarchy_codes(hier: DataFrame, depth: int = 64) -> DataFrame:
+def hierarchy_codes(hier: DataFrame, alone: DataFrame | None = None) -> DataFrame:
     """traj, node, code: the path of child places from a root down, the first in depth-first order for each node.
 
-    hier: traj, parent, child. Nodes that only cycles reach have no code."""
-    nodes = hier.select("traj", F.col("parent").alias("node")).union(hier.select("traj", "child")).distinct()
+    hier: traj, parent, child and, unless children go by name, rank; alone: nodes (traj, node) that may have no edge.
+    Nodes that only cycles reach have no code. Goes on until no node gets a lesser code."""
+    nodes = hier.select("traj", F.col("parent").alias("node")).union(hier.select("traj", "child"))
+    nodes = (nodes if alone is None else nodes.union(alone.select("traj", "node"))).distinct()
     roots = nodes.join(hier.select("traj", F.col("child").alias("node")).distinct(), ["traj", "node"], "left_anti")
-    place = Window.partitionBy("traj", "parent").orderBy("child")
-    steps = hier.distinct().withColumn("_k", F.row_number().over(place) - 1)
+    place = Window.partitionBy("traj", "parent").orderBy("rank" if "rank" in hier.columns else "child")
+    steps = hier.distinct().withColumn("_k", F.row_number().over(place) - 1).select("traj", "parent", "child", "_k")
     top = Window.partitionBy("traj").orderBy("node")
     level = roots.select("traj", "node", F.array(F.row_number().over(top) - 1).alias("code"))
-    found = level
-    for _ in range(depth):
+    level = found = cut(level)
+    while not level.isEmpty():
         level = level.withColumnRenamed("node", "parent").join(steps, ["traj", "parent"]).select("traj", F.col("child").alias("node"), F.concat("code", F.array("_k")).alias("code")).groupBy("traj", "node").agg(F.min("code").alias("code"))
-        level = level.checkpoint() if level.sparkSession.sparkContext.getCheckpointDir() else level
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    return found.groupBy("traj", "node").agg(F.min("code").alias("code"))
+        known = found.select("traj", "node", F.col("code").alias("_c"))
+        level = cut(level.join(known, ["traj", "node"], "left").where("_c is null or code < _c").drop("_c"))
+        found = cut(found.unionByName(level).groupBy("traj", "node").agg(F.min("code").alias("code")))
+    return found
 
 
 def view_depths(codes: DataFrame, hier: DataFrame, visits: DataFrame) -> DataFrame:
@@ -106,10 +120,10 @@ def directory_rollup(footprints: DataFrame) -> DataFrame:
 def attached_ranges(ranges: DataFrame, nested: DataFrame, views: DataFrame) -> DataFrame:
     """traj, path, lo, hi, parent: ranges within no other one, below the last whole view of their file, else below that
     of the deepest directory viewed. ranges and nested as for nested_ranges; views: traj, path, node."""
-    whole = views.groupBy("traj", "path").agg(F.max("node").alias("parent"))
+    whole = views.groupBy("traj", "path").agg(F.max("node").alias("parent"), F.min("node").alias("_first"))
     inner = nested.select("traj", "path", F.col("i_node").alias("node")).distinct()
     outer = ranges.select("traj", "path", "node", "lo", "hi").distinct().join(inner, ["traj", "path", "node"], "left_anti")
     up = outer.select("traj", "path").distinct().select("traj", F.col("path").alias("file"), F.explode(prefixes("path")).alias("p")).select("traj", "file", F.col("p.prefix").alias("path"), F.col("p.depth").alias("depth"))
-    above = up.join(whole, ["traj", "path"]).groupBy("traj", F.col("file").alias("path")).agg(F.max_by("parent", "depth").alias("_above"))
+    above = up.join(whole, ["traj", "path"]).groupBy("traj", F.col("file").alias("path")).agg(F.max_by("_first", "depth").alias("_above"))
     out = outer.join(whole, ["traj", "path"], "left").join(above, ["traj", "path"], "left")
-    return out.select("traj", "path", "lo", "hi", F.coalesce("parent", "_above").alias("parent"))
+    return out.select("traj", "path", "node", "lo", "hi", F.coalesce("parent", "_above").alias("parent"))

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions import text
+from tracewright.operators import containment
 from tracewright.operators.phases import by_seq
 
 
-def signature(*parts: str) -> Column:
-    """One key for equal parts; maps enter as their sorted entries."""
-    return F.md5(F.to_json(F.struct(*parts)))
+VIEW = "str_replace_editor: view"
+
+
+def signature(label: str, *maps: str) -> Column:
+    """One key for a label and maps that are equal, whatever the order of their entries."""
+    entries = [F.array_sort(F.map_entries(F.coalesce(m, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))).alias(m) for m in maps]
+    return F.md5(F.to_json(F.struct(label, *entries)))
 
 
 def node_occurrences(actions: DataFrame, key: str = "label") -> DataFrame:
@@ -38,6 +44,81 @@ def nodes(occurrences: DataFrame) -> DataFrame:
     )
 
 
+def full_nodes(occurrences: DataFrame) -> DataFrame:
+    """A row for each node with all that a graph keeps of it: label, args and flags of the first occurrence, has_cd of
+    any, lengths of the last thought, what was observed where it was last a step's last action, and its steps and phases
+    in order. key is its place and label. occurrences: also args, flags, has_cd, thought, observation, outcome."""
+    ends = F.col("seq") == F.max("seq").over(Window.partitionBy("traj", "step_idx"))
+    seen = occurrences.withColumn("_end", ends)
+    at_end = lambda c: F.max_by(c, F.when(F.col("_end"), F.col("seq")))
+    visits = F.array_sort(F.collect_list(F.struct("seq", "step_idx", "phase")))
+    out = seen.groupBy("traj", "node_ord").agg(
+        F.min_by("label", "seq").alias("label"),
+        F.min_by("args", "seq").alias("args"),
+        F.min_by("flags", "seq").alias("flags"),
+        F.bool_or("has_cd").alias("has_cd"),
+        F.max_by(text.thought_length_raw(F.col("thought")), "seq").alias("thought_len_raw"),
+        F.max_by(text.thought_length_clean(F.col("thought")), "seq").alias("thought_len_clean"),
+        at_end(F.length(F.coalesce("observation", F.lit("")))).cast("long").alias("observation_len"),
+        at_end("outcome").alias("observation_outcome"),
+        F.count("*").alias("n_occ"),
+        F.min("step_idx").alias("first_step"),
+        F.max("step_idx").alias("last_step"),
+        visits.alias("_v"),
+    )
+    return out.select("*", F.concat_ws(":", F.col("node_ord").cast("string"), "label").alias("key"), F.transform("_v", lambda v: v["step_idx"]).alias("step_indices"), F.transform("_v", lambda v: v["phase"]).alias("phases")).drop("_v")
+
+
+def full_edges(occurrences: DataFrame) -> DataFrame:
+    """edges() with the lengths of the step's thought on the first edge of a step, 0 on its others."""
+    first = occurrences.groupBy("traj", "step_idx").agg(F.min_by("thought", "seq").alias("_t"))
+    own = edges(occurrences).join(first, ["traj", "step_idx"], "left")
+    on_first = lambda c: F.when(F.col("is_first_in_step"), c).otherwise(F.lit(0)).cast("long")
+    return own.withColumn("thought_len_raw", on_first(text.thought_length_raw(F.col("_t")))).withColumn("thought_len_clean", on_first(text.thought_length_clean(F.col("_t")))).drop("_t")
+
+
+def hier_edges(nodes: DataFrame) -> DataFrame:
+    """traj, src, dst, rank: what views hold others. A view of a path lies in the first view of its closest ancestor; a
+    line range in its immediate outer ranges of the same file, else in the last whole view of it, else in the first view
+    of its closest ancestor. rank orders the children of a node. nodes: label, args (path, view_range "lo-hi")."""
+    v = nodes.where(F.col("label") == VIEW).select("traj", F.col("node_ord").alias("node"), containment.clean_path(F.element_at("args", "path")).alias("path"), F.element_at("args", "view_range").alias("_r")).where("path <> ''")
+    whole = v.where("_r is null").select("traj", "node", "path")
+    bound = lambda k: F.regexp_extract("_r", r"^\[?\s*(-?\d+)\s*[-,]\s*(-?\d+)\s*\]?$", k)
+    ranges = v.where(bound(1) != "").select("traj", "path", "node", bound(1).cast("long").alias("lo"), bound(2).cast("long").alias("hi"))
+    parents = containment.closest_parents(whole)
+    first = whole.groupBy("traj", "path").agg(F.min("node").alias("src"))
+    up = whole.select("traj", F.col("path").alias("child"), F.col("node").alias("dst")).join(parents, ["traj", "child"]).join(first.withColumnRenamed("path", "parent"), ["traj", "parent"])
+    up = up.select("traj", "src", "dst", F.struct(F.lit(0).alias("a"), F.lit(0).cast("long").alias("b"), F.col("dst").alias("c")).alias("rank"))
+    nested = containment.nested_ranges(ranges)
+    inner = nested.select("traj", F.col("o_node").alias("src"), F.col("i_node").alias("dst"), F.struct(F.lit(0).alias("a"), F.lit(0).cast("long").alias("b"), F.col("i_node").alias("c")).alias("rank"))
+    of_file = ranges.groupBy("traj", "path").agg(F.min("node").alias("_f"))
+    outer = containment.attached_ranges(ranges, nested, whole).where("parent is not null").join(of_file, ["traj", "path"])
+    outer = outer.select("traj", F.col("parent").alias("src"), F.col("node").alias("dst"), F.struct(F.lit(1).alias("a"), F.col("_f").alias("b"), F.col("node").alias("c")).alias("rank"))
+    return up.unionByName(inner).unionByName(outer)
+
+
+def view_graph(hier: DataFrame, edges: DataFrame) -> DataFrame:
+    """traj, parent, child, rank of the views' graph, each pair once. Children that an exec edge leads to as well come
+    first, by the first such edge; the others by their rank."""
+    led = edges.groupBy("traj", "src", "dst").agg(F.min("edge_ord").alias("_e"))
+    own = hier.groupBy("traj", "src", "dst").agg(F.min("rank").alias("_k")).join(led, ["traj", "src", "dst"], "left")
+    return own.select("traj", F.col("src").alias("parent"), F.col("dst").alias("child"), F.struct(F.col("_e").isNull().alias("a"), F.coalesce("_e", F.lit(0).cast("long")).alias("b"), F.col("_k").alias("c")).alias("rank"))
+
+
+def build_graph(actions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(occurrences, nodes, exec edges, hier edges) of canonical actions: traj, seq, step_idx, label, args, flags, has_cd,
+    phase, thought, observation, outcome. Actions of one label with equal args and flags are one node."""
+    occurrences = node_occurrences(actions.withColumn("signature", signature("label", "args", "flags")), "signature")
+    nodes = full_nodes(occurrences)
+    return occurrences, nodes, full_edges(occurrences), hier_edges(nodes)
+
+
+def step_details(occurrences: DataFrame) -> DataFrame:
+    """traj, node_ord, visits: for each node what was thought, done and observed at each of its visits, in order."""
+    visit = F.struct("seq", "step_idx", "thought", F.col("label").alias("action"), "observation", "outcome")
+    return occurrences.groupBy("traj", "node_ord").agg(F.array_sort(F.collect_list(visit)).alias("visits"))
+
+
 def edges(occurrences: DataFrame) -> DataFrame:
     """An exec edge between consecutive actions of a run: edge_ord, src, dst, step_idx, is_first_in_step."""
     w = by_seq()
@@ -98,11 +179,41 @@ def busy_edges(edges: DataFrame, least: int = 10) -> DataFrame:
 
 def inner_edges(edges: DataFrame, occurrences: DataFrame) -> DataFrame:
     """edges with intra_step: both ends share some step and the edge is not its step's first."""
-    at = occurrences.select("traj", "node_ord", "step_idx").distinct()
-    shared = at.toDF("traj", "src", "step").join(at.toDF("traj", "dst", "step"), ["traj", "step"]).select("traj", "src", "dst").distinct()
+    steps = occurrences.groupBy("traj", "node_ord").agg(F.collect_set("step_idx").alias("_s"))
+    pairs = exec_pairs(edges.where(~F.col("is_first_in_step")))  # only these can be inner ones
+    src, dst = steps.toDF("traj", "src", "_a"), steps.toDF("traj", "dst", "_b")
+    shared = pairs.join(src, ["traj", "src"]).join(dst, ["traj", "dst"]).where(F.arrays_overlap("_a", "_b")).select("traj", "src", "dst")
     return edges.join(shared.withColumn("_s", F.lit(True)), ["traj", "src", "dst"], "left").withColumn("intra_step", F.col("_s").isNotNull() & ~F.col("is_first_in_step")).drop("_s")
 
 
+def ranged_edges(edges: DataFrame, key: list[str]) -> DataFrame:
+    """Parallel edges over consecutive steps as one range, with equal values in all of the key's columns: from_step,
+    to_step, n, and the greatest lengths of thoughts and observations where edges have these."""
+    lengths = [c for c in ("thought_len_raw", "thought_len_clean", "observation_len") if c in edges.columns]
+    steps = edges.groupBy("traj", *key, "step_idx").agg(F.count("*").alias("_n"), *[F.max(c).alias(c) for c in lengths])
+    island = steps.withColumn("_i", F.col("step_idx") - F.row_number().over(Window.partitionBy("traj", *key).orderBy("step_idx")))
+    return island.groupBy("traj", *key, "_i").agg(F.min("step_idx").alias("from_step"), F.max("step_idx").alias("to_step"), F.sum("_n").alias("n"), *[F.max(c).alias(c) for c in lengths]).drop("_i")
+
+
+def busy_labels(edges: DataFrame, least: int = 10) -> DataFrame:
+    """busy_edges with a label that sums the steps up: "3", "3, 5" or "3..9 (4)"."""
+    inner = edges.where(~F.col("is_first_in_step")).withColumn("_n", F.count("*").over(Window.partitionBy("traj", "src"))).where(F.col("_n") >= least)
+    steps = inner.groupBy("traj", "src", "dst").agg(F.array_sort(F.collect_set("step_idx")).alias("_s"), F.count("*").alias("n"))
+    few = F.array_join(F.transform("_s", lambda s: s.cast("string")), ", ")
+    many = F.concat(F.array_min("_s").cast("string"), F.lit(".."), F.array_max("_s").cast("string"), F.lit(" ("), F.size("_s").cast("string"), F.lit(")"))
+    return steps.select("traj", "src", "dst", "n", F.when(F.size("_s") <= 2, few).otherwise(many).alias("label"))
+
+
+def mean_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """traj, avg_degree, max_out_degree, max_exec_out_degree: over all edges (a self-loop counts at both its ends), and
+    over distinct exec targets. edges: traj, src, dst, type."""
+    n = nodes.groupBy("traj").agg(F.count("*").alias("_n"))
+    out = edges.groupBy("traj", "src").agg(F.count("*").alias("_o"), F.countDistinct(F.when(F.col("type") == "exec", F.col("dst"))).alias("_x"))
+    top = out.groupBy("traj").agg(F.sum("_o").alias("_e"), F.max("_o").alias("max_out_degree"), F.max("_x").alias("max_exec_out_degree"))
+    both = n.join(top, "traj", "left").na.fill(0, ["_e", "max_out_degree", "max_exec_out_degree"])
+    return both.select("traj", (F.col("_e") * 2 / F.col("_n")).alias("avg_degree"), "max_out_degree", "max_exec_out_degree")
+
+
 def start_end(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """traj, start_node, end_node: of the earliest (latest) step, a source (sink) of the exec graph first, then by
     the key's name."""
@@ -114,16 +225,22 @@ def start_end(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def continuations(occurrences: DataFrame, edges: DataFrame, thoughts: DataFrame) -> DataFrame:
-    """traj, step_idx, src, dst: steps whose thought holds the step before's whole thought, where an edge leads from
-    the first node of that step to theirs. thoughts: traj, step_idx, thought."""
+    """traj, step_idx, src, dst: steps whose thought holds the step before's whole thought, where the last edge from the
+    first node of that step to theirs is an exec edge. thoughts: traj, step_idx, thought; edges: may have a column type
+    (exec where it is missing) and holds hier edges after exec ones."""
     first = occurrences.groupBy("traj", "step_idx").agg(F.min_by("node_ord", "seq").alias("dst"))
     w = Window.partitionBy("traj").orderBy("step_idx")
     told = first.join(thoughts, ["traj", "step_idx"], "left").withColumn("src", F.lag("dst").over(w)).withColumn("_before", F.lag("thought").over(w))
     held = told.where("_before <> '' and contains(thought, _before)").select("traj", "step_idx", "src", "dst")
+    if "type" in edges.columns:
+        last = edges.groupBy("traj", "src", "dst").agg(F.max_by("type", "edge_ord").alias("type"))
+        return held.join(last.where("type = 'exec'").drop("type"), ["traj", "src", "dst"], "left_semi")
     return held.join(exec_pairs(edges), ["traj", "src", "dst"], "left_semi")
 
 
 def localization_repeats(occurrences: DataFrame) -> DataFrame:
-    """traj, loc_avg_node_freq, repeated_view: how often localization comes to a node, and whether twice to one."""
-    visits = occurrences.where("phase = 'localization'").groupBy("traj", "node_ord").agg(F.count("*").alias("n"))
-    return visits.groupBy("traj").agg(F.avg("n").alias("loc_avg_node_freq"), F.bool_or(F.col("n") > 1).alias("repeated_view"))
+    """traj, loc_avg_node_freq (two decimals), repeated_view: how often localization comes to a node, and whether twice to
+    one; 0 and false for runs without it."""
+    n = F.count_if(F.coalesce(F.col("phase") == "localization", F.lit(False)))
+    visits = occurrences.groupBy("traj", "node_ord").agg(F.nullif(n, F.lit(0)).alias("n"))
+    return visits.groupBy("traj").agg(F.coalesce(F.bround(F.avg("n"), 2), F.lit(0.0)).alias("loc_avg_node_freq"), F.coalesce(F.bool_or(F.col("n") > 1), F.lit(False)).alias("repeated_view"))

@@ -1,7 +1,8 @@
-"""Bounded walks over the exec graphs of runs: elementary cycles, longest simple paths, components, shortest paths.
+"""Walks over the exec graphs of runs: elementary cycles, longest simple paths, components, shortest paths.
 
-Each loops over joins of a frontier with the distinct exec pairs, as many rounds as the longest walk. Frontiers are
-written to the checkpoint folder where one is set, which cuts their lineage.
+Each loops over joins of a frontier with the distinct exec pairs, as many rounds as the longest walk; none stops before.
+Simple walks can be very many, so a run whose frontier grows over `max_frontier` is flagged and gets nulls, never a part.
+Frontiers are written to the checkpoint folder where one is set, which cuts their lineage.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
-def walks(pairs: DataFrame, max_len: int, max_frontier: int, closed: bool) -> tuple[DataFrame, DataFrame]:
+def walks(pairs: DataFrame, max_frontier: int, closed: bool) -> tuple[DataFrame, DataFrame]:
     """(traj, start, len) of elementary cycles, or of simple paths, by edges; and the runs that went over a cap."""
     step = pairs.select("traj", F.col("src").alias("cur"), "dst")
     starts = pairs.select("traj", F.col("src").alias("start")).distinct() if closed else pairs.select("traj", F.col("src").alias("start")).union(pairs.select("traj", "dst")).distinct()
     frontier = starts.select("traj", "start", F.col("start").alias("cur"), F.array("start").alias("seen"))
     found, over, length = [], [], 0
-    while length < max_len:
+    while True:
         length += 1
         sizes = frontier.groupBy("traj").agg(F.count("*").alias("_n")).where(F.col("_n") > max_frontier).select("traj")
         over.append(sizes)
@@ -34,8 +35,6 @@ def walks(pairs: DataFrame, max_len: int, max_frontier: int, closed: bool) -> tu
             found.append(frontier.select("traj", "start", F.lit(length).alias("len")))
         if frontier.isEmpty():
             break
-    else:
-        over.append(frontier.select("traj").distinct())
     out, capped = found[0], over[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -44,54 +43,87 @@ def walks(pairs: DataFrame, max_len: int, max_frontier: int, closed: bool) -> tu
     return out, capped.distinct()
 
 
-def cycle_metrics(pairs: DataFrame, max_len: int = 12, max_frontier: int = 100_000) -> DataFrame:
+def cycle_metrics(pairs: DataFrame, max_frontier: int = 100_000) -> DataFrame:
     """traj, loop_count, min_loop, max_loop, avg_loop, truncated: a run over a cap has nulls, never a part."""
-    found, over = walks(pairs, max_len, max_frontier, closed=True)
+    found, over = walks(pairs, max_frontier, closed=True)
     stats = found.groupBy("traj").agg(F.count("*").alias("loop_count"), F.min("len").cast("long").alias("min_loop"), F.max("len").cast("long").alias("max_loop"), F.avg("len").alias("avg_loop"))
     out = pairs.select("traj").distinct().join(stats, "traj", "left").na.fill(0, ["loop_count", "min_loop", "max_loop"]).na.fill(0.0, ["avg_loop"])
     out = out.join(over.withColumn("truncated", F.lit(True)), "traj", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
     return out.select("traj", *[F.when(~F.col("truncated"), F.col(c)).alias(c) for c in ("loop_count", "min_loop", "max_loop", "avg_loop")], "truncated")
 
 
-def longest_path(pairs: DataFrame, max_len: int = 12, max_frontier: int = 100_000) -> DataFrame:
+def longest_path(pairs: DataFrame, max_frontier: int = 100_000) -> DataFrame:
     """traj, longest_path (edges of the longest simple path), truncated."""
-    found, over = walks(pairs, max_len, max_frontier, closed=False)
+    found, over = walks(pairs, max_frontier, closed=False)
     out = pairs.select("traj").distinct().join(found.groupBy("traj").agg(F.max("len").cast("long").alias("longest_path")), "traj", "left").na.fill(0)
     out = out.join(over.withColumn("truncated", F.lit(True)), "traj", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
     return out.select("traj", F.when(~F.col("truncated"), F.col("longest_path")).alias("longest_path"), "truncated")
 
 
-def reachable(pairs: DataFrame, rounds: int = 32) -> DataFrame:
+def on_loops(pairs: DataFrame) -> DataFrame:
+    """The pairs left once nodes that nothing leads to, or that lead nowhere, are taken off until none is left."""
+    left = cut(pairs.select("traj", "src", "dst").distinct())
+    n = left.count()
+    while n:
+        into = left.select("traj", F.col("dst").alias("src")).distinct()
+        out = left.select("traj", F.col("src").alias("dst")).distinct()
+        left = cut(left.join(into, ["traj", "src"], "left_semi").join(out, ["traj", "dst"], "left_semi"))
+        before, n = n, left.count()
+        if n == before:
+            break
+    return left
+
+
+def reachable(pairs: DataFrame) -> DataFrame:
     """traj, src, dst with a path of one or more edges, by doubling: paths join paths."""
     known = cut(pairs.select("traj", "src", "dst").distinct())
     n = known.count()
-    for _ in range(rounds):
+    while True:
         left, right = known.withColumnRenamed("dst", "mid"), known.withColumnRenamed("src", "mid")
         known = cut(known.unionByName(left.join(right, ["traj", "mid"]).select("traj", "src", "dst")).distinct())
         before, n = n, known.count()
         if n == before:
-            break
-    return known
+            return known
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """traj, node, component: nodes on a cycle or self-loop, with the least node of their component. Only what may lie on
+    a cycle enters the closure."""
+    r = reachable(on_loops(pairs))
+    back = r.select("traj", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return r.join(back, ["traj", "src", "dst"]).groupBy("traj", F.col("src").alias("node")).agg(F.min("dst").alias("component"))
 
 
 def loop_components(pairs: DataFrame) -> DataFrame:
     """traj, loop_components, loop_nodes: strongly connected components of two or more nodes, or with a self-loop."""
-    r = reachable(pairs)
-    back = r.select("traj", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    own = r.join(back, ["traj", "src", "dst"]).groupBy("traj", "src").agg(F.min("dst").alias("component"))
-    stats = own.groupBy("traj").agg(F.countDistinct("component").alias("loop_components"), F.count("*").alias("loop_nodes"))
+    stats = components(pairs).groupBy("traj").agg(F.countDistinct("component").alias("loop_components"), F.count("*").alias("loop_nodes"))
     return pairs.select("traj").distinct().join(stats, "traj", "left").na.fill(0)
 
 
-def shortest_paths(pairs: DataFrame, ends: DataFrame, rounds: int = 64) -> DataFrame:
+def condensed_path(pairs: DataFrame) -> DataFrame:
+    """traj, condensed_path: edges of the longest path once each component is one node. A node's distance grows with
+    each round that some path reaches it in, so there are as many rounds as the longest path has edges."""
+    own = cut(components(pairs))
+    src, dst = own.toDF("traj", "src", "_a"), own.toDF("traj", "dst", "_b")
+    flat = pairs.select("traj", "src", "dst").join(src, ["traj", "src"], "left").join(dst, ["traj", "dst"], "left")
+    step = cut(flat.select("traj", F.coalesce("_a", "src").alias("src"), F.coalesce("_b", "dst").alias("dst")).where("src <> dst").distinct())
+    level, length = cut(step.select("traj", F.col("src").alias("node")).distinct()), 0
+    found = pairs.select("traj").distinct().withColumn("condensed_path", F.lit(0).cast("long"))
+    while not level.isEmpty():
+        length += 1
+        level = cut(level.withColumnRenamed("node", "src").join(step, ["traj", "src"]).select("traj", F.col("dst").alias("node")).distinct())
+        found = found.unionByName(level.select("traj", F.lit(length).cast("long").alias("condensed_path")).distinct())
+    return found.groupBy("traj").agg(F.max("condensed_path").alias("condensed_path"))
+
+
+def shortest_paths(pairs: DataFrame, ends: DataFrame) -> DataFrame:
     """traj, shortest: edges from start_node to end_node, null where there is no way. ends: traj, start_node, end_node."""
     step = pairs.select("traj", F.col("src").alias("node"), "dst")
     level = cut(ends.select("traj", F.col("start_node").alias("node"), F.lit(0).cast("long").alias("far")))
-    seen = level
-    for far in range(1, rounds + 1):
+    seen, far = level, 0
+    while not level.isEmpty():
+        far += 1
         onward = level.join(step, ["traj", "node"]).select("traj", F.col("dst").alias("node")).distinct()
         level = cut(onward.join(seen.select("traj", "node"), ["traj", "node"], "left_anti").withColumn("far", F.lit(far).cast("long")))
-        if level.isEmpty():
-            break
         seen = cut(seen.unionByName(level))
     return ends.join(seen.withColumnRenamed("node", "end_node"), ["traj", "end_node"], "left").select("traj", F.col("far").alias("shortest"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions import text
-from tracewright.operators import aggregates, containment, graph, patches, patterns, phases, traversal
+from tracewright.operators import aggregates, containment, graph, metrics, patches, patterns, phases, traversal
 from tracewright.sources import views
 from tracewright.streaming import sessions
 
@@ -292,11 +292,14 @@ def q_conversation_pairs(spark, sf_dir):
     return c.select(F.col("conv_id").alias("traj"), "turn", "role", F.length("text").cast("long").alias("chars"), F.lead("role").over(w).alias("next_role"), F.length(F.lead("text").over(w)).cast("long").alias("next_chars"))
 
 
-@query("q_nested_ranges", """WITH r AS (SELECT DISTINCT l_orderkey AS path, l_linenumber AS node, CAST(l_linenumber AS BIGINT) AS lo, CAST(l_linenumber AS BIGINT) + CAST(floor(l_quantity / 10) AS BIGINT) AS hi FROM lineitem),
+@query("q_nested_ranges", """WITH r AS (SELECT l_orderkey AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS node, CAST(l_linenumber AS BIGINT) AS lo, CAST(l_linenumber AS BIGINT) + CAST(floor(l_quantity / 10) AS BIGINT) AS hi FROM lineitem),
 i AS (SELECT o.path, o.node AS o_node, o.lo AS o_lo, o.hi AS o_hi, i.node AS i_node, i.lo AS i_lo, i.hi AS i_hi FROM r o JOIN r i ON o.path = i.path AND o.node <> i.node AND o.lo <= i.lo AND i.hi <= o.hi)
 SELECT CAST(path AS VARCHAR) AS path, o_lo, o_hi, i_lo, i_hi FROM i WHERE NOT EXISTS (SELECT 1 FROM r m WHERE m.path = i.path AND m.node <> o_node AND m.node <> i_node AND o_lo <= m.lo AND m.hi <= o_hi AND m.lo <= i_lo AND i_hi <= m.hi)""")
 def q_nested_ranges(spark, sf_dir):
-    r = views.line_ranges(spark, sf_dir).withColumn("node", F.col("seq"))
+    from pyspark.sql import Window
+
+    # Each line is a view of its own, so that equal ranges stand twice or more often.
+    r = views.line_ranges(spark, sf_dir).withColumn("node", F.row_number().over(Window.partitionBy("path").orderBy("lo", "hi")))
     return containment.nested_ranges(r).select("path", "o_lo", "o_hi", "i_lo", "i_hi")
 
 
@@ -480,9 +483,9 @@ def q_stream_listing(spark, sf_dir):
     return out.select("session", "records", F.unix_micros(F.col("last_ts").cast("timestamp")).alias("last_us"))
 
 
-@query("q_localization_repeats", BASE + ", v AS (SELECT traj, node_ord, count(*) AS c FROM o WHERE phase = 'localization' GROUP BY traj, node_ord) SELECT traj, round(avg(c), 6) AS loc_avg_node_freq, bool_or(c > 1) AS repeated_view FROM v GROUP BY traj")
+@query("q_localization_repeats", BASE + ", v AS (SELECT traj, node_ord, nullif(count(*) FILTER (phase = 'localization'), 0) AS c FROM o GROUP BY traj, node_ord) SELECT traj, coalesce(round_even(avg(c), 2), 0) AS loc_avg_node_freq, coalesce(bool_or(c > 1), false) AS repeated_view FROM v GROUP BY traj")
 def q_localization_repeats(spark, sf_dir):
-    return graph.localization_repeats(graph_of(spark, sf_dir)[0]).withColumn("loc_avg_node_freq", F.round("loc_avg_node_freq", 6))
+    return graph.localization_repeats(graph_of(spark, sf_dir)[0])
 
 
 @query("q_continuations", BASE + """, th AS (SELECT traj, step_idx, arg_min(event_type, seq) AS thought, arg_min(node_ord, seq) AS dst FROM o GROUP BY traj, step_idx),
@@ -491,3 +494,113 @@ SELECT traj, step_idx, src, dst FROM pv WHERE contains(thought, b) AND EXISTS (S
 def q_continuations(spark, sf_dir):
     o, _, e = graph_of(spark, sf_dir)
     return graph.continuations(o, e, o.groupBy("traj", "step_idx").agg(F.min_by("event_type", "seq").alias("thought")))
+
+
+#: Canonical actions of the event runs, and the graph over nodes of equal label, args and flags.
+RICH = BASE + """, ri AS (SELECT *, phase_class = 'patch' AS ed, event_type = 'view' AS vw, '/d' || CAST(event_id % 2 AS VARCHAR) AS folder, '/d' || CAST(event_id % 2 AS VARCHAR) || '/f' || CAST(event_id % 3 AS VARCHAR) AS file, event_id % 7 * 10 AS low FROM a),
+rj AS (SELECT traj, event_id, seq, step_idx, phase, event_id % 5 = 0 AS has_cd, CASE WHEN ed THEN 'str_replace_editor: str_replace' WHEN vw THEN 'str_replace_editor: view' ELSE label END AS label,
+ CASE WHEN ed THEN file WHEN vw THEN CASE WHEN event_id % 4 = 0 THEN folder ELSE file END END AS path, CASE WHEN vw AND event_id % 4 >= 2 THEN low END AS lo, CASE WHEN vw AND event_id % 4 >= 2 THEN low + (event_id % 3 + 1) * 10 END AS hi,
+ CASE WHEN ed THEN event_id % 2 END AS old, CASE WHEN ed THEN event_id // 2 % 2 END AS new, CASE WHEN ed THEN CASE k WHEN 1 THEN 'failure: not found' WHEN 2 THEN 'failure: disk full' WHEN 0 THEN 'success' END END AS status,
+ CASE WHEN event_type = 'click' THEN event_id % 2 END AS flag, '''so'' ' || event_type || '`x`' AS thought, CASE k WHEN 0 THEN 'ok ' || CAST(event_id % 10 AS VARCHAR) WHEN 1 THEN 'Error: no' ELSE '' END AS obs FROM ri),
+rk AS (SELECT *, concat_ws('|', label, coalesce(path, '-'), coalesce(CAST(lo AS VARCHAR), '-'), coalesce(CAST(hi AS VARCHAR), '-'), coalesce(CAST(old AS VARCHAR), '-'), coalesce(CAST(new AS VARCHAR), '-'), coalesce(status, '-'), coalesce(CAST(flag AS VARCHAR), '-')) AS sig FROM rj),
+rl AS (SELECT *, min(seq) OVER (PARTITION BY traj, sig) AS fs, max(seq) OVER (PARTITION BY traj, step_idx) = seq AS ends FROM rk), ro AS (SELECT *, dense_rank() OVER (PARTITION BY traj ORDER BY fs) - 1 AS node_ord FROM rl),
+rn AS (SELECT traj, node_ord, any_value(label) AS label, any_value(path) AS path, any_value(lo) AS lo, any_value(hi) AS hi, any_value(status) AS status, bool_or(has_cd) AS has_cd, count(*) AS n_occ, min(step_idx) AS first_step, max(step_idx) AS last_step,
+ length(arg_max(thought, seq)) AS thought_len_raw, length(arg_max(event_type_, seq)) AS thought_len_clean, length(arg_max(obs, seq) FILTER (ends)) AS observation_len FROM (SELECT *, ' ' || substr(thought, 6, length(thought) - 8) AS event_type_ FROM ro) GROUP BY traj, node_ord),
+re0 AS (SELECT *, lag(node_ord) OVER (PARTITION BY traj ORDER BY seq) AS src, lag(step_idx) OVER (PARTITION BY traj ORDER BY seq) AS prev FROM ro),
+rx AS (SELECT traj, seq - 1 AS edge_ord, src, node_ord AS dst, step_idx, step_idx <> prev AS is_first_in_step, CASE WHEN step_idx <> prev THEN length(thought) ELSE 0 END AS thought_len_raw FROM re0 WHERE src IS NOT NULL),
+vw AS (SELECT traj, node_ord AS node, path, lo, hi FROM rn WHERE label = 'str_replace_editor: view'), wh AS (SELECT * FROM vw WHERE lo IS NULL), rg AS (SELECT * FROM vw WHERE lo IS NOT NULL),
+cl AS (SELECT c.traj, c.path, max(length(p.path)) AS m FROM (SELECT DISTINCT traj, path FROM vw) c JOIN wh p ON p.traj = c.traj AND starts_with(c.path, p.path || '/') GROUP BY c.traj, c.path),
+cp2 AS (SELECT cl.traj, cl.path, min(p.node) AS parent FROM cl JOIN wh p ON p.traj = cl.traj AND starts_with(cl.path, p.path || '/') AND length(p.path) = m GROUP BY cl.traj, cl.path),
+ns AS (SELECT o.traj, o.node AS src, i.node AS dst FROM rg o JOIN rg i ON o.traj = i.traj AND o.path = i.path AND o.node <> i.node AND o.lo <= i.lo AND i.hi <= o.hi
+ WHERE NOT EXISTS (SELECT 1 FROM rg m WHERE m.traj = o.traj AND m.path = o.path AND m.node <> o.node AND m.node <> i.node AND o.lo <= m.lo AND m.hi <= o.hi AND m.lo <= i.lo AND i.hi <= m.hi)),
+lw AS (SELECT traj, path, max(node) AS parent FROM wh GROUP BY traj, path),
+he AS (SELECT wh.traj, cp2.parent AS src, wh.node AS dst FROM wh JOIN cp2 ON cp2.traj = wh.traj AND cp2.path = wh.path UNION ALL SELECT * FROM ns
+ UNION ALL SELECT rg.traj, coalesce(lw.parent, cp2.parent), rg.node FROM rg LEFT JOIN lw ON lw.traj = rg.traj AND lw.path = rg.path LEFT JOIN cp2 ON cp2.traj = rg.traj AND cp2.path = rg.path
+  WHERE coalesce(lw.parent, cp2.parent) IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ns WHERE ns.traj = rg.traj AND ns.dst = rg.node))
+"""
+
+
+def built_of(spark, sf_dir):
+    return graph.build_graph(views.rich_actions(spark, sf_dir))
+
+
+@query("q_signature_nodes", RICH + "SELECT traj, node_ord, CAST(node_ord AS VARCHAR) || ':' || label AS key, path, status, has_cd, n_occ, first_step, last_step, thought_len_raw, thought_len_clean, observation_len FROM rn")
+def q_signature_nodes(spark, sf_dir):
+    n = built_of(spark, sf_dir)[1]
+    return n.select("traj", "node_ord", "key", F.element_at("args", "path").alias("path"), F.element_at("args", "edit_status").alias("status"), "has_cd", "n_occ", "first_step", "last_step", "thought_len_raw", "thought_len_clean", "observation_len")
+
+
+@query("q_signature_edges", RICH + "SELECT * FROM rx")
+def q_signature_edges(spark, sf_dir):
+    return built_of(spark, sf_dir)[2].drop("thought_len_clean")
+
+
+@query("q_hier_edges", RICH + "SELECT * FROM he")
+def q_hier_edges(spark, sf_dir):
+    return built_of(spark, sf_dir)[3].drop("rank")
+
+
+@query("q_label_sequences", RICH + """, po AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY step_idx, node_ord, seq) AS p FROM ro),
+ph AS (SELECT *, lag(phase) OVER (PARTITION BY traj ORDER BY p) AS b FROM po WHERE phase <> 'general')
+SELECT traj, labels, coalesce(phases, '') AS phases FROM (SELECT traj, string_agg(label, ',' ORDER BY p) AS labels FROM po GROUP BY traj) LEFT JOIN (SELECT traj, string_agg(phase, ',' ORDER BY p) AS phases FROM ph WHERE b IS NULL OR b <> phase GROUP BY traj) USING (traj)""")
+def q_label_sequences(spark, sf_dir):
+    s = metrics.sequences(built_of(spark, sf_dir)[0])
+    return s.select("traj", F.array_join("label_sequence", ",").alias("labels"), F.array_join("phase_sequence", ",").alias("phases"))
+
+
+@query("q_ranged_edges", RICH + """, d AS (SELECT traj, src, dst, is_first_in_step, step_idx, count(*) AS c, max(thought_len_raw) AS t FROM rx GROUP BY ALL), i AS (SELECT *, step_idx - row_number() OVER (PARTITION BY traj, src, dst, is_first_in_step ORDER BY step_idx) AS isl FROM d)
+SELECT traj, src, dst, is_first_in_step, min(step_idx) AS from_step, max(step_idx) AS to_step, CAST(sum(c) AS BIGINT) AS n, max(t) AS thought_len_raw FROM i GROUP BY traj, src, dst, is_first_in_step, isl""")
+def q_ranged_edges(spark, sf_dir):
+    return graph.ranged_edges(built_of(spark, sf_dir)[2].drop("thought_len_clean"), ["src", "dst", "is_first_in_step"])
+
+
+@query("q_mean_degrees", RICH + """, al AS (SELECT traj, src, dst, 'exec' AS t FROM rx UNION ALL SELECT traj, src, dst, 'hier' FROM he), od AS (SELECT traj, src, count(*) AS o, count(DISTINCT CASE WHEN t = 'exec' THEN dst END) AS x FROM al GROUP BY traj, src),
+sm AS (SELECT traj, sum(o) AS e, max(o) AS mo, max(x) AS mx FROM od GROUP BY traj), nn AS (SELECT traj, count(*) AS n FROM rn GROUP BY traj)
+SELECT nn.traj, round(coalesce(e, 0) * 2 / n, 6) AS avg_degree, coalesce(mo, 0) AS max_out_degree, coalesce(mx, 0) AS max_exec_out_degree FROM nn LEFT JOIN sm ON sm.traj = nn.traj""")
+def q_mean_degrees(spark, sf_dir):
+    _, n, e, h = built_of(spark, sf_dir)
+    typed = e.select("traj", "src", "dst", F.lit("exec").alias("type")).unionByName(h.select("traj", "src", "dst", F.lit("hier").alias("type")))
+    return graph.mean_degrees(n, typed).withColumn("avg_degree", F.round("avg_degree", 6))
+
+
+@query("q_trajectory_metrics")
+def q_trajectory_metrics(spark, sf_dir):
+    """All metrics but those of simple walks (q_cycles, q_longest_path); tests compare them with brute force."""
+    o, n, e, h = built_of(spark, sf_dir)
+    return metrics.trajectory_metrics(o, n, e, h, views.event_status(o), walks=False)
+
+
+@query("q_trajectory_stats")
+def q_trajectory_stats(spark, sf_dir):
+    _, n, e, h = built_of(spark, sf_dir)
+    return metrics.trajectory_stats(n, e, h)
+
+
+@query("q_inefficiencies", RICH + """, pq AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY step_idx, node_ord, seq) AS p FROM ro WHERE phase = 'patch'),
+ab AS (SELECT traj, bool_or(none) AS abandoned FROM (SELECT traj, path, bool_and(coalesce(status LIKE 'failure:%', false)) AS none FROM pq GROUP BY traj, path) GROUP BY traj),
+ff AS (SELECT traj, bool_or(f) AS flip FROM (SELECT traj, coalesce(path = lag(path) OVER w AND old = lag(new) OVER w AND new = lag(old) OVER w, false) AS f FROM pq WINDOW w AS (PARTITION BY traj ORDER BY p)) GROUP BY traj),
+lo AS (SELECT traj, max(c) > 1 AS again FROM (SELECT traj, node_ord, count(*) AS c FROM ro WHERE phase = 'localization' GROUP BY traj, node_ord) GROUP BY traj), nf AS (SELECT traj, bool_or(status = 'failure: not found') AS lost FROM pq GROUP BY traj),
+fl2 AS (SELECT t.traj, coalesce(again, false) AS r, coalesce(abandoned, false) AS u, coalesce(flip, false) AS e, coalesce(lost, false) AS s FROM (SELECT DISTINCT traj FROM ro) t LEFT JOIN lo ON lo.traj = t.traj LEFT JOIN ab ON ab.traj = t.traj LEFT JOIN ff ON ff.traj = t.traj LEFT JOIN nf ON nf.traj = t.traj),
+un AS (SELECT 'RepeatedView' AS name, r AS own FROM fl2 UNION ALL SELECT 'UnresolvedRetry', u FROM fl2 UNION ALL SELECT 'EditReversion', e FROM fl2 UNION ALL SELECT 'StrNotFound', s FROM fl2 UNION ALL SELECT 'any', r OR u OR e OR s FROM fl2)
+SELECT name, count(*) FILTER (own) AS n, round_even(count(*) FILTER (own) * 100.0 / count(*), 2) AS pct FROM un GROUP BY name HAVING count(*) FILTER (own) > 0""")
+def q_inefficiencies(spark, sf_dir):
+    o = built_of(spark, sf_dir)[0]
+    ed, own = metrics.edits(o), graph.localization_repeats(o)
+    m = own.join(patches.reversals(ed), "traj", "left").join(patches.patch_metrics(ed), "traj", "left")
+    flags = metrics.inefficiencies(m, {k: v for k, v in (metrics.LOCALIZATION_FLAGS | metrics.PATCHING_FLAGS).items() if k in ("RepeatedView", "UnresolvedRetry", "EditReversion", "StrNotFound")})
+    return metrics.flag_totals(flags, ["RepeatedView", "UnresolvedRetry", "EditReversion", "StrNotFound"]).withColumn("pct", F.col("pct").cast("double"))
+
+
+@query("q_resolution_rates", BASE + "SELECT traj % 4 AS unit, count(*) AS runs, count(*) FILTER (status = 'resolved') AS resolved, round(avg(CASE WHEN status = 'resolved' THEN 1.0 ELSE 0.0 END) * 100, 1) AS rate FROM st GROUP BY unit")
+def q_resolution_rates(spark, sf_dir):
+    s = views.event_status(views.event_actions(spark, sf_dir)).withColumn("unit", F.col("traj") % 4)
+    return metrics.resolution_rates(s, ["unit"])
+
+
+@query("q_condensed_path", BARE + """, w AS (SELECT traj, src, dst FROM x UNION SELECT w.traj, w.src, x.dst FROM w JOIN x ON x.traj = w.traj AND x.src = w.dst),
+nd AS (SELECT traj, src AS node FROM x UNION SELECT traj, dst FROM x), m AS (SELECT a.traj, a.src AS node, min(a.dst) AS comp FROM w a JOIN w b ON a.traj = b.traj AND a.src = b.dst AND a.dst = b.src GROUP BY a.traj, a.src),
+cm AS (SELECT nd.traj, nd.node, coalesce(comp, nd.node) AS comp FROM nd LEFT JOIN m ON m.traj = nd.traj AND m.node = nd.node), ce AS (SELECT DISTINCT x.traj, s.comp AS src, d.comp AS dst FROM x JOIN cm s ON s.traj = x.traj AND s.node = x.src JOIN cm d ON d.traj = x.traj AND d.node = x.dst WHERE s.comp <> d.comp),
+lp AS (SELECT traj, comp AS node, 0 AS far FROM cm UNION SELECT lp.traj, ce.dst, far + 1 FROM lp JOIN ce ON ce.traj = lp.traj AND ce.src = lp.node)
+SELECT traj, CAST(max(far) AS BIGINT) AS condensed_path FROM lp GROUP BY traj""")
+def q_condensed_path(spark, sf_dir):
+    return traversal.condensed_path(bare_pairs(spark, sf_dir))

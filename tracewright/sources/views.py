@@ -60,3 +60,29 @@ def line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     lo = F.col("l_linenumber").cast("long")
     return li.select((F.col("l_orderkey") % 64).alias("traj"), F.col("l_orderkey").cast("string").alias("path"), lo.alias("seq"), lo.alias("lo"), (lo + F.floor(F.col("l_quantity") / 10).cast("long")).alias("hi"))
+
+
+def rich_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_actions() with all that a graph is built of: views of folders, files and line ranges, edits with their
+    texts and outcomes, flags, thoughts and observations, each told by the event."""
+    a = event_actions(spark, sf_dir)
+    n, patch, view = F.col("event_id"), F.col("phase_class") == "patch", F.col("event_type") == "view"
+    text = lambda c: c.cast("string")
+    folder = F.concat(F.lit("/d"), text(n % 2))
+    file = F.concat(folder, F.lit("/f"), text(n % 3))
+    low = n % 7 * 10
+    args = {
+        "path": F.when(patch, file).when(view, F.when(n % 4 == 0, folder).otherwise(file)),
+        "view_range": F.when(view & (n % 4 >= 2), F.concat(text(low), F.lit("-"), text(low + (n % 3 + 1) * 10))),
+        "old_str": F.when(patch, text(n % 2)),
+        "new_str": F.when(patch, text(F.floor(n / 2) % 2)),
+        "edit_status": F.when(patch, F.when(F.col("k") == 1, "failure: not found").when(F.col("k") == 2, "failure: disk full").when(F.col("k") == 0, "success")),
+    }
+    entries = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in args.items()]), lambda e: e["value"].isNotNull())
+    label = F.when(patch, "str_replace_editor: str_replace").when(view, "str_replace_editor: view").otherwise(F.col("label"))
+    flags = F.when(F.col("event_type") == "click", F.create_map(F.lit("n"), text(n % 2))).otherwise(F.create_map().cast("map<string,string>"))
+    observation = F.when(F.col("k") == 0, F.concat(F.lit("ok "), text(n % 10))).when(F.col("k") == 1, "Error: no")
+    return a.select(
+        "traj", "event_id", "seq", "step_idx", label.alias("label"), F.map_from_entries(entries).alias("args"), flags.alias("flags"), (n % 5 == 0).alias("has_cd"),
+        "phase", F.concat(F.lit("'so' "), "event_type", F.lit("`x`")).alias("thought"), observation.alias("observation"), F.when(F.col("k") == 1, "failure").otherwise("neutral").alias("outcome"),
+    )
