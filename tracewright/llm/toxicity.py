@@ -1,7 +1,7 @@
 """Toxicity: the nearest labelled examples by exact TF-IDF cosine, found in an inverted index.
 
 At most `max_rows` labelled rows, those with the least hash of doc_id, train and are the examples; of near copies with
-one label one counts. Terms are words in lower case and their beginnings of four and five letters. The vocabulary is all
+one label one counts. Terms are words in lower case and their beginnings of five letters. The vocabulary is all
 terms that an example has, and all examples are in the index. Document frequencies are counted over all documents. A
 term that toxic examples have more often weighs one plus its log-likelihood ratio times as much as another; none is left
 out. Block-max bounds say which blocks of examples a query need not look through; the k nearest are exact (ties: the
@@ -32,6 +32,8 @@ EDGE = ".,;:!?\"'()[]{}*#|<>-_/\\&%$"
 #: Bytes of words kept by a worker, with about so many for what is known of each; terms counted before they are sent on.
 MEMO_BYTES, ENTRY_BYTES, MEMO = 64_000_000, 200, 400_000
 TIE = 1e-6
+#: Sums in single precision differ from exact ones by less than this; queries looked up together.
+NEAR, TOGETHER = 1e-5, 64
 #: One MinHash value each; near copies agree on all.
 SALTS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 EVIDENCE = "array<struct<doc_id:bigint,toxic:int,similarity:double>>"
@@ -39,7 +41,7 @@ EVIDENCE = "array<struct<doc_id:bigint,toxic:int,similarity:double>>"
 
 def terms_of(word: bytes) -> list[str]:
     w = word.decode("utf-8", "replace").lower().strip(EDGE)
-    return [w, *[f"{w[:n]}*" for n in (4, 5) if len(w) > n]] if w else []
+    return [w, f"{w[:5]}*"] if len(w) > 5 else [w] if w else []
 
 
 def fold(doc_id: str, folds: int) -> Column:
@@ -81,58 +83,102 @@ class Terms:
 class BlockMax:
     """Examples by term, in blocks that know their largest weight of each term; exact k nearest by cosine.
 
-    Examples with the same heaviest term lie together, so that blocks differ. A query bounds each block by the largest
-    weights of its terms there, looks through the most promising blocks, and then only through those whose bound
-    reaches the k-th cosine found.
+    Examples with the same heaviest common term lie together, so that blocks differ. Terms that few examples have are
+    added up by their postings. Of the `common` others, which make most postings, each block has a small dense table and
+    the largest weight in it: that largest weight bounds what a block can add. Queries come in batches; each looks
+    through its most promising blocks, and then only through those whose bound reaches the k-th cosine found. What
+    comes out near the front is added up again in full precision.
     """
 
-    def __init__(self, vectors, ids, toxic, size: int, block: int = 64, first_blocks: int = 8):
+    def __init__(self, vectors, ids, toxic, size: int, block: int = 64, first_blocks: int = 4, common: int = 1024):
+        n = np.bincount(np.concatenate([*[t for t, _ in vectors], np.empty(0, np.int64)]).astype(np.int64), minlength=size) if size else np.zeros(0, np.int64)
+        often = np.sort(np.argsort(-n, kind="stable")[:common])
+        self.dense = np.full(size, -1, np.int32)  # a term's row in the dense tables
+        self.dense[often[n[often] > 0]] = np.arange((n[often] > 0).sum())
         heavy = np.asarray([t[w.argmax()] if len(t) else -1 for t, w in vectors], np.int64)
-        own = np.lexsort((np.asarray(ids, np.int64), heavy))
+        lead = np.asarray([t[np.where(self.dense[t] >= 0, w, -1).argmax()] if len(t) else -1 for t, w in vectors], np.int64)
+        own = np.lexsort((np.asarray(ids, np.int64), heavy, lead))
         self.ids, self.toxic = np.asarray(ids, np.int64)[own], np.asarray(toxic, np.int64)[own]
         self.place_of = dict(zip(self.ids.tolist(), range(len(own)), strict=True))
-        vectors, self.block, self.first_blocks = [vectors[k] for k in own], block, first_blocks
-        terms = np.concatenate([*[t for t, _ in vectors], np.empty(0, np.int32)])
-        order = np.argsort(terms, kind="stable")
-        terms = terms[order]
-        self.place = np.repeat(np.arange(len(vectors), dtype=np.min_scalar_type(max(1, len(vectors)))), [len(t) for t, _ in vectors])[order]
-        self.weight = np.concatenate([*[w for _, w in vectors], np.empty(0, np.float32)])[order]
-        # Entries: the postings of one term in one block.
-        blocks = self.place.astype(np.int32) // block
-        self.start = np.flatnonzero(np.diff(terms, prepend=-1) | np.diff(blocks, prepend=-1)).astype(np.int64)
-        self.end = np.append(self.start[1:], len(terms))
-        self.of = blocks[self.start]
-        self.most = np.maximum.reduceat(self.weight, self.start) if len(terms) else np.empty(0, np.float32)
-        self.first = np.searchsorted(terms[self.start], np.arange(size + 1))
-
-    def _cosines(self, sums: np.ndarray, entries: np.ndarray, w: np.ndarray) -> None:
-        n = self.end[entries] - self.start[entries]
-        at = np.repeat(self.start[entries] - (n.cumsum() - n), n) + np.arange(n.sum())
-        sums += np.bincount(self.place[at], np.repeat(w, n) * self.weight[at], len(sums))
+        self.vectors, self.block, self.first_blocks = [vectors[k] for k in own], block, first_blocks
+        terms = np.concatenate([*[t for t, _ in self.vectors], np.empty(0, np.int32)]).astype(np.int32)
+        place = np.repeat(np.arange(len(own), dtype=np.int32), [len(t) for t, _ in self.vectors])
+        weight = np.concatenate([*[w for _, w in self.vectors], np.empty(0, np.float32)])
+        rare = np.flatnonzero(self.dense[terms] < 0) if len(terms) else np.empty(0, np.int64)
+        rare = rare[np.argsort(terms[rare], kind="stable")]
+        self.first = np.searchsorted(terms[rare], np.arange(size + 1))
+        self.place, self.weight = place[rare], weight[rare]
+        self.tables, self.query = None, np.zeros(size)
+
+    def __getstate__(self):
+        return self.__dict__ | {"tables": None}  # made again where they are used, from what is sent anyway
+
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """By block the dense weights (terms, members), and by term and block the largest."""
+        if self.tables is None:
+            rows, blocks = int(self.dense.max(initial=-1)) + 1, -(-len(self.ids) // self.block)
+            tables = np.zeros((blocks, rows, self.block), np.float32)
+            for k, (t, w) in enumerate(self.vectors):
+                own = self.dense[t]
+                tables[k // self.block, own[own >= 0], k % self.block] = w[own >= 0]
+            self.tables = tables, np.ascontiguousarray(tables.max(2).T) if blocks else np.zeros((rows, 0), np.float32)
+        return self.tables
+
+    def nearest_of(self, queries, k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms in order, weights) the places and cosines, from the nearest; only examples that share a
+        term. without: a place for each query that doesn't count."""
+        size, b = len(self.ids), self.block
+        if not size:
+            return [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+        tables, most = self._tables()
+        sums = np.zeros((len(queries), len(tables) * b), np.float32)
+        dense = np.zeros((len(queries), most.shape[0]), np.float32)
+        for q, (t, w) in enumerate(queries):
+            row = self.dense[t]
+            dense[q, row[row >= 0]] = w[row >= 0]
+            t, w = t[row < 0], w[row < 0]
+            n = self.first[t + 1] - self.first[t]
+            at = np.repeat(self.first[t] - (n.cumsum() - n), n) + np.arange(n.sum())
+            sums[q, :size] = np.bincount(self.place[at], np.repeat(w, n) * self.weight[at], size)
+            if without is not None:
+                sums[q, without[q]] = -9
+        sums[:, size:] = -9
+        bounds = sums.reshape(len(queries), len(tables), b).max(2) + dense @ most
+        found = np.full(sums.shape, -9, np.float32)
+
+        def look(need: np.ndarray) -> None:
+            """Add the dense part for the blocks that queries need."""
+            for block in np.flatnonzero(need.any(0)):
+                q = np.flatnonzero(need[:, block])
+                found[q, block * b : (block + 1) * b] = sums[q, block * b : (block + 1) * b] + dense[q] @ tables[block]
+
+        def kth(values: np.ndarray) -> np.ndarray:
+            return np.partition(values, values.shape[1] - k, 1)[:, values.shape[1] - k] if values.shape[1] > k else np.zeros(len(values), np.float32)
+
+        front = min(self.first_blocks, len(tables))
+        need = np.zeros(bounds.shape, bool)
+        best = np.argpartition(bounds, bounds.shape[1] - front, 1)[:, bounds.shape[1] - front :]
+        np.put_along_axis(need, best, True, 1)
+        look(need)
+        least = kth(np.take_along_axis(found.reshape(len(queries), len(tables), b), best[:, :, None], 1).reshape(len(queries), -1))
+        look(~need & (bounds > 0) & (bounds >= least[:, None] - NEAR))
+        least = kth(found)
+        return [self._exact(t, w, np.flatnonzero((found[q] > 0) & (found[q] >= least[q] - NEAR)), k) for q, (t, w) in enumerate(queries)]
+
+    def _exact(self, t: np.ndarray, w: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if not len(places):
+            return places, np.zeros(0)
+        own = [self.vectors[p] for p in places.tolist()]
+        n = np.asarray([len(x) for x, _ in own])
+        self.query[t] = w
+        cosines = np.add.reduceat(self.query[np.concatenate([x for x, _ in own])] * np.concatenate([x for _, x in own]), n.cumsum() - n)
+        self.query[t] = 0
+        order = np.lexsort((self.ids[places], -np.round(cosines, 12)))[:k]
+        order = order[cosines[order] > 0]
+        return places[order], cosines[order]
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines, from the nearest; only examples that share a term."""
-        n = self.first[t + 1] - self.first[t]
-        entries = np.repeat(self.first[t] - (n.cumsum() - n), n) + np.arange(n.sum())
-        w, of, sums = np.repeat(w, n), self.of[entries], np.zeros(len(self.ids))
-        bounds = np.bincount(of, w * self.most[entries], len(sums) // self.block + 1)
-        looked = np.zeros(len(bounds), bool)
-        looked[np.argpartition(bounds, -self.first_blocks)[-self.first_blocks :] if len(bounds) > self.first_blocks else slice(None)] = True
-        self._cosines(sums, entries[looked[of]], w[looked[of]])
-        if without is not None:
-            sums[without] = 0
-        least = np.partition(sums, len(sums) - k)[len(sums) - k] if len(sums) > k else 0.0
-        rest = ~looked & (bounds > 0) & (bounds >= least - 1e-6)
-        if rest.any():
-            self._cosines(sums, entries[rest[of]], w[rest[of]])
-        if without is not None:
-            sums[without] = 0
-        places = np.flatnonzero(sums > 0)
-        if len(places) > k:
-            least = np.partition(sums[places], len(places) - k)[len(places) - k]
-            places = places[sums[places] >= least - 1e-12]
-        places = places[np.lexsort((self.ids[places], -np.round(sums[places], 12)))[:k]]
-        return places, sums[places]
+        return self.nearest_of([(t, w)], k, None if without is None else [without])[0]
 
 
 def isotonic(raw: list[tuple[float, int]], share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -154,16 +200,20 @@ class Model:
         w = 1 / (1.05 - np.minimum(cosine, 1))
         return float((w @ self.index.toxic[at] + self.share) / (w.sum() + 1))
 
-    def score(self, t: np.ndarray, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, list[dict]]:
-        if not len(t) or not len(self.index.ids):
-            return self.without, []
-        at, cosine = self.index.nearest(t, w, self.k)
-        if not len(at):
-            return self.share, []
-        raw = self.raw(at, cosine)
-        # The calibrated score; the raw one only orders what the fit makes equal.
-        score = (1 - TIE) * float(np.interp(raw, x, y)) + TIE * raw
-        return score, [{"doc_id": int(self.index.ids[p]), "toxic": int(self.index.toxic[p]), "similarity": float(c)} for p, c in zip(at[:3], cosine[:3], strict=True)]
+    def scores(self, vectors, x: np.ndarray, y: np.ndarray) -> list[tuple[float, list[dict]]]:
+        out: list[tuple[float, list[dict]]] = [(self.without, [])] * len(vectors)
+        some = [k for k, (t, _) in enumerate(vectors) if len(t)] if len(self.index.ids) else []
+        for start in range(0, len(some), TOGETHER):
+            own = some[start : start + TOGETHER]
+            for k, (at, cosine) in zip(own, self.index.nearest_of([vectors[k] for k in own], self.k), strict=True):
+                if not len(at):
+                    out[k] = (self.share, [])
+                    continue
+                raw = self.raw(at, cosine)
+                # The calibrated score; the raw one only orders what the fit makes equal.
+                score = (1 - TIE) * float(np.interp(raw, x, y)) + TIE * raw
+                out[k] = (score, [{"doc_id": int(self.index.ids[p]), "toxic": int(self.index.toxic[p]), "similarity": float(c)} for p, c in zip(at[:3], cosine[:3], strict=True)])
+        return out
 
 
 def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k: int):
@@ -267,10 +317,14 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
         m = model.value
         read = Terms(m.vocabulary)
         for batch in batches:
-            raw = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                t, w = read.vector(text, m.idf)
-                raw.append(m.raw(*m.index.nearest(t, w, k, without=m.index.place_of[doc_id])) if len(t) else None)
+            own = [read.vector(text, m.idf) for text in batch.column("text").to_pylist()]
+            raw: list[float | None] = [None] * len(own)
+            some, ids = [i for i, (t, _) in enumerate(own) if len(t)], batch.column("doc_id").to_pylist()
+            for start in range(0, len(some), TOGETHER):
+                part = some[start : start + TOGETHER]
+                found = m.index.nearest_of([own[i] for i in part], k, [m.index.place_of[ids[i]] for i in part])
+                for i, (at, cosine) in zip(part, found, strict=True):
+                    raw[i] = m.raw(at, cosine)
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(raw, pa.float64())], ["toxic", "raw"])
 
     raw = training.mapInArrow(without_itself, "toxic int, raw double").where("raw is not null").toArrow()
@@ -286,7 +340,7 @@ def scored(docs: DataFrame, labels: DataFrame, *, folds: int = 5, max_rows: int
         own = model.value
         read = Terms(own.vocabulary)
         for batch in batches:
-            found = [own.score(*read.vector(t, own.idf), *curve) for t in batch.column(1).to_pylist()]
+            found = own.scores([read.vector(t, own.idf) for t in batch.column(1).to_pylist()], *curve)
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], kind)], ["doc_id", "score", "evidence"])
 
@@ -303,7 +357,7 @@ def clean(docs: DataFrame, labels: DataFrame, *, cut: float = 0.5, folds: int =
         own = model.value
         read = Terms(own.vocabulary)
         for batch in batches:
-            scores = [own.score(*read.vector(t, own.idf), *curve)[0] for t in batch.column("text").to_pylist()]
+            scores = [x for x, _ in own.scores([read.vector(t, own.idf) for t in batch.column("text").to_pylist()], *curve)]
             yield batch.filter(pa.array([s < cut for s in scores], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
