@@ -23,6 +23,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,35 +51,62 @@ def fold(doc_id: str, folds: int) -> Column:
 
 
 class Terms:
-    """From words to vocabulary numbers, with a bounded memory."""
+    """From words to vocabulary numbers, with a bounded memory. Texts are split and their words told apart in Arrow."""
 
     def __init__(self, vocabulary: list[str]):
         self.number, self.memo, self.held = {t: k for k, t in enumerate(vocabulary)}, {}, 0
 
-    def _found(self, own: list[bytes]) -> list[tuple[int, ...]]:
-        memo = self.memo
+    def _found(self, words_: list[str]) -> np.ndarray:
+        """The numbers of each word's terms, -1 where there is none."""
+        memo, get = self.memo, self.number.get
         if self.held > MEMO_BYTES:
             memo.clear()
             self.held = 0
-        found = list(map(memo.get, own))
-        if None in found:
-            for k, f in enumerate(found):
-                if f is None:
-                    w = own[k]
-                    if w not in memo:
-                        memo[w] = tuple([self.number[t] for t in terms_of(w) if t in self.number])
-                        self.held += len(w) + ENTRY_BYTES
-                    found[k] = memo[w]
-        return found
+        for w in words_:
+            if w not in memo:
+                own = [get(t, -1) for t in terms_of(w.encode())]
+                memo[w] = (own[0] if own else -1, own[1] if len(own) > 1 else -1)
+                self.held += 2 * len(w) + ENTRY_BYTES
+        return np.fromiter(chain.from_iterable(map(memo.__getitem__, words_)), np.int64, 2 * len(words_)).reshape(-1, 2)
+
+    def counted(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the text, term, how often) for all terms of each text, in order of both."""
+        lists = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        terms = self._found(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        edges = lists.offsets.to_numpy()
+        doc = np.repeat(np.arange(len(texts)), np.diff(edges))
+        key = (doc[:, None] * (len(self.number) + 1) + terms)[terms >= 0]
+        key, n = np.unique(key, return_counts=True)
+        return key // (len(self.number) + 1), key % (len(self.number) + 1), n
 
     def numbers(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(self._found(words(text))))
+        return self.counted([text])[1].tolist()
+
+    def vectors(self, texts: list[str | None], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the vocabulary numbers and weights of length one; both empty where no term occurs."""
+        out = []
+        for start in range(0, len(texts), 256):
+            some = texts[start : start + 256]
+            doc, t, n = self.counted(some)
+            w = (1 + np.log(n)) * idf[t]
+            edges = np.searchsorted(doc, np.arange(len(some) + 1))
+            w /= np.sqrt(np.bincount(doc, w * w, len(some)))[doc]
+            out += [(t[a:b], w[a:b]) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
+        return out
 
     def vector(self, text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Vocabulary numbers and weights of length one; both empty where no term occurs."""
-        t, n = np.unique(np.asarray(self.numbers(text), np.int64), return_counts=True)
-        w = (1 + np.log(n)) * idf[t] if len(t) else np.empty(0)
-        return t, w / np.sqrt((w * w).sum()) if len(t) else w
+        return self.vectors([text], idf)[0]
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """An array byte by byte in columns, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def unsqueezed(data: bytes, dtype) -> np.ndarray:
+    raw, size = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), np.dtype(dtype).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).reshape(-1)
 
 
 class BlockMax:
@@ -99,19 +128,33 @@ class BlockMax:
         lead = np.asarray([t[np.where(self.dense[t] >= 0, w, -1).argmax()] if len(t) else -1 for t, w in vectors], np.int64)
         own = np.lexsort((np.asarray(ids, np.int64), heavy, lead))
         self.ids, self.toxic = np.asarray(ids, np.int64)[own], np.asarray(toxic, np.int64)[own]
-        self.place_of = dict(zip(self.ids.tolist(), range(len(own)), strict=True))
-        self.vectors, self.block, self.first_blocks = [vectors[k] for k in own], block, first_blocks
-        terms = np.concatenate([*[t for t, _ in self.vectors], np.empty(0, np.int32)]).astype(np.int32)
-        place = np.repeat(np.arange(len(own), dtype=np.int32), [len(t) for t, _ in self.vectors])
-        weight = np.concatenate([*[w for _, w in self.vectors], np.empty(0, np.float32)])
+        self.block, self.first_blocks, self.size = block, first_blocks, size
+        self._hold([vectors[k] for k in own])
+
+    def _hold(self, vectors) -> None:
+        self.vectors = vectors
+        self.place_of = dict(zip(self.ids.tolist(), range(len(self.ids)), strict=True))
+        terms = np.concatenate([*[t for t, _ in vectors], np.empty(0, np.int32)]).astype(np.int32)
+        place = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        weight = np.concatenate([*[w for _, w in vectors], np.empty(0, np.float32)])
         rare = np.flatnonzero(self.dense[terms] < 0) if len(terms) else np.empty(0, np.int64)
         rare = rare[np.argsort(terms[rare], kind="stable")]
-        self.first = np.searchsorted(terms[rare], np.arange(size + 1))
+        self.first = np.searchsorted(terms[rare], np.arange(self.size + 1))
         self.place, self.weight = place[rare], weight[rare]
-        self.tables, self.query = None, np.zeros(size)
+        self.tables, self.query = None, np.zeros(self.size)
 
     def __getstate__(self):
-        return self.__dict__ | {"tables": None}  # made again where they are used, from what is sent anyway
+        """Only the examples are sent, compressed: all else is made again from them."""
+        sizes = np.asarray([len(t) for t, _ in self.vectors], np.int32)
+        terms = np.concatenate([*[np.diff(t, prepend=0) for t, _ in self.vectors], np.empty(0, np.int32)]).astype(np.int32)
+        weights = np.concatenate([*[w for _, w in self.vectors], np.empty(0, np.float32)]).astype(np.float32)
+        return (self.ids, self.toxic, self.dense, self.block, self.first_blocks, self.size, *map(squeezed, (sizes, terms, weights)))
+
+    def __setstate__(self, state) -> None:
+        self.ids, self.toxic, self.dense, self.block, self.first_blocks, self.size, *packed = state
+        sizes, terms, weights = (unsqueezed(x, d) for x, d in zip(packed, (np.int32, np.int32, np.float32), strict=True))
+        ends = sizes.cumsum()
+        self._hold([(terms[a:b].cumsum(dtype=np.int32), weights[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)])
 
     def _tables(self) -> tuple[np.ndarray, np.ndarray]:
         """By block the dense weights (terms, members), and by term and block the largest."""
@@ -281,8 +324,9 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
         read = Terms(shared.value)
         n = np.zeros(len(shared.value), np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                n[list(set(read.numbers(text)))] += 1
+            texts = batch.column(0).to_pylist()
+            for start in range(0, len(texts), 1000):
+                n += np.bincount(read.counted(texts[start : start + 1000])[1], minlength=len(n))
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["term", "n"])
 
@@ -298,7 +342,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
         worker_cache("toxicity")
         read = Terms(shared.value)
         for batch in batches:
-            own = [read.vector(t, idf) for t in batch.column("text").to_pylist()]
+            own = read.vectors(batch.column("text").to_pylist(), idf)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([t.astype(np.int32).tobytes() for t, _ in own], pa.binary()), pa.array([w.astype(np.float32).tobytes() for _, w in own], pa.binary())], ["doc_id", "toxic", "t", "w"])
 
     rows = training.mapInArrow(vectors, "doc_id long, toxic int, t binary, w binary").toArrow().sort_by("doc_id")
@@ -317,7 +361,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
         m = model.value
         read = Terms(m.vocabulary)
         for batch in batches:
-            own = [read.vector(text, m.idf) for text in batch.column("text").to_pylist()]
+            own = read.vectors(batch.column("text").to_pylist(), m.idf)
             raw: list[float | None] = [None] * len(own)
             some, ids = [i for i, (t, _) in enumerate(own) if len(t)], batch.column("doc_id").to_pylist()
             for start in range(0, len(some), TOGETHER):
@@ -340,7 +384,7 @@ def scored(docs: DataFrame, labels: DataFrame, *, folds: int = 5, max_rows: int
         own = model.value
         read = Terms(own.vocabulary)
         for batch in batches:
-            found = own.scores([read.vector(t, own.idf) for t in batch.column(1).to_pylist()], *curve)
+            found = own.scores(read.vectors(batch.column(1).to_pylist(), own.idf), *curve)
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], kind)], ["doc_id", "score", "evidence"])
 
@@ -357,7 +401,7 @@ def clean(docs: DataFrame, labels: DataFrame, *, cut: float = 0.5, folds: int =
         own = model.value
         read = Terms(own.vocabulary)
         for batch in batches:
-            scores = [x for x, _ in own.scores([read.vector(t, own.idf) for t in batch.column("text").to_pylist()], *curve)]
+            scores = [x for x, _ in own.scores(read.vectors(batch.column("text").to_pylist(), own.idf), *curve)]
             yield batch.filter(pa.array([s < cut for s in scores], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
