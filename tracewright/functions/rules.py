@@ -158,3 +158,70 @@ def phase_class(tool: Column, subcommand: Column, command: Column, tokens: Colum
         .when(writes, edits)
         .otherwise("general")
     )
+
+
+#: The tools and commands of native sessions, by what they do.
+SHELL_TOOLS = ["shell_command", "exec_command", "local_shell", "local_shell_call", "powershell", "run_shell_command", "bash", "mcp__environment__bash"]
+READ_TOOL_HINTS, EDIT_TOOL_HINTS = ["read", "view", "find", "search", "list", "open", "grep", "fetch"], ["write", "edit", "create", "replace", "patch"]
+PROBES = [
+    "date", "curl", "sleep", "pgrep", "pidof", "ps", "lsof", "ss", "netstat", "nc", "ncat", "telnet", "uvicorn", "gunicorn", "node", "deno", "bun", "java", "pkill", "kill", "killall",
+    "wait", "timeout", "npm", "printf", "chmod", "pwd", "which", "wc", "file", "du", "free", "df", "env", "nvidia-smi", "tmux", "write_stdin", "command", "bash", "diff", "playwright",
+]
+SHELL_EDITS = ["mkdir", "rmdir", "cp", "mv", "rm", "ln", "install", "truncate"]
+SHELL_READS = ["rg", "grep", "find", "fd", "cat", "ls", "dir", "tree", "head", "tail", "type", "get-content", "get-childitem", "select-string", "resolve-path"]
+SHELL_GIT_READS = r"\b(status|diff|show|log|grep|ls-files)\b"
+POWERSHELL_WRITES = ["set-content", "add-content", "out-file", "new-item", "remove-item"]
+TEST_RUNS = [
+    "pytest", "unittest", "npm test", "npm run test", "pnpm test", "yarn test", "cargo test", "go test", "dotnet test", "mvn test", "gradle test", "ruff check", "mypy", "pyright",
+    "eslint", "black --check", "isort --check", "node --check", "tsc --noemit",
+]
+#: Tools that read, write and edit files, and the argument that names the file.
+READERS, WRITERS, EDITORS = ["read", "readfile", "readmediafile"], ["write", "writefile"], ["edit", "strreplace", "str_replace"]
+PATH_ARGUMENTS = ["path", "file", "file_path", "filename"]
+
+
+def codex_tool_class(name: Column, arguments: Column) -> Column:
+    """The class of a tool that is no shell; arguments: array of its values. Such a tool is classed without history, so
+    what would depend on it is loc."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    none = F.lit(None).cast("string")
+    own = phase_class(none, none, low, arguments, F.create_map().cast("map<string,string>"), F.lit("codex"))
+    return (
+        F.when(plan_name(name).isin(PLANS), "plan")
+        .when(low.isin(PATCHERS) | contains_any(low, EDIT_TOOL_HINTS), "patch")
+        .when((low == "web_search") | contains_any(low, READ_TOOL_HINTS), "loc")
+        .otherwise(F.when(own == "ctx", "loc").otherwise(own))
+    )
+
+
+def codex_shell_class(tool: Column, subcommand: Column, command: Column, tokens: Column, flags: Column) -> Column:
+    """The class of a shell command of a native session: probes, then the base rules, then tables of common verbs."""
+    cmd = F.regexp_extract(F.replace(F.lower(F.trim(F.coalesce(command, F.lit("")))), F.lit("\\"), F.lit("/")), r"([^/]*)$", 1)
+    words = F.lower(F.array_join(F.coalesce(tokens, F.array().cast("array<string>")), " "))
+    options = F.array_join(F.transform(F.map_entries(F.coalesce(flags, F.create_map().cast("map<string,string>"))), lambda e: F.concat_ws(" ", e["key"], e["value"])), " ")
+    full = F.lower(F.concat_ws(" ", cmd, options, words))
+    base = phase_class(tool, subcommand, command, tokens, flags, F.lit(None).cast("string"))
+    return (
+        F.when(plan_name(tool).isin(PLANS) | plan_name(subcommand).isin(PLANS) | plan_name(command).isin(PLANS), "plan")
+        .when(cmd == "apply_patch", "patch")
+        .when((cmd == "node") & full.rlike(NODE_WRITES), "patch")
+        .when(cmd.isin(PROBES), "ctx")
+        .when(base != "general", base)
+        .when(cmd.isin(SHELL_READS) | ((cmd == "git") & words.rlike(SHELL_GIT_READS)), "loc")
+        .when(cmd.isin(POWERSHELL_WRITES + SHELL_EDITS), "patch")
+        .when(contains_any(full, TEST_RUNS), "ctx")
+        .otherwise("general")
+    )
+
+
+def claude_tool_class(name: Column, arguments: Column) -> Column:
+    """The class of a tool by its name and its map of arguments; relative paths count as below the working folder."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    given = F.coalesce(arguments, F.create_map().cast("map<string,string>"))
+    placed = F.transform_values(given, lambda k, v: F.when(k.isin(PATH_ARGUMENTS) & (v != "") & ~v.rlike(r"^(?:/|\./|\.\./|~)"), F.concat(F.lit("./"), v)).otherwise(v))
+    tokens, none, no_flags = F.map_values(placed), F.lit(None).cast("string"), F.create_map().cast("map<string,string>")
+    editor = F.when(low.isin(READERS), "view").when(low.isin(WRITERS), "create").when(low.isin(EDITORS), "str_replace")
+    command = F.when(low == "glob", "find").otherwise(low)
+    as_file = phase_class(F.lit("str_replace_editor"), editor, F.lit(""), tokens, no_flags, F.lit("claude"))
+    as_command = phase_class(none, none, command, tokens, no_flags, F.lit("claude"))
+    return F.when(plan_name(name).isin(PLANS), "plan").when(editor.isNotNull(), as_file).otherwise(as_command)

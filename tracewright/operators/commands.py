@@ -18,11 +18,11 @@ def tokens(text: Column) -> Column:
 
 def split_commands(toks: Column) -> Column:
     """Arrays of tokens, a new one at each separator; empty ones are left out."""
-    start = F.array(F.array().cast("array<string>"))
-    is_cut = lambda t: t.isin("&&", "||", ";", "\n")
-    add = lambda acc, t: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.array(t))))
-    folded = F.aggregate(toks, start, lambda acc, t: F.when(is_cut(t), F.concat(acc, start)).otherwise(add(acc, t)))
-    return F.filter(folded, lambda c: F.size(c) > 0)
+    n = F.size(toks)
+    cuts = F.filter(F.transform(toks, lambda t, i: F.when(t.isin("&&", "||", ";", "\n"), i + 1).otherwise(0)), lambda i: i > 0)
+    ends = F.concat(cuts, F.array(n + 1))
+    parts = F.transform(ends, lambda end, k: F.struct(F.when(k == 0, 0).otherwise(F.get(ends, k - 1)).alias("start"), end.alias("end")))
+    return F.filter(F.transform(parts, lambda p: F.slice(toks, p["start"] + 1, F.greatest(p["end"] - p["start"] - 1, F.lit(0)))), lambda c: F.size(c) > 0)
 
 
 def unquoted(token: Column) -> Column:
@@ -35,29 +35,56 @@ def unbalanced(text: Column) -> Column:
     return F.regexp_replace(text, r"""(?s)\\.|"(?:\\.|[^"\\])*"|'[^']*'""", "").rlike("""["']""")
 
 
-def flags_of(args: Column) -> Column:
-    """Options as a map: --k=v, --k, bundled short ones; -c and -e take the next token as code."""
-    long = F.filter(args, lambda t: t.rlike(r"^--\w"))
-    longs = F.transform(long, lambda t: F.struct(F.regexp_extract(t, r"^--([^=]+)", 1).alias("key"), F.when(F.contains(t, F.lit("=")), unquoted(F.regexp_extract(t, r"(?s)^--[^=]+=(.*)$", 1))).otherwise("true").alias("value")))
-    placed = F.transform(args, lambda t, i: F.struct(t.alias("t"), F.coalesce(F.get(args, i + 1), F.lit("")).alias("n")))
-    code = F.transform(F.filter(placed, lambda p: p["t"].rlike("^-[ce]$")), lambda p: F.struct(F.substring(p["t"], 2, 1).alias("key"), unquoted(p["n"]).alias("value")))
-    short = F.flatten(F.transform(F.filter(args, lambda t: t.rlike("^-[A-Za-z]+$") & ~t.rlike("^-[ce]$")), lambda t: F.transform(F.filter(F.split(F.substring(t, 2, 100), ""), lambda c: c != ""), lambda c: F.struct(c.alias("key"), F.lit("true").alias("value")))))
-    all_ = F.concat(longs, code, short)
-    first = F.filter(all_, lambda e: F.lit(True))
-    return F.map_from_entries(F.aggregate(first, F.slice(all_, 1, 0), lambda acc, e: F.when(F.exists(acc, lambda x: x["key"] == e["key"]), acc).otherwise(F.concat(acc, F.array(e)))))
-
-
-def positional(args: Column) -> Column:
-    placed = F.transform(args, lambda t, i: F.struct(t.alias("t"), F.when(i > 0, F.get(args, i - 1)).otherwise(F.lit("")).alias("p")))
-    return F.transform(F.filter(placed, lambda p: ~p["t"].rlike(r"^--?\w") & ~F.coalesce(p["p"].rlike("^-[ce]$"), F.lit(False))), lambda p: unquoted(p["t"]))
-
-
-def shell_actions(calls: DataFrame) -> DataFrame:
+#: Commands that take code after -c or -e, options of find and diff that take a value, and those that don't
+#: though they have several letters.
+INTERPRETERS = ["python", "python3", "bash", "sh", "zsh", "node", "ruby", "perl", "psql", "mysql", "sqlite3"]
+FIND_VALUES = [
+    "exec", "ok", "name", "iname", "path", "ipath", "type", "xtype", "regex", "iregex", "size", "atime", "mtime", "ctime", "maxdepth", "mindepth", "user", "group", "perm", "printf",
+]
+DIFF_VALUES = ["label", "ignore-matching-lines"]
+FIND_WORDS = ["print", "print0", "delete", "depth", "d", "xdev", "mount", "follow", "ignore_readdir_race", "noignore_readdir_race"]
+NO_FLAGS = "map<string,string>"
+
+
+def parsed_arguments(command: Column, args: Column) -> Column:
+    """A struct of argv (what is no option) and flags: --k=v, --k, bundled short ones; after -c or -e an interpreter takes
+    code, and all that follows is argv; find and diff have options with values. Of a repeated option the last counts."""
+    takes_code = command.isin(INTERPRETERS)
+    option = lambda t: F.substring(t, 2, 1 << 30)
+    valued = lambda t: F.coalesce(t.rlike("^-[^-].") & ((command == "find") & option(t).isin(FIND_VALUES) | (command == "diff") & option(t).isin(DIFF_VALUES)), F.lit(False))
+    inline = lambda t: t.rlike("^-[ce]$") | t.rlike("^-[^-]*c[^-]*$") & (F.length(t) > 2)
+    at = F.when(takes_code, F.array_position(F.transform(args, inline), True)).otherwise(0)  # from 1
+    head = F.when(at > 0, F.slice(args, 1, at)).otherwise(args)
+    placed = F.transform(head, lambda t, i: F.struct(t.alias("t"), F.when(i > 0, valued(F.get(head, i - 1))).otherwise(False).alias("is_value"), F.get(args, i + 1).alias("next"), ((at > 0) & (i == at - 1)).alias("code")))
+    options = F.filter(placed, lambda p: ~p["is_value"] & p["t"].rlike("^-."))
+    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    letters = lambda t: F.filter(F.split(option(t), ""), lambda c: c != "")
+
+    def entries(p: Column) -> Column:
+        t, nothing = p["t"], F.lit("true")
+        key = F.regexp_extract(t, r"^--([^=]+)", 1)
+        long = F.array(entry(key, F.when(F.contains(t, F.lit("=")), unquoted(F.regexp_extract(t, r"(?s)^--[^=]+=(.*)$", 1))).otherwise(nothing)))
+        code = F.when(t == "-e", "e").otherwise("c")
+        others = F.transform(F.filter(letters(t), lambda c: ~c.isin("c", "e") | (c == "e") & (code == "c") & (F.length(t) > 2)), lambda c: entry(c, nothing))
+        with_code = F.concat(others, F.array(entry(code, F.coalesce(unquoted(p["next"]), nothing))))
+        words = (command == "find") & option(t).isin(FIND_WORDS)
+        one = F.array(entry(option(t), F.when(valued(t), F.coalesce(unquoted(p["next"]), nothing)).otherwise(nothing)))
+        return F.when(t.startswith("--"), F.when(key != "", long)).when(p["code"], with_code).when(valued(t) | words, one).otherwise(F.transform(letters(t), lambda c: entry(c, nothing)))
+
+    found = F.flatten(F.filter(F.transform(options, entries), lambda e: e.isNotNull()))
+    keys = F.array_distinct(F.transform(found, lambda e: e["key"]))
+    flags = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(found, lambda e: e["key"] == k), -1)["value"]))
+    plain = F.transform(F.filter(placed, lambda p: ~p["is_value"] & ~p["t"].rlike("^-.")), lambda p: unquoted(p["t"]))
+    after = F.when(at > 0, F.transform(F.slice(args, (at + 2).cast("int"), F.greatest(F.size(args) - at - 1, F.lit(0)).cast("int")), unquoted)).otherwise(F.array().cast("array<string>"))
+    return F.struct(F.concat(plain, after).alias("argv"), flags.alias("flags"))
+
+
+def shell_actions(calls: DataFrame, *, keep_cd: bool = False) -> DataFrame:
     """traj, step_idx, call_pos, cmd_pos, command, argv, flags, has_cd for calls (traj, step_idx, call_pos, text).
 
     A control structure, a group, open quotes: one complex_command with the whole text. One heredoc: its arguments,
-    its body and a file it goes to. NAME=value before a command is a set_env action of its own. Bare true and false
-    are left out; a cd that others follow is left out and marks them. Text that yields nothing is a command of its
+    its body and a file it goes to. NAME=value, once or more before a command, is a set_env action of its own. Bare true and false
+    are left out; a cd that others follow is left out and marks them (keep_cd: it stays). Text that yields nothing is a command of its
     first word with the raw text."""
     text = F.trim(F.coalesce("text", F.lit("")))
     lead = F.regexp_extract(text, HEREDOC, 1)
@@ -68,22 +95,29 @@ def shell_actions(calls: DataFrame) -> DataFrame:
     complex_ = F.array(F.array(F.lit("complex_command"), text))
     parts = F.when(is_heredoc, F.array(doc)).when(text.rlike(CONTROL) | unbalanced(text), complex_).otherwise(split_commands(tokens(text)))
     rows = calls.select("traj", "step_idx", "call_pos", text.alias("_text"), F.posexplode_outer(parts).alias("_p", "_t"))
-    rows = rows.withColumn("_env", F.when(F.col("_t")[0] == "complex_command", F.array().cast("array<string>")).otherwise(F.filter("_t", lambda x, i: (i < 1) & x.rlike(ASSIGN))))
-    env = F.transform("_env", lambda e: F.concat(F.array(F.lit("set_env")), F.array(e)))
+    first = F.array_position(F.transform("_t", lambda x: x.rlike(ASSIGN)), False).cast("int")
+    leading = F.when(first > 0, first - 1).otherwise(F.size("_t"))
+    rows = rows.withColumn("_env", F.when(F.col("_t")[0] == "complex_command", F.array().cast("array<string>")).otherwise(F.slice("_t", 1, leading)))
+    env = F.when(F.size("_env") > 0, F.array(F.array(F.lit("set_env"), F.array_join("_env", " ")))).otherwise(F.array().cast("array<array<string>>"))
     rest = F.slice("_t", F.size("_env") + 1, F.greatest(F.size("_t") - F.size("_env"), F.lit(0)))
     each = F.filter(F.concat(env, F.array(rest)), lambda c: F.size(c) > 0)
     rows = rows.select("traj", "step_idx", "call_pos", "_text", "_p", F.posexplode_outer(F.when(F.col("_t").isNotNull(), each)).alias("_q", "_c"))
     fallback = F.coalesce(F.nullif(F.regexp_extract("_text", r"^(\S+)", 1), F.lit("")), F.lit("bash"))
     here = F.array_position("_c", "\u0001heredoc")
     args = F.slice("_c", F.lit(2), F.greatest(F.size("_c") - 1, F.lit(0)))
+    parts_ = parsed_arguments(unquoted(F.col("_c")[0]), args)
     whole = F.col("_c")[0].isin("complex_command", "set_env") | (here > 0)
-    argv = F.when(F.col("_c").isNull(), F.array("_text")).when(here > 0, F.filter(args, lambda x: ~x.rlike("^-[A-Za-z]|\u0001"))).when(whole, args).otherwise(positional(args))
-    flags = F.when(here > 0, F.map_from_arrays(F.array(F.lit("__heredoc__")), F.array(F.lit("true")))).when(F.col("_c").isNull() | whole, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).otherwise(flags_of(args))
+    argv = F.when(F.col("_c").isNull(), F.array("_text")).when(here > 0, F.filter(args, lambda x: ~x.rlike("^-[A-Za-z]|\u0001"))).when(whole, args).otherwise(parts_["argv"])
+    flags = F.when(here > 0, F.map_from_arrays(F.array(F.lit("__heredoc__")), F.array(F.lit("true")))).when(F.col("_c").isNull() | whole, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).otherwise(parts_["flags"])
     out = rows.select("traj", "step_idx", "call_pos", "_p", "_q", F.coalesce(unquoted(F.col("_c")[0]), fallback).alias("command"), argv.alias("argv"), flags.alias("flags"))
     out = out.where(~(F.col("command").isin("true", "false") & (F.size("argv") == 0) & (F.size("flags") == 0)))
     w = Window.partitionBy("traj", "step_idx", "call_pos").orderBy("_p", "_q")
     out = out.withColumn("_n", F.count("*").over(Window.partitionBy("traj", "step_idx", "call_pos"))).withColumn("_r", F.row_number().over(w)).withColumn("has_cd", (F.first("command").over(w) == "cd") & (F.col("_n") > 1))
-    out = out.where(~(F.col("has_cd") & (F.col("_r") == 1)))
+    if keep_cd:  # every cd stays, and marks what follows it
+        saw = F.max((F.col("command") == "cd").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        out = out.withColumn("has_cd", (F.coalesce(saw, F.lit(0)) > 0) & (F.col("command") != "cd"))
+    else:
+        out = out.where(~(F.col("has_cd") & (F.col("_r") == 1)))
     return out.withColumn("cmd_pos", F.row_number().over(w).cast("long") - 1).select("traj", "step_idx", "call_pos", "cmd_pos", "command", "argv", "flags", "has_cd")
 
 
@@ -95,11 +129,76 @@ def patch_files(patch: Column) -> Column:
 
 
 def nested_commands(source: Column) -> Column:
-    """String literals given as command: in exec scripts, unescaped."""
-    near = F.regexp_extract_all(source, F.lit(r"""(?s)\bcommand\s*:\s*("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`)"""), F.lit(1))
+    """The first string given as command: or cmd: within 20,000 characters after each call of a shell in a script,
+    unescaped."""
+    near = F.regexp_extract_all(source, F.lit(r"""(?s)tools\.(?:shell_command|exec_command)\s*\((?:(?!tools\.(?:shell|exec)_command).){0,20000}?\b(?:command|cmd)\s*:\s*("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`)"""), F.lit(1))
     return F.transform(near, lambda s: F.regexp_replace(F.regexp_replace(F.substring(s, F.lit(2), F.length(s) - 2), r"\\n", "\n"), r"\\(.)", "$1"))
 
 
+#: An edit whose quotes can't be told apart: the command, its short options, the rest, and the file at the end.
+EDIT_TEXT = r"(?is)^\s*(sed|perl)\s+(?:-([a-z]+)\s+)?(.*?)\s*((?:[/~.]|[a-z]:[\\/])\S+)\s*$"
+
+
+def recovered_edits(actions: DataFrame) -> DataFrame:
+    """actions where a complex_command that is a sed or perl edit in text becomes one: argv (the rest, the file) and its
+    short options as flags."""
+    text = F.coalesce(F.get("argv", F.lit(0)), F.lit(""))
+    part = lambda k: F.regexp_extract(text, EDIT_TEXT, k)
+    is_edit = (F.col("command") == "complex_command") & text.rlike(EDIT_TEXT)
+    letters = F.array_distinct(F.filter(F.split(part(2), ""), lambda c: c != ""))
+    flags = F.map_from_arrays(letters, F.transform(letters, lambda c: F.lit("true")))
+    argv = F.filter(F.array(F.trim(part(3)), part(4)), lambda a: a != "")
+    return actions.select(*[F.when(is_edit, v).otherwise(F.col(c)).alias(c) if (v := {"command": F.lower(part(1)), "argv": argv, "flags": flags}.get(c)) is not None else F.col(c) for c in actions.columns])
+
+
+def session_actions(calls: DataFrame, *, keep_cd: bool = False) -> DataFrame:
+    """shell_actions for scripts of native sessions: the whole text if it holds no complex_command, else each of its
+    lines, with a here-document as one, and edits recovered."""
+    keys = ["traj", "step_idx", "call_pos"]
+    whole = shell_actions(calls, keep_cd=keep_cd)
+    broken = whole.where("command = 'complex_command'").select(*keys).distinct()
+    apart = calls.join(broken, keys, "left_semi")
+    pieces = F.filter(F.regexp_extract_all("text", F.lit(r"""(?s)[^\n]*<<-?\s*['"]?(\w+)['"]?[^\n]*\n.*?\n\1(?=\n|$)|[^\n]+"""), F.lit(0)), lambda t: F.trim(t) != "")
+    lines = apart.select(*keys, F.posexplode(pieces).alias("_line", "text")).withColumn("_call", F.col("call_pos")).withColumn("call_pos", F.col("_call") * 1_000_000 + F.col("_line"))
+    again = recovered_edits(shell_actions(lines, keep_cd=keep_cd)).withColumn("_line", F.col("call_pos") % 1_000_000).withColumn("call_pos", F.floor(F.col("call_pos") / 1_000_000).cast(dict(calls.dtypes)["call_pos"]))
+    again = again.withColumn("cmd_pos", F.row_number().over(Window.partitionBy(*keys).orderBy("_line", "cmd_pos")).cast("long") - 1).drop("_line")
+    return whole.join(broken, keys, "left_anti").unionByName(again)
+
+
+def native_actions(calls: DataFrame, *, shells: list[str], patchers: list[str]) -> DataFrame:
+    """Actions of native calls (traj, step_idx, call_pos, name, arguments, observation): the commands of a shell's text or
+    of a script's; one apply_patch for each file of a patch; else the tool itself.
+
+    traj, step_idx, call_pos, cmd_pos, tool, subcommand, command, argv, flags, args, has_cd, label, observation."""
+    keys = ["traj", "step_idx", "call_pos"]
+    low, raw = F.lower("name"), F.coalesce("arguments", F.lit(""))
+    value = F.coalesce(F.get_json_object(raw, "$.command"), F.get_json_object(raw, "$.cmd"), raw)
+    value = F.when(value.startswith("["), F.array_join(F.from_json(value, "array<string>"), " ")).otherwise(value)
+    texts = F.when(low.isin(shells), F.array(value)).when(low == "exec", nested_commands(raw)).otherwise(F.array().cast("array<string>"))
+    scripts = calls.select(*keys, F.posexplode(texts).alias("_k", "text")).where("text <> ''").withColumn("call_pos", F.col("call_pos") * 1000 + F.col("_k")).drop("_k")
+    empty = F.create_map().cast(NO_FLAGS)
+    shell = session_actions(scripts).withColumn("cmd_pos", (F.col("call_pos") % 1000) * 1_000_000 + F.col("cmd_pos")).withColumn("call_pos", F.floor(F.col("call_pos") / 1000).cast(dict(calls.dtypes)["call_pos"]))
+    shell = shell.where(~F.col("command").isin("true", "false") | (F.size("argv") > 0)).select(*keys, "cmd_pos", F.lit("").alias("tool"), F.lit("").alias("subcommand"), "command", "argv", "flags", empty.alias("args"), "has_cd", F.col("command").alias("label"))
+    patch = calls.where(low.isin(patchers) | ((low == "exec") & F.contains(raw, F.lit("tools.apply_patch"))))
+    files = F.when(F.size(patch_files(raw)) > 0, patch_files(raw)).otherwise(F.array(F.lit("")))
+    patched = patch.select(*keys, raw.alias("_raw"), F.posexplode(files).alias("_k", "_p")).select(*keys, (F.col("_k") + 900_000_000).cast("long").alias("cmd_pos"), F.lit("str_replace_editor").alias("tool"), F.lit("str_replace").alias("subcommand"), F.lit("").alias("command"), F.array(F.when(F.col("_p") != "", F.col("_p")).otherwise(F.col("_raw"))).alias("argv"), empty.alias("flags"), F.when(F.col("_p") != "", F.create_map(F.lit("path"), "_p")).otherwise(F.create_map(F.lit("_raw"), "_raw")).alias("args"), F.lit(False).alias("has_cd"), F.lit("apply_patch").alias("label"))
+    found = shell.unionByName(patched)
+    own = calls.join(found.select(*keys).distinct(), keys, "left_anti")
+    given = F.coalesce(F.from_json(raw, NO_FLAGS), F.create_map(F.lit("_raw"), raw))
+    alone = own.select(*keys, F.lit(0).cast("long").alias("cmd_pos"), F.col("name").alias("tool"), F.lit("").alias("subcommand"), F.lit("").alias("command"), F.map_values(given).alias("argv"), empty.alias("flags"), given.alias("args"), F.lit(False).alias("has_cd"), F.when(low == "final_answer", "final answer").otherwise(F.col("name")).alias("label"))
+    out = found.unionByName(alone)
+    out = out.withColumn("cmd_pos", F.row_number().over(Window.partitionBy(*keys).orderBy("cmd_pos")).cast("long") - 1)
+    return out.join(calls.select(*keys, "observation"), keys, "left")
+
+
+def think_actions(steps: DataFrame, *, unique: bool = False) -> DataFrame:
+    """traj, step_idx, label "think", args, thought, observation for steps without an action: alike if their thoughts are
+    as long as each other, or only if they are equal (unique)."""
+    length = F.length(F.coalesce("thought", F.lit(""))).cast("string")
+    args = F.create_map(F.lit("thought"), F.coalesce("thought", F.lit(""))) if unique else F.create_map(F.lit("thought_len"), length)
+    return steps.where(F.trim(F.coalesce("action_text", F.lit(""))) == "").select("traj", "step_idx", F.lit("think").alias("label"), args.alias("args"), "thought", "observation")
+
+
 def bound_arguments(actions: DataFrame, spec: DataFrame) -> DataFrame:
     """actions (tool, argv, flags) with args by name from a small spec (tool, arg_name, position): the named option,
     else the token in that place."""
