@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracewright.functions import text
-from tracewright.operators import aggregates, containment, graph, metrics, patches, patterns, phases, traversal
-from tracewright.sources import views
+from tracewright.functions import rules, text
+from tracewright.operators import aggregates, commands, containment, graph, metrics, patches, patterns, phases, traversal
+from tracewright.sources import logs, views
 from tracewright.streaming import sessions
 
 QUERIES = {}
@@ -285,8 +286,6 @@ def q_order_runs(spark, sf_dir):
 
 @query("q_conversation_pairs", """WITH w AS (SELECT conv_id AS traj, turn, role, length(text) AS chars, lead(role) OVER v AS next_role, length(lead(text) OVER v) AS next_chars FROM conversations WINDOW v AS (PARTITION BY conv_id ORDER BY turn)) SELECT * FROM w""")
 def q_conversation_pairs(spark, sf_dir):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = views.table(spark, sf_dir, "conversations")
     return c.select(F.col("conv_id").alias("traj"), "turn", "role", F.length("text").cast("long").alias("chars"), F.lead("role").over(w).alias("next_role"), F.length(F.lead("text").over(w)).cast("long").alias("next_chars"))
@@ -296,8 +295,6 @@ def q_conversation_pairs(spark, sf_dir):
 i AS (SELECT o.path, o.node AS o_node, o.lo AS o_lo, o.hi AS o_hi, i.node AS i_node, i.lo AS i_lo, i.hi AS i_hi FROM r o JOIN r i ON o.path = i.path AND o.node <> i.node AND o.lo <= i.lo AND i.hi <= o.hi)
 SELECT CAST(path AS VARCHAR) AS path, o_lo, o_hi, i_lo, i_hi FROM i WHERE NOT EXISTS (SELECT 1 FROM r m WHERE m.path = i.path AND m.node <> o_node AND m.node <> i_node AND o_lo <= m.lo AND m.hi <= o_hi AND m.lo <= i_lo AND i_hi <= m.hi)""")
 def q_nested_ranges(spark, sf_dir):
-    from pyspark.sql import Window
-
     # Each line is a view of its own, so that equal ranges stand twice or more often.
     r = views.line_ranges(spark, sf_dir).withColumn("node", F.row_number().over(Window.partitionBy("path").orderBy("lo", "hi")))
     return containment.nested_ranges(r).select("path", "o_lo", "o_hi", "i_lo", "i_hi")
@@ -604,3 +601,86 @@ lp AS (SELECT traj, comp AS node, 0 AS far FROM cm UNION SELECT lp.traj, ce.dst,
 SELECT traj, CAST(max(far) AS BIGINT) AS condensed_path FROM lp GROUP BY traj""")
 def q_condensed_path(spark, sf_dir):
     return traversal.condensed_path(bare_pairs(spark, sf_dir))
+
+
+#: Scripts that the events stand for, with what each of them holds.
+SCRIPTS = """WITH t AS (SELECT event_id, event_id % 5 AS kind, CAST(event_id % 17 AS VARCHAR) AS n, CAST(user_id % 9 AS VARCHAR) AS m FROM events)
+"""
+
+
+@query("q_shell_actions", SCRIPTS + r"""SELECT event_id, 0 AS cmd_pos, 'grep' AS command, 'w ' || n || '|f' || m || '.py' AS argv, 'n=true,r=true' AS flags, true AS has_cd FROM t WHERE kind = 0
+UNION ALL SELECT event_id, 0, 'set_env', 'A=' || n || ' B=2', '', false FROM t WHERE kind = 1 UNION ALL SELECT event_id, 1, 'pytest', 'tests/', 'maxfail=' || m, false FROM t WHERE kind = 1
+UNION ALL SELECT event_id, 0, 'find', '.', 'name=*.' || m || ',type=f', false FROM t WHERE kind = 2 UNION ALL SELECT event_id, 1, 'wc', '', 'l=true', false FROM t WHERE kind = 2
+UNION ALL SELECT event_id, 0, 'complex_command', 'for i in ' || n || '; do ls; done', '', false FROM t WHERE kind = 3
+UNION ALL SELECT event_id, 0, 'cat', 'x = ' || n || '|>|f' || m || '.py', '__heredoc__=true', false FROM t WHERE kind = 4""")
+def q_shell_actions(spark, sf_dir):
+    n, m = (F.col("event_id") % 17).cast("string"), (F.col("user_id") % 9).cast("string")
+    line = (
+        F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('cd /d && grep -rn "w '), n, F.lit('" f'), m, F.lit(".py")))
+        .when(F.col("event_id") % 5 == 1, F.concat(F.lit("A="), n, F.lit(" B=2 pytest --maxfail="), m, F.lit(" tests/")))
+        .when(F.col("event_id") % 5 == 2, F.concat(F.lit("find . -name '*."), m, F.lit("' -type f; wc -l")))
+        .when(F.col("event_id") % 5 == 3, F.concat(F.lit("for i in "), n, F.lit("; do ls; done")))
+        .otherwise(F.concat(F.lit("cat <<'EOF' > f"), m, F.lit(".py\nx = "), n, F.lit("\nEOF")))
+    )
+    calls = views.table(spark, sf_dir, "events").select(F.col("event_id").alias("traj"), F.lit(0).alias("step_idx"), F.lit(0).alias("call_pos"), line.alias("text"))
+    flags = F.array_join(F.array_sort(F.transform(F.map_entries("flags"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+    return commands.shell_actions(calls).select(F.col("traj").alias("event_id"), "cmd_pos", "command", F.array_join("argv", "|").alias("argv"), flags.alias("flags"), "has_cd")
+
+
+@query("q_phase_classes", """WITH t AS (SELECT event_id, event_id % 7 AS kind, CASE user_id % 4 WHEN 0 THEN 'src/a.py' WHEN 1 THEN 'tests/a.py' WHEN 2 THEN './tests/a.py' ELSE 'test_word' END AS path, CASE WHEN event_id % 3 = 0 THEN 'codex' END AS framework FROM events),
+u AS (SELECT *, framework IS NOT NULL AS x, CASE WHEN framework IS NOT NULL THEN path IN ('tests/a.py', './tests/a.py') ELSE path = './tests/a.py' END AS test FROM t)
+SELECT event_id, CASE kind WHEN 0 THEN CASE WHEN test THEN 'ctx' ELSE 'loc' END WHEN 1 THEN CASE WHEN test THEN 'ctx' ELSE 'patch' END WHEN 2 THEN 'ctx' WHEN 3 THEN CASE WHEN test THEN 'ctx' ELSE 'patch' END
+ WHEN 4 THEN CASE WHEN x THEN 'loc' ELSE 'general' END WHEN 5 THEN CASE WHEN NOT x THEN 'general' WHEN test THEN 'ctx' ELSE 'patch' END ELSE CASE WHEN x THEN 'ctx' ELSE 'general' END END AS phase_class FROM u""")
+def q_phase_classes(spark, sf_dir):
+    e, kind = views.table(spark, sf_dir, "events"), F.col("event_id") % 7
+    path = F.when(F.col("user_id") % 4 == 0, "src/a.py").when(F.col("user_id") % 4 == 1, "tests/a.py").when(F.col("user_id") % 4 == 2, "./tests/a.py").otherwise("test_word")
+    name = F.when(kind == 0, "grep").when(kind == 1, "sed").when(kind == 2, "python").when(kind == 3, "cat").when(kind == 4, "git").when(kind == 5, "mkdir").otherwise("echo")
+    tokens = F.when(kind == 3, F.array(F.lit("a"), F.lit(">"), path)).when(kind == 4, F.array(F.lit("status"), path)).otherwise(F.array(path))
+    flags = F.when(kind == 1, F.create_map(F.lit("i"), F.lit("true"))).otherwise(F.create_map().cast("map<string,string>"))
+    none = F.lit(None).cast("string")
+    return e.select("event_id", rules.phase_class(none, none, name, tokens, flags, F.when(F.col("event_id") % 3 == 0, "codex")).alias("phase_class"))
+
+
+def spoken(spark, sf_dir):
+    """The conversations as session records: one for each turn, told by its role."""
+    return views.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("rec_no"), "role", "text")
+
+
+@query("q_native_calls", """WITH w AS (SELECT conv_id, turn, role, text, lead(role) OVER v AS nr, lead(text) OVER v AS nt FROM conversations WINDOW v AS (PARTITION BY conv_id ORDER BY turn))
+SELECT CAST(conv_id AS VARCHAR) AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS step_idx, coalesce(text, '') AS thought, CASE WHEN nr = 'user' THEN nt END AS observation FROM w WHERE role = 'assistant'""")
+def q_native_calls(spark, sf_dir):
+    """Written as transcripts, an assistant's turn uses a tool and the user's next turn is its result, then read."""
+    before = F.lag("rec_no").over(Window.partitionBy("session").orderBy("rec_no"))
+    s = spoken(spark, sf_dir).withColumn("_p", before)
+    said = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))
+    asked = F.struct(F.lit("tool_use").alias("type"), F.col("rec_no").cast("string").alias("id"), F.lit("Say").alias("name"))
+    answered = F.struct(F.lit("tool_result").alias("type"), F.col("_p").cast("string").alias("tool_use_id"), F.col("text").alias("content"))
+    blocks = lambda *b: F.concat(F.lit("["), F.concat_ws(",", *[F.to_json(x) for x in b]), F.lit("]"))
+    content = F.when(F.col("role") == "assistant", blocks(said, asked)).when(F.col("role") == "user", blocks(answered)).otherwise(blocks(said))
+    line = F.concat(F.lit('{"type":"'), F.col("role"), F.lit('","message":{"role":"'), F.col("role"), F.lit('","content":'), content, F.lit("}}"))
+    calls = logs.ADAPTERS["claude"](s.select("session", "rec_no", line.alias("text")))
+    return calls.select("session", "step_idx", "thought", "observation")
+
+
+@query("q_session_steps", """WITH w AS (SELECT conv_id, turn, role, text, lag(role) OVER v AS pr FROM conversations WHERE role IN ('assistant', 'user') WINDOW v AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT *, sum(CASE WHEN role = 'assistant' AND (pr IS NULL OR pr = 'user') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS step FROM w)
+SELECT CAST(conv_id AS VARCHAR) AS session, CAST(step AS BIGINT) AS step_idx, row_number() OVER (PARTITION BY conv_id, step ORDER BY turn) - 1 AS call_pos, CAST(turn AS VARCHAR) AS call_id FROM s WHERE role = 'assistant'""")
+def q_session_steps(spark, sf_dir):
+    """Written as a rollout, an assistant's turn is a call and the user's next turn the output of the last call, then read."""
+    last = F.last(F.when(F.col("role") == "assistant", F.col("rec_no")), ignorenulls=True).over(Window.partitionBy("session").orderBy("rec_no"))
+    s = spoken(spark, sf_dir).withColumn("_c", last.cast("string"))
+    call = F.to_json(F.struct(F.lit("function_call").alias("type"), F.col("_c").alias("call_id"), F.lit("say").alias("name"), F.col("text").alias("arguments")))
+    output = F.to_json(F.struct(F.lit("function_call_output").alias("type"), F.col("_c").alias("call_id"), F.col("text").alias("output")))
+    payload = F.when(F.col("role") == "assistant", call).when(F.col("role") == "user", output).otherwise(F.lit('{"type":"other"}'))
+    line = F.concat(F.lit('{"type":"response_item","payload":'), payload, F.lit("}"))
+    return logs.ADAPTERS["codex"](s.select("session", "rec_no", line.alias("text"))).select("session", "step_idx", "call_pos", "call_id")
+
+
+@query("q_run_listing", BASE + """, g AS (SELECT traj, count(DISTINCT step_idx) AS c FROM a GROUP BY traj)
+SELECT CAST(traj AS VARCHAR) AS traj, CASE WHEN traj % 5 < 2 THEN 'resolved' WHEN traj % 5 = 2 THEN 'unresolved' ELSE 'unsubmitted' END AS status, CASE WHEN traj % 4 = 1 THEN 'under1h' ELSE 'unknown' END AS difficulty, c AS step_count FROM g""")
+def q_run_listing(spark, sf_dir):
+    a = views.event_actions(spark, sf_dir).withColumn("_t", F.col("traj")).withColumn("traj", F.col("traj").cast("string"))
+    ids = lambda *rest: F.array_agg(F.when((F.col("_t") % 5).isin(*rest), F.col("traj")))
+    reports = a.select("traj", "_t").distinct().agg(ids(0, 1).alias("resolved_ids"), ids(1, 2).alias("unresolved_ids"))
+    hard = a.where("_t % 4 = 1").select("traj", F.lit("under1h").alias("difficulty")).distinct()
+    return logs.listing(a, a, reports, hard)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,43 +40,61 @@ def session_windows(stream: DataFrame, gap: str = "30 minutes", late: str = "10
 
 
 class Phases(StatefulProcessor):
-    """Each session's state: whether it has patched, and the last place seen. Rows behind that place come out as late."""
+    """Each session's state: whether it has patched, the last place seen, and the label there. Rows at or behind that
+    place, and rows without one, come out as late."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "patched boolean, seq long")
+        self.state = handle.getValueState("state", "patched boolean, seq long, label string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        patched, last = self.state.get() if self.state.exists() else (False, -1)
-        out = []
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
-            late = r.seq <= last
-            own = r.phase_class
-            phase = None if late else ("validation" if patched else "localization") if own == "ctx" else "localization" if own == "loc" else own
-            if not late:
-                patched, last = patched or own == "patch", int(r.seq)
-            out.append((key[0], int(r.seq), phase, late))
-        self.state.update((bool(patched), int(last)))
-        yield pd.DataFrame(out, columns=["session", "seq", "phase", "late"])
+        state = self.state.get() if self.state.exists() else (False, -1, None)
+        out, state = told(pd.concat([r[["seq", "label", "phase_class"]] for r in rows]), *state)
+        self.state.update(state)
+        out.insert(0, "session", key[0])
+        yield out
 
     def close(self) -> None:
         pass
 
 
+def told(rows: pd.DataFrame, patched: bool, last: int, label: str | None) -> tuple[pd.DataFrame, tuple]:
+    """seq, phase, late and the label before each row, and the state after them."""
+    v = rows.sort_values("seq", kind="stable", ignore_index=True)
+    late = (v.seq.isna() | (v.seq <= last) | v.seq.duplicated()).to_numpy(bool)
+    on = v[~late]
+    before = (on.phase_class == "patch").cummax().shift(fill_value=False).to_numpy(bool) | bool(patched)
+    own = on.phase_class.to_numpy()
+    phase = np.where(own == "ctx", np.where(before, "validation", "localization"), np.where(own == "loc", "localization", own))
+    out = pd.DataFrame({"seq": v.seq.astype("Int64"), "phase": None, "late": late, "prev_label": None})
+    out.loc[~late, "phase"] = phase
+    out.loc[~late, "prev_label"] = on.label.shift(fill_value=label).to_numpy()
+    if len(on):
+        patched, last, label = bool(patched or (own == "patch").any()), int(on.seq.iloc[-1]), on.label.iloc[-1]
+    return out, (bool(patched), int(last), label)
+
+
 def running_phases(stream: DataFrame) -> DataFrame:
-    """session, seq, phase, late: needs the RocksDB state store."""
-    return stream.groupBy("session").transformWithStateInPandas(statefulProcessor=Phases(), outputStructType="session string, seq long, phase string, late boolean", outputMode="Append", timeMode="None")
+    """session, seq, phase, late, prev_label: needs the RocksDB state store."""
+    return stream.groupBy("session").transformWithStateInPandas(statefulProcessor=Phases(), outputStructType="session string, seq long, phase string, late boolean, prev_label string", outputMode="Append", timeMode="None")
 
 
 def upsert(spark: SparkSession, path: str):
-    """For foreachBatch: merges each batch of a listing into version files below path, each batch written once."""
+    """For foreachBatch: merges each batch of a listing into version files below path, each batch written once, so that one
+    that runs again gives the same. A batch whose version before is missing, though others are there, is an error."""
 
-    def write(batch: DataFrame, number: int) -> None:
-        before = f"{path}/v={number - 1}"
+    def found(where: str) -> DataFrame | None:
         try:
-            old = spark.read.parquet(before)
-        except Exception as e:  # the first batch has no version before it
+            return spark.read.parquet(where)
+        except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
+            return None
+
+    def write(batch: DataFrame, number: int) -> None:
+        old = found(f"{path}/v={number - 1}")
+        if old is None:
+            if found(f"{path}/v=*") is not None and found(f"{path}/v={number}") is None:
+                raise RuntimeError(f"version {number - 1} is missing below {path}: batch {number} has nothing to go on from")
             old = batch.limit(0)
         merged(old, batch, "session").write.mode("overwrite").parquet(f"{path}/v={number}")
 
