@@ -89,16 +89,20 @@ class Terms:
         for start in range(0, len(texts), 256):
             some = texts[start : start + 256]
             doc, t, n = self.counted(some)
-            w = (1 + np.log(n)) * idf[t]
-            edges = np.searchsorted(doc, np.arange(len(some) + 1))
-            w /= np.sqrt(np.bincount(doc, w * w, len(some)))[doc]
-            out += [(t[a:b], w[a:b]) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
+            out += weighed(t, n, np.bincount(doc, minlength=len(some)), idf)
         return out
 
     def vector(self, text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.vectors([text], idf)[0]
 
 
+def weighed(t: np.ndarray, n: np.ndarray, sizes: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Vectors of length one of texts that have so many (sizes) of the terms t, each n times."""
+    w, ends = (1 + np.log(n)) * idf[t], sizes.cumsum()
+    w /= np.repeat(np.sqrt(np.bincount(np.repeat(np.arange(len(sizes)), sizes), w * w, len(sizes))), sizes)
+    return [(t[a:b], w[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+
+
 def squeezed(x: np.ndarray) -> bytes:
     """An array byte by byte in columns, compressed."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
@@ -132,16 +136,19 @@ class BlockMax:
         self._hold([vectors[k] for k in own])
 
     def _hold(self, vectors) -> None:
-        self.vectors = vectors
+        self.vectors, self.tables = vectors, None
         self.place_of = dict(zip(self.ids.tolist(), range(len(self.ids)), strict=True))
+
+    def _index(self) -> None:
+        """Postings of the rare terms; made where queries are looked up, not where the index is only sent from."""
+        vectors = self.vectors
         terms = np.concatenate([*[t for t, _ in vectors], np.empty(0, np.int32)]).astype(np.int32)
         place = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
         weight = np.concatenate([*[w for _, w in vectors], np.empty(0, np.float32)])
         rare = np.flatnonzero(self.dense[terms] < 0) if len(terms) else np.empty(0, np.int64)
         rare = rare[np.argsort(terms[rare], kind="stable")]
         self.first = np.searchsorted(terms[rare], np.arange(self.size + 1))
-        self.place, self.weight = place[rare], weight[rare]
-        self.tables, self.query = None, np.zeros(self.size)
+        self.place, self.weight, self.query = place[rare], weight[rare], np.zeros(self.size)
 
     def __getstate__(self):
         """Only the examples are sent, compressed: all else is made again from them."""
@@ -159,6 +166,7 @@ class BlockMax:
     def _tables(self) -> tuple[np.ndarray, np.ndarray]:
         """By block the dense weights (terms, members), and by term and block the largest."""
         if self.tables is None:
+            self._index()
             rows, blocks = int(self.dense.max(initial=-1)) + 1, -(-len(self.ids) // self.block)
             tables = np.zeros((blocks, rows, self.block), np.float32)
             for k, (t, w) in enumerate(self.vectors):
@@ -259,8 +267,9 @@ class Model:
         return out
 
 
-def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k: int):
-    """The broadcast model and its isotonic curve. Workers keep a broadcast on disk, so it is sent once."""
+def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k: int, keep: bool = False):
+    """The broadcast model, its isotonic curve and, if kept, the terms of each row of docs as a table (doc_id, t, n), so
+    that texts are split once. Workers keep a broadcast on disk, so it is sent once."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(fold("doc_id", folds) != 0)
     known = known.orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id").limit(max_rows)
 
@@ -319,22 +328,32 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
 
-    def frequencies(batches):
+    def terms(batches):
         worker_cache("toxicity")
         read = Terms(shared.value)
-        n = np.zeros(len(shared.value), np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            ids, texts = batch.column(0).cast(pa.int64()), batch.column(1).to_pylist()
             for start in range(0, len(texts), 1000):
-                n += np.bincount(read.counted(texts[start : start + 1000])[1], minlength=len(n))
+                some = texts[start : start + 1000]
+                doc, t, n = read.counted(some)
+                t, n, edges = t.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), 4 * np.searchsorted(doc, np.arange(len(some) + 1))
+                cut = lambda data, e=edges.tolist(): pa.array([data[x:y] for x, y in zip(e, e[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(start, len(some)), cut(t), cut(n)], ["doc_id", "t", "n"])
+
+    def frequencies(batches):
+        n = np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            n += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32), minlength=len(n))
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["term", "n"])
 
+    counted = docs.select("doc_id", "text").mapInArrow(terms, "doc_id long, t binary, n binary")
+    counted = written(counted, compression="zstd") if keep and vocabulary else counted
     idf = np.zeros(len(vocabulary))
     if vocabulary:
         total = docs.count()
         df = np.zeros(len(vocabulary))
-        found = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        found = counted.select("t").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
         df[found.column("term").to_numpy()] = found.column("n").to_numpy()
         idf = (np.log((1 + total) / (1 + df)) + 1) * lean
 
@@ -372,29 +391,32 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(raw, pa.float64())], ["toxic", "raw"])
 
     raw = training.mapInArrow(without_itself, "toxic int, raw double").where("raw is not null").toArrow()
-    return model, isotonic(list(zip(raw.column("raw").to_pylist(), raw.column("toxic").to_pylist(), strict=True)), share)
+    return model, isotonic(list(zip(raw.column("raw").to_pylist(), raw.column("toxic").to_pylist(), strict=True)), share), counted if vocabulary else None
 
 
 def scored(docs: DataFrame, labels: DataFrame, *, folds: int = 5, max_rows: int = 20_000, k: int = 15) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence, a row for each row of docs."""
-    model, curve = fitted(docs, labels, folds=folds, max_rows=max_rows, k=k)
+    model, curve, counted = fitted(docs, labels, folds=folds, max_rows=max_rows, k=k, keep=True)
+    if counted is None:  # no label, so no terms
+        counted = docs.select("doc_id", F.lit(b"").alias("t"), F.lit(b"").alias("n"))
 
     def score(batches):
         worker_cache("toxicity")
         own = model.value
-        read = Terms(own.vocabulary)
         for batch in batches:
-            found = own.scores(read.vectors(batch.column(1).to_pylist(), own.idf), *curve)
+            t, n = (batch.column(c).to_pylist() for c in (1, 2))
+            sizes = np.asarray([len(x) // 4 for x in t], np.int64)
+            found = own.scores(weighed(np.frombuffer(b"".join(t), np.int32).astype(np.int64), np.frombuffer(b"".join(n), np.int32), sizes, own.idf), *curve)
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], kind)], ["doc_id", "score", "evidence"])
 
-    out = docs.select("doc_id", "text").mapInArrow(score, f"doc_id long, score double, evidence {EVIDENCE}")
+    out = counted.mapInArrow(score, f"doc_id long, score double, evidence {EVIDENCE}")
     return out.select("doc_id", F.coalesce(fold("doc_id", folds) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
 
 
 def clean(docs: DataFrame, labels: DataFrame, *, cut: float = 0.5, folds: int = 5, max_rows: int = 20_000, k: int = 15) -> DataFrame:
     """The rows of docs with a score below `cut`, all columns kept; nothing is shuffled to drop the others."""
-    model, curve = fitted(docs, labels, folds=folds, max_rows=max_rows, k=k)
+    model, curve, _ = fitted(docs, labels, folds=folds, max_rows=max_rows, k=k)
 
     def keep(batches):
         worker_cache("toxicity")
