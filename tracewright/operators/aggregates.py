@@ -34,11 +34,14 @@ def statuses(runs: DataFrame, reports: DataFrame | None) -> DataFrame:
 
 
 def overlap_check(runs: DataFrame, report_ids: DataFrame, least: float = 0.05) -> DataFrame:
-    """One row (runs, ids, overlap, status): an empty report is ok; no runs, no overlap or too little is an error."""
+    """One row (runs, ids, overlap, status, run_samples, id_samples): an empty report is ok; no runs, no overlap or too
+    little is an error. The samples are the three first ids that only one side has."""
     a, b = runs.select("traj").distinct(), report_ids.select("traj").distinct()
     counts = a.withColumn("_a", F.lit(1)).join(b.withColumn("_b", F.lit(1)), "traj", "full").agg(F.count("_a").alias("runs"), F.count("_b").alias("ids"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("overlap"))
+    some = lambda x, y, name: x.join(y, "traj", "left_anti").orderBy("traj").limit(3).agg(F.array_sort(F.collect_list("traj")).alias(name))
     status = F.when(F.col("ids") == 0, "ok").when(F.col("runs") == 0, "error: no runs").when(F.col("overlap") == 0, "error: no overlap").when(F.col("overlap") / F.greatest("runs", "ids") < least, "error: little overlap").otherwise("ok")
-    return counts.withColumn("status", status)
+    sampled = [f.withColumn("_one", F.lit(1)) for f in (counts.withColumn("status", status), some(a, b, "run_samples"), some(b, a, "id_samples"))]
+    return sampled[0].join(sampled[1], "_one").join(sampled[2], "_one").drop("_one")
 
 
 def model_filter(models: list[str], column: str = "model") -> Column:
@@ -46,6 +49,19 @@ def model_filter(models: list[str], column: str = "model") -> Column:
     return reduce(lambda a, b: a | b, [F.col(column).contains(m) for m in models], F.lit(False))
 
 
+def run_filter(agents: list[str] | None = None, models: list[str] | None = None) -> Column:
+    """Runs of one of the agents (by its whole name) whose model's name holds one of the models; both may be left out."""
+    own = F.col("agent").isin(agents) if agents else F.lit(True)
+    return own & model_filter(models) if models else own
+
+
+def instance_file(path: Column, instance: str | None = None) -> Column:
+    """Whether a file lies in a folder of its own name (the instance's, if one is given)."""
+    stem = F.regexp_extract(path, r"([^/]*?)(?:\.traj)?\.[^./]*$", 1)
+    own = (stem != "") & (F.regexp_extract(path, r"([^/]*)/[^/]*$", 1) == stem)
+    return own if instance is None else own & (stem == instance)
+
+
 def name_search(text: str, *columns: str) -> Column:
     return F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(text.lower()))
 
@@ -75,6 +91,12 @@ def difficulty(column: str) -> Column:
     return out
 
 
+def pattern_groups(runs: DataFrame) -> DataFrame:
+    """traj, grp ("status, difficulty"): runs that are resolved or unresolved and of a known difficulty; the others go."""
+    status, hard = F.lower(F.trim("status")), F.coalesce(difficulty("difficulty"), F.when(F.col("difficulty").isin(list(DIFFICULTIES.values())), F.col("difficulty")))
+    return runs.select("traj", F.when(status.isin("resolved", "unresolved") & hard.isNotNull(), F.concat_ws(", ", status, hard)).alias("grp")).where("grp is not null")
+
+
 def localization_metrics(actions: DataFrame) -> DataFrame:
     """traj, loc_focus_ratio, loc_num_clusters, loc_dominant_zone from the phases in order (thirds by floors)."""
     w = Window.partitionBy("traj").orderBy("seq")

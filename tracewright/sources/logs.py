@@ -351,19 +351,33 @@ def write_stats(stats: DataFrame, sources: DataFrame, path: str, config: dict[st
     sources.sparkSession.createDataFrame(sorted(config.items()), "name string, value string").coalesce(1).write.json(f"{path}/config")
 
 
-def write_graphs(nodes: DataFrame, edges: DataFrame, meta: DataFrame, path: str) -> None:
-    """A node-link JSON row for each run, below path by agent and model. meta: traj, agent, model, status."""
-    n = nodes.groupBy("traj").agg(F.array_sort(F.collect_list(F.struct("node_ord", "label", "step_indices"))).alias("nodes"))
-    e = edges.groupBy("traj").agg(F.array_sort(F.collect_list(F.struct("edge_ord", "src", "dst", "step_idx", "is_first_in_step"))).alias("edges"))
-    graph = F.struct(F.col("status").alias("resolution_status"), F.col("traj").cast("string").alias("instance_name"))
-    n.join(e, "traj", "left").join(meta, "traj").select("agent", "model", F.lit(True).alias("directed"), F.lit(True).alias("multigraph"), graph.alias("graph"), "nodes", "edges").write.partitionBy("agent", "model").json(path)
+NODE = "struct<node_ord:bigint,id:string,label:string,args:map<string,string>,flags:map<string,string>,phases:array<string>,step_indices:array<bigint>,has_cd:boolean,thought_len_raw:bigint,thought_len_clean:bigint,observation_length:bigint,observation_outcome:string>"
+EDGE = "struct<edge_ord:bigint,src:bigint,dst:bigint,type:string,label:string,is_first_in_step:boolean,thought_length_raw:bigint,thought_length_clean:bigint>"
+
+
+def graph_rows(nodes: DataFrame, edges: DataFrame, hier: DataFrame, meta: DataFrame) -> DataFrame:
+    """A node-link row for each run, from graph.build_graph()'s frames; meta: traj, agent, model, status, difficulty."""
+    n = nodes.withColumnsRenamed({"key": "id", "observation_len": "observation_length"}).groupBy("traj").agg(F.collect_list(F.struct("node_ord", "id", "label", "args", "flags", "phases", "step_indices", "has_cd", "thought_len_raw", "thought_len_clean", "observation_length", "observation_outcome")).alias("nodes"))
+    n = n.withColumn("nodes", F.array_sort("nodes", lambda x, y: (x["node_ord"] - y["node_ord"]).cast("int")))
+    e = edges.select("traj", "edge_ord", "src", "dst", F.lit("exec").alias("type"), F.col("step_idx").cast("string").alias("label"), "is_first_in_step", F.col("thought_len_raw").alias("thought_length_raw"), F.col("thought_len_clean").alias("thought_length_clean"))
+    # Hier edges come after the exec ones, in their order below each node.
+    after = F.row_number().over(Window.partitionBy("traj").orderBy("src", "rank")) + (1 << 40)
+    h = hier.select("traj", after.cast("long").alias("edge_ord"), "src", "dst", F.lit("hier").alias("type"), F.lit("").alias("label"), F.lit(None).cast("boolean").alias("is_first_in_step"), F.lit(None).cast("long").alias("thought_length_raw"), F.lit(None).cast("long").alias("thought_length_clean"))
+    links = e.unionByName(h).groupBy("traj").agg(F.array_sort(F.collect_list(F.struct("edge_ord", "src", "dst", "type", "label", "is_first_in_step", "thought_length_raw", "thought_length_clean"))).alias("edges"))
+    graph = F.struct(F.col("status").alias("resolution_status"), F.col("traj").cast("string").alias("instance_name"), F.col("difficulty").alias("debug_difficulty"))
+    return n.join(links, "traj", "left").join(meta, "traj").select("agent", "model", F.lit(True).alias("directed"), F.lit(True).alias("multigraph"), graph.alias("graph"), "nodes", F.coalesce("edges", F.array().cast(f"array<{EDGE}>")).alias("edges"))
+
+
+def write_graphs(nodes: DataFrame, edges: DataFrame, hier: DataFrame, meta: DataFrame, path: str) -> None:
+    """graph_rows() as JSON, below path by agent and model."""
+    graph_rows(nodes, edges, hier, meta).write.partitionBy("agent", "model").json(path)
 
 
 def read_graphs(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of node-link JSON, nodes at the top or below graph."""
-    node = "array<struct<node_ord:bigint,label:string,step_indices:array<bigint>>>"
-    schema = f"graph struct<resolution_status:string,instance_name:string,nodes:{node}>, nodes {node}, edges array<struct<edge_ord:bigint,src:bigint,dst:bigint,step_idx:bigint,is_first_in_step:boolean>>, agent string, model string"
-    return spark.read.schema(schema).json(path).withColumn("nodes", F.coalesce("nodes", "graph.nodes"))
+    """Rows of node-link JSON, nodes at the top or below graph; rows that can't be read are left out."""
+    schema = f"graph struct<resolution_status:string,instance_name:string,debug_difficulty:string,nodes:array<{NODE}>>, nodes array<{NODE}>, edges array<{EDGE}>, agent string, model string, _bad string"
+    read = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path)
+    return read.where("_bad is null and graph is not null").withColumn("nodes", F.coalesce("nodes", "graph.nodes")).drop("_bad")
 
 
 def merged(old: DataFrame, new: DataFrame, key: str = "traj") -> DataFrame:
