@@ -43,6 +43,15 @@ def written(df: DataFrame, *, partition_by: tuple[str, ...] = (), compression: s
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Give memory that nothing uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other C libraries need not
+    if trim:
+        trim(0)
+
+
 _KEPT: dict[str, dict] = {}
 
 
@@ -54,11 +63,7 @@ def worker_cache(operator: str) -> dict:
     """
     if operator not in _KEPT:
         _KEPT.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other C libraries need not
-        if trim:
-            trim(0)
+        give_back()
         _KEPT[operator] = {}
     return _KEPT[operator]
 

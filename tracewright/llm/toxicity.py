@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import mixed, rolling, word_hashes, words, worker_cache, written
+from tracewright.llm.common import give_back, mixed, rolling, word_hashes, words, worker_cache, written
 
 EDGE = ".,;:!?\"'()[]{}*#|<>-_/\\&%$"
 #: Bytes of words kept by a worker, with about so many for what is known of each; terms counted before they are sent on.
@@ -124,7 +124,9 @@ class BlockMax:
     """
 
     def __init__(self, vectors, ids, toxic, size: int, block: int = 64, first_blocks: int = 4, common: int = 1024):
-        n = np.bincount(np.concatenate([*[t for t, _ in vectors], np.empty(0, np.int64)]).astype(np.int64), minlength=size) if size else np.zeros(0, np.int64)
+        n = np.zeros(size, np.int64)
+        for t, _ in vectors:
+            n[t] += 1
         often = np.sort(np.argsort(-n, kind="stable")[:common])
         self.dense = np.full(size, -1, np.int32)  # a term's row in the dense tables
         self.dense[often[n[often] > 0]] = np.arange((n[often] > 0).sum())
@@ -153,9 +155,9 @@ class BlockMax:
     def __getstate__(self):
         """Only the examples are sent, compressed: all else is made again from them."""
         sizes = np.asarray([len(t) for t, _ in self.vectors], np.int32)
-        terms = np.concatenate([*[np.diff(t, prepend=0) for t, _ in self.vectors], np.empty(0, np.int32)]).astype(np.int32)
-        weights = np.concatenate([*[w for _, w in self.vectors], np.empty(0, np.float32)]).astype(np.float32)
-        return (self.ids, self.toxic, self.dense, self.block, self.first_blocks, self.size, *map(squeezed, (sizes, terms, weights)))
+        steps = squeezed(np.concatenate([*[np.diff(t, prepend=np.int32(0)).astype(np.int32) for t, _ in self.vectors], np.empty(0, np.int32)]))
+        weights = squeezed(np.concatenate([*[w.astype(np.float32, copy=False) for _, w in self.vectors], np.empty(0, np.float32)]))
+        return (self.ids, self.toxic, self.dense, self.block, self.first_blocks, self.size, squeezed(sizes), steps, weights)
 
     def __setstate__(self, state) -> None:
         self.ids, self.toxic, self.dense, self.block, self.first_blocks, self.size, *packed = state
@@ -163,8 +165,8 @@ class BlockMax:
         ends = sizes.cumsum()
         self._hold([(terms[a:b].cumsum(dtype=np.int32), weights[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)])
 
-    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """By block the dense weights (terms, members), and by term and block the largest."""
+    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By block the dense weights (terms, members), by term and block the largest, and by block the largest norm."""
         if self.tables is None:
             self._index()
             rows, blocks = int(self.dense.max(initial=-1)) + 1, -(-len(self.ids) // self.block)
@@ -172,7 +174,8 @@ class BlockMax:
             for k, (t, w) in enumerate(self.vectors):
                 own = self.dense[t]
                 tables[k // self.block, own[own >= 0], k % self.block] = w[own >= 0]
-            self.tables = tables, np.ascontiguousarray(tables.max(2).T) if blocks else np.zeros((rows, 0), np.float32)
+            norms = np.sqrt((tables * tables).sum(1)).max(1) if blocks else np.zeros(0, np.float32)
+            self.tables = tables, np.ascontiguousarray(tables.max(2).T) if blocks else np.zeros((rows, 0), np.float32), norms
         return self.tables
 
     def nearest_of(self, queries, k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -181,7 +184,7 @@ class BlockMax:
         size, b = len(self.ids), self.block
         if not size:
             return [(np.empty(0, np.int64), np.empty(0))] * len(queries)
-        tables, most = self._tables()
+        tables, most, norms = self._tables()
         sums = np.zeros((len(queries), len(tables) * b), np.float32)
         dense = np.zeros((len(queries), most.shape[0]), np.float32)
         for q, (t, w) in enumerate(queries):
@@ -194,7 +197,7 @@ class BlockMax:
             if without is not None:
                 sums[q, without[q]] = -9
         sums[:, size:] = -9
-        bounds = sums.reshape(len(queries), len(tables), b).max(2) + dense @ most
+        bounds = sums.reshape(len(queries), len(tables), b).max(2) + np.minimum(dense @ most, np.sqrt((dense * dense).sum(1))[:, None] * norms)
         found = np.full(sums.shape, -9, np.float32)
 
         def look(need: np.ndarray) -> None:
@@ -267,6 +270,15 @@ class Model:
         return out
 
 
+def parts_of(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    """The arrays that a column of bytes holds, without copies of them."""
+    out = []
+    for chunk in column.chunks:
+        data, edges = np.frombuffer(chunk.buffers()[2] or b"", np.uint8), np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].tolist()
+        out += [data[a:b].view(kind) for a, b in zip(edges, edges[1:], strict=False)]
+    return out
+
+
 def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k: int, keep: bool = False):
     """The broadcast model, its isotonic curve and, if kept, the terms of each row of docs as a table (doc_id, t, n), so
     that texts are split once. Workers keep a broadcast on disk, so it is sent once."""
@@ -349,6 +361,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
 
     counted = docs.select("doc_id", "text").mapInArrow(terms, "doc_id long, t binary, n binary")
     counted = written(counted, compression="zstd") if keep and vocabulary else counted
+    found = df = None
     idf = np.zeros(len(vocabulary))
     if vocabulary:
         total = docs.count()
@@ -370,9 +383,10 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
     some = np.asarray([len(t) > 0 for t in rows.column("t").to_pylist()], bool)
     share, without = float(toxic.sum()) / max(1, len(toxic)), float(toxic[~some].mean()) if (~some).any() else 0.0
     rows = rows.filter(pa.array(some, pa.bool_()))
-    own = [(np.frombuffer(t, np.int32), np.frombuffer(w, np.float32)) for t, w in zip(rows.column("t").to_pylist(), rows.column("w").to_pylist(), strict=True)]
+    own = list(zip(parts_of(rows.column("t"), np.int32), parts_of(rows.column("w"), np.float32), strict=True))
     index = BlockMax(own, rows.column("doc_id").to_numpy(), toxic[some], len(vocabulary))
-    del rows, own
+    del rows, own, found, df
+    give_back()
     model = spark.sparkContext.broadcast(Model(vocabulary, idf, index, without, share, k))
 
     def without_itself(batches):
