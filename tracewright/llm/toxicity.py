@@ -143,14 +143,13 @@ class BlockMax:
 
     def _index(self) -> None:
         """Postings of the rare terms; made where queries are looked up, not where the index is only sent from."""
-        vectors = self.vectors
-        terms = np.concatenate([*[t for t, _ in vectors], np.empty(0, np.int32)]).astype(np.int32)
-        place = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
-        weight = np.concatenate([*[w for _, w in vectors], np.empty(0, np.float32)])
-        rare = np.flatnonzero(self.dense[terms] < 0) if len(terms) else np.empty(0, np.int64)
-        rare = rare[np.argsort(terms[rare], kind="stable")]
-        self.first = np.searchsorted(terms[rare], np.arange(self.size + 1))
-        self.place, self.weight, self.query = place[rare], weight[rare], np.zeros(self.size)
+        rare = [self.dense[t] < 0 for t, _ in self.vectors]
+        terms = np.concatenate([*[t[r] for (t, _), r in zip(self.vectors, rare, strict=True)], np.empty(0, np.int32)]).astype(np.int32, copy=False)
+        place = np.repeat(np.arange(len(rare), dtype=np.int32), [int(r.sum()) for r in rare])
+        weight = np.concatenate([*[w[r] for (_, w), r in zip(self.vectors, rare, strict=True)], np.empty(0, np.float32)])
+        order = np.argsort(terms, kind="stable")
+        self.first = np.searchsorted(terms[order], np.arange(self.size + 1))
+        self.place, self.weight, self.query = place[order], weight[order], np.zeros(self.size)
 
     def __getstate__(self):
         """Only the examples are sent, compressed: all else is made again from them."""
@@ -174,7 +173,7 @@ class BlockMax:
             for k, (t, w) in enumerate(self.vectors):
                 own = self.dense[t]
                 tables[k // self.block, own[own >= 0], k % self.block] = w[own >= 0]
-            norms = np.sqrt((tables * tables).sum(1)).max(1) if blocks else np.zeros(0, np.float32)
+            norms = np.asarray([np.sqrt(np.einsum("ij,ij->j", x, x)).max() for x in tables], np.float32)
             self.tables = tables, np.ascontiguousarray(tables.max(2).T) if blocks else np.zeros((rows, 0), np.float32), norms
         return self.tables
 
@@ -420,7 +419,10 @@ def scored(docs: DataFrame, labels: DataFrame, *, folds: int = 5, max_rows: int
         for batch in batches:
             t, n = (batch.column(c).to_pylist() for c in (1, 2))
             sizes = np.asarray([len(x) // 4 for x in t], np.int64)
-            found = own.scores(weighed(np.frombuffer(b"".join(t), np.int32).astype(np.int64), np.frombuffer(b"".join(n), np.int32), sizes, own.idf), *curve)
+            found = []
+            for at in range(0, len(t), 4 * TOGETHER):
+                some = slice(at, at + 4 * TOGETHER)
+                found += own.scores(weighed(np.frombuffer(b"".join(t[some]), np.int32).astype(np.int64), np.frombuffer(b"".join(n[some]), np.int32), sizes[some], own.idf), *curve)
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], kind)], ["doc_id", "score", "evidence"])
 
@@ -437,7 +439,9 @@ def clean(docs: DataFrame, labels: DataFrame, *, cut: float = 0.5, folds: int =
         own = model.value
         read = Terms(own.vocabulary)
         for batch in batches:
-            scores = [x for x, _ in own.scores(read.vectors(batch.column("text").to_pylist(), own.idf), *curve)]
+            texts, scores = batch.column("text").to_pylist(), []
+            for at in range(0, len(texts), 4 * TOGETHER):
+                scores += [x for x, _ in own.scores(read.vectors(texts[at : at + 4 * TOGETHER], own.idf), *curve)]
             yield batch.filter(pa.array([s < cut for s in scores], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
