@@ -343,9 +343,9 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
         worker_cache("toxicity")
         read = Terms(shared.value)
         for batch in batches:
-            ids, texts = batch.column(0).cast(pa.int64()), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).cast(pa.int64()), batch.column(1)
             for start in range(0, len(texts), 1000):
-                some = texts[start : start + 1000]
+                some = texts.slice(start, 1000).to_pylist()
                 doc, t, n = read.counted(some)
                 t, n, edges = t.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), 4 * np.searchsorted(doc, np.arange(len(some) + 1))
                 cut = lambda data, e=edges.tolist(): pa.array([data[x:y] for x, y in zip(e, e[1:], strict=False)], pa.binary())
@@ -393,14 +393,13 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
         m = model.value
         read = Terms(m.vocabulary)
         for batch in batches:
-            own = read.vectors(batch.column("text").to_pylist(), m.idf)
-            raw: list[float | None] = [None] * len(own)
-            some, ids = [i for i, (t, _) in enumerate(own) if len(t)], batch.column("doc_id").to_pylist()
-            for start in range(0, len(some), TOGETHER):
-                part = some[start : start + TOGETHER]
-                found = m.index.nearest_of([own[i] for i in part], k, [m.index.place_of[ids[i]] for i in part])
-                for i, (at, cosine) in zip(part, found, strict=True):
-                    raw[i] = m.raw(at, cosine)
+            ids, texts, raw = batch.column("doc_id").to_pylist(), batch.column("text"), [None] * batch.num_rows
+            for start in range(0, len(texts), TOGETHER):
+                own = read.vectors(texts.slice(start, TOGETHER).to_pylist(), m.idf)
+                some = [i for i, (t, _) in enumerate(own) if len(t)]
+                found = m.index.nearest_of([own[i] for i in some], k, [m.index.place_of[ids[start + i]] for i in some]) if some else []
+                for i, (at, cosine) in zip(some, found, strict=True):
+                    raw[start + i] = m.raw(at, cosine)
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(raw, pa.float64())], ["toxic", "raw"])
 
     raw = training.mapInArrow(without_itself, "toxic int, raw double").where("raw is not null").toArrow()
@@ -439,9 +438,9 @@ def clean(docs: DataFrame, labels: DataFrame, *, cut: float = 0.5, folds: int =
         own = model.value
         read = Terms(own.vocabulary)
         for batch in batches:
-            texts, scores = batch.column("text").to_pylist(), []
+            texts, scores = batch.column("text"), []
             for at in range(0, len(texts), 4 * TOGETHER):
-                scores += [x for x, _ in own.scores(read.vectors(texts[at : at + 4 * TOGETHER], own.idf), *curve)]
+                scores += [x for x, _ in own.scores(read.vectors(texts.slice(at, 4 * TOGETHER).to_pylist(), own.idf), *curve)]
             yield batch.filter(pa.array([s < cut for s in scores], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
