@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontamination, licenses, nearjoin, packing, quality, sharding, sstable, substring, tokencounts, toxicity
+from tracewright.llm import bytebpe, decontamination, divergence, lexical, licenses, nearjoin, packing, quality, sharding, sstable, substring, tokencounts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +59,47 @@ def op10_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), vocab, capacity=4096, end_id=1, with_ids=False)
 
 
+def op11_ranked_search(spark, sf_dir):
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_byte_bpe(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = bytebpe.decoded(bytebpe.encoded(table(spark, sf_dir, "documents"), ranks), ranks)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audited(table(spark, sf_dir, "documents"), least_docs=30, top_terms=50)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_decontamination, op3_sstable, op4_ngram_jaccard, op5_substring_dedup, op6_license_scan, op7_quality, op8_token_counts, op9_toxicity, op10_packing)
+    for f in (op1_sharding, op2_decontamination, op3_sstable, op4_ngram_jaccard, op5_substring_dedup, op6_license_scan, op7_quality, op8_token_counts, op9_toxicity, op10_packing, op11_ranked_search, op12_byte_bpe, op13_source_divergence)
+}
+FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Of the others none: hashing, tokenizers, learned models and links between texts are tested against brute force instead.
+ORACLES: dict[str, str] = {
+    "op11_ranked_search": f"""WITH u AS (SELECT doc_id, unnest(regexp_extract_all({FOLD}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+q AS (SELECT item_id, unnest(regexp_extract_all({FOLD}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+d AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id), s AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM d),
+t AS (SELECT doc_id, term, count(*) AS tf FROM u WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, s GROUP BY term, big_n),
+i AS (SELECT doc_id, t.term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * big_n) // big_l))) AS x FROM t JOIN d USING (doc_id) JOIN w ON w.term = t.term, s),
+c AS (SELECT item_id, doc_id, CAST(sum(x) AS BIGINT) AS score FROM q JOIN i ON i.term = q.term GROUP BY item_id, doc_id HAVING sum(x) > 0),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM c)
+SELECT * FROM r WHERE rank <= 20""",
+    "op13_source_divergence": f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+u AS (SELECT doc_id, lang, source, unnest(regexp_extract_all({FOLD}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS ln FROM u GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d), c AS (SELECT lang, source, term, count(*) AS n FROM u SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT g.lang, g.source, (SELECT count(*) FROM k WHERE k.lang = g.lang) AS v, (SELECT coalesce(sum(n), 0) FROM c WHERE c.lang = g.lang AND c.source = g.source) AS own, (SELECT coalesce(sum(ln), 0) FROM k WHERE k.lang = g.lang) AS whole FROM g),
+p AS (SELECT v.lang, v.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000 * CAST(coalesce(n, 0) + 5 AS HUGEINT)) // (own + 5 * v) AS p, 1 + (1000000000 * CAST(ln + 5 AS HUGEINT)) // (whole + 5 * v) AS q
+ FROM v JOIN k ON k.lang = v.lang LEFT JOIN c ON c.lang = v.lang AND c.source = v.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM o)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 50""",
 }
-#: None here: hashing, tokenizers, learned models and links between texts are tested against brute force instead.
-ORACLES: dict[str, str] = {}
