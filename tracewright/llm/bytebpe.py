@@ -32,9 +32,9 @@ NONE = np.int32(np.iinfo(np.int32).max)
 #: Widths of the matrices; longer matches go through the heap.
 WIDTHS = [2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 512, 1024]
 #: Bytes of kept matches and ids in one Python worker, and numbers in one matrix.
-MEMO_BYTES, ENTRY_BYTES, CELLS = 150_000_000, 150, 2 << 20
+MEMO_BYTES, ENTRY_BYTES, CELLS = 120_000_000, 260, 1 << 19
 #: Characters cut at once. Longer texts are cut in pieces, each ending before a blank that follows a non-blank.
-PIECE = 2 << 20
+PIECE = 1 << 19
 _END = re.compile(r"[^\s\x1c-\x1f\x85][ \n\t]")
 LETTER, NUMBER, SPACE, OTHER, BORDER = range(5)
 
@@ -49,20 +49,23 @@ def classes() -> np.ndarray:
     return out
 
 
+def tokens_by_rank(path: str) -> tuple[dict[bytes, int], list[bytes]]:
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return ranks, tokens
+
+
 class Ranks:
     """Tokens by rank, and the table of pairs: at a pair's slot its key and the rank of the two tokens joined."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
-        self.ranks, self.size = ranks, max(ranks.values()) + 1
-        tokens = [b""] * self.size
-        for token, rank in ranks.items():
-            tokens[rank] = token
-        self.tokens = pa.array(tokens, pa.large_binary())
+        ranks, tokens = tokens_by_rank(path)
+        self.ranks, self.size = ranks, len(tokens)
         self.bytes = np.asarray([ranks[bytes([k])] for k in range(256)], np.int32)
         pairs = {(ranks[t[:k]], ranks[t[k:]]): r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
-        self.pairs = pairs
         keys = np.fromiter((a * self.size + b for a, b in pairs), np.int64, len(pairs))
         values = np.fromiter(pairs.values(), np.int32, len(pairs))
         self.bits = max(10, int(4 * len(pairs)).bit_length())
@@ -80,6 +83,15 @@ class Ranks:
         with np.errstate(over="ignore"):
             return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def one(self, left: int, right: int) -> int:
+        key = left * self.size + right
+        slot = ((key * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)) >> (64 - self.bits)
+        while (held := int(self.keys[slot])) >= 0:
+            if held == key:
+                return int(self.values[slot])
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+        return NONE
+
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair's join; NONE where it is no token, or either side is missing (-1)."""
         out = np.full(left.shape, NONE, np.int32)
@@ -142,7 +154,7 @@ class Ranks:
                 before[k] = i
             for a, b in ((int(before[i]), i), (i, k)):
                 if a >= 0 and b < n:
-                    waiting[a] = self.pairs.get((int(ids[a]), int(ids[b])), NONE)
+                    waiting[a] = self.one(int(ids[a]), int(ids[b]))
                     if waiting[a] != NONE:
                         heapq.heappush(heap, (int(waiting[a]) << shift) | a)
                 elif a == i:
@@ -299,14 +311,12 @@ def encoded(docs: DataFrame, path: str, *, column: str = "text", key: str = "doc
     def encode(batches):
         own = coder(path)
         for batch in batches:
-            raw = batch.column(1).to_pylist()
+            sizes_ = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().cumsum()
             start = 0
-            while start < len(raw):
-                end, size = start, 0
-                while end < len(raw) and (end == start or size + len(raw[end] or b"") <= 4 * PIECE):
-                    size += len(raw[end] or b"")
-                    end += 1
-                texts = [(r or b"").decode("utf-8", "replace") for r in raw[start:end]]
+            while start < batch.num_rows:
+                before = sizes_[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(sizes_, before + 4 * PIECE, "right")))
+                texts = [(r or b"").decode("utf-8", "replace") for r in batch.column(1).slice(start, end - start).to_pylist()]
                 sizes, parts = np.zeros(len(texts), np.int64), []
                 for at, some in groups(texts):
                     ids, n = own.ids(some)
@@ -325,10 +335,13 @@ def decoded(docs: DataFrame, path: str, *, key: str = "doc_id") -> DataFrame:
     """key, ids and the bytes that they stand for. An id that is no rank is an error."""
 
     def decode(batches):
-        tokens = coder(path).ranks.tokens
+        own = worker_cache("bytebpe")
+        if ("tokens", path) not in own:
+            own["tokens", path] = pa.array(tokens_by_rank(path)[1], pa.large_binary())
+        tokens = own["tokens", path]
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
                 lists = some.column(1)
                 edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
                 flat = pc.take(tokens, lists.flatten())
