@@ -627,6 +627,35 @@ def q_shell_actions(spark, sf_dir):
     return commands.shell_actions(calls).select(F.col("traj").alias("event_id"), "cmd_pos", "command", F.array_join("argv", "|").alias("argv"), flags.alias("flags"), "has_cd")
 
 
+#: Whole texts as scripts, commas as separators, and how the tokenizer sees them.
+PROSE = r"""WITH t AS (SELECT 'document' AS kind, doc_id AS traj, CAST(0 AS BIGINT) AS step_idx, trim(translate(coalesce(text, ''), ',', ';'), ' ') AS text FROM documents
+ UNION ALL SELECT 'turn', conv_id, CAST(turn AS BIGINT), trim(translate(coalesce(text, ''), ',', ';'), ' ') FROM conversations),
+u AS (SELECT *, regexp_matches(text, '^\s*(?:for|while|until|if|case|function|select)\b|^\s*[({]') OR regexp_matches(regexp_replace(text, '(?s)\\.|"(?:\\.|[^"\\])*"|''[^'']*''', '', 'g'), '["'']') AS whole,
+ regexp_extract_all(text, '&&|\|\||;|\n|(?:"(?:\\.|[^"\\])*"|''[^'']*''|\\.|[^\s;&|"''\\])+|\||&') AS toks FROM t),
+k AS (SELECT kind, traj, step_idx, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM u WHERE NOT whole),
+n AS (SELECT *, count(*) FILTER (tok IN ('&&', '||', ';', chr(10))) OVER (PARTITION BY kind, traj, step_idx ORDER BY i) AS run FROM k),
+c AS (SELECT kind, traj, step_idx, run, regexp_replace(regexp_replace(arg_min(tok, i), '^"((?s:.*))"$|^''((?s:.*))''$', '\1\2'), '\\(.)', '\1', 'g') AS command, count(*) FILTER (NOT regexp_matches(tok, '^-.')) AS own, count(*) AS every
+ FROM n WHERE tok NOT IN ('&&', '||', ';', chr(10)) GROUP BY kind, traj, step_idx, run),
+d AS (SELECT * FROM c WHERE NOT (command IN ('true', 'false') AND every = 1))
+"""
+
+
+@query("q_text_commands", PROSE + r""", g AS (SELECT kind, traj, step_idx, count(*) AS actions, CAST(sum(own - CASE WHEN command LIKE '-_%' THEN 0 ELSE 1 END) AS BIGINT) AS words, string_agg(command, ' ' ORDER BY run) AS commands FROM d GROUP BY kind, traj, step_idx)
+SELECT kind, traj, step_idx, actions, words, md5(commands) AS commands FROM g
+UNION ALL SELECT kind, traj, step_idx, 1, 1, md5('complex_command') FROM u WHERE whole
+UNION ALL SELECT kind, traj, step_idx, 1, 1, md5('bash') FROM u WHERE NOT whole AND len(toks) = 0""")
+def q_text_commands(spark, sf_dir):
+    """All texts of documents and conversations as scripts: how many actions each holds, of which commands, with how many words."""
+    d, c = views.table(spark, sf_dir, "documents"), views.table(spark, sf_dir, "conversations")
+    script = F.translate("text", ",", ";").alias("text")
+    calls = d.select(F.lit("document").alias("kind"), F.col("doc_id").alias("traj"), F.lit(0).cast("long").alias("step_idx"), script)
+    calls = calls.unionByName(c.select(F.lit("turn").alias("kind"), F.col("conv_id").alias("traj"), F.col("turn").cast("long").alias("step_idx"), script))
+    keys = ["kind", "traj", "step_idx"]
+    out = commands.shell_actions(calls, keep_cd=True, keys=keys).groupBy(*keys)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("cmd_pos", "command"))), lambda x: x["command"])
+    return out.agg(F.count("*").alias("actions"), F.sum(F.size("argv")).cast("long").alias("words"), F.md5(F.array_join(listed, " ")).alias("commands"))
+
+
 @query("q_phase_classes", """WITH t AS (SELECT event_id, event_id % 7 AS kind, CASE user_id % 4 WHEN 0 THEN 'src/a.py' WHEN 1 THEN 'tests/a.py' WHEN 2 THEN './tests/a.py' ELSE 'test_word' END AS path, CASE WHEN event_id % 3 = 0 THEN 'codex' END AS framework FROM events),
 u AS (SELECT *, framework IS NOT NULL AS x, CASE WHEN framework IS NOT NULL THEN path IN ('tests/a.py', './tests/a.py') ELSE path = './tests/a.py' END AS test FROM t)
 SELECT event_id, CASE kind WHEN 0 THEN CASE WHEN test THEN 'ctx' ELSE 'loc' END WHEN 1 THEN CASE WHEN test THEN 'ctx' ELSE 'patch' END WHEN 2 THEN 'ctx' WHEN 3 THEN CASE WHEN test THEN 'ctx' ELSE 'patch' END
