@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tracewright.sources import tables
 from tracewright.sources.logs import merged
+from tracewright.streaming import appended
 
 RECORD = "session string, seq long, ts timestamp, label string, phase_class string"
 
@@ -22,6 +24,11 @@ def records(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
     return spark.readStream.text(path).select(F.from_json("value", schema).alias("j")).where("j is not null and j.session is not null").select("j.*")
 
 
+def appended_records(spark: SparkSession, path: str, schema: str = RECORD, *, suffix: str = "") -> DataFrame:
+    """Records of JSON lines that are appended to files: a line counts once it is whole; broken ones are dropped."""
+    return appended.lines(spark, path, suffix=suffix).select(F.from_json("value", schema).alias("j")).where("j is not null and j.session is not null").select("j.*")
+
+
 def running_listing(stream: DataFrame) -> DataFrame:
     """session, records, last_ts, title: for update mode."""
     return stream.groupBy("session").agg(F.count("*").alias("records"), F.max("ts").alias("last_ts"), F.min_by("label", "seq").alias("title"))
@@ -101,6 +108,16 @@ def upsert(spark: SparkSession, path: str):
     return write
 
 
+def keyed_upsert(spark: SparkSession, path: str, key: str = "session", *, buckets: int = 256):
+    """For foreachBatch: merges each batch of a listing into the table at `path` (tables.merge), exactly once: a batch that
+    runs again, or that broke off, gives the same table."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        tables.merge(spark, path, batch, key, number, buckets=buckets)
+
+    return write
+
+
 def drained(listing: DataFrame) -> DataFrame:
     """The result of an aggregate over all that its source holds now, as a table in the shared folder."""
     spark = listing.sparkSession
