@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,20 +34,84 @@ def closest_parents(paths: DataFrame) -> DataFrame:
 
 
 def nested_ranges(ranges: DataFrame) -> DataFrame:
-    """traj, path, outer_lo, outer_hi, lo, hi: each range of a file in its immediate outer one. ranges: traj, path,
-    node, lo, hi. Equal ranges hold each other, so two of them nest both ways and three block one another."""
+    """traj, path, o_node, o_lo, o_hi, i_node, i_lo, i_hi: each range of a file in its immediate outer ones. ranges: traj,
+    path, node, lo, hi. Equal ranges hold each other, so two of them nest both ways and three block one another.
+
+    A file's ranges are swept in order (lo, -hi); see `surrounding`."""
     own = ranges.groupBy("traj", "path", "lo", "hi").agg(F.collect_set("node").alias("_nodes")).withColumn("_n", F.size("_nodes"))
-    # A range that stands alone lies in the least ones of those around it: in order of falling starts, the ones whose
-    # end is nearer than any before. Of these, one that stands twice is blocked by its twin.
-    i = own.where("_n = 1").select("traj", "path", F.col("_nodes")[0].alias("i_node"), F.col("lo").alias("i_lo"), F.col("hi").alias("i_hi"))
-    o = own.select("traj", "path", F.col("_nodes")[0].alias("o_node"), F.col("_n").alias("_m"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"))
-    around = i.join(o, ["traj", "path"]).where("o_lo <= i_lo and i_hi <= o_hi and (o_lo < i_lo or i_hi < o_hi)")
-    w = Window.partitionBy("traj", "path", "i_node", "i_lo", "i_hi").orderBy(F.desc("o_lo"), "o_hi").rowsBetween(Window.unboundedPreceding, -1)
-    least = around.withColumn("_near", F.min("o_hi").over(w)).where("(_near is null or o_hi < _near) and _m = 1")
-    columns = ["traj", "path", "o_node", "o_lo", "o_hi", "i_node", "i_lo", "i_hi"]
+    # A range that stands twice is in none but its twin, and blocks what it lies around.
+    swept = own.select("traj", "path", F.when(F.col("_n") == 1, F.col("_nodes")[0]).alias("node"), "lo", "hi").repartition("traj", "path").sortWithinPartitions("traj", "path", "lo", F.desc("hi"))
+    kinds = dict(ranges.dtypes)
+    schema = f"traj {kinds['traj']}, path {kinds['path']}, o_node {kinds['node']}, o_lo {kinds['lo']}, o_hi {kinds['hi']}, i_node {kinds['node']}, i_lo {kinds['lo']}, i_hi {kinds['hi']}"
+    least = swept.mapInArrow(nested_in_files, schema)
     twins = own.where("_n = 2").select("traj", "path", F.explode(F.array(F.struct(F.col("_nodes")[0].alias("o"), F.col("_nodes")[1].alias("i")), F.struct(F.col("_nodes")[1].alias("o"), F.col("_nodes")[0].alias("i")))).alias("_t"), "lo", "hi")
     twins = twins.select("traj", "path", F.col("_t.o").alias("o_node"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"), F.col("_t.i").alias("i_node"), F.col("lo").alias("i_lo"), F.col("hi").alias("i_hi"))
-    return least.select(columns).unionByName(twins)
+    return least.unionByName(twins)
+
+
+def surrounding(his: list[int]) -> Iterator[tuple[int, int]]:
+    """(outer, inner) places of ranges in order (lo, -hi), all different, given by their ends: for each range the least
+    ones around it.
+
+    Going back from a range, the ones around it are those that end no earlier; of them those count that end before
+    every later one. Each is found by the latest place within an interval of ends, in a tree over the ends."""
+    ends = sorted(set(his))
+    size = 1 << max(0, (len(ends) - 1).bit_length())
+    tree = [-1] * (2 * size)
+
+    def latest(a: int, b: int) -> int:
+        found, a, b = -1, a + size, b + size
+        while a < b:
+            if a & 1:
+                found = max(found, tree[a])
+                a += 1
+            if b & 1:
+                b -= 1
+                found = max(found, tree[b])
+            a, b = a >> 1, b >> 1
+        return found
+
+    for i, hi in enumerate(his):
+        low, high = bisect_left(ends, hi), len(ends)
+        while low < high and (o := latest(low, high)) >= 0:
+            yield o, i
+            high = bisect_left(ends, his[o])
+        at = low + size
+        while at:  # a later place is a greater one
+            tree[at], at = i, at >> 1
+
+
+def nested_in_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows traj, path, node (null: stands more than once), lo, hi in order, a file's one after the other."""
+    key, held, out, types = None, [], [], None
+
+    def told() -> None:
+        node, lo, hi = zip(*held, strict=True)
+        for o, i in surrounding(list(hi)):
+            if node[o] is not None and node[i] is not None:
+                out.append((*key, node[o], lo[o], hi[o], node[i], lo[i], hi[i]))
+
+    def batch() -> pa.RecordBatch:
+        kinds = [types[k] for k in (0, 1, 2, 3, 4, 2, 3, 4)]
+        names = ["traj", "path", "o_node", "o_lo", "o_hi", "i_node", "i_lo", "i_hi"]
+        done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names)
+        out.clear()
+        return done
+
+    for rows in batches:
+        types = rows.schema.types
+        for traj, path, node, lo, hi in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            if (traj, path) != key:
+                if len(held) > 1:
+                    told()
+                key, held = (traj, path), []
+            held.append((node, lo, hi))
+        if len(out) > 100_000:
+            yield batch()
+    if len(held) > 1:
+        told()
+    if types:
+        yield batch()
 
 
 def scrolls(ranges: DataFrame) -> DataFrame:
@@ -92,12 +160,20 @@ def zoom_outs(visits: DataFrame) -> DataFrame:
     return visits.withColumn("_z", F.coalesce(out, F.lit(False))).groupBy("traj").agg(F.bool_or("_z").alias("zoom_out"))
 
 
-def deep_zooms_without_edit(leaves: DataFrame, patched: DataFrame) -> DataFrame:
-    """traj, n: leaf paths that are part of no patched path. leaves: traj, path; patched: traj, path."""
-    own = leaves.select("traj", "path").distinct()
+def deep_zooms_without_edit(leaves: DataFrame, patched: DataFrame, q: int = 8) -> DataFrame:
+    """traj, n: leaf paths that are part of no patched path. leaves: traj, path; patched: traj, path. No path is empty.
+
+    Patched paths are indexed by their q-grams (shorter ones for leaves that are shorter). A leaf one of whose grams no
+    patched path has is part of none; the others are looked for only in the paths that hold their rarest gram."""
+    own = leaves.select("traj", "path").distinct().withColumn("_q", F.least(F.length("path"), F.lit(q)))
     edited = patched.select("traj", F.col("path").alias("patched")).distinct()
-    # Sizes per run are small; the literal test has no key beyond the run.
-    left = own.join(edited, (own.traj == edited.traj) & (F.instr("patched", F.col("path")) > 0), "left_anti")
+    grams = lambda path: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(path) - F.col("_q") + 1), lambda i: F.substring(path, i, F.col("_q"))))
+    index = edited.join(own.select("traj", "_q").distinct(), "traj").where(F.length("patched") >= F.col("_q")).select("traj", "patched", F.explode(grams(F.col("patched"))).alias("gram"))
+    common = index.groupBy("traj", "gram").agg(F.count("*").alias("_c"))
+    asked = own.select("traj", "path", F.explode(grams(F.col("path"))).alias("gram")).join(common, ["traj", "gram"], "left")
+    rarest = asked.groupBy("traj", "path").agg(F.min_by("gram", F.coalesce("_c", F.lit(0))).alias("gram"), F.min(F.coalesce("_c", F.lit(0))).alias("_c")).where("_c > 0")
+    found = rarest.join(index, ["traj", "gram"]).where(F.instr("patched", F.col("path")) > 0).select("traj", "path").distinct()
+    left = own.join(found, ["traj", "path"], "left_anti")
     return own.select("traj").distinct().join(left.groupBy("traj").agg(F.count("*").alias("n")), "traj", "left").na.fill(0, ["n"])
 
 

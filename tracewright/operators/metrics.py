@@ -60,10 +60,11 @@ def view_metrics(occurrences: DataFrame, nodes: DataFrame, edges: DataFrame, hie
     return out.withColumn("back_and_forth_switch", F.lit(False)).na.fill(0, ["max_view_depth", "avg_view_depth", "max_view_span", "avg_view_span", "num_deep_zooms_without_edit"]).na.fill(False, ["scroll_behavior", "zoom_out"])
 
 
-def trajectory_metrics(occurrences: DataFrame, nodes: DataFrame, edges: DataFrame, hier: DataFrame, meta: DataFrame | None = None, *, walks: bool = True, max_frontier: int = 100_000) -> DataFrame:
+def trajectory_metrics(occurrences: DataFrame, nodes: DataFrame, edges: DataFrame, hier: DataFrame, meta: DataFrame | None = None, *, walks: bool = True, max_frontier: int = traversal.STATES) -> DataFrame:
     """One row for each run, from build_graph()'s frames; meta: traj and columns to put before (resolution, difficulty).
 
-    Counts and graph metrics, loops and longest paths (unless walks is off; null where a run goes over max_frontier),
+    Counts and graph metrics, loops and longest paths (unless walks is off; 0 for a run without edges, null and
+    `truncated` where a run has more than max_frontier states at once),
     localization and view metrics, patch metrics with failure kinds as columns and the recovery pattern as text, "N/A"
     where there is none.
     """
@@ -74,7 +75,12 @@ def trajectory_metrics(occurrences: DataFrame, nodes: DataFrame, edges: DataFram
     held = hier.groupBy("traj").agg(F.count("*").alias("hier_edge_count"))
     parts = [keyed, held]
     if walks:
-        parts += [traversal.cycle_metrics(pairs, max_frontier).drop("truncated"), traversal.longest_path(pairs, max_frontier).drop("truncated")]
+        walked = traversal.walk_metrics(pairs, max_states=max_frontier)
+        names = [c for c in walked.columns if c != "traj"]
+        walked = walked.withColumn("truncated", F.col("loop_count").isNull() | F.col("longest_path").isNull())
+        still = o.select("traj").distinct().join(walked, "traj", "left")
+        none = F.col("truncated").isNull()
+        parts.append(still.select("traj", *[F.when(none, F.lit(0).cast(t)).otherwise(F.col(c)).alias(c) for c, t in walked.dtypes if c in names], F.coalesce("truncated", F.lit(False)).alias("truncated")))
     parts += [
         aggregates.localization_metrics(o),
         graph.localization_repeats(o),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.traversal import cut
+
 
 def sequences(runs: DataFrame, groups: DataFrame) -> DataFrame:
     """grp, traj, seq (array of letters), lens. groups: traj, grp."""
@@ -16,20 +18,21 @@ def contiguous(seqs: DataFrame, support: float = 0.3, first_len: int = 12) -> Da
     """grp, pattern, n, support: contiguous slices that enough of a group's runs have.
 
     Slices of a frequent slice are frequent, so where none of the greatest length counted is frequent, no longer one is;
-    until then that length, `first_len` at first, doubles.
-    """
-    size, total = F.size("seq"), seqs.groupBy("grp").agg(F.count("*").alias("_total"))
-
-    def upto(longest: int) -> DataFrame:
-        slices = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(size - i + 1, F.lit(longest))), lambda n: F.slice("seq", i, n))))
-        counted = seqs.select("grp", F.explode(F.array_distinct(slices)).alias("pattern")).groupBy("grp", "pattern").agg(F.count("*").alias("n"))
-        return counted.join(F.broadcast(total), "grp").withColumn("support", F.col("n") / F.col("_total")).where(F.col("support") >= support).drop("_total")
-
-    found = upto(first_len)
-    while not found.where(F.size("pattern") >= first_len).isEmpty():
-        first_len *= 2
-        found = upto(first_len)
-    return found
+    until then the lengths from there to its double, `first_len` at first, are counted as well. Each round is written."""
+    total = seqs.groupBy("grp").agg(F.count("*").alias("_total"))
+    places = seqs.select("grp", "traj", "seq", F.explode(F.sequence(F.lit(1), F.size("seq"))).alias("_i")).where("size(seq) > 0")
+
+    def lengths(least: int, most: int) -> DataFrame:
+        slices = F.transform(F.sequence(F.lit(least), F.least(F.size("seq") - F.col("_i") + 1, F.lit(most))), lambda n: F.slice("seq", F.col("_i"), n))
+        own = places.where(F.size("seq") - F.col("_i") + 1 >= least).select("grp", "traj", F.explode(slices).alias("pattern")).distinct()
+        counted = own.groupBy("grp", "pattern").agg(F.count("*").alias("n"))
+        return cut(counted.join(total, "grp").withColumn("support", F.col("n") / F.col("_total")).where(F.col("support") >= support).drop("_total"))
+
+    out = last = lengths(1, first_len)
+    while not last.where(F.size("pattern") >= first_len).isEmpty():
+        last, first_len = lengths(first_len + 1, 2 * first_len), 2 * first_len
+        out = out.unionByName(last)
+    return out
 
 
 def greedy_match(pattern: Column, seq: Column) -> Column:
@@ -52,17 +55,27 @@ def longest_patterns(seqs: DataFrame, found: DataFrame) -> DataFrame:
     return best.join(lower, ["grp", "pattern"])
 
 
-def gapped(seqs: DataFrame, support: float = 0.3, max_len: int = 10) -> DataFrame:
-    """grp, pattern, n, cap_hit: frequent subsequences with gaps up to a length cap, for each of the few groups."""
-    from pyspark.ml.fpm import PrefixSpan
-
-    out = None
-    for g in [r["grp"] for r in seqs.select("grp").distinct().collect()]:
-        own = seqs.where(F.col("grp") == g).select(F.transform("seq", lambda x: F.array(x)).alias("sequence"))
-        some = PrefixSpan(minSupport=support, maxPatternLength=max_len, maxLocalProjDBSize=32_000_000).findFrequentSequentialPatterns(own)
-        some = some.select(F.lit(g).alias("grp"), F.flatten("sequence").alias("pattern"), F.col("freq").alias("n"), (F.size("sequence") >= max_len).alias("cap_hit"))
-        out = some if out is None else out.unionByName(some)
-    return out
+def gapped(seqs: DataFrame, support: float = 0.3) -> DataFrame:
+    """grp, pattern, n, support: subsequences, gaps allowed, that enough of a group's runs have, of any length.
+
+    Patterns grow by one letter at a time: for each run that holds a pattern there is a row with what follows its first
+    match, and each different letter of that begins a longer one. What isn't frequent grows no further; it ends when
+    nothing is left. A group of one run gives its whole sequence (all its subsequences would be as frequent)."""
+    sizes = cut(seqs.groupBy("grp").agg(F.count("*").alias("_total")))
+    alone = seqs.join(sizes.where("_total = 1"), "grp").where("size(seq) > 0").select("grp", F.col("seq").alias("pattern"), F.lit(1).cast("long").alias("n"), F.lit(1.0).alias("support"))
+    state = seqs.join(sizes.where("_total > 1"), "grp").select("grp", "traj", F.slice("seq", F.lit(1), F.lit(0)).alias("pattern"), F.col("seq").alias("_rest"), "_total")
+    out = alone
+    while True:
+        # array_position finds the first match, so a run's row for a pattern is one.
+        grown = state.select("grp", "traj", "pattern", "_rest", "_total", F.explode(F.array_distinct("_rest")).alias("_x"))
+        at = F.array_position("_rest", F.col("_x")).cast("int")
+        grown = grown.select("grp", "traj", F.concat("pattern", F.array("_x")).alias("pattern"), F.slice("_rest", at + 1, F.size("_rest") - at).alias("_rest"), "_total")
+        counts = grown.groupBy("grp", "pattern").agg(F.count("*").alias("n"), (F.count("*") / F.max("_total")).alias("support"))
+        frequent = cut(counts.where(F.col("support") >= support))
+        if frequent.isEmpty():
+            return out
+        out = out.unionByName(frequent)
+        state = cut(grown.where("size(_rest) > 0").join(frequent.select("grp", "pattern"), ["grp", "pattern"], "left_semi"))
 
 
 def compressed(pattern: list[str], max_period: int = 12) -> str:

@@ -1,97 +1,236 @@
 """Walks over the exec graphs of runs: elementary cycles, longest simple paths, components, shortest paths.
 
-Each loops over joins of a frontier with the distinct exec pairs, as many rounds as the longest walk; none stops before.
-Simple walks can be very many, so a run whose frontier grows over `max_frontier` is flagged and gets nulls, never a part.
-Frontiers are written to the checkpoint folder where one is set, which cuts their lineage.
+Runs of at most `small` distinct pairs are one group of a task each, and bounded by that; larger ones go through joins.
+Cycles and simple paths are counted by sets of nodes (walks.py); where a component's states pass `max_states` at once
+the run is flagged and gets nulls, never a part. Frontiers are written to the checkpoint folder where one is set, which
+cuts their lineage.
 """
 
 from __future__ import annotations
 
+import tempfile
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators import walks
+
+#: Distinct pairs of a run that one task takes whole.
+SMALL = 100_000
+#: States at once of a component: about 100 bytes each.
+STATES = 2_000_000
 
 def cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """df written to the checkpoint folder, without its lineage. Local sessions that name none get a temporary one."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracewright-"))
+    return df.checkpoint()
 
 
-def walks(pairs: DataFrame, max_frontier: int, closed: bool) -> tuple[DataFrame, DataFrame]:
-    """(traj, start, len) of elementary cycles, or of simple paths, by edges; and the runs that went over a cap."""
-    step = pairs.select("traj", F.col("src").alias("cur"), "dst")
-    starts = pairs.select("traj", F.col("src").alias("start")).distinct() if closed else pairs.select("traj", F.col("src").alias("start")).union(pairs.select("traj", "dst")).distinct()
-    frontier = starts.select("traj", "start", F.col("start").alias("cur"), F.array("start").alias("seen"))
-    found, over, length = [], [], 0
-    while True:
-        length += 1
-        sizes = frontier.groupBy("traj").agg(F.count("*").alias("_n")).where(F.col("_n") > max_frontier).select("traj")
-        over.append(sizes)
-        onward = frontier.join(sizes, "traj", "left_anti").join(step, ["traj", "cur"])
-        if closed:
-            found.append(onward.where("dst = start").select("traj", "start", F.lit(length).alias("len")))
-            onward = onward.where("dst > start")
-        onward = onward.where(~F.array_contains("seen", F.col("dst"))).select("traj", "start", F.col("dst").alias("cur"), F.concat("seen", F.array("dst")).alias("seen"))
-        frontier = cut(onward)
-        if not closed:
-            found.append(frontier.select("traj", "start", F.lit(length).alias("len")))
-        if frontier.isEmpty():
-            break
-    out, capped = found[0], over[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    for x in over[1:]:
-        capped = capped.unionByName(x)
-    return out, capped.distinct()
+def sized(pairs: DataFrame, small: int) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct pairs of runs of at most `small`, and of the others (None where there are none)."""
+    own = pairs.select("traj", "src", "dst").distinct()
+    large = own.groupBy("traj").agg(F.count("*").alias("_n")).where(F.col("_n") > small).select("traj")
+    large = cut(large)
+    if large.isEmpty():
+        return own, None
+    return own.join(large, "traj", "left_anti"), cut(own.join(large, "traj", "left_semi"))
+
+
+METRICS = "loop_count long, min_loop long, max_loop long, avg_loop double, longest_path long"
+
+
+def walk_metrics(pairs: DataFrame, *, max_states: int = STATES, small: int = SMALL, loops: bool = True, paths: bool = True) -> DataFrame:
+    """traj, loop_count, min_loop, max_loop, avg_loop, longest_path: null where a run has too many states, or where
+    loops or paths aren't asked for."""
+    kind = dict(pairs.dtypes)["traj"]
+
+    def whole(run: pd.DataFrame) -> pd.DataFrame:
+        found = walks.of_run(run.src.to_numpy(np.int64), run.dst.to_numpy(np.int64), max_states, loops=loops, paths=paths)
+        return pd.DataFrame([(run.traj.iloc[0], *found)], columns=["traj", *[c.split()[0] for c in METRICS.split(", ")]]).astype({c: "Int64" for c in ("loop_count", "min_loop", "max_loop", "longest_path")})
+
+    few, many = sized(pairs, small)
+    out = few.groupBy("traj").applyInPandas(whole, f"traj {kind}, {METRICS}")
+    return out if many is None else out.unionByName(apart(many, max_states, loops, paths))
+
+
+def apart(pairs: DataFrame, max_states: int, loops: bool, paths: bool) -> DataFrame:
+    """walk_metrics() of large runs: components by joins, each component a group, and paths from one to the next."""
+    kind = dict(pairs.dtypes)["traj"]
+    own = cut(strong(pairs))
+    src, dst = own.toDF("traj", "src", "_a"), own.toDF("traj", "dst", "_b")
+    tied = cut(pairs.join(src, ["traj", "src"], "left").join(dst, ["traj", "dst"], "left"))
+    inner = tied.where("_a = _b").select("traj", F.col("_a").alias("component"), "src", "dst")
+    # Components that no task may take whole have too many states for certain: of so many pairs there are as many states.
+    sizes = inner.groupBy("traj", "component").agg(F.count("*").alias("_n"))
+    huge = sizes.where(F.col("_n") > SMALL).select("traj").distinct()
+    inner = inner.join(huge, "traj", "left_anti")
+    out = pairs.select("traj").distinct()
+    if loops:
+
+        def counted(part: pd.DataFrame) -> pd.DataFrame:
+            try:
+                found = walks.cycles(part.src.to_numpy(np.int64), part.dst.to_numpy(np.int64), max_states)
+                rows = [(part.traj.iloc[0], k, str(n)) for k, n in enumerate(found) if n]
+            except walks.TooMany:
+                rows = [(part.traj.iloc[0], None, None)]
+            return pd.DataFrame(rows, columns=["traj", "len", "n"]).astype({"len": "Int64"})
+
+        found = inner.groupBy("traj", "component").applyInPandas(counted, f"traj {kind}, len long, n string")
+        found = found.unionByName(huge.select("traj", F.lit(None).cast("long").alias("len"), F.lit(None).cast("string").alias("n"))).withColumn("n", F.col("n").try_cast("decimal(38,0)"))
+        stats = found.groupBy("traj").agg(F.bool_or(F.col("n").isNull()).alias("_x"), F.sum("n").try_cast("long").alias("loop_count"), F.min("len").alias("min_loop"), F.max("len").alias("max_loop"), (F.sum(F.col("n") * F.col("len")).cast("double") / F.sum("n").cast("double")).alias("avg_loop"))
+        out = out.join(stats, "traj", "left")
+        known = F.when(F.col("_x").isNull(), F.lit(0))
+        value = lambda c: F.coalesce(F.when(~F.col("_x") & F.col("loop_count").isNotNull(), F.col(c)), known.cast(dict(stats.dtypes)[c])).alias(c)
+        out = out.select("traj", *[value(c) for c in ("loop_count", "min_loop", "max_loop", "avg_loop")])
+    else:
+        out = out.select("traj", *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in METRICS.split(", ")[:4])])
+    if not paths:
+        return out.withColumn("longest_path", F.lit(None).cast("long"))
+    cross = cut(tied.where("not coalesce(_a = _b, false) and src <> dst").select("traj", "src", "dst"))
+    entries = cross.select("traj", F.col("dst").alias("node")).distinct().withColumn("_e", F.lit(True))
+    asked = inner.join(entries.withColumnRenamed("node", "src"), ["traj", "src"], "left")
+
+    def within(part: pd.DataFrame) -> pd.DataFrame:
+        a, b = part.src.to_numpy(np.int64), part.dst.to_numpy(np.int64)
+        try:
+            found = walks.longest(a, b, np.unique(a[part._e.notna().to_numpy()]), max_states)
+            rows = [(part.traj.iloc[0], e, v, n) for (e, v), n in found.items()]
+        except walks.TooMany:
+            rows = [(part.traj.iloc[0], None, None, None)]
+        return pd.DataFrame(rows, columns=["traj", "entry", "node", "n"]).astype({c: "Int64" for c in ("entry", "node", "n")})
+
+    inside = cut(asked.groupBy("traj", "component").applyInPandas(within, f"traj {kind}, entry long, node long, n long"))
+    lost = inside.where("node is null").select("traj").unionByName(huge).distinct()
+    ways = inside.where("entry is not null").select("traj", "entry", "node", "n")
+    # A path may begin anywhere; then it goes on over a pair between components, and within the one it enters.
+    nodes = pairs.select("traj", F.col("src").alias("node")).union(pairs.select("traj", "dst")).distinct()
+    level = cut(nodes.withColumn("far", F.lit(0).cast("long")).unionByName(inside.where("entry is null and node is not null").select("traj", "node", F.col("n").alias("far"))).groupBy("traj", "node").agg(F.max("far").alias("far")))
+    best = level
+    while not level.isEmpty():
+        entered = level.withColumnRenamed("node", "src").join(cross, ["traj", "src"]).groupBy("traj", F.col("dst").alias("node")).agg((F.max("far") + 1).alias("far"))
+        on = entered.withColumnRenamed("node", "entry").join(ways, ["traj", "entry"]).select("traj", "node", (F.col("far") + F.col("n")).alias("far"))
+        new = entered.unionByName(on).groupBy("traj", "node").agg(F.max("far").alias("far"))
+        level = cut(new.join(best.withColumnRenamed("far", "_f"), ["traj", "node"], "left").where("_f is null or far > _f").drop("_f"))
+        best = cut(best.unionByName(level).groupBy("traj", "node").agg(F.max("far").alias("far")))
+    longest = best.groupBy("traj").agg(F.max("far").alias("longest_path")).join(lost, "traj", "left_anti")
+    return out.join(longest, "traj", "left")
 
 
-def cycle_metrics(pairs: DataFrame, max_frontier: int = 100_000) -> DataFrame:
-    """traj, loop_count, min_loop, max_loop, avg_loop, truncated: a run over a cap has nulls, never a part."""
-    found, over = walks(pairs, max_frontier, closed=True)
-    stats = found.groupBy("traj").agg(F.count("*").alias("loop_count"), F.min("len").cast("long").alias("min_loop"), F.max("len").cast("long").alias("max_loop"), F.avg("len").alias("avg_loop"))
-    out = pairs.select("traj").distinct().join(stats, "traj", "left").na.fill(0, ["loop_count", "min_loop", "max_loop"]).na.fill(0.0, ["avg_loop"])
-    out = out.join(over.withColumn("truncated", F.lit(True)), "traj", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
-    return out.select("traj", *[F.when(~F.col("truncated"), F.col(c)).alias(c) for c in ("loop_count", "min_loop", "max_loop", "avg_loop")], "truncated")
+def cycle_metrics(pairs: DataFrame, max_frontier: int = STATES, small: int = SMALL) -> DataFrame:
+    """traj, loop_count, min_loop, max_loop, avg_loop, truncated: a run with too many states has nulls, never a part."""
+    out = walk_metrics(pairs, max_states=max_frontier, small=small, paths=False)
+    return out.select("traj", "loop_count", "min_loop", "max_loop", "avg_loop", F.col("loop_count").isNull().alias("truncated"))
 
 
-def longest_path(pairs: DataFrame, max_frontier: int = 100_000) -> DataFrame:
+def longest_path(pairs: DataFrame, max_frontier: int = STATES, small: int = SMALL) -> DataFrame:
     """traj, longest_path (edges of the longest simple path), truncated."""
-    found, over = walks(pairs, max_frontier, closed=False)
-    out = pairs.select("traj").distinct().join(found.groupBy("traj").agg(F.max("len").cast("long").alias("longest_path")), "traj", "left").na.fill(0)
-    out = out.join(over.withColumn("truncated", F.lit(True)), "traj", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
-    return out.select("traj", F.when(~F.col("truncated"), F.col("longest_path")).alias("longest_path"), "truncated")
+    out = walk_metrics(pairs, max_states=max_frontier, small=small, loops=False)
+    return out.select("traj", "longest_path", F.col("longest_path").isNull().alias("truncated"))
+
+
+def components(pairs: DataFrame, small: int = SMALL) -> DataFrame:
+    """traj, node, component: nodes on a cycle or self-loop, with the least node of their component."""
+    kind = dict(pairs.dtypes)["traj"]
+
+    def whole(run: pd.DataFrame) -> pd.DataFrame:
+        src, dst = run.src.to_numpy(np.int64), run.dst.to_numpy(np.int64)
+        alone = set(src[src == dst].tolist())
+        rows = [(run.traj.iloc[0], v, min(c)) for c in walks.strong(src, dst) if len(c) > 1 or c[0] in alone for v in c]
+        return pd.DataFrame(rows, columns=["traj", "node", "component"])
+
+    few, many = sized(pairs, small)
+    out = few.groupBy("traj").applyInPandas(whole, f"traj {kind}, node long, component long")
+    return out if many is None else out.unionByName(strong(many))
+
+
+def chained(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs with each chain as one pair; the nodes of chains with the ends of theirs (traj, node, left, right); and the
+    nodes of rings that nothing else touches, with their least one (traj, node, component).
 
+    A node that one other node leads to and that leads to one is part of a chain. Each such node's pointers, forward and
+    back, are doubled until they stand on nodes that are no part of one."""
+    into = pairs.groupBy("traj", F.col("dst").alias("node")).agg(F.count("*").alias("_i"), F.min("src").alias("left"))
+    out = pairs.groupBy("traj", F.col("src").alias("node")).agg(F.count("*").alias("_o"), F.min("dst").alias("right"))
+    links = cut(into.where("_i = 1").join(out.where("_o = 1"), ["traj", "node"]).where("left <> node and right <> node").select("traj", "node", "left", "right", F.col("node").alias("least"), F.lit(False).alias("_l"), F.lit(False).alias("_r")))
+    n, covered = links.groupBy("traj").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0, 1
+    while covered <= 2 * n:
+        at = links.select("traj", F.col("node").alias("_at"), "left", "right", "least", "_l", "_r")
+        back, on = at.select("traj", F.col("_at").alias("left"), F.col("left").alias("_left"), F.col("_l").alias("_ll")), at.select("traj", F.col("_at").alias("right"), F.col("right").alias("_right"), F.col("least").alias("_least"), F.col("_r").alias("_rr"))
+        links = links.join(back, ["traj", "left"], "left").join(on, ["traj", "right"], "left")
+        links = cut(links.select("traj", "node", F.coalesce("_left", "left").alias("left"), F.coalesce("_right", "right").alias("right"), F.least("least", "_least").alias("least"), F.col("_left").isNull().alias("_l"), F.col("_right").isNull().alias("_r")))
+        covered *= 2
+    rings = links.where("not _r").select("traj", "node", F.col("least").alias("component"))
+    ended = links.where("_r").select("traj", "node", "left", "right")
+    part = links.select("traj", "node")
+    rest = pairs.join(part.withColumnRenamed("node", "src"), ["traj", "src"], "left_anti").join(part.withColumnRenamed("node", "dst"), ["traj", "dst"], "left_anti")
+    return cut(rest.unionByName(ended.select("traj", F.col("left").alias("src"), F.col("right").alias("dst"))).distinct()), ended, rings
 
-def on_loops(pairs: DataFrame) -> DataFrame:
-    """The pairs left once nodes that nothing leads to, or that lead nowhere, are taken off until none is left."""
-    left = cut(pairs.select("traj", "src", "dst").distinct())
+
+def trimmed(pairs: DataFrame) -> DataFrame:
+    """The pairs without nodes that nothing leads to, or that lead nowhere."""
+    into, out = pairs.select("traj", F.col("dst").alias("src")).distinct(), pairs.select("traj", F.col("src").alias("dst")).distinct()
+    return cut(pairs.join(into, ["traj", "src"], "left_semi").join(out, ["traj", "dst"], "left_semi"))
+
+
+def strong(pairs: DataFrame) -> DataFrame:
+    """components() by joins: chains become one pair and loose ends go, as long as that takes any off; then in each part
+    its least node's reach forward meets its reach back, and what lies in both, in one or in none are parts anew."""
+    left, chains, found = cut(pairs.select("traj", "src", "dst").distinct()), [], []
     n = left.count()
     while n:
-        into = left.select("traj", F.col("dst").alias("src")).distinct()
-        out = left.select("traj", F.col("src").alias("dst")).distinct()
-        left = cut(left.join(into, ["traj", "src"], "left_semi").join(out, ["traj", "dst"], "left_semi"))
+        left, links, rings = chained(left)
+        chains.append(links)
+        found.append(rings)
+        left = trimmed(left)
         before, n = n, left.count()
         if n == before:
             break
-    return left
-
-
-def reachable(pairs: DataFrame) -> DataFrame:
-    """traj, src, dst with a path of one or more edges, by doubling: paths join paths."""
-    known = cut(pairs.select("traj", "src", "dst").distinct())
-    n = known.count()
-    while True:
-        left, right = known.withColumnRenamed("dst", "mid"), known.withColumnRenamed("src", "mid")
-        known = cut(known.unionByName(left.join(right, ["traj", "mid"]).select("traj", "src", "dst")).distinct())
-        before, n = n, known.count()
-        if n == before:
-            return known
+    part = F.lit("")
+    nodes = cut(left.select("traj", F.col("src").alias("node")).union(left.select("traj", "dst")).distinct().withColumn("part", part))
+    while n:
+        pivots = nodes.groupBy("traj", "part").agg(F.min("node").alias("node"))
+        tied = left.join(nodes.toDF("traj", "src", "part"), ["traj", "src"]).join(nodes.toDF("traj", "dst", "_p"), ["traj", "dst"]).where("part = _p").select("traj", "src", "dst")
+        tied = cut(tied)
+        ahead, behind = reached(pivots, tied), reached(pivots, tied.select("traj", F.col("dst").alias("src"), F.col("src").alias("dst")))
+        told = nodes.join(ahead.withColumn("_f", F.lit(1)), ["traj", "node"], "left").join(behind.withColumn("_b", F.lit(1)), ["traj", "node"], "left").join(pivots.withColumnRenamed("node", "_pivot"), ["traj", "part"])
+        told = cut(told)
+        alone = left.where("src = dst").select("traj", F.col("src").alias("node"))
+        both = told.where("_f = 1 and _b = 1").select("traj", "node", F.col("_pivot").alias("component"))
+        sizes = both.groupBy("traj", "component").agg((F.count("*") > 1).alias("_more"))
+        found.append(both.join(sizes, ["traj", "component"]).join(alone.withColumn("_loop", F.lit(True)), ["traj", "node"], "left").where("_more or _loop").select("traj", "node", "component"))
+        # A part's name: the path of choices that led to it.
+        nodes = cut(told.where("_f is null or _b is null").select("traj", "node", F.concat("part", F.when(F.col("_f") == 1, "f").when(F.col("_b") == 1, "b").otherwise("n"), F.col("_pivot").cast("string")).alias("part")))
+        left = cut(left.join(nodes.select("traj", F.col("node").alias("src")), ["traj", "src"], "left_semi").join(nodes.select("traj", F.col("node").alias("dst")), ["traj", "dst"], "left_semi"))
+        n = left.count()
+    out = pairs.select("traj", F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    for part_ in found:
+        out = out.unionByName(part_)
+    out = cut(out)
+    # A chain's nodes lie on a cycle if its ends are of one component; the last ones taken off come first.
+    for links in reversed(chains):
+        a, b = out.toDF("traj", "left", "_a"), out.toDF("traj", "right", "_b")
+        out = cut(out.unionByName(links.join(a, ["traj", "left"]).join(b, ["traj", "right"]).where("_a = _b").select("traj", "node", F.col("_a").alias("component"))))
+    least = out.groupBy("traj", "component").agg(F.min("node").alias("_least"))
+    return out.join(least, ["traj", "component"]).select("traj", "node", F.col("_least").alias("component"))
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """traj, node, component: nodes on a cycle or self-loop, with the least node of their component. Only what may lie on
-    a cycle enters the closure."""
-    r = reachable(on_loops(pairs))
-    back = r.select("traj", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return r.join(back, ["traj", "src", "dst"]).groupBy("traj", F.col("src").alias("node")).agg(F.min("dst").alias("component"))
+def reached(starts: DataFrame, step: DataFrame) -> DataFrame:
+    """traj, node: what the starts (traj, node) lead to, and they themselves."""
+    seen = level = cut(starts.select("traj", "node"))
+    rounds = 0
+    while not level.isEmpty():
+        onward = level.withColumnRenamed("node", "src").join(step, ["traj", "src"]).select("traj", F.col("dst").alias("node")).distinct()
+        level = cut(onward.join(seen, ["traj", "node"], "left_anti"))
+        rounds += 1
+        seen = seen.unionByName(level) if rounds % 8 else cut(seen.unionByName(level))
+    return seen
 
 
 def loop_components(pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import rules, text
-from tracewright.operators import aggregates, commands, containment, graph, metrics, patches, patterns, phases, traversal
+from tracewright.operators import aggregates, commands, containment, graph, metrics, patches, patterns, phases, scans, traversal
 from tracewright.sources import logs, views
 from tracewright.streaming import sessions
 
@@ -713,3 +713,66 @@ def q_run_listing(spark, sf_dir):
     reports = a.select("traj", "_t").distinct().agg(ids(0, 1).alias("resolved_ids"), ids(1, 2).alias("unresolved_ids"))
     hard = a.where("_t % 4 = 1").select("traj", F.lit("under1h").alias("difficulty")).distinct()
     return logs.listing(a, a, reports, hard)
+
+
+#: All events as one run.
+LONG = """WITH e AS (SELECT event_id, user_id, event_type, row_number() OVER (ORDER BY ts, event_id) - 1 AS seq FROM events),
+c AS (SELECT *, seq // 2 AS step_idx, event_type || ':' || CAST(user_id % 50 AS VARCHAR) AS label, CASE event_type WHEN 'view' THEN 'loc' WHEN 'error' THEN 'ctx' WHEN 'click' THEN 'ctx' WHEN 'purchase' THEN 'patch' ELSE 'general' END AS phase_class FROM e),
+a AS (SELECT *, CASE WHEN phase_class = 'ctx' THEN CASE WHEN max(CASE WHEN phase_class = 'patch' THEN 1 ELSE 0 END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1 THEN 'validation' ELSE 'localization' END
+  WHEN phase_class = 'loc' THEN 'localization' ELSE phase_class END AS phase FROM c)
+"""
+
+
+@query("q_long_phases", LONG + "SELECT event_id, seq, step_idx, phase FROM a")
+def q_long_phases(spark, sf_dir):
+    """A run that no task holds whole: blocks of 4,096 places."""
+    return scans.resolved(views.whole_actions(spark, sf_dir), block=4096).select("event_id", "seq", "step_idx", "phase")
+
+
+@query("q_long_runs", LONG + """, k AS (SELECT seq, phase, CASE phase WHEN 'localization' THEN 'L' WHEN 'patch' THEN 'P' ELSE 'V' END AS abbr FROM a WHERE phase <> 'general'),
+n AS (SELECT *, CASE WHEN abbr = lag(abbr) OVER (ORDER BY seq) THEN 0 ELSE 1 END AS new FROM k), r AS (SELECT *, sum(new) OVER (ORDER BY seq) - 1 AS run_no FROM n)
+SELECT CAST(run_no AS BIGINT) AS run_no, min(phase) AS phase, min(abbr) AS abbr, count(*) AS len FROM r GROUP BY run_no""")
+def q_long_runs(spark, sf_dir):
+    return scans.phase_runs(scans.resolved(views.whole_actions(spark, sf_dir), block=4096), block=4096).drop("traj")
+
+
+@query("q_long_edges", LONG + """, f AS (SELECT *, min(seq) OVER (PARTITION BY label) AS fs FROM a), o AS (SELECT *, dense_rank() OVER (ORDER BY fs) - 1 AS node FROM f),
+x AS (SELECT seq - 1 AS edge_ord, lag(node) OVER (ORDER BY seq) AS src, node AS dst, step_idx, step_idx <> lag(step_idx) OVER (ORDER BY seq) AS is_first_in_step FROM o)
+SELECT * FROM x WHERE src IS NOT NULL""")
+def q_long_edges(spark, sf_dir):
+    o = scans.node_occurrences(views.whole_actions(spark, sf_dir))
+    return scans.edges(o, block=4096).drop("traj")
+
+
+def order_sequences(spark, sf_dir):
+    """Customers' orders in time as letters of their priorities, by a group of the customer."""
+    o = views.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("traj"), F.struct("o_orderdate", "o_orderkey", F.left("o_orderpriority", F.lit(1)).alias("x")).alias("_o"))
+    seqs = o.groupBy("traj").agg(F.transform(F.array_sort(F.collect_list("_o")), lambda z: z["x"]).alias("seq"))
+    return seqs.withColumn("grp", F.col("traj") % 3)
+
+
+def gapped_sql(levels: int = 9) -> str:
+    """Pattern growth level by level; the last one finds nothing on the given tables."""
+    sql = """WITH o AS (SELECT o_custkey AS traj, o_custkey % 3 AS grp, string_agg(left(o_orderpriority, 1), '' ORDER BY o_orderdate, o_orderkey) AS seq FROM orders GROUP BY o_custkey),
+t AS (SELECT grp, count(*) AS total FROM o GROUP BY grp), l AS (SELECT unnest(['1', '2', '3', '4', '5']) AS x), g0 AS (SELECT grp, traj, '' AS pattern, seq AS rest FROM o)"""
+    for k in range(1, levels + 1):
+        sql += f""",
+h{k} AS (SELECT grp, traj, pattern || x AS pattern, substr(rest, strpos(rest, x) + 1) AS rest FROM g{k - 1}, l WHERE strpos(rest, x) > 0),
+f{k} AS (SELECT grp, pattern, count(*) AS n, round(count(*) / any_value(total), 6) AS support FROM h{k} JOIN t USING (grp) GROUP BY grp, pattern HAVING count(*) / any_value(total) >= 0.3),
+g{k} AS (SELECT h{k}.* FROM h{k} SEMI JOIN f{k} USING (grp, pattern))"""
+    return sql + "\n" + " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(1, levels + 1))
+
+
+@query("q_gapped_patterns", gapped_sql())
+def q_gapped_patterns(spark, sf_dir):
+    found = patterns.gapped(order_sequences(spark, sf_dir))
+    return found.withColumn("pattern", F.array_join("pattern", "")).withColumn("support", F.round("support", 6))
+
+
+@query("q_unedited_leaves", PATHS + """, lf AS (SELECT DISTINCT traj, regexp_extract(path, '[^/]*/[^/]*$') AS path FROM u WHERE path <> ''), ed AS (SELECT DISTINCT traj, path AS patched FROM u WHERE path <> '' AND seq % 3 = 2)
+SELECT traj, count(*) FILTER (NOT EXISTS (SELECT 1 FROM ed WHERE ed.traj = lf.traj AND contains(patched, path))) AS n FROM lf GROUP BY traj""")
+def q_unedited_leaves(spark, sf_dir):
+    """The last two parts of each page's path, where no page that counts as edited has them in its path."""
+    p = views.page_paths(spark, sf_dir).where("path <> ''")
+    leaves = p.select("traj", F.regexp_extract("path", "[^/]*/[^/]*$", 0).alias("path"))
+    return containment.deep_zooms_without_edit(leaves, p.where("seq % 3 = 2"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators import scans
 from tracewright.operators.phases import resolved
 
 #: Which phase class an event type stands for.
@@ -34,6 +35,12 @@ def event_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved(e)
 
 
+def whole_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one run, in time order, two actions to a step, not resolved; numbered by ranges."""
+    e = table(spark, sf_dir, "events").select(F.lit(0).cast("long").alias("traj"), "event_id", "ts", F.concat_ws(":", "event_type", (F.col("user_id") % 50).cast("string")).alias("label"), classed("event_type", EVENT_CLASSES).alias("phase_class"))
+    return scans.numbered(e, ["ts", "event_id"]).withColumn("step_idx", F.floor(F.col("seq") / 2).cast("long"))
+
+
 def order_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of customers: an action for each order in time order."""
     order = Window.partitionBy("traj").orderBy("o_orderdate", "o_orderkey")
