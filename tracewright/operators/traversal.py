@@ -9,6 +9,7 @@ cuts their lineage.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -23,14 +24,18 @@ SMALL = 100_000
 STATES = 2_000_000
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, without its lineage. Local sessions that name none get a temporary one."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
+    """df written to the shared checkpoint folder and read again: without its lineage, and without the constraints that a
+    checkpoint hands on and that joins multiply, round by round. Local sessions that name no folder get a temporary one."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracewright-"))
-    return df.checkpoint()
+        root = "file://" + tempfile.mkdtemp(prefix="tracewright-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/tracewright-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sized(pairs: DataFrame, small: int) -> tuple[DataFrame, DataFrame | None]:

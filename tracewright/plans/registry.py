@@ -562,9 +562,9 @@ def q_mean_degrees(spark, sf_dir):
 
 @query("q_trajectory_metrics")
 def q_trajectory_metrics(spark, sf_dir):
-    """All metrics but those of simple walks (q_cycles, q_longest_path); tests compare them with brute force."""
+    """All metrics of each run; tests compare them with brute force. q_cycles and q_longest_path compare those of simple walks with SQL."""
     o, n, e, h = built_of(spark, sf_dir)
-    return metrics.trajectory_metrics(o, n, e, h, views.event_status(o), walks=False)
+    return metrics.trajectory_metrics(o, n, e, h, views.event_status(o))
 
 
 @query("q_trajectory_stats")
