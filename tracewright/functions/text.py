@@ -11,6 +11,12 @@ SUCCESS_SIGNS = ["success", "passed", "has been edited", "created successfully"]
 EDITOR = "str_replace_editor"
 
 
+#: What the editor says of an edit, and of a range that it rejects (in lower case).
+EDITED, NOT_FOUND, SEVERAL, OLD, SAME = "has been edited.", "did not appear verbatim", "Multiple occurrences of old_str", "old_str", "is the same as new_str"
+BAD_RANGE = ["view_range must be in the format", "invalid view_range", "invalid view range", "invalid line range"]
+BAD_RANGE_PATTERN, NO_PATH_PATTERN = r"view_range.*(?:must|expected|requires).*?(?:two|2)", r"^the path .+ does not exist\. please provide a valid path\.?$"
+
+
 def any_of(text: Column, signs: list[str]) -> Column:
     out = F.lit(False)
     for s in signs:
@@ -30,20 +36,24 @@ def thought_length_clean(thought: Column) -> Column:
     return F.length(text).cast("long")
 
 
-def edit_status(tool: Column, subcommand: Column, observation: Column, view_range: Column | None = None) -> Column:
-    """What the editor says of a replacement or a view; null for anything else. view_range: an array, or null."""
+def edit_status(tool: Column, subcommand: Column, observation: Column, view_range: Column | None = None, args: Column | None = None) -> Column:
+    """What the editor says of a replacement or a view; null for anything else. view_range: an array of whole numbers, or
+    null; args: a VARIANT whose view_range may be anything (it should be two whole numbers)."""
     low = F.lower(F.trim(F.coalesce(observation, F.lit(""))))
+    says = lambda text: F.contains(observation, F.lit(text))
     replaced = (
         F.when(F.coalesce(observation, F.lit("")) == "", None)
-        .when(F.contains(observation, F.lit("has been edited.")), "success")
-        .when(F.contains(observation, F.lit("did not appear verbatim")), "failure: not found")
-        .when(F.contains(observation, F.lit("Multiple occurrences of old_str")), "failure: multiple occurrences")
-        .when(F.contains(observation, F.lit("old_str")) & F.contains(observation, F.lit("is the same as new_str")), "failure: no change")
+        .when(says(EDITED), "success")
+        .when(says(NOT_FOUND), "failure: not found")
+        .when(says(SEVERAL), "failure: multiple occurrences")
+        .when(says(OLD) & says(SAME), "failure: no change")
         .otherwise("failure: unknown")
     )
-    told = any_of(low, ["view_range must be in the format", "invalid view_range", "invalid view range", "invalid line range"]) | low.rlike("view_range.*(?:must|expected|requires).*?(?:two|2)")
-    malformed = F.lit(False) if view_range is None else view_range.isNotNull() & (F.size(view_range) != 2)
-    viewed = F.when(low.rlike(r"^the path .+ does not exist\. please provide a valid path\.?$"), "failure: path does not exist").when(malformed | told, "failure: invalid view range")
+    malformed = F.lit(False) if view_range is None else F.coalesce(view_range.isNotNull() & (F.size(view_range) != 2), F.lit(False))
+    if args is not None:
+        malformed = malformed | ~F.coalesce(F.try_variant_get(args, "$.view_range", "string").rlike(r"^\[-?\d+,-?\d+\]$"), F.lit(True))
+    told = any_of(low, BAD_RANGE) | low.rlike(BAD_RANGE_PATTERN)
+    viewed = F.when(low.rlike(NO_PATH_PATTERN), "failure: path does not exist").when(malformed | told, "failure: invalid view range")
     return F.when((tool == EDITOR) & (subcommand == "str_replace"), replaced).when((tool == EDITOR) & (subcommand == "view"), viewed)
 
 

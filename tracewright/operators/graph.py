@@ -19,6 +19,11 @@ def signature(label: str, *maps: str) -> Column:
     return F.md5(F.to_json(F.struct(label, *entries)))
 
 
+def argument(frame: DataFrame, name: str) -> Column:
+    """An argument as text from a frame's args, a map of text or a VARIANT (an array of whole numbers is "[1,2]")."""
+    return F.try_variant_get("args", f"$.{name}", "string") if dict(frame.dtypes)["args"] == "variant" else F.element_at("args", name)
+
+
 def node_occurrences(actions: DataFrame, key: str = "label") -> DataFrame:
     """actions with node_ord: equal keys of a run are one node, numbered by first occurrence."""
     first = F.min("seq").over(Window.partitionBy("traj", key))
@@ -80,8 +85,9 @@ def full_edges(occurrences: DataFrame) -> DataFrame:
 def hier_edges(nodes: DataFrame) -> DataFrame:
     """traj, src, dst, rank: what views hold others. A view of a path lies in the first view of its closest ancestor; a
     line range in its immediate outer ranges of the same file, else in the last whole view of it, else in the first view
-    of its closest ancestor. rank orders the children of a node. nodes: label, args (path, view_range "lo-hi")."""
-    v = nodes.where(F.col("label") == VIEW).select("traj", F.col("node_ord").alias("node"), containment.clean_path(F.element_at("args", "path")).alias("path"), F.element_at("args", "view_range").alias("_r")).where("path <> ''")
+    of its closest ancestor. rank orders the children of a node. nodes: label, args (path, view_range "lo-hi" or two whole
+    numbers as an array)."""
+    v = nodes.where(F.col("label") == VIEW).select("traj", F.col("node_ord").alias("node"), containment.clean_path(argument(nodes, "path")).alias("path"), argument(nodes, "view_range").alias("_r")).where("path <> ''")
     whole = v.where("_r is null").select("traj", "node", "path")
     bound = lambda k: F.regexp_extract("_r", r"^\[?\s*(-?\d+)\s*[-,]\s*(-?\d+)\s*\]?$", k)
     ranges = v.where(bound(1) != "").select("traj", "path", "node", bound(1).cast("long").alias("lo"), bound(2).cast("long").alias("hi"))
@@ -107,8 +113,15 @@ def view_graph(hier: DataFrame, edges: DataFrame) -> DataFrame:
 
 def build_graph(actions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(occurrences, nodes, exec edges, hier edges) of canonical actions: traj, seq, step_idx, label, args, flags, has_cd,
-    phase, thought, observation, outcome. Actions of one label with equal args and flags are one node."""
-    occurrences = node_occurrences(actions.withColumn("signature", signature("label", "args", "flags")), "signature")
+    phase, thought, observation, outcome. Actions of one label with equal args and flags are one node. args and flags are
+    maps of text or VARIANTs."""
+    same = actions
+    for c, t in actions.dtypes:
+        if c in ("args", "flags") and t == "variant":  # a VARIANT has the names of an object in order
+            same = same.withColumn(f"_{c}", F.create_map(F.lit(""), F.to_json(c)))
+    names = [f"_{c}" if f"_{c}" in same.columns else c for c in ("args", "flags")]
+    signed = same.withColumn("signature", signature("label", *names)).drop("_args", "_flags")
+    occurrences = node_occurrences(signed, "signature")
     nodes = full_nodes(occurrences)
     return occurrences, nodes, full_edges(occurrences), hier_edges(nodes)
 

@@ -33,9 +33,9 @@ def sequences(occurrences: DataFrame) -> DataFrame:
 
 def edits(occurrences: DataFrame) -> DataFrame:
     """traj, seq, step_idx, label, path, old, new, edit_status, failed of each patch, in node order."""
-    arg = lambda k: F.coalesce(F.element_at("args", k), F.lit(""))
+    arg = lambda k: F.coalesce(graph.argument(occurrences, k), F.lit(""))
     p = graph.in_node_order(occurrences).where("phase = 'patch'")
-    status = F.element_at("args", "edit_status")
+    status = graph.argument(occurrences, "edit_status")
     return p.select("traj", "seq", "step_idx", "label", F.nullif(arg("path"), F.lit("")).alias("path"), arg("old_str").alias("old"), arg("new_str").alias("new"), status.alias("edit_status"), F.coalesce(status.startswith("failure:"), F.lit(False)).alias("failed"))
 
 
@@ -44,16 +44,16 @@ def view_metrics(occurrences: DataFrame, nodes: DataFrame, edges: DataFrame, hie
     o = graph.in_node_order(occurrences)
     seen = o.where("phase = 'localization'")
     tree = graph.view_graph(hier, edges)
-    views = nodes.where(F.col("label") == graph.VIEW).select("traj", F.col("node_ord").alias("node"), F.element_at("args", "path").alias("path"))
+    views = nodes.where(F.col("label") == graph.VIEW).select("traj", F.col("node_ord").alias("node"), graph.argument(nodes, "path").alias("path"))
     codes = traversal.cut(containment.hierarchy_codes(tree, views))
     visits = seen.select("traj", "seq", F.col("node_ord").alias("node"))
     depths = containment.view_depths(codes, tree, visits)
-    bound = lambda k: F.regexp_extract(F.element_at("args", "view_range"), r"^\[?\s*(-?\d+)\s*[-,]\s*(-?\d+)\s*\]?$", k)
-    ranges = seen.where(bound(1) != "").select("traj", F.element_at("args", "path").alias("path"), bound(1).cast("long").alias("lo"), bound(2).cast("long").alias("hi")).where("path <> ''")
+    bound = lambda k: F.regexp_extract(graph.argument(occurrences, "view_range"), r"^\[?\s*(-?\d+)\s*[-,]\s*(-?\d+)\s*\]?$", k)
+    ranges = seen.where(bound(1) != "").select("traj", graph.argument(occurrences, "path").alias("path"), bound(1).cast("long").alias("lo"), bound(2).cast("long").alias("hi")).where("path <> ''")
     scroll = containment.scrolls(ranges).withColumnRenamed("scroll", "scroll_behavior")
     zooms = containment.zoom_outs(visits.join(codes, ["traj", "node"]).select("traj", "seq", "code"))
     leaves = views.join(codes.select("traj", "node"), ["traj", "node"], "left_semi").join(tree.select("traj", F.col("parent").alias("node")).distinct(), ["traj", "node"], "left_anti").where("path <> ''")
-    patched = nodes.where(F.col("label").isin(PATCHED)).select("traj", F.element_at("args", "path").alias("path")).where("path <> ''")
+    patched = nodes.where(F.col("label").isin(PATCHED)).select("traj", graph.argument(nodes, "path").alias("path")).where("path <> ''")
     deep = containment.deep_zooms_without_edit(leaves, patched).withColumnRenamed("n", "num_deep_zooms_without_edit")
     out = reduce(lambda a, b: a.join(b, "traj", "left"), (depths, scroll, zooms, deep), o.select("traj").distinct())
     # Of three paths of a tree two that share more than the third pair does are as long as each other: a switch can't be.

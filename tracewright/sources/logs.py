@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -288,10 +291,28 @@ def session_listing(rows: DataFrame) -> DataFrame:
     return g.select("session", F.when(F.length("_t") > 96, F.concat(F.left("_t", F.lit(93)), F.lit("..."))).otherwise(F.col("_t")).alias("title"), "model", "cwd", "step_count")
 
 
-def raw_sizes(rows: DataFrame) -> DataFrame:
-    """traj, n_lines, n_chars of each run's text."""
-    ends = F.when(F.col("text").endswith("\n"), 1).otherwise(0)
-    return rows.select("traj", (F.size(F.split("text", "\n", -1)) - ends).cast("long").alias("n_lines"), F.length("text").cast("long").alias("n_chars"))
+#: What ends a line in a text.
+LINE_END = r"(?:\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029])"
+
+
+def raw_sizes(rows: DataFrame, *, entries: bool = False) -> DataFrame:
+    """traj, n_lines, n_chars of each run's text; of entries, which are one line each however long the run, as JSON written
+    with an indent of two. An entry that is no JSON counts as it is."""
+    if entries:
+
+        @F.pandas_udf("string")
+        def spread(texts: pd.Series) -> pd.Series:
+            def one(text):
+                try:
+                    return json.dumps(json.loads(text), indent=2, ensure_ascii=False)
+                except (TypeError, ValueError):
+                    return text
+
+            return texts.map(one)
+
+        rows = rows.withColumn("text", spread("text"))
+    last = F.when((F.col("text") != "") & ~F.col("text").rlike(LINE_END + r"\z"), 1).otherwise(0)
+    return rows.select("traj", (F.regexp_count("text", F.lit(LINE_END)) + last).cast("long").alias("n_lines"), F.length("text").cast("long").alias("n_chars"))
 
 
 def agent_of(path: Column) -> Column:
