@@ -68,8 +68,9 @@ def trajectory_metrics(occurrences: DataFrame, nodes: DataFrame, edges: DataFram
     localization and view metrics, patch metrics with failure kinds as columns and the recovery pattern as text, "N/A"
     where there is none.
     """
-    o = graph.in_node_order(occurrences)
-    pairs = graph.exec_pairs(edges)
+    # Every part reads these; they are written once.
+    o, nodes, edges, hier = (traversal.cut(f) for f in (graph.in_node_order(occurrences), nodes, edges, hier))
+    pairs, changes = graph.exec_pairs(edges), traversal.cut(edits(o))
     counts = graph.graph_metrics(nodes, edges).select("traj", "node_count", F.col("edge_count").alias("exec_edge_count"), "step_count", "avg_out_degree", "backedge_fraction", F.col("most_freq").alias("most_freq_node_freq"))
     keyed = nodes.groupBy("traj").agg(F.replace(F.max_by("key", F.struct("n_occ", -F.col("node_ord"))), F.lit("\n"), F.lit(" ")).alias("most_freq_node"))
     held = hier.groupBy("traj").agg(F.count("*").alias("hier_edge_count"))
@@ -84,11 +85,11 @@ def trajectory_metrics(occurrences: DataFrame, nodes: DataFrame, edges: DataFram
     parts += [
         aggregates.localization_metrics(o),
         graph.localization_repeats(o),
-        view_metrics(occurrences, nodes, edges, hier),
-        patches.patch_metrics(edits(occurrences)),
-        patches.streaks(edits(occurrences)),
-        patches.reversals(edits(occurrences)),
-        patches.recovery_patterns(o, edits(occurrences)).select("traj", F.col("pattern").alias("fail_to_success_pattern")),
+        view_metrics(o, nodes, edges, hier),
+        patches.patch_metrics(changes),
+        patches.streaks(changes),
+        patches.reversals(changes),
+        patches.recovery_patterns(o, changes).select("traj", F.col("pattern").alias("fail_to_success_pattern")),
     ]
     out = reduce(lambda a, b: a.join(b, "traj", "left"), parts, counts)
     zero = ["hier_edge_count", "patch_total", "patch_success", *[f"fail_{t.replace(' ', '_')}" for t in patches.FAIL_TYPES], "fail_streak_count", "fail_streak_max", "fail_streak_avg"]

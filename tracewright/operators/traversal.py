@@ -61,7 +61,9 @@ def walk_metrics(pairs: DataFrame, *, max_states: int = STATES, small: int = SMA
         return pd.DataFrame([(run.traj.iloc[0], *found)], columns=["traj", *[c.split()[0] for c in METRICS.split(", ")]]).astype({c: "Int64" for c in ("loop_count", "min_loop", "max_loop", "longest_path")})
 
     few, many = sized(pairs, small)
-    out = few.groupBy("traj").applyInPandas(whole, f"traj {kind}, {METRICS}")
+    # Few bytes and much work: a number that is asked for is not coalesced.
+    dealt = few.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "traj")
+    out = dealt.groupBy("traj").applyInPandas(whole, f"traj {kind}, {METRICS}")
     return out if many is None else out.unionByName(apart(many, max_states, loops, paths))
 
 
