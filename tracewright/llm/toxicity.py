@@ -2,7 +2,7 @@
 
 At most `max_rows` labelled rows, those with the least hash of doc_id, train and are the examples; of near copies with
 one label one counts. Terms are words in lower case and their beginnings of five letters. The vocabulary is all
-terms that an example has, and all examples are in the index. Document frequencies are counted over all documents. A
+terms that an example has, known by 64-bit hashes (of a million terms two agree with probability 3e-8), and all examples are in the index. Document frequencies are counted over all documents. A
 term that toxic examples have more often weighs one plus its log-likelihood ratio times as much as another; none is left
 out. Block-max bounds say which blocks of examples a query need not look through; the k nearest are exact (ties: the
 smaller doc_id). Votes weighted
@@ -50,25 +50,39 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds))
 
 
+def hashed(terms: list[str]) -> np.ndarray:
+    return word_hashes([t.encode("utf-8", "surrogatepass") for t in terms])
+
+
 class Terms:
-    """From words to vocabulary numbers, with a bounded memory. Texts are split and their words told apart in Arrow."""
+    """From words to vocabulary numbers, with a bounded memory. Texts are split and their words told apart in Arrow.
+
+    The vocabulary is the sorted 64-bit hashes of its terms (or the terms): eight bytes for each, however long it is."""
 
-    def __init__(self, vocabulary: list[str]):
-        self.number, self.memo, self.held = {t: k for k, t in enumerate(vocabulary)}, {}, 0
+    def __init__(self, vocabulary: np.ndarray | list[str]):
+        self.hashes = vocabulary if isinstance(vocabulary, np.ndarray) else np.sort(hashed(vocabulary))
+        self.memo, self.held = {}, 0
 
     def _found(self, words_: list[str]) -> np.ndarray:
         """The numbers of each word's terms, -1 where there is none."""
-        memo, get = self.memo, self.number.get
+        memo = self.memo
         if self.held > MEMO_BYTES:
             memo.clear()
             self.held = 0
-        for w in words_:
-            if w not in memo:
-                own = [get(t, -1) for t in terms_of(w.encode())]
-                memo[w] = (own[0] if own else -1, own[1] if len(own) > 1 else -1)
-                self.held += 2 * len(w) + ENTRY_BYTES
+        new = [w for w in words_ if w not in memo]
+        own = [terms_of(w.encode()) for w in new]
+        found = iter(self._numbers(hashed([t for terms in own for t in terms])).tolist())
+        for w, terms in zip(new, own, strict=True):
+            memo[w] = (next(found) if terms else -1, next(found) if len(terms) > 1 else -1)
+            self.held += 2 * len(w) + ENTRY_BYTES
         return np.fromiter(chain.from_iterable(map(memo.__getitem__, words_)), np.int64, 2 * len(words_)).reshape(-1, 2)
 
+    def _numbers(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
     def counted(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place of the text, term, how often) for all terms of each text, in order of both."""
         lists = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
@@ -76,9 +90,9 @@ class Terms:
         terms = self._found(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         edges = lists.offsets.to_numpy()
         doc = np.repeat(np.arange(len(texts)), np.diff(edges))
-        key = (doc[:, None] * (len(self.number) + 1) + terms)[terms >= 0]
+        key = (doc[:, None] * (len(self.hashes) + 1) + terms)[terms >= 0]
         key, n = np.unique(key, return_counts=True)
-        return key // (len(self.number) + 1), key % (len(self.number) + 1), n
+        return key // (len(self.hashes) + 1), key % (len(self.hashes) + 1), n
 
     def numbers(self, text: str | None) -> list[int]:
         return self.counted([text])[1].tolist()
@@ -208,6 +222,11 @@ class BlockMax:
         def kth(values: np.ndarray) -> np.ndarray:
             return np.partition(values, values.shape[1] - k, 1)[:, values.shape[1] - k] if values.shape[1] > k else np.zeros(len(values), np.float32)
 
+        def front_of(q: int) -> np.ndarray:
+            """Places that may be among the k nearest; least is at most the k-th cosine."""
+            at = np.flatnonzero((found[q] > 0) & (found[q] >= least[q] - NEAR))
+            return at[found[q, at] >= np.partition(found[q, at], len(at) - k)[len(at) - k] - NEAR] if len(at) > k else at
+
         front = min(self.first_blocks, len(tables))
         need = np.zeros(bounds.shape, bool)
         best = np.argpartition(bounds, bounds.shape[1] - front, 1)[:, bounds.shape[1] - front :]
@@ -215,8 +234,7 @@ class BlockMax:
         look(need)
         least = kth(np.take_along_axis(found.reshape(len(queries), len(tables), b), best[:, :, None], 1).reshape(len(queries), -1))
         look(~need & (bounds > 0) & (bounds >= least[:, None] - NEAR))
-        least = kth(found)
-        return [self._exact(t, w, np.flatnonzero((found[q] > 0) & (found[q] >= least[q] - NEAR)), k) for q, (t, w) in enumerate(queries)]
+        return [self._exact(t, w, front_of(q), k) for q, (t, w) in enumerate(queries)]
 
     def _exact(self, t: np.ndarray, w: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(places):
@@ -301,21 +319,21 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
 
     def distinct_terms(batches):
         worker_cache("toxicity")
-        known: dict[bytes, list[str]] = {}
-        found: dict[str, list[int]] = {}
+        known: dict[bytes, list[int]] = {}
+        found: dict[int, list[int]] = {}
 
         def flushed():
-            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())], ["term", "clean", "toxic"])
+            out = pa.RecordBatch.from_arrays([pa.array(np.fromiter(found, np.uint64, len(found)).view(np.int64)), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())], ["term", "clean", "toxic"])
             found.clear()
             known.clear()
             return out
 
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                terms: set[str] = set()
+                terms: set[int] = set()
                 for w in set(words(text)):
                     if w not in known:
-                        known[w] = terms_of(w)
+                        known[w] = hashed(terms_of(w)).tolist()
                     terms.update(known[w])
                 for term in terms:
                     if term in found:
@@ -328,9 +346,10 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
 
     sizes = {r["toxic"]: r["count"] for r in training.groupBy("toxic").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    counts = training.select("text", "toxic").mapInArrow(distinct_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c0"), F.sum("toxic").alias("c1")).toArrow().sort_by("term")
-    vocabulary: list[str] = counts.column("term").to_pylist()
-    c0, c1 = (counts.column(c).to_numpy().astype(float) for c in ("c0", "c1"))
+    counts = training.select("text", "toxic").mapInArrow(distinct_terms, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c0"), F.sum("toxic").alias("c1")).toArrow()
+    vocabulary = counts.column("term").to_numpy().view(np.uint64)
+    order = np.argsort(vocabulary)
+    vocabulary, c0, c1 = vocabulary[order], *(counts.column(c).to_numpy()[order].astype(float) for c in ("c0", "c1"))
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = 2 * sum(np.where(c > 0, c * np.log(c * (n0 + n1) / ((c0 + c1) * n)), 0.0) for c, n in ((c0, n0), (c1, n1)))
     lean = 1 + np.where(c1 * n0 > c0 * n1, ratio, 0.0)
@@ -359,10 +378,10 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["term", "n"])
 
     counted = docs.select("doc_id", "text").mapInArrow(terms, "doc_id long, t binary, n binary")
-    counted = written(counted, compression="zstd") if keep and vocabulary else counted
+    counted = written(counted, compression="zstd") if keep and len(vocabulary) else counted
     found = df = None
     idf = np.zeros(len(vocabulary))
-    if vocabulary:
+    if len(vocabulary):
         total = docs.count()
         df = np.zeros(len(vocabulary))
         found = counted.select("t").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
@@ -403,7 +422,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(raw, pa.float64())], ["toxic", "raw"])
 
     raw = training.mapInArrow(without_itself, "toxic int, raw double").where("raw is not null").toArrow()
-    return model, isotonic(list(zip(raw.column("raw").to_pylist(), raw.column("toxic").to_pylist(), strict=True)), share), counted if vocabulary else None
+    return model, isotonic(list(zip(raw.column("raw").to_pylist(), raw.column("toxic").to_pylist(), strict=True)), share), counted if len(vocabulary) else None
 
 
 def scored(docs: DataFrame, labels: DataFrame, *, folds: int = 5, max_rows: int = 20_000, k: int = 15) -> DataFrame:
