@@ -4,8 +4,7 @@ At most `max_rows` labelled rows, those with the least hash of doc_id, train and
 one label one counts. Terms are words in lower case and their beginnings of five letters. The vocabulary is all
 terms that an example has, known by 64-bit hashes (of a million terms two agree with probability 3e-8), and all examples are in the index. Document frequencies are counted over all documents. A
 term that toxic examples have more often weighs one plus its log-likelihood ratio times as much as another; none is left
-out. Block-max bounds say which blocks of examples a query need not look through; the k nearest are exact (ties: the
-smaller doc_id). Votes weighted
+out. The k nearest are exact (ties: the smaller doc_id). Votes weighted
 by closeness give a raw score, which an isotonic fit on the examples (each scored without itself) makes a probability.
 Each row carries its nearest examples as evidence.
 
@@ -32,7 +31,7 @@ from tracewright.llm.common import give_back, mixed, rolling, word_hashes, words
 
 EDGE = ".,;:!?\"'()[]{}*#|<>-_/\\&%$"
 #: Bytes of words kept by a worker, with about so many for what is known of each; terms counted before they are sent on.
-MEMO_BYTES, ENTRY_BYTES, MEMO = 64_000_000, 200, 400_000
+MEMO_BYTES, ENTRY_BYTES, MEMO = 40_000_000, 200, 400_000
 TIE = 1e-6
 #: Sums in single precision differ from exact ones by less than this; queries looked up together.
 NEAR, TOGETHER = 1e-5, 64
@@ -128,16 +127,14 @@ def unsqueezed(data: bytes, dtype) -> np.ndarray:
 
 
 class BlockMax:
-    """Examples by term, in blocks that know their largest weight of each term; exact k nearest by cosine.
+    """Examples by term; exact k nearest by cosine.
 
-    Examples with the same heaviest common term lie together, so that blocks differ. Terms that few examples have are
-    added up by their postings. Of the `common` others, which make most postings, each block has a small dense table and
-    the largest weight in it: that largest weight bounds what a block can add. Queries come in batches; each looks
-    through its most promising blocks, and then only through those whose bound reaches the k-th cosine found. What
-    comes out near the front is added up again in full precision.
+    Terms that few examples have are added up by their postings. The `common` others, which make most postings of a query,
+    are rows of one dense table, so that a batch of queries meets all examples in one product. The greatest cosines of
+    blocks of examples bound the k-th one from below; what comes out near the front is added up again in full precision.
     """
 
-    def __init__(self, vectors, ids, toxic, size: int, block: int = 64, first_blocks: int = 4, common: int = 1024):
+    def __init__(self, vectors, ids, toxic, size: int, block: int = 64, first_blocks: int = 4, common: int = 512):
         n = np.zeros(size, np.int64)
         for t, _ in vectors:
             n[t] += 1
@@ -178,62 +175,54 @@ class BlockMax:
         ends = sizes.cumsum()
         self._hold([(terms[a:b].cumsum(dtype=np.int32), weights[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)])
 
-    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By block the dense weights (terms, members), by term and block the largest, and by block the largest norm."""
+    def _tables(self) -> np.ndarray:
+        """The weights of the common terms (terms, examples); blocks of examples are filled up with zeros."""
         if self.tables is None:
             self._index()
-            rows, blocks = int(self.dense.max(initial=-1)) + 1, -(-len(self.ids) // self.block)
-            tables = np.zeros((blocks, rows, self.block), np.float32)
+            tables = np.zeros((int(self.dense.max(initial=-1)) + 1, -(-len(self.ids) // self.block) * self.block), np.float32)
             for k, (t, w) in enumerate(self.vectors):
                 own = self.dense[t]
-                tables[k // self.block, own[own >= 0], k % self.block] = w[own >= 0]
-            norms = np.asarray([np.sqrt(np.einsum("ij,ij->j", x, x)).max() for x in tables], np.float32)
-            self.tables = tables, np.ascontiguousarray(tables.max(2).T) if blocks else np.zeros((rows, 0), np.float32), norms
+                tables[own[own >= 0], k] = w[own >= 0]
+            self.tables = tables
+            give_back()
         return self.tables
 
     def nearest_of(self, queries, k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (terms in order, weights) the places and cosines, from the nearest; only examples that share a
         term. without: a place for each query that doesn't count."""
-        size, b = len(self.ids), self.block
+        size = len(self.ids)
         if not size:
             return [(np.empty(0, np.int64), np.empty(0))] * len(queries)
-        tables, most, norms = self._tables()
-        sums = np.zeros((len(queries), len(tables) * b), np.float32)
-        dense = np.zeros((len(queries), most.shape[0]), np.float32)
+        tables = self._tables()
+        dense = np.zeros((len(queries), len(tables)), np.float32)
+        rare = []
         for q, (t, w) in enumerate(queries):
             row = self.dense[t]
             dense[q, row[row >= 0]] = w[row >= 0]
-            t, w = t[row < 0], w[row < 0]
-            n = self.first[t + 1] - self.first[t]
-            at = np.repeat(self.first[t] - (n.cumsum() - n), n) + np.arange(n.sum())
-            sums[q, :size] = np.bincount(self.place[at], np.repeat(w, n) * self.weight[at], size)
-            if without is not None:
-                sums[q, without[q]] = -9
-        sums[:, size:] = -9
-        bounds = sums.reshape(len(queries), len(tables), b).max(2) + np.minimum(dense @ most, np.sqrt((dense * dense).sum(1))[:, None] * norms)
-        found = np.full(sums.shape, -9, np.float32)
-
-        def look(need: np.ndarray) -> None:
-            """Add the dense part for the blocks that queries need."""
-            for block in np.flatnonzero(need.any(0)):
-                q = np.flatnonzero(need[:, block])
-                found[q, block * b : (block + 1) * b] = sums[q, block * b : (block + 1) * b] + dense[q] @ tables[block]
-
-        def kth(values: np.ndarray) -> np.ndarray:
-            return np.partition(values, values.shape[1] - k, 1)[:, values.shape[1] - k] if values.shape[1] > k else np.zeros(len(values), np.float32)
+            rare.append((t[row < 0], w[row < 0].astype(np.float32)))
+        found = dense @ tables
+        for q, (t, w) in enumerate(rare):
+            a, b = self.first[t], self.first[t + 1]
+            held = a < b
+            ends = list(zip(a[held].tolist(), b[held].tolist(), strict=True))
+            if ends:
+                # Postings of a term lie together: their pieces are copied, not looked up one by one.
+                place = np.concatenate([self.place[x:y] for x, y in ends])
+                weight = np.concatenate([self.weight[x:y] for x, y in ends])
+                weight *= np.repeat(w[held], (b - a)[held])
+                found[q, :size] += np.bincount(place, weight, size)
+        if without is not None:
+            found[np.arange(len(queries)), without] = -9
+        found[:, size:] = -9
+        best = found.reshape(len(queries), -1, self.block).max(2)
+        # As many blocks hold one that is as near as the k-th best block's; of fewer blocks all examples are asked.
+        least = np.partition(best, best.shape[1] - k, 1)[:, best.shape[1] - k] if best.shape[1] >= k else np.zeros(len(queries), np.float32)
 
         def front_of(q: int) -> np.ndarray:
             """Places that may be among the k nearest; least is at most the k-th cosine."""
-            at = np.flatnonzero((found[q] > 0) & (found[q] >= least[q] - NEAR))
+            at = np.flatnonzero(found[q] >= least[q] - NEAR) if least[q] > NEAR else np.flatnonzero(found[q] > 0)
             return at[found[q, at] >= np.partition(found[q, at], len(at) - k)[len(at) - k] - NEAR] if len(at) > k else at
 
-        front = min(self.first_blocks, len(tables))
-        need = np.zeros(bounds.shape, bool)
-        best = np.argpartition(bounds, bounds.shape[1] - front, 1)[:, bounds.shape[1] - front :]
-        np.put_along_axis(need, best, True, 1)
-        look(need)
-        least = kth(np.take_along_axis(found.reshape(len(queries), len(tables), b), best[:, :, None], 1).reshape(len(queries), -1))
-        look(~need & (bounds > 0) & (bounds >= least[:, None] - NEAR))
         return [self._exact(t, w, front_of(q), k) for q, (t, w) in enumerate(queries)]
 
     def _exact(self, t: np.ndarray, w: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -410,18 +399,18 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
     def without_itself(batches):
         worker_cache("toxicity")
         m = model.value
-        read = Terms(m.vocabulary)
         for batch in batches:
-            ids, texts, raw = batch.column("doc_id").to_pylist(), batch.column("text"), [None] * batch.num_rows
-            for start in range(0, len(texts), TOGETHER):
-                own = read.vectors(texts.slice(start, TOGETHER).to_pylist(), m.idf)
-                some = [i for i, (t, _) in enumerate(own) if len(t)]
-                found = m.index.nearest_of([own[i] for i in some], k, [m.index.place_of[ids[start + i]] for i in some]) if some else []
-                for i, (at, cosine) in zip(some, found, strict=True):
-                    raw[start + i] = m.raw(at, cosine)
+            # An example's own vector is in the index, so its text isn't split again.
+            places = [m.index.place_of.get(d) for d in batch.column("doc_id").to_pylist()]
+            raw = [None] * len(places)
+            some = [i for i, p in enumerate(places) if p is not None]
+            for start in range(0, len(some), TOGETHER):
+                own = some[start : start + TOGETHER]
+                for i, (at, cosine) in zip(own, m.index.nearest_of([m.index.vectors[places[i]] for i in own], k, [places[i] for i in own]), strict=True):
+                    raw[i] = m.raw(at, cosine)
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(raw, pa.float64())], ["toxic", "raw"])
 
-    raw = training.mapInArrow(without_itself, "toxic int, raw double").where("raw is not null").toArrow()
+    raw = training.select("doc_id", "toxic").mapInArrow(without_itself, "toxic int, raw double").where("raw is not null").toArrow()
     return model, isotonic(list(zip(raw.column("raw").to_pylist(), raw.column("toxic").to_pylist(), strict=True)), share), counted if len(vocabulary) else None
 
 
