@@ -35,6 +35,8 @@ MEMO_BYTES, ENTRY_BYTES, MEMO = 40_000_000, 200, 400_000
 TIE = 1e-6
 #: Sums in single precision differ from exact ones by less than this; queries looked up together.
 NEAR, TOGETHER = 1e-5, 64
+#: Postings added up at once.
+PIECE = 65_536
 #: One MinHash value each; near copies agree on all.
 SALTS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 EVIDENCE = "array<struct<doc_id:bigint,toxic:int,similarity:double>>"
@@ -62,8 +64,29 @@ class Terms:
         self.hashes = vocabulary if isinstance(vocabulary, np.ndarray) else np.sort(hashed(vocabulary))
         self.memo, self.held = {}, 0
 
-    def _found(self, words_: list[str]) -> np.ndarray:
+    def _found(self, words_: pa.Array) -> np.ndarray:
         """The numbers of each word's terms, -1 where there is none."""
+        plain = pc.string_is_ascii(words_)
+        own = plain.to_numpy(zero_copy_only=False)
+        out = np.full((len(words_), 2), -1)
+        out[own] = self._plain(words_.filter(plain))
+        if not own.all():
+            out[~own] = self._any(words_.filter(pc.invert(plain)).to_pylist())
+        return out
+
+    def _plain(self, words_: pa.Array) -> np.ndarray:
+        """_found for ASCII words, told apart and cut as columns: most words of a corpus are met once."""
+        low = pc.ascii_trim(pc.ascii_lower(words_), characters=EDGE).dictionary_encode()
+        whole = low.dictionary
+        long = pc.greater(pc.binary_length(whole), 5)
+        begins = pc.binary_join_element_wise(pc.utf8_slice_codeunits(whole.filter(long), 0, 5), pa.scalar("*", whole.type), pa.scalar("", whole.type)).dictionary_encode()
+        known = lambda terms: self._numbers(word_hashes(terms.cast(pa.large_binary()).to_pylist()))
+        numbers = np.full((len(whole), 2), -1)
+        numbers[:, 0] = np.where(pc.equal(whole, "").to_numpy(zero_copy_only=False), -1, known(whole))
+        numbers[long.to_numpy(zero_copy_only=False), 1] = known(begins.dictionary)[begins.indices.to_numpy()]
+        return numbers[low.indices.to_numpy()]
+
+    def _any(self, words_: list[str]) -> np.ndarray:
         memo = self.memo
         if self.held > MEMO_BYTES:
             memo.clear()
@@ -86,7 +109,7 @@ class Terms:
         """(place of the text, term, how often) for all terms of each text, in order of both."""
         lists = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
         coded = lists.flatten().dictionary_encode()
-        terms = self._found(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        terms = self._found(coded.dictionary)[coded.indices.to_numpy()]
         edges = lists.offsets.to_numpy()
         doc = np.repeat(np.arange(len(texts)), np.diff(edges))
         key = (doc[:, None] * (len(self.hashes) + 1) + terms)[terms >= 0]
@@ -149,18 +172,33 @@ class BlockMax:
         self._hold([vectors[k] for k in own])
 
     def _hold(self, vectors) -> None:
-        self.vectors, self.tables = vectors, None
+        self.vectors, self.tables, self.front = vectors, None, None
         self.place_of = dict(zip(self.ids.tolist(), range(len(self.ids)), strict=True))
 
     def _index(self) -> None:
         """Postings of the rare terms; made where queries are looked up, not where the index is only sent from."""
-        rare = [self.dense[t] < 0 for t, _ in self.vectors]
-        terms = np.concatenate([*[t[r] for (t, _), r in zip(self.vectors, rare, strict=True)], np.empty(0, np.int32)]).astype(np.int32, copy=False)
-        place = np.repeat(np.arange(len(rare), dtype=np.int32), [int(r.sum()) for r in rare])
-        weight = np.concatenate([*[w[r] for (_, w), r in zip(self.vectors, rare, strict=True)], np.empty(0, np.float32)])
-        order = np.argsort(terms, kind="stable")
-        self.first = np.searchsorted(terms[order], np.arange(self.size + 1))
-        self.place, self.weight, self.query = place[order], weight[order], np.zeros(self.size)
+        n = np.zeros(self.size, np.int64)
+        for t, _ in self.vectors:
+            n[t] += self.dense[t] < 0
+        self.first = np.concatenate([[0], n.cumsum()]).astype(np.int32)
+        # A posting is one number: the place above, the weight's bits below.
+        both, free = np.empty((int(n.sum()), 2), np.int32), self.first[:-1].copy()
+        for start in range(0, len(self.vectors), 512):
+            some = self.vectors[start : start + 512]
+            terms = np.concatenate([t for t, _ in some])
+            rare = self.dense[terms] < 0
+            place = np.repeat(np.arange(start, start + len(some), dtype=np.int32), [len(t) for t, _ in some])[rare]
+            weight, terms = np.concatenate([w for _, w in some]).astype(np.float32, copy=False)[rare], terms[rare]
+            order = np.argsort(terms, kind="stable")
+            own, at, held = np.unique(terms[order], return_index=True, return_counts=True)
+            to = np.repeat(free[own] - at, held) + np.arange(len(order))
+            both[to, 1], both[to, 0] = place[order], weight[order].view(np.int32)
+            free[own] += held.astype(np.int32)
+        self.postings, self.query = both.view(np.uint64).reshape(-1), np.zeros(self.size)
+        # A lookup writes into these: fresh arrays of this size would be mapped and given back each time.
+        most = PIECE + int(np.diff(self.first).max(initial=0))
+        self.count, self.piece, self.sums = np.arange(most), np.empty(most, np.uint64), np.empty(len(self.ids))
+        self.term, self.at, self.times, self.part = np.empty(most, np.int64), np.empty(most, np.int64), np.empty(most, np.float32), np.empty(most)
 
     def __getstate__(self):
         """Only the examples are sent, compressed: all else is made again from them."""
@@ -187,6 +225,30 @@ class BlockMax:
             give_back()
         return self.tables
 
+    def _add_up(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """For each example the weights of its rare terms t, times w. Postings are read a piece at a time, so that a piece
+        stays in the processor's cache and a long text takes no more memory than a short one."""
+        self.sums[:] = 0
+        first = self.first[t].astype(np.int64)
+        n = self.first[t + 1] - first
+        first, n, w = first[n > 0], n[n > 0], w[n > 0]
+        before = n.cumsum() - n
+        edges = np.unique([*np.searchsorted(before, np.arange(0, int(n.sum()), PIECE)), len(n)]).tolist()
+        for x, y in zip(edges, edges[1:], strict=False):
+            start = before[x:y] - before[x]
+            total = int(start[-1] + n[y - 1])
+            term, at, times, both, part = (a[:total] for a in (self.term, self.at, self.times, self.piece, self.part))
+            term[:] = 0
+            term[start[1:]] = 1
+            term.cumsum(out=term)
+            (first[x:y] - start).take(term, out=at, mode="clip")
+            at += self.count[:total]
+            self.postings.take(at, out=both, mode="clip")
+            np.multiply(both.view(np.float32)[::2], w[x:y].take(term, out=times, mode="clip"), out=part)
+            np.right_shift(both, np.uint64(32), out=both)
+            np.add.at(self.sums, both.view(np.int64), part)
+        return self.sums
+
     def nearest_of(self, queries, k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (terms in order, weights) the places and cosines, from the nearest; only examples that share a
         term. without: a place for each query that doesn't count."""
@@ -200,17 +262,11 @@ class BlockMax:
             row = self.dense[t]
             dense[q, row[row >= 0]] = w[row >= 0]
             rare.append((t[row < 0], w[row < 0].astype(np.float32)))
-        found = dense @ tables
+        if self.front is None or len(self.front) < len(queries):
+            self.front = np.empty((len(queries), tables.shape[1]), np.float32)
+        found = np.matmul(dense, tables, out=self.front[: len(queries)])
         for q, (t, w) in enumerate(rare):
-            a, b = self.first[t], self.first[t + 1]
-            held = a < b
-            ends = list(zip(a[held].tolist(), b[held].tolist(), strict=True))
-            if ends:
-                # Postings of a term lie together: their pieces are copied, not looked up one by one.
-                place = np.concatenate([self.place[x:y] for x, y in ends])
-                weight = np.concatenate([self.weight[x:y] for x, y in ends])
-                weight *= np.repeat(w[held], (b - a)[held])
-                found[q, :size] += np.bincount(place, weight, size)
+            found[q, :size] += self._add_up(t, w)
         if without is not None:
             found[np.arange(len(queries)), without] = -9
         found[:, size:] = -9
@@ -446,9 +502,9 @@ def clean(docs: DataFrame, labels: DataFrame, *, cut: float = 0.5, folds: int =
         own = model.value
         read = Terms(own.vocabulary)
         for batch in batches:
-            texts, scores = batch.column("text"), []
-            for at in range(0, len(texts), 4 * TOGETHER):
-                scores += [x for x, _ in own.scores(read.vectors(texts.slice(at, 4 * TOGETHER).to_pylist(), own.idf), *curve)]
-            yield batch.filter(pa.array([s < cut for s in scores], pa.bool_()))
+            for at in range(0, batch.num_rows, 4 * TOGETHER):
+                some = batch.slice(at, 4 * TOGETHER)
+                scores = own.scores(read.vectors(some.column("text").to_pylist(), own.idf), *curve)
+                yield some.filter(pa.array([x < cut for x, _ in scores], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
