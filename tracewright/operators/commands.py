@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +40,9 @@ def split_commands(toks: Column) -> Column:
 
 def unquoted(token: Column) -> Column:
     bare = F.regexp_replace(token, r"""^"((?s:.*))"$|^'((?s:.*))'$""", "$1$2")
-    return F.regexp_replace(bare, r"\\(.)", "$1")
+    # Most words hold neither quote nor backslash, and need no pattern.
+    held = reduce(or_, [F.contains(token, F.lit(c)) for c in "\"'\\"])
+    return F.when(held, F.regexp_replace(bare, r"\\(.)", "$1")).otherwise(token)
 
 
 def unbalanced(text: Column) -> Column:
@@ -97,7 +101,10 @@ def parsed_arguments(command: Column, args: Column) -> Column:
         return let(let(head, placed), told)
 
     code_at = lambda args: F.when(command.isin(INTERPRETERS), F.array_position(F.transform(args, inline), True)).otherwise(0).cast("int")  # from 1
-    return let(args, lambda a: let(code_at(a), lambda at: parsed(a, at)))
+    nothing = F.array().cast("array<string>")
+    plain = F.struct(F.transform(args, unquoted).alias("argv"), F.map_from_arrays(nothing, nothing).alias("flags"))
+    # Without a dash at the start of a word there is no option, so all words are argv.
+    return F.when(~F.exists(args, lambda t: t.startswith("-")), plain).otherwise(let(args, lambda a: let(code_at(a), lambda at: parsed(a, at))))
 
 
 def shell_actions(calls: DataFrame, *, keep_cd: bool = False, keys: list[str] = CALL) -> DataFrame:
