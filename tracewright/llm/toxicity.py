@@ -18,16 +18,17 @@ not read; a repeated label counts as its largest.
 
 from __future__ import annotations
 
+import os
 from itertools import chain
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import give_back, mixed, rolling, word_hashes, words, worker_cache, written
+from tracewright.llm.common import give_back, mixed, rolling, shared_dir, word_hashes, words, worker_cache, written
 
 EDGE = ".,;:!?\"'()[]{}*#|<>-_/\\&%$"
 #: Bytes of words kept by a worker, with about so many for what is known of each; terms counted before they are sent on.
@@ -37,6 +38,8 @@ TIE = 1e-6
 NEAR, TOGETHER = 1e-5, 64
 #: Postings added up at once.
 PIECE = 65_536
+#: Bits of a posting that hold its place; the weight above them keeps 24 bits and more, as in single precision.
+PLACES = (1 << 28) - 1
 #: One MinHash value each; near copies agree on all.
 SALTS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 EVIDENCE = "array<struct<doc_id:bigint,toxic:int,similarity:double>>"
@@ -139,14 +142,15 @@ def weighed(t: np.ndarray, n: np.ndarray, sizes: np.ndarray, idf: np.ndarray) ->
     return [(t[a:b], w[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
 
 
-def squeezed(x: np.ndarray) -> bytes:
-    """An array byte by byte in columns, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+def made(folder: str | None, name: str, shape, kind) -> np.ndarray:
+    """A new array in memory, or in a file of the folder, which mapped() reads."""
+    if folder is None:
+        return np.empty(shape, kind)
+    return np.asarray(np.lib.format.open_memmap(f"{folder}/{name}.npy", "w+", kind, shape if isinstance(shape, tuple) else (shape,)))
 
 
-def unsqueezed(data: bytes, dtype) -> np.ndarray:
-    raw, size = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).reshape(-1)
+def mapped(folder: str, name: str) -> np.ndarray:
+    return np.asarray(np.load(f"{folder}/{name}.npy", mmap_mode="r"))
 
 
 class BlockMax:
@@ -157,96 +161,118 @@ class BlockMax:
     blocks of examples bound the k-th one from below; what comes out near the front is added up again in full precision.
     """
 
-    def __init__(self, vectors, ids, toxic, size: int, block: int = 64, first_blocks: int = 4, common: int = 512):
+    #: Arrays that a folder holds.
+    HELD = ("ids", "toxic", "dense", "ends", "terms", "weights", "first", "postings", "tables")
+
+    def __init__(self, vectors, ids, toxic, size: int, block: int = 64, first_blocks: int = 4, common: int = 512, folder: str | None = None):
+        """folder: where the arrays are made, with all that lookups need, for opened()."""
         n = np.zeros(size, np.int64)
         for t, _ in vectors:
             n[t] += 1
         often = np.sort(np.argsort(-n, kind="stable")[:common])
-        self.dense = np.full(size, -1, np.int32)  # a term's row in the dense tables
+        self.block, self.first_blocks, self.size = block, first_blocks, size
+        self.dense = made(folder, "dense", size, np.int32)  # a term's row in the dense tables
+        self.dense[:] = -1
         self.dense[often[n[often] > 0]] = np.arange((n[often] > 0).sum())
         heavy = np.asarray([t[w.argmax()] if len(t) else -1 for t, w in vectors], np.int64)
         lead = np.asarray([t[np.where(self.dense[t] >= 0, w, -1).argmax()] if len(t) else -1 for t, w in vectors], np.int64)
         own = np.lexsort((np.asarray(ids, np.int64), heavy, lead))
-        self.ids, self.toxic = np.asarray(ids, np.int64)[own], np.asarray(toxic, np.int64)[own]
+        self.ids, self.toxic, self.ends = (made(folder, c, len(own) + (c == "ends"), np.int64) for c in ("ids", "toxic", "ends"))
+        self.ids[:], self.toxic[:], self.ends[0] = np.asarray(ids, np.int64)[own], np.asarray(toxic, np.int64)[own], 0
+        self.ends[1:] = np.cumsum([len(vectors[k][0]) for k in own])
+        self.terms, self.weights = (made(folder, c, int(self.ends[-1]), kind) for c, kind in (("terms", np.int32), ("weights", np.result_type(np.float32, *{w.dtype for _, w in vectors}))))
+        for k, a, b in zip(own.tolist(), self.ends[:-1].tolist(), self.ends[1:].tolist(), strict=True):
+            self.terms[a:b], self.weights[a:b] = vectors[k]
+        self._held()
+        if folder is not None:
+            self._index(folder)
+
+    @classmethod
+    def opened(cls, folder: str, block: int, first_blocks: int, size: int) -> BlockMax:
+        """An index whose arrays are mapped files: processes of one machine share them, and none holds a copy."""
+        self = cls.__new__(cls)
         self.block, self.first_blocks, self.size = block, first_blocks, size
-        self._hold([vectors[k] for k in own])
-
-    def _hold(self, vectors) -> None:
-        self.vectors, self.tables, self.front = vectors, None, None
-        self.place_of = dict(zip(self.ids.tolist(), range(len(self.ids)), strict=True))
-
-    def _index(self) -> None:
-        """Postings of the rare terms; made where queries are looked up, not where the index is only sent from."""
+        for name in cls.HELD:
+            setattr(self, name, mapped(folder, name))
+        tables = self.tables
+        self._held()
+        self._buffers()
+        self.tables = tables
+        return self
+
+    def _held(self) -> None:
+        self.tables = self.front = None
+        self.place_of, self.edges = dict(zip(self.ids.tolist(), range(len(self.ids)), strict=True)), self.ends.tolist()
+
+    def vector(self, place: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.edges[place], self.edges[place + 1])
+        return self.terms[own], self.weights[own]
+
+    def _index(self, folder: str | None = None) -> None:
+        """Postings of the rare terms, and the dense table; made where queries are looked up if there is no folder."""
         n = np.zeros(self.size, np.int64)
-        for t, _ in self.vectors:
-            n[t] += self.dense[t] < 0
-        self.first = np.concatenate([[0], n.cumsum()]).astype(np.int32)
-        # A posting is one number: the place above, the weight's bits below.
-        both, free = np.empty((int(n.sum()), 2), np.int32), self.first[:-1].copy()
-        for start in range(0, len(self.vectors), 512):
-            some = self.vectors[start : start + 512]
-            terms = np.concatenate([t for t, _ in some])
-            rare = self.dense[terms] < 0
-            place = np.repeat(np.arange(start, start + len(some), dtype=np.int32), [len(t) for t, _ in some])[rare]
-            weight, terms = np.concatenate([w for _, w in some]).astype(np.float32, copy=False)[rare], terms[rare]
+        edges = [*range(0, len(self.ids), 512), len(self.ids)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            t = self.terms[self.ends[a] : self.ends[b]]
+            n += np.bincount(t[self.dense[t] < 0], minlength=self.size)
+        self.first = made(folder, "first", self.size + 1, np.int32)
+        self.first[0], self.first[1:] = 0, n.cumsum()
+        # A posting is one number: the weight in double precision, and in its last bits the place.
+        self.postings, free = made(folder, "postings", int(n.sum()), np.int64), self.first[:-1].copy()
+        # The weights of the common terms (terms, examples); blocks of examples are filled up with zeros.
+        tables = made(folder, "tables", (int(self.dense.max(initial=-1)) + 1, -(-len(self.ids) // self.block) * self.block), np.float32)
+        tables[:] = 0
+        for a, b in zip(edges, edges[1:], strict=False):
+            own = slice(self.ends[a], self.ends[b])
+            terms, weight = self.terms[own], self.weights[own]
+            place, row = np.repeat(np.arange(a, b, dtype=np.int32), np.diff(self.ends[a : b + 1])), self.dense[terms]
+            tables[row[row >= 0], place[row >= 0]] = weight[row >= 0]
+            place, weight, terms = place[row < 0], weight[row < 0], terms[row < 0]
             order = np.argsort(terms, kind="stable")
             own, at, held = np.unique(terms[order], return_index=True, return_counts=True)
             to = np.repeat(free[own] - at, held) + np.arange(len(order))
-            both[to, 1], both[to, 0] = place[order], weight[order].view(np.int32)
+            self.postings[to] = (weight[order].astype(np.float64).view(np.int64) & ~PLACES) | place[order]
             free[own] += held.astype(np.int32)
-        self.postings, self.query = both.view(np.uint64).reshape(-1), np.zeros(self.size)
-        # A lookup writes into these: fresh arrays of this size would be mapped and given back each time.
+        self._buffers()
+        self.tables = tables
+
+    def _buffers(self) -> None:
+        """A lookup writes into these: fresh arrays of this size would be mapped and given back each time."""
         most = PIECE + int(np.diff(self.first).max(initial=0))
-        self.count, self.piece, self.sums = np.arange(most), np.empty(most, np.uint64), np.empty(len(self.ids))
-        self.term, self.at, self.times, self.part = np.empty(most, np.int64), np.empty(most, np.int64), np.empty(most, np.float32), np.empty(most)
+        self.query, self.sums, self.piece, self.part = np.zeros(self.size), np.empty(len(self.ids)), np.empty(most, np.int64), np.empty(most)
 
     def __getstate__(self):
-        """Only the examples are sent, compressed: all else is made again from them."""
-        sizes = np.asarray([len(t) for t, _ in self.vectors], np.int32)
-        steps = squeezed(np.concatenate([*[np.diff(t, prepend=np.int32(0)).astype(np.int32) for t, _ in self.vectors], np.empty(0, np.int32)]))
-        weights = squeezed(np.concatenate([*[w.astype(np.float32, copy=False) for _, w in self.vectors], np.empty(0, np.float32)]))
-        return (self.ids, self.toxic, self.dense, self.block, self.first_blocks, self.size, squeezed(sizes), steps, weights)
+        """Only the examples are sent: all else is made again from them."""
+        return {c: getattr(self, c) for c in ("ids", "toxic", "dense", "ends", "terms", "weights", "block", "first_blocks", "size")}
 
     def __setstate__(self, state) -> None:
-        self.ids, self.toxic, self.dense, self.block, self.first_blocks, self.size, *packed = state
-        sizes, terms, weights = (unsqueezed(x, d) for x, d in zip(packed, (np.int32, np.int32, np.float32), strict=True))
-        ends = sizes.cumsum()
-        self._hold([(terms[a:b].cumsum(dtype=np.int32), weights[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)])
+        self.__dict__.update(state)
+        self._held()
 
     def _tables(self) -> np.ndarray:
-        """The weights of the common terms (terms, examples); blocks of examples are filled up with zeros."""
         if self.tables is None:
             self._index()
-            tables = np.zeros((int(self.dense.max(initial=-1)) + 1, -(-len(self.ids) // self.block) * self.block), np.float32)
-            for k, (t, w) in enumerate(self.vectors):
-                own = self.dense[t]
-                tables[own[own >= 0], k] = w[own >= 0]
-            self.tables = tables
             give_back()
         return self.tables
 
-    def _add_up(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """For each example the weights of its rare terms t, times w. Postings are read a piece at a time, so that a piece
-        stays in the processor's cache and a long text takes no more memory than a short one."""
+    def _add_up(self, first: np.ndarray, n: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """For each example the sum of its weights in lists of so many (n) postings, times w. Postings are read a piece at
+        a time, so that a piece stays in the processor's cache and a long text takes no more memory than a short one."""
         self.sums[:] = 0
-        first = self.first[t].astype(np.int64)
-        n = self.first[t + 1] - first
-        first, n, w = first[n > 0], n[n > 0], w[n > 0]
-        before = n.cumsum() - n
-        edges = np.unique([*np.searchsorted(before, np.arange(0, int(n.sum()), PIECE)), len(n)]).tolist()
+        before = n.cumsum()
+        edges = [0, len(n)]
+        if len(n) and before[-1] > PIECE:
+            edges = np.unique([*np.searchsorted(before - n, np.arange(0, before[-1], PIECE)), len(n)]).tolist()
+        begins, ends = first.tolist(), (first + n).tolist()
         for x, y in zip(edges, edges[1:], strict=False):
-            start = before[x:y] - before[x]
-            total = int(start[-1] + n[y - 1])
-            term, at, times, both, part = (a[:total] for a in (self.term, self.at, self.times, self.piece, self.part))
-            term[:] = 0
-            term[start[1:]] = 1
-            term.cumsum(out=term)
-            (first[x:y] - start).take(term, out=at, mode="clip")
-            at += self.count[:total]
-            self.postings.take(at, out=both, mode="clip")
-            np.multiply(both.view(np.float32)[::2], w[x:y].take(term, out=times, mode="clip"), out=part)
-            np.right_shift(both, np.uint64(32), out=both)
-            np.add.at(self.sums, both.view(np.int64), part)
+            if x == y:
+                continue
+            total = int(before[y - 1] - before[x] + n[x])
+            both, part = self.piece[:total], self.part[:total]
+            np.concatenate([self.postings[a:b] for a, b in zip(begins[x:y], ends[x:y], strict=True)], out=both)
+            np.multiply(both.view(np.float64), np.repeat(w[x:y], n[x:y]), out=part)
+            np.bitwise_and(both, PLACES, out=both)
+            np.add.at(self.sums, both, part)
         return self.sums
 
     def nearest_of(self, queries, k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -257,16 +283,18 @@ class BlockMax:
             return [(np.empty(0, np.int64), np.empty(0))] * len(queries)
         tables = self._tables()
         dense = np.zeros((len(queries), len(tables)), np.float32)
-        rare = []
-        for q, (t, w) in enumerate(queries):
-            row = self.dense[t]
-            dense[q, row[row >= 0]] = w[row >= 0]
-            rare.append((t[row < 0], w[row < 0].astype(np.float32)))
+        terms, weights = (np.concatenate([x[c] for x in queries]) for c in (0, 1))
+        query, row = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries]), self.dense[terms]
+        dense[query[row >= 0], row[row >= 0]] = weights[row >= 0]
         if self.front is None or len(self.front) < len(queries):
             self.front = np.empty((len(queries), tables.shape[1]), np.float32)
         found = np.matmul(dense, tables, out=self.front[: len(queries)])
-        for q, (t, w) in enumerate(rare):
-            found[q, :size] += self._add_up(t, w)
+        first = self.first[terms].astype(np.int64)
+        n = self.first[terms + 1] - first
+        first, w, edges = first[n > 0], weights[n > 0], np.bincount(query[n > 0], minlength=len(queries)).cumsum().tolist()
+        n = n[n > 0]
+        for q, (a, b) in enumerate(zip([0, *edges], edges, strict=False)):
+            found[q, :size] += self._add_up(first[a:b], n[a:b], w[a:b])
         if without is not None:
             found[np.arange(len(queries)), without] = -9
         found[:, size:] = -9
@@ -284,10 +312,10 @@ class BlockMax:
     def _exact(self, t: np.ndarray, w: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(places):
             return places, np.zeros(0)
-        own = [self.vectors[p] for p in places.tolist()]
-        n = np.asarray([len(x) for x, _ in own])
+        own = [slice(self.edges[p], self.edges[p + 1]) for p in places.tolist()]
+        n = np.asarray([x.stop - x.start for x in own])
         self.query[t] = w
-        cosines = np.add.reduceat(self.query[np.concatenate([x for x, _ in own])] * np.concatenate([x for _, x in own]), n.cumsum() - n)
+        cosines = np.add.reduceat(self.query.take(np.concatenate([self.terms[x] for x in own])) * np.concatenate([self.weights[x] for x in own]), n.cumsum() - n)
         self.query[t] = 0
         order = np.lexsort((self.ids[places], -np.round(cosines, 12)))[:k]
         order = order[cosines[order] > 0]
@@ -332,6 +360,34 @@ class Model:
         return out
 
 
+class Filed:
+    """A model whose arrays are files of the shared folder. A worker maps them, so that the workers of an executor have
+    them once between them, in memory that the system can take back."""
+
+    def __init__(self, folder: str, index: tuple, rest: tuple):
+        self.folder, self.index, self.rest = folder, index, rest
+
+    @property
+    def value(self) -> Model:
+        held = worker_cache("toxicity")
+        if self.folder not in held:
+            held.clear()
+            held[self.folder] = Model(mapped(self.folder, "vocabulary"), mapped(self.folder, "idf"), BlockMax.opened(self.folder, *self.index), *self.rest)
+        return held[self.folder]
+
+
+def sent(spark: SparkSession, vocabulary: np.ndarray, idf: np.ndarray, vectors, ids, toxic, *rest):
+    """The model for the workers: files, or a broadcast where the shared folder is none of the file system."""
+    where = urlparse(shared_dir(spark))
+    if where.scheme != "file":
+        return spark.sparkContext.broadcast(Model(vocabulary, idf, BlockMax(vectors, ids, toxic, len(vocabulary)), *rest))
+    os.makedirs(folder := unquote(where.path))
+    for name, x in (("vocabulary", vocabulary), ("idf", idf)):
+        made(folder, name, len(x), x.dtype)[:] = x
+    index = BlockMax(vectors, ids, toxic, len(vocabulary), folder=folder)
+    return Filed(folder, (index.block, index.first_blocks, index.size), rest)
+
+
 def parts_of(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
     """The arrays that a column of bytes holds, without copies of them."""
     out = []
@@ -342,8 +398,8 @@ def parts_of(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k: int, keep: bool = False):
-    """The broadcast model, its isotonic curve and, if kept, the terms of each row of docs as a table (doc_id, t, n), so
-    that texts are split once. Workers keep a broadcast on disk, so it is sent once."""
+    """The model for the workers, its isotonic curve and, if kept, the terms of each row of docs as a table (doc_id, t, n), so
+    that texts are split once."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(fold("doc_id", folds) != 0)
     known = known.orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id").limit(max_rows)
 
@@ -403,7 +459,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
 
-    def terms(batches):
+    def terms(batches, columns=("doc_id", "t", "n")):
         worker_cache("toxicity")
         read = Terms(shared.value)
         for batch in batches:
@@ -413,7 +469,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
                 doc, t, n = read.counted(some)
                 t, n, edges = t.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), 4 * np.searchsorted(doc, np.arange(len(some) + 1))
                 cut = lambda data, e=edges.tolist(): pa.array([data[x:y] for x, y in zip(e, e[1:], strict=False)], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(start, len(some)), cut(t), cut(n)], ["doc_id", "t", "n"])
+                yield pa.RecordBatch.from_arrays([ids.slice(start, len(some)), cut(t), cut(n)], ["doc_id", "t", "n"]).select(list(columns))
 
     def frequencies(batches):
         n = np.zeros(len(shared.value), np.int64)
@@ -422,14 +478,19 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["term", "n"])
 
-    counted = docs.select("doc_id", "text").mapInArrow(terms, "doc_id long, t binary, n binary")
-    counted = written(counted, compression="zstd") if keep and len(vocabulary) else counted
+    # One function over the texts: of two, one after the other, each would have a worker for each core, and idle ones stay.
+    frequencies_of_texts = lambda batches: frequencies(terms(batches, ["t"]))
+    frequent = docs.select("doc_id", "text").mapInArrow(frequencies_of_texts, "term long, n long")
+    counted = None
+    if keep and len(vocabulary):
+        counted = written(docs.select("doc_id", "text").mapInArrow(terms, "doc_id long, t binary, n binary"), compression="zstd")
+        frequent = counted.select("t").mapInArrow(frequencies, "term long, n long")
     found = df = None
     idf = np.zeros(len(vocabulary))
     if len(vocabulary):
         total = docs.count()
         df = np.zeros(len(vocabulary))
-        found = counted.select("t").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        found = frequent.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
         df[found.column("term").to_numpy()] = found.column("n").to_numpy()
         idf = (np.log((1 + total) / (1 + df)) + 1) * lean
 
@@ -447,10 +508,9 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
     share, without = float(toxic.sum()) / max(1, len(toxic)), float(toxic[~some].mean()) if (~some).any() else 0.0
     rows = rows.filter(pa.array(some, pa.bool_()))
     own = list(zip(parts_of(rows.column("t"), np.int32), parts_of(rows.column("w"), np.float32), strict=True))
-    index = BlockMax(own, rows.column("doc_id").to_numpy(), toxic[some], len(vocabulary))
+    model = sent(spark, vocabulary, idf, own, rows.column("doc_id").to_numpy(), toxic[some], without, share, k)
     del rows, own, found, df
     give_back()
-    model = spark.sparkContext.broadcast(Model(vocabulary, idf, index, without, share, k))
 
     def without_itself(batches):
         worker_cache("toxicity")
@@ -462,12 +522,12 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int, max_rows: int, k:
             some = [i for i, p in enumerate(places) if p is not None]
             for start in range(0, len(some), TOGETHER):
                 own = some[start : start + TOGETHER]
-                for i, (at, cosine) in zip(own, m.index.nearest_of([m.index.vectors[places[i]] for i in own], k, [places[i] for i in own]), strict=True):
+                for i, (at, cosine) in zip(own, m.index.nearest_of([m.index.vector(places[i]) for i in own], k, [places[i] for i in own]), strict=True):
                     raw[i] = m.raw(at, cosine)
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(raw, pa.float64())], ["toxic", "raw"])
 
     raw = training.select("doc_id", "toxic").mapInArrow(without_itself, "toxic int, raw double").where("raw is not null").toArrow()
-    return model, isotonic(list(zip(raw.column("raw").to_pylist(), raw.column("toxic").to_pylist(), strict=True)), share), counted if len(vocabulary) else None
+    return model, isotonic(list(zip(raw.column("raw").to_pylist(), raw.column("toxic").to_pylist(), strict=True)), share), counted
 
 
 def scored(docs: DataFrame, labels: DataFrame, *, folds: int = 5, max_rows: int = 20_000, k: int = 15) -> DataFrame:
