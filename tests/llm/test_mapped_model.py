@@ -3,6 +3,7 @@
 import mmap
 
 import numpy as np
+import pytest
 
 from tracewright.llm import toxicity
 
@@ -13,7 +14,12 @@ def base_of(x):
     return x
 
 
-def test_workers_map_the_index(spark):
+@pytest.fixture
+def shared(monkeypatch, tmp_path):
+    monkeypatch.setattr(toxicity, "shared_dir", lambda spark: f"file://{tmp_path}/model")
+
+
+def test_workers_map_the_index(spark, shared):
     rng, size = np.random.default_rng(6), 900
     dense = np.where(rng.random((200, size)) < 0.2, rng.random((200, size)), 0).astype(np.float32)
     dense /= np.sqrt((dense * dense).sum(1, keepdims=True))
@@ -25,6 +31,6 @@ def test_workers_map_the_index(spark):
         assert index.ids[a].tolist() == plain.ids[b].tolist() and x.tolist() == y.tolist()
 
 
-def test_an_index_of_nothing(spark):
+def test_an_index_of_nothing(spark, shared):
     model = toxicity.sent(spark, np.empty(0, np.uint64), np.empty(0), [], np.empty(0, np.int64), np.empty(0, np.int64), 0.0, 0.0, 7)
     assert model.value.scores([(np.empty(0, np.int64), np.empty(0))], np.empty(0), np.empty(0)) == [(0.0, [])]
