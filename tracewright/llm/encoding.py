@@ -34,7 +34,8 @@ _SAFE, _UNSAFE = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
 class Encoder:
     """ids(texts) gives little-endian unsigned 32-bit ids for each text, as bytes; flat(texts) the same in one array."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int | None = None):
+        self.memo = memo
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -128,7 +129,7 @@ class Encoder:
     def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, and where each text's begin and end in them."""
         values, starts, stops = self._split([t or "" for t in texts])
-        if self.held > MEMO_BYTES:
+        if self.held > (self.memo or MEMO_BYTES):
             self._forget()
         coded = values.dictionary_encode()
         units = coded.dictionary.to_pylist()
@@ -145,11 +146,12 @@ class Encoder:
         return [out[a:b].tobytes() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker and file, kept between tasks."""
+def encoder(path: str, memo: int | None = None) -> Encoder:
+    """One for each worker and file, kept between tasks; memo: bytes of units and ids that it keeps (None: MEMO_BYTES)."""
     own = worker_cache("encoding")
     if path not in own:
         own[path] = Encoder(path)
+    own[path].memo = memo
     return own[path]
 
 

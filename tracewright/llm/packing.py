@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import written
 from tracewright.llm.encoding import batches, encoder, narrow
 
+#: Bytes of units that a worker keeps, characters encoded at once, rows sent to a worker at once: a stage of a pipeline
+#: shares its executor with what stages before it have left there.
+MEMO_BYTES, CHARS, BATCH_ROWS = 40_000_000, 1_000_000, 1000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, n long"
 
 
@@ -105,12 +108,12 @@ def pieces(docs: DataFrame, vocab: str, capacity: int, end_id: int, id_width: in
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
 
     def cut(rows):
-        encode, part = encoder(vocab), TaskContext.get().partitionId()
+        encode, part = encoder(vocab, MEMO_BYTES), TaskContext.get().partitionId()
         seen: dict[int, int] = {}  # by length
         end = np.asarray([end_id], np.uint32)
         for batch in rows:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in batches(texts):
+            for a, b in batches(texts, CHARS):
                 found, starts, stops = encode.flat(texts[a:b])
                 out, kept = [], []
                 for doc_id, x, y in zip(ids[a:b], starts.tolist(), stops.tolist(), strict=True):
@@ -126,7 +129,7 @@ def pieces(docs: DataFrame, vocab: str, capacity: int, end_id: int, id_width: in
                 columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.binary())] if id_width else [])], [*names, *(["ids"] if id_width else [])])
 
-    return written(docs.select("doc_id", "text").mapInArrow(cut, PIECES + (", ids binary" if id_width else "")), compression="zstd")
+    return written(docs.select("doc_id", "text").mapInArrow(cut, PIECES + (", ids binary" if id_width else "")), compression="zstd", batch_rows=BATCH_ROWS)
 
 
 def packed(docs: DataFrame, vocab: str, *, capacity: int = 4096, end_id: int = 1, steps: int = 3000, with_ids: bool = True, id_width: int = 2) -> DataFrame:

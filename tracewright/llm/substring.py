@@ -26,6 +26,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -127,7 +128,7 @@ def batched(docs: DataFrame, batch_bytes: int, n: int) -> DataFrame:
         worker_cache("substring")
         k, part = 0, TaskContext.get().partitionId()
         for batch in rows:
-            sizes = np.asarray([len(t or "") for t in batch.column("text").to_pylist()], np.int64)
+            sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             cut = np.flatnonzero(np.diff(sizes.cumsum() // batch_bytes, prepend=0))
             for a, b in zip([0, *cut], [*cut, len(sizes)], strict=True):
                 if b > a:
